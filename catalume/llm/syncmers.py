@@ -54,16 +54,20 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.withColumn(name, F.when(F.size(code) > 0, runs).otherwise(short)).select(*kept, name)
 
 
-def fingerprint(anchors: Column) -> Column:
-    """The anchors' codes in order, eight hex digits each."""
-    return F.array_join(F.transform(anchors, lambda a: F.lpad(F.lower(F.hex(F.shiftrightunsigned(a["code"], 32))), 8, "0")), "")
+def codes(anchors: Column) -> Column:
+    """The anchors' codes in order, upper 32 bits."""
+    return F.transform(anchors, lambda a: F.shiftright(a["code"], 32).cast("int"))
+
+
+def fingerprint(codes: Column) -> Column:
+    """The codes in order, eight hex digits each."""
+    return F.array_join(F.transform(codes, lambda c: F.lpad(F.lower(F.hex(c.cast("bigint").bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared anchor codes over the mean number of codes of both (Dice): 1 for equal sets, 1 for two empty ones."""
-    left, right = F.transform(a, lambda x: x["code"]), F.transform(b, lambda x: x["code"])
-    both = F.size(F.array_distinct(left)) + F.size(F.array_distinct(right))
-    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(left, right)) / both)
+    """Shared codes over the mean number of codes of both (Dice): 1 for equal sets, 1 for two empty ones."""
+    both = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
+    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
 def positional_matches(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -114,33 +118,28 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     rows are paired with each row of their neighbour's. An empty table gives
     an empty result; other columns are ignored.
 
-    Texts are shuffled once by doc_id, and of the next document only as many
-    characters as the edit takes.
+    Texts are shuffled once by doc_id; of the next document only as many
+    characters as the edit takes and its codes follow.
     """
     texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = materialize(
-        with_anchors(texts.withColumn("n_chars", F.length("text").cast("long")), "text", "anchors").select("doc_id", "n_chars", "anchors"), "anchors"
-    )
-    ahead = materialize(followers(own.select("doc_id", "n_chars")), "followers")
-    keyed = texts.join(ahead, "doc_id")
-    lent = keyed.select(F.col("prev_id").alias("doc_id"), F.expr("left(text, cast(prev_chars div 2 as int))").alias("lent"))
-    whole = keyed.select("doc_id", "text")
-    edited = whole.join(lent, "doc_id").select(
-        "doc_id", F.expr("concat(left(text, char_length(text) - char_length(text) div 2), lent)").alias("edited")
-    )
-    edited = with_anchors(edited, "edited", "edited_anchors").select(
-        "doc_id", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "edited_anchors"
+    ahead = materialize(followers(texts.select("doc_id", F.length("text").cast("long").alias("n_chars"))), "followers")
+    keyed = with_anchors(texts.join(ahead, "doc_id"), "text", "anchors")
+    lent = keyed.select(
+        F.col("prev_id").alias("doc_id"),
+        F.expr("left(text, cast(prev_chars div 2 as int))").alias("lent"),
+        codes(F.col("anchors")).alias("next_codes"),
     )
-    following = own.select(F.col("doc_id").alias("_next"), F.col("anchors").alias("next_anchors")).join(
-        ahead.select(F.col("doc_id").alias("_next"), "prev_id"), "_next"
+    edited = texts.join(lent, "doc_id").withColumn(
+        "edited", F.expr("concat(left(text, char_length(text) - char_length(text) div 2), lent)")
     )
-    full = edited.join(own, "doc_id").join(following.select(F.col("prev_id").alias("doc_id"), "next_anchors"), "doc_id")
+    both = with_anchors(with_anchors(edited, "text", "anchors"), "edited", "edited_anchors")
+    full = both.select("*", codes(F.col("anchors")).alias("codes"), codes(F.col("edited_anchors")).alias("edited_codes"))
     return full.select(
         "doc_id",
-        "n_chars",
-        "edited_sha256",
-        fingerprint(F.col("anchors")).alias("fingerprint"),
-        fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint(F.col("codes")).alias("fingerprint"),
+        fingerprint(F.col("edited_codes")).alias("edited_fingerprint"),
+        likeness(F.col("codes"), F.col("edited_codes")).alias("near_edited"),
+        likeness(F.col("codes"), F.col("next_codes")).alias("near_next"),
     )
