@@ -15,12 +15,13 @@ from catalume.llm.storage import ship_package
 #: Rows of the embedding table, its width, the lengths of character n-grams.
 BUCKETS, WIDTH, GRAMS = 1 << 16, 8, (3, 4)
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
 #: Code points whose features are computed at once.
 _AT_ONCE = 1 << 18
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _FACTOR, np.uint64)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
@@ -57,13 +58,12 @@ def _features(points: np.ndarray) -> np.ndarray:
             for i in range(n):
                 hashes = hashes * _FACTOR + points[i : len(points) - n + 1 + i]
             found.append(_bucket(hashes))
-    powers = _powers(len(points) + 1)
-    sums = np.concatenate(([np.uint64(0)], np.add.accumulate(powers[:-1][::-1] * points)))  # sum of p^(N-1-i) * c_i
     blanks = np.nonzero(points == 32)[0]
     starts, ends = blanks[:-1] + 1, blanks[1:]
     if len(starts):
-        # a word's hash may not depend on its place: bring all words to the same power
-        found.append(_bucket((sums[ends] - sums[starts]) * powers[starts] + (ends - starts).astype(np.uint64)))
+        # running sums of factor^i x point; a word's part over factor^start does not depend on its place
+        sums = np.concatenate(([np.uint64(0)], np.add.accumulate(_powers(_FACTOR, len(points)) * points)))
+        found.append(_bucket((sums[ends] - sums[starts]) * _powers(_INVERSE, len(points))[starts]))
     return np.concatenate(found)
 
 
