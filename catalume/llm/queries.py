@@ -100,6 +100,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; tests hold the others against plain versions."""
     return {
+        "op1_chat_format": r"""
+            WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+                UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+            e AS (SELECT *, regexp_replace(regexp_replace(x, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?(?:SYS|INST|OUT|ROLE)\])', '[\\\1', 'g') AS y,
+                CASE r WHEN 'system' THEN 21 WHEN 'user' THEN 23 WHEN 'assistant' THEN 21 ELSE 24 + length(url_encode(r)) END AS tags FROM t),
+            g AS (SELECT conv_id, count(*) AS n_turns, string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x) AS said,
+                coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (WHERE r = 'assistant'), '') AS loss,
+                string_agg(r, ' ' ORDER BY turn NULLS FIRST, r, x) AS roles, CAST(sum(length(y) + tags) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id)
+            SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+                regexp_full_match(roles, '(system )?user assistant( user assistant)*') AS valid FROM g""",
         "op10_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
