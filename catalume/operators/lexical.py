@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalume.config import Settings
@@ -108,19 +110,49 @@ def top(scores: DataFrame, limit: int, order: str = "doc", value: str = "score")
     return rounded.withColumn("posicao", place).where(F.col("posicao") <= limit)
 
 
-def search(index: DataFrame, cards: DataFrame, questions: DataFrame, settings: Settings, limit: int) -> DataFrame:
-    """Ranked documents of each question: qid, doc, posicao, score."""
-    columns = list(settings.weights)
+@dataclass(frozen=True)
+class Index:
+    """What a search reads: postings, document lengths, corpus statistics."""
+
+    posted: DataFrame
+    lengths: DataFrame
+    stats: DataFrame
+
+
+def build(index: DataFrame, columns: list[str]) -> Index:
+    """The index of a table (doc and text columns), computed where it is used."""
     lengths = document_lengths(index, columns)
-    stats = corpus_stats(lengths)
+    return Index(postings(index, columns), lengths, corpus_stats(lengths))
+
+
+def write(index: Index, path: str, files: int | None = None) -> None:
+    """Keep an index: postings in order of their terms, so that a lookup reads the files of its terms alone."""
+    ranged = index.posted.repartitionByRange(files, "term") if files else index.posted.repartitionByRange("term")
+    ranged.sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read(spark: SparkSession, path: str) -> Index:
+    """An index that was kept."""
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "stats")))
+
+
+def search_index(index: Index, cards: DataFrame, questions: DataFrame, settings: Settings, limit: int) -> DataFrame:
+    """Ranked documents of each question: qid, doc, posicao, score."""
     phrases = question_phrases(questions)
-    found = occurrences(postings(index, columns), phrases)
+    found = occurrences(index.posted, phrases)
     frequencies = term_frequencies(found)
-    useful = keep_useful(phrases, frequencies, stats, settings)
-    scores = penalized(bm25(useful, found, frequencies, lengths, stats, settings), cards, settings)
+    useful = keep_useful(phrases, frequencies, index.stats, settings)
+    scores = penalized(bm25(useful, found, frequencies, index.lengths, index.stats, settings), cards, settings)
     return top(scores, limit).select("qid", "doc", "posicao", "score")
 
 
+def search(index: DataFrame, cards: DataFrame, questions: DataFrame, settings: Settings, limit: int) -> DataFrame:
+    """``search_index`` over a table that is indexed on the way."""
+    return search_index(build(index, list(settings.weights)), cards, questions, settings, limit)
+
+
 def matches(index: DataFrame, results: DataFrame, questions: DataFrame, columns: list[str]) -> DataFrame:
     """(qid, doc, col, terms): the question's words that stand whole in each column of a result."""
     asked = questions.select("qid", F.array_distinct(F.transform(text.question_terms(F.col("question")), text.fold)).alias("asked"))
