@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
+from catalume.llm.pieces import PieceCache
 from catalume.llm.storage import ship_package
 
 _NONE = np.iinfo(np.int64).max
@@ -21,11 +20,6 @@ _NONE = np.iinfo(np.int64).max
 _LEAVES = 1 << 15
 #: Words of more bytes are merged on their own.
 _LONG = 256
-#: Characters of text whose unknown words are encoded together.
-_TOGETHER = 1 << 20
-#: Texts with a blank before white space or at the end are cut by pattern, others by blanks.
-_UNSAFE = re.compile(r" (?:\s|$)").search
-_BEFORE_WORD = re.compile(r"(?= \S)").split
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -175,62 +169,23 @@ class Merger:
 
 
 class Codec:
-    """Encodes and decodes texts; remembers the tokens of up to ``memory`` words and as many word groups.
-
-    A match of the pattern never holds the blank before a word and what
-    stands before that blank. So a text may be cut before each blank that no
-    white space follows, and what lies between, mostly a word with its
-    punctuation, is looked up whole; the pattern is only run over pieces that
-    are not known yet. The pattern must have that property, as all do that take
-    ``?``-blanks at a word's front.
-    """
+    """Encodes and decodes texts, every match of ``pattern`` merged on its own."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 400_000):
-        self.merger, self.find, self.memory = Merger(ranks), regex.compile(pattern).findall, memory
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.merger = Merger(ranks)
+        self.cache = PieceCache(pattern, self._encode, lambda parts: tuple(chain.from_iterable(parts)), memory)
         self.decimal = {i: str(i) for i in self.merger.tokens}
 
-    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        """The tokens of each text, every match of the pattern merged on its own."""
-        at = 0
-        while at < len(texts):
-            cut, size = [], 0
-            while at < len(texts) and size < _TOGETHER:
-                cut.append(self._cut(texts[at]))
-                size += len(texts[at])
-                at += 1
-            self._learn(set(chain.from_iterable(cut)))
-            for pieces in cut:
-                yield list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        if _UNSAFE(text):
-            return _BEFORE_WORD(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.pieces))
-        if len(self.pieces) + len(new) > self.memory:
-            self.pieces.clear()
-            new = list(pieces)
-        found = list(map(self.find, new))
-        words = set(chain.from_iterable(found))
-        unknown = list(words.difference(self.words))
-        if len(self.words) + len(unknown) > self.memory:
-            self.words.clear()
-            unknown = list(words)
-        self.words.update(zip(unknown, self.merger.encode([w.encode("utf-8", "surrogatepass") for w in unknown]), strict=True))
-        known = self.words
-        for piece, parts in zip(new, found, strict=True):
-            self.pieces[piece] = known[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable([known[w] for w in parts]))
-
-    def decode(self, ids: list[int]) -> bytes:
+    def _encode(self, words: list[str]) -> list[tuple[int, ...]]:
+        return self.merger.encode([w.encode("utf-8", "surrogatepass") for w in words])
+
+    def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, ...]]:
+        return self.cache.encode_batch(texts)
+
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.merger.tokens.__getitem__, ids))
 
-    def decimals(self, ids: list[int]) -> str:
+    def decimals(self, ids: Iterable[int]) -> str:
         return ",".join(map(self.decimal.__getitem__, ids))
 
 

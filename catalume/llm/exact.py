@@ -27,21 +27,23 @@ def _key(chunk: Column, key_bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(chunk), 64 - key_bits) if key_bits < 64 else F.xxhash64(chunk)
 
 
-def colliding_chunks(docs: DataFrame, key_bits: int = 64) -> DataFrame:
-    """Chunks whose hash key another, different chunk has too: (key, chunk, variant).
+def colliding_chunks(docs: DataFrame, key_bits: int = 64) -> DataFrame | None:
+    """Chunks whose hash key another, different chunk has too: (key, chunk, variant); None if there are none.
 
     Every distinct chunk's content is compared here once, after copies have
     been dropped before the shuffle; keys missing from the result are
-    verified identifiers.
+    verified identifiers. Contents are moved again only for keys that clash.
     """
     distinct = (
         docs.select(F.explode(chunks(F.col("text"))).alias("chunk"))
         .select(_key(F.col("chunk"), key_bits).alias("key"), "chunk")
         .dropDuplicates(["key", "chunk"])
     )
-    twice = distinct.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    twice = materialize(distinct.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "chunk-clashes")
+    if twice.isEmpty():
+        return None
     clash = distinct.join(twice, "key", "left_semi")
-    return clash.withColumn("variant", F.row_number().over(Window.partitionBy("key").orderBy("chunk")))
+    return materialize(clash.withColumn("variant", F.row_number().over(Window.partitionBy("key").orderBy("chunk"))), "chunk-variants")
 
 
 def _recipes(docs: DataFrame, key_bits: int) -> DataFrame:
@@ -52,8 +54,8 @@ def _recipes(docs: DataFrame, key_bits: int) -> DataFrame:
         F.monotonically_increasing_id().alias("row_no"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
     )
-    clash = materialize(colliding_chunks(docs, key_bits), "chunk-clashes")
-    if clash.isEmpty():
+    clash = colliding_chunks(docs, key_bits)
+    if clash is None:
         recipe = F.transform(chunks(F.col("text")), lambda c: _key(c, key_bits))
         return rows.select("doc_id", "row_no", recipe.alias("recipe"), "text_sha256")
     pieces = rows.select("row_no", F.posexplode(chunks(F.col("text"))).alias("at", "chunk"))

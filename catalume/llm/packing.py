@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,58 +12,38 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalume.llm.pieces import PieceCache
 from catalume.llm.storage import materialize, rank_in_cells, ship_package
 
 LENGTH, END = 1024, 0
-_TOGETHER = 1 << 20
 
 
 # -- tokens ------------------------------------------------------------------
 
 
-class WordCache:
-    """Token ids of texts by a ``tokenizers`` file, each distinct word of the pattern encoded once.
+def token_bytes(tokenizer_json: str, pattern: str) -> PieceCache:
+    """Ids by a ``tokenizers`` file as little-endian unsigned 32-bit numbers, each word of the pattern encoded once.
 
     The tokenizer splits a text by the same pattern before it merges, so the
-    ids of a text are those of its words in order. Up to ``memory`` words are
-    remembered.
+    ids of a text are those of its words in order.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    def __init__(self, tokenizer_json: str, pattern: str, memory: int = 400_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
-        self.find, self.memory = regex.compile(pattern).findall, memory
-        self.known: dict[str, bytes] = {}
-
-    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        at = 0
-        while at < len(texts):
-            found, size = [], 0
-            while at < len(texts) and size < _TOGETHER:
-                found.append(self.find(texts[at]))
-                size += len(texts[at])
-                at += 1
-            words = set(chain.from_iterable(found))
-            new = words.difference(self.known)
-            if len(self.known) + len(new) > self.memory:
-                self.known.clear()
-                new = words
-            listed = list(new)
-            coded = self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)
-            self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(listed, coded, strict=True))
-            for one in found:
-                yield b"".join(map(self.known.__getitem__, one))
-
-
-_caches: dict[tuple[int, str], WordCache] = {}
+    tokenizer = Tokenizer.from_str(tokenizer_json)
+    tokenizer.encode_special_tokens = True
+
+    def encode(words: list[str]) -> list[bytes]:
+        coded = tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (c.ids for c in coded)]
+
+    return PieceCache(pattern, encode, b"".join)
+
+
+_caches: dict[tuple[int, str], PieceCache] = {}
 
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, pattern: str, length: int = LENGTH) -> DataFrame:
@@ -81,7 +62,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, pattern: str, length: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (hash(shipped.value), pattern)
         if key not in _caches:
-            _caches[key] = WordCache(shipped.value, pattern)
+            _caches[key] = token_bytes(shipped.value, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)

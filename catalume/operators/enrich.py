@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalume.functions import text
@@ -74,3 +77,72 @@ def cost_usd(model: Column, entry: Column, out: Column, batch_entry: Column, bat
 def with_cache(inputs: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Inputs (hash, ...) that the cache answers, with its card, and those it does not."""
     return inputs.join(cache, "hash"), inputs.join(cache.select("hash"), "hash", "left_anti")
+
+
+def enrich(inputs: DataFrame, cache: DataFrame, model: Callable[[list[str]], list[str | None]]) -> DataFrame:
+    """A card for every input (doc, hash, entrada, titulo, nome, organizacao, descricao): cache, model or fallback.
+
+    ``model`` gets a batch of inputs and gives a JSON text or None for each;
+    it runs inside tasks, only for what the cache does not answer. Returns
+    doc, hash, resumo, confianca, origem.
+    """
+    known, fresh = with_cache(inputs, cache)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["doc", "hash"]].assign(said=model(batch["entrada"].tolist()))
+
+    kind = dict(inputs.dtypes)
+    said = fresh.select("doc", "hash", "entrada").mapInPandas(run, f"doc {kind['doc']}, hash string, said string")
+    card = F.from_json("said", "resumo string, confianca string")
+    read = fresh.join(said.select("doc", card.alias("card")), "doc")
+    fine = text.blank_to_null(F.col("card.resumo")).isNotNull() & F.lower("card.confianca").isin("alta", "media", "baixa")
+    fine = F.coalesce(fine, F.lit(False))
+    made = read.select(
+        "doc",
+        "hash",
+        F.when(fine, text.strip(F.col("card.resumo"))).otherwise(fallback_summary(F.col("titulo"), F.col("nome"), F.col("organizacao"))).alias("resumo"),
+        F.when(fine, clamped_confidence(F.col("descricao"), F.col("card.confianca"))).otherwise("baixa").alias("confianca"),
+        F.when(fine, "modelo").otherwise("fallback").alias("origem"),
+    )
+    return known.select("doc", "hash", "resumo", "confianca", F.lit("cache").alias("origem")).unionByName(made)
+
+
+def varied_sample(datasets: DataFrame, n: int, seed: int = 0, edges: tuple[int, ...] = (1, 200, 500, 1500)) -> DataFrame:
+    """``n`` datasets (id, organizacao, descricao) taken in turn from bands of description length, publishers in turn.
+
+    The ``r``-th dataset of a publisher comes after all ``r-1``-th ones of its
+    band, in an order drawn by ``seed``; bands then take turns. The same seed
+    gives the same sample.
+    """
+    length = F.length(F.coalesce("descricao", F.lit("")))
+    band = sum((F.when(length >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    drawn = datasets.withColumn("faixa", band).withColumn("sorte", F.xxhash64(F.col("id").cast("string"), F.lit(seed)))
+    again = F.row_number().over(Window.partitionBy("organizacao").orderBy("sorte", "id"))
+    turn = F.row_number().over(Window.partitionBy("faixa").orderBy("again", "sorte", "id"))
+    return drawn.withColumn("again", again).withColumn("turn", turn).orderBy("turn", "faixa").limit(n).select("id", "organizacao", "faixa", "turn")
+
+
+def cached_answers(queries: DataFrame, cache: DataFrame, least: float) -> DataFrame:
+    """(qid, answer_id, likeness): the most alike cached question of the same catalog version, if alike enough.
+
+    Queries: qid, versao, vetor (unit); cache: answer_id, versao, vetor,
+    origem; absences and reduced answers are never reused. The cache is kept
+    small by evicting its oldest entries, so a version's vectors are compared
+    with every query of that version.
+    """
+    usable = cache.where("origem not in ('nao_encontrado', 'modo_reduzido')").select("answer_id", "versao", F.col("vetor").alias("other"))
+    met = queries.join(usable, "versao")
+    dot = F.aggregate(F.zip_with("vetor", "other", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    close = met.select("qid", "answer_id", F.round(dot, 6).alias("likeness")).where(F.col("likeness") > least)
+    return close.groupBy("qid").agg(F.max(F.struct("likeness", (-F.col("answer_id")).alias("back"))).alias("best")).select(
+        "qid", (-F.col("best.back")).alias("answer_id"), F.col("best.likeness").alias("likeness")
+    )
+
+
+def hashed_embedding(body: Column, dim: int = 384) -> Column:
+    """A deterministic unit vector of a text's tokens, for where no model is at hand."""
+    slots = F.transform(text.tokens(body), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(length > 0, F.transform(counts, lambda x: (x / length).cast("float")))

@@ -111,3 +111,16 @@ def shown_resources(resources: DataFrame, most: int = 6) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.struct("place", "id")))), lambda r: r["id"]).alias("shown"),
         F.greatest(F.count("*") - most, F.lit(0)).alias("hidden"),
     )
+
+
+def dead_domains(resources: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``resources`` with failed connections to hosts that do not resolve classed ``dominio_inexistente``.
+
+    ``resolved`` (host, exists) holds one recorded lookup per host.
+    """
+    gone = resolved.where("not exists").select(F.col("host").alias("_host")).distinct()
+    keyed = resources.withColumn("_of", text.host(F.col("link")))
+    joined = keyed.join(gone, keyed["_of"] == gone["_host"], "left")
+    failed = (F.col("classe_saude") == "instavel") & (F.col("motivo_saude") == "ConnectError") & F.col("_host").isNotNull()
+    kind = F.when(F.coalesce(failed, F.lit(False)), "dominio_inexistente").otherwise(F.col("classe_saude"))
+    return joined.withColumn("classe_saude", kind).select(*resources.columns)

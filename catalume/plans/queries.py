@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalume.config import Settings
 from catalume.functions import text
-from catalume.operators import answers, enrich, health, ingest, lexical, limiter, publish, ranking, vectors
+from catalume.operators import answers, enrich, health, ingest, lexical, limiter, presentation, publish, ranking, vectors
 from catalume.plans import catalog
 from catalume.plans.catalog import table
 from catalume.streaming import windows
@@ -731,3 +731,107 @@ def window_tumbling(spark, sf_dir):
 )
 def window_session(spark, sf_dir):
     return windows.sessions(table(spark, sf_dir, "events"))
+
+
+# -- presentation and the rest ------------------------------------------------
+
+
+@query("SELECT id, '<p><strong>' || replace(replace(link, '&', '&amp;'), chr(39), '&#39;') || '</strong><br>&lt;b&gt; <em>x</em></p><p>_y_</p>' AS html FROM recurso")
+def answer_html(spark, sf_dir):
+    said = F.concat(F.lit(" **"), F.col("link"), F.lit("**\n<b> *x*\n \n_y_\n"))
+    return catalog.links(spark, sf_dir).select("id", presentation.answer_html(said).alias("html"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL ELSE date_trunc('day', ts) END AS quando, CASE event_id % 3 WHEN 0 THEN 'dados atualizados em' WHEN 1 THEN 'registro editado em' ELSE 'data de atualização' END AS rotulo,
+    event_id % 3 <> 0 AS incerta FROM events""",
+    model=False,
+)
+def update_label(spark, sf_dir):
+    day, i = F.date_format("ts", "yyyy-MM-dd"), F.col("event_id") % 3
+    label = presentation.update_label(F.when(i == 0, day).otherwise("Indisponível"), F.when(i == 1, day))
+    rows = table(spark, sf_dir, "events").select("event_id", label.alias("l"))
+    return rows.select("event_id", F.col("l.quando").cast("timestamp_ntz").alias("quando"), "l.rotulo", "l.incerta")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'encontrado direto no catálogo' WHEN 'click' THEN 'nada encontrado no catálogo' ELSE '' END AS rotulo FROM events", model=False)
+def origin_label(spark, sf_dir):
+    origin = F.when(F.col("event_type") == "view", "correspondencia_direta").when(F.col("event_type") == "click", "nao_encontrado").when(F.col("event_type") == "error", "?")
+    return table(spark, sf_dir, "events").select("event_id", answers.origin_label(origin).alias("rotulo"))
+
+
+@query(f"WITH {_FUSED} SELECT qid, sha256(string_agg(nome || '|' || round(rrf, 3), chr(10) ORDER BY posicao)) AS payload FROM placed p JOIN conjunto c ON c.doc = p.id GROUP BY qid")
+def final_payload(spark, sf_dir):
+    fused = ranking.fuse(_rankings(spark, sf_dir), SETTINGS.rrf_k, SETTINGS.limit).select("qid", "posicao", F.col("id").alias("doc"), F.col("rrf").alias("pontuacao"))
+    none = F.lit(None).cast("string")
+    named = catalog.cards(spark, sf_dir).select("doc", "nome", "titulo", F.col("organizacao").alias("orgao"), text.dataset_page(none, F.col("id")).alias("url_portal"))
+    made = presentation.final_payload(fused.join(named, "doc").select("*", none.alias("dados_atualizados_em"), none.alias("metadados_atualizados_em")))
+    read = F.from_json("payload", "array<struct<nome:string,pontuacao:double>>")
+    back = F.array_join(F.transform(read, lambda c: F.concat(c["nome"], F.lit("|"), c["pontuacao"].cast("string"))), "\n")
+    return made.select("qid", F.sha2(back.cast("binary"), 256).alias("payload"))
+
+
+@query(f"{_LIMITER} SELECT event_id, greatest(1, CAST(ceil(wait_s / 60.0) AS BIGINT)) AS minutos FROM s WHERE wait_s > 0", model=False)
+def wait_minutes(spark, sf_dir):
+    denied = limiter.sliding_window(catalog.requests(spark, sf_dir), 3, 86_400).where("not allowed")
+    return denied.select("event_id", presentation.wait_minutes(F.col("wait_s")).alias("minutos"))
+
+
+@query("SELECT doc, CASE WHEN titulo <> '' THEN titulo WHEN nome <> '' THEN nome ELSE 'Conjunto sem título' END || '. Publicado por ' || organizacao || '. Não foi possível descrever o conteúdo com os metadados disponíveis.' AS resumo FROM conjunto")
+def fallback_summary(spark, sf_dir):
+    return catalog.cards(spark, sf_dir).select("doc", enrich.fallback_summary(F.col("titulo"), F.col("nome"), F.col("organizacao")).alias("resumo"))
+
+
+@query("SELECT id, CASE WHEN status_http = 301 AND host LIKE '%.net' THEN 'dominio_inexistente' ELSE classe_saude END AS classe_saude FROM classificado")
+def dead_domains(spark, sf_dir):
+    links = catalog.links(spark, sf_dir).withColumn("motivo_saude", F.when(F.col("status_http") == 301, "ConnectError"))
+    looked = links.select("host", (~F.col("host").endswith(".net")).alias("exists")).distinct()
+    return health.dead_domains(links, looked).select("id", "classe_saude")
+
+
+@query("SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS entrada, count(*) AS chamadas FROM events GROUP BY event_type", model=False)
+def token_usage(spark, sf_dir):
+    used = F.try_variant_get(F.parse_json("props"), "$.k", "bigint")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(used).alias("entrada"), F.count("*").alias("chamadas"))
+
+
+@query("SELECT host, count(*) FILTER (WHERE classe_saude = 'indisponivel') AS n FROM classificado GROUP BY host")
+def unavailable_count(spark, sf_dir):
+    gone = F.count_if(health.situation(F.col("classe_saude")) == "inacessivel")
+    return catalog.links(spark, sf_dir).groupBy("host").agg(gone.alias("n"))
+
+
+@query(
+    """WITH c AS (SELECT vec_id, label, embedding FROM embeddings WHERE label % 5 <> 0),
+    m AS (SELECT q.vec_id AS qid, c.vec_id AS answer_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS likeness
+    FROM embeddings q JOIN c ON c.label = q.label WHERE q.vec_id % 50 = 0)
+    SELECT qid, answer_id, likeness FROM m WHERE likeness > 0.2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY likeness DESC, answer_id) = 1""",
+    model=False,
+)
+def semantic_cache_lookup(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("versao"), F.col("embedding").alias("vetor"))
+    cache = rows.select(F.col("vec_id").alias("answer_id"), "versao", "vetor", F.when(F.col("versao") % 5 == 0, "modo_reduzido").otherwise("modelo").alias("origem"))
+    return enrich.cached_answers(rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "qid"), cache, 0.2)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT organizacao) AS orgaos FROM (SELECT organizacao FROM conjunto ORDER BY organizacao LIMIT 20000)", model=True)
+def stratified_sample(spark, sf_dir):
+    drawn = enrich.varied_sample(catalog.cards(spark, sf_dir).select("id", "organizacao", F.col("text").alias("descricao")), 20_000)
+    return drawn.agg(F.count("*").alias("n"), F.count_distinct("organizacao").alias("orgaos"))
+
+
+@query(
+    """SELECT doc, CASE WHEN doc % 2 = 0 THEN 'cache' WHEN length(entrada) % 3 = 0 THEN 'fallback' ELSE 'modelo' END AS origem FROM (WITH """
+    + _INPUT
+    + """ SELECT * FROM entrada)"""
+)
+def enrich_stub(spark, sf_dir):
+    cards = catalog.cards(spark, sf_dir).join(_inputs(spark, sf_dir), "doc")
+    inputs = cards.select("doc", F.sha2(F.col("entrada").cast("binary"), 256).alias("hash"), "entrada", "titulo", "nome", "organizacao", F.col("text").alias("descricao"))
+    inputs = inputs.withColumn("hash", F.concat(F.col("hash"), F.col("doc").cast("string")))
+    cache = inputs.where("doc % 2 = 0").select("hash", F.lit("guardado").alias("resumo"), F.lit("alta").alias("confianca"))
+
+    def model(texts: list[str]) -> list[str | None]:
+        return [None if len(t) % 3 == 0 else '{"resumo": " ok ", "confianca": "Alta"}' for t in texts]
+
+    return enrich.enrich(inputs, cache, model).select("doc", "origem")
