@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -57,9 +56,9 @@ class Merger:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.merged[at], _NONE)
 
-    def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The tokens of each word."""
-        out: list[tuple[int, ...]] = [()] * len(words)
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The tokens of each word, as little-endian unsigned 32-bit numbers."""
+        out = [b""] * len(words)
         by_size: dict[int, list[int]] = {}
         for i, word in enumerate(words):
             if len(word) > _LONG:
@@ -74,7 +73,7 @@ class Merger:
                     out[i] = ids
         return out
 
-    def _merge(self, words: list[bytes], leaves: int) -> Iterator[tuple[int, ...]]:
+    def _merge(self, words: list[bytes], leaves: int) -> Iterator[bytes]:
         n = len(words)
         size = np.fromiter(map(len, words), np.int64, n)
         raw = np.frombuffer(b"".join(w.ljust(leaves, b"\0") for w in words), np.uint8).reshape(n, leaves)
@@ -119,13 +118,13 @@ class Merger:
             put(rows[has], front[has], pair(rows[has], front[has], left[has]))
             rows = rows[tree[rows, 1] < _NONE]
         live = (token >= 0) & (place < size[:, None])
-        flat = token[live].tolist()
+        flat = token[live].astype("<u4").tobytes()
         at = 0
-        for count in live.sum(axis=1).tolist():
-            yield tuple(flat[at : at + count])
-            at += count
+        for end in (4 * live.sum(axis=1).cumsum()).tolist():
+            yield flat[at:end]
+            at = end
 
-    def _merge_long(self, word: bytes) -> tuple[int, ...]:
+    def _merge_long(self, word: bytes) -> bytes:
         """The same merges for one long word, over plain lists."""
         n = len(word)
         leaves = 1 << (n - 1).bit_length()
@@ -165,28 +164,30 @@ class Merger:
             put(left, right)
             if before[left] >= 0:
                 put(before[left], left)
-        return tuple(t for t in token if t >= 0)
+        return np.array([t for t in token if t >= 0], "<u4").tobytes()
 
 
 class Codec:
     """Encodes and decodes texts, every match of ``pattern`` merged on its own."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 1_500_000):
         self.merger = Merger(ranks)
-        self.cache = PieceCache(pattern, self._encode, lambda parts: tuple(chain.from_iterable(parts)), memory)
-        self.decimal = {i: str(i) for i in self.merger.tokens}
+        self.cache = PieceCache(pattern, self._encode, memory)
+        self.text, self.decimal = np.full((2, max(self.merger.tokens) + 1), None, object)
+        for i, token in self.merger.tokens.items():
+            self.text[i], self.decimal[i] = token, str(i)
 
-    def _encode(self, words: list[str]) -> list[tuple[int, ...]]:
+    def _encode(self, words: list[str]) -> list[bytes]:
         return self.merger.encode([w.encode("utf-8", "surrogatepass") for w in words])
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, ...]]:
-        return self.cache.encode_batch(texts)
+        return (tuple(ids.tolist()) for ids in self.cache.encode_batch(pa.array(texts, pa.string())))
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.merger.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.text[ids].tolist())
 
-    def decimals(self, ids: Iterable[int]) -> str:
-        return ",".join(map(self.decimal.__getitem__, ids))
+    def decimals(self, ids: np.ndarray) -> str:
+        return ",".join(self.decimal[ids].tolist())
 
 
 _codecs: dict[tuple[int, str], Codec] = {}
@@ -220,14 +221,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                texts = [x or "" for x in part.column(1).to_pylist()]
                 ids, counts, coded, decoded = [], [], [], []
-                for one in own.encode_batch(texts):
+                for one in own.cache.encode_batch(part.column(1)):
                     counts.append(len(one))
                     coded.append(hashlib.sha256(own.decimals(one).encode()).hexdigest())
                     decoded.append(hashlib.sha256(own.decode(one)).hexdigest())
                     if with_ids:
-                        ids.append(pa.array(one, pa.int32()))
+                        ids.append(pa.array(one.astype(np.int32)))
                 columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:

@@ -19,6 +19,8 @@ from catalume.llm.pieces import PieceCache
 from catalume.llm.storage import materialize, rank_in_cells, ship_package
 
 LENGTH, END = 1024, 0
+#: Words that the tokenizer gets in one text.
+_IN_A_ROW = 128
 
 
 # -- tokens ------------------------------------------------------------------
@@ -36,11 +38,29 @@ def token_bytes(tokenizer_json: str, pattern: str) -> PieceCache:
     tokenizer = Tokenizer.from_str(tokenizer_json)
     tokenizer.encode_special_tokens = True
 
-    def encode(words: list[str]) -> list[bytes]:
+    def together(words: list[str]) -> list[bytes]:
+        """Words that stay words when written in a row: one call, told apart by the library's word numbers."""
+        coded = tokenizer.encode("".join(words), add_special_tokens=False)
+        ids, last = np.array(coded.ids, "<u4").tobytes(), np.diff(np.array([*coded.word_ids, -1])) != 0
+        ends = (4 * np.flatnonzero(last) + 4).tolist()
+        if len(ends) != len(words):
+            return apart(words)
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def apart(words: list[str]) -> list[bytes]:
         coded = tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (c.ids for c in coded)]
 
-    return PieceCache(pattern, encode, b"".join)
+    def encode(words: list[str]) -> list[bytes]:
+        led = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        found = dict(zip(rest, apart(rest), strict=True))
+        for at in range(0, len(led), _IN_A_ROW):
+            some = led[at : at + _IN_A_ROW]
+            found.update(zip(some, together(some), strict=True))
+        return [found[w] for w in words]
+
+    return PieceCache(pattern, encode)
 
 
 _caches: dict[tuple[int, str], PieceCache] = {}
@@ -67,8 +87,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, pattern: str, length: in
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 row, start, size, crc, total = [], [], [], [], []
-                for i, ids in enumerate(_caches[key].encode_batch([x or "" for x in part.column(1).to_pylist()])):
-                    ids += end
+                for i, coded in enumerate(_caches[key].encode_batch(part.column(1))):
+                    ids = coded.tobytes() + end
                     tokens = len(ids) // 4
                     for begin in range(0, tokens, length):
                         piece = ids[4 * begin : 4 * (begin + length)]
