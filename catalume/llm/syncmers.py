@@ -11,6 +11,8 @@ from catalume.llm.storage import materialize
 
 #: Characters of a word at most.
 WORD = 12
+#: A text with fewer syncmers has its word pairs as anchors too.
+FEWEST = 4
 
 
 def _with_shifted(values: Column, shift: int, join: Callable[[Column, Column], Column]) -> Column:
@@ -26,14 +28,16 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
     characters); a run of 8 words is an anchor if the smallest hash of its 7
     inner word pairs is that of its first or its last pair. The choice looks
     at nothing outside the run, so a passage has the same anchors in any
-    document. A shorter text is one anchor, one without words has none.
+    document. A text with fewer than FEWEST of them has every pair of
+    neighbouring words as an anchor besides, a single word is one itself; only
+    a text without words has none.
 
     Minima and codes of runs are built by doubling: two runs side by side
     make a longer one. Every step is its own projection, as its array is read
     more than once.
     """
     kept = df.columns
-    col = {x: f"_{name}_{x}" for x in ("word", "pair", "four", "min2", "min4", "least", "code")}
+    col = {x: f"_{name}_{x}" for x in ("word", "pair", "four", "min2", "min4", "least", "code", "runs")}
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\S{{1,{WORD}}}"), F.lit(0))
     hashed = lambda a, b: F.xxhash64(a, b)
     smaller = lambda a, b: F.least(a, b)
@@ -50,8 +54,12 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
     anchor = lambda pos, code: F.struct(pos.alias("pos"), code.alias("code"))
     runs = F.transform(places, lambda i: anchor(i + 1, F.get(code, i)))
     none = F.array().cast("array<struct<pos:int,code:bigint>>")
-    short = F.when(F.size(word) > 0, F.array(anchor(F.lit(1), F.xxhash64(word)))).otherwise(none)
-    return df.withColumn(name, F.when(F.size(code) > 0, runs).otherwise(short)).select(*kept, name)
+    df = df.withColumn(col["runs"], F.when(F.size(code) > 0, runs).otherwise(none))
+    runs = F.col(col["runs"])
+    single = F.transform(word, lambda w, i: anchor(i + 1, w))
+    pairs = F.transform(pair, lambda c, i: anchor(i + 1, c))
+    few = F.when(F.size(word) == 1, single).otherwise(F.array_sort(F.concat(runs, pairs)))
+    return df.withColumn(name, F.when(F.size(runs) < FEWEST, few).otherwise(runs)).select(*kept, name)
 
 
 def codes(anchors: Column) -> Column:
