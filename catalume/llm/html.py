@@ -19,6 +19,24 @@ _ASIDE = frozenset("nav header footer aside form dialog menu".split())
 _INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: Elements that are a part of an article, not its container.
+_PARTS = frozenset(
+    "blockquote ul ol li dl dt dd table thead tbody tfoot tr td th caption pre section figure figcaption details summary "
+    "h1 h2 h3 h4 h5 h6 hgroup address center fieldset p".split()
+)
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+_TABLE = frozenset("table html template".split())
+#: start tag -> (open elements whose end it implies, elements beyond which it does not reach)
+_ENDS = {
+    "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
+    "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
+    "td": (frozenset(["td", "th"]), _TABLE | {"tr"}),
+    "tr": (frozenset(["tr"]), _TABLE),
+    "tbody": (frozenset("thead tbody tfoot caption".split()), _TABLE),
+}
+_ENDS |= {"dd": _ENDS["dt"], "th": _ENDS["td"], "thead": _ENDS["tbody"], "tfoot": _ENDS["tbody"]}
+_BEFORE_BLOCK = frozenset(["p"]), frozenset("table td th caption button object template html".split())
+_BLOCKS = _ASIDE | (_PARTS - frozenset("thead tbody tfoot tr td th caption".split())) | frozenset("article main div hr dir".split())
 _MARKS = re.compile(
     r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|"
     r"footer|sidebar|aside|widget|related|recommended|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
@@ -34,6 +52,7 @@ class Block:
     path: tuple[int, ...]
     parts: list[str] = field(default_factory=list)
     tags: int = 0
+    prose: bool = False
 
     @property
     def text(self) -> str:
@@ -49,16 +68,22 @@ class _Events(HTMLParser):
         self.open: list[tuple[str, int, bool]] = []
         self.hidden = self.made = 0
         self.named: set[int] = set()
+        self.parts: set[int] = set()
         self.fresh()
 
     def path(self) -> tuple[int, ...]:
         return tuple(number for tag, number, _ in self.open if tag not in _INLINE and tag != "p")
 
     def fresh(self) -> None:
-        self.block = Block(self.path())
+        holder = next((tag for tag, _, _ in reversed(self.open) if tag not in _INLINE), "")
+        self.block = Block(self.path(), prose=holder in _PROSE)
         self.blocks.append(self.block)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in _ENDS:
+            self.imply(*_ENDS[tag])
+        if tag in _BLOCKS:
+            self.imply(*_BEFORE_BLOCK)
         if tag not in _INLINE:
             self.fresh()
         self.block.tags += 1
@@ -69,9 +94,22 @@ class _Events(HTMLParser):
         self.open.append((tag, self.made, out))
         if tag in ("article", "main"):
             self.named.add(self.made)
+        if tag in _PARTS:
+            self.parts.add(self.made)
         self.hidden += out
         if tag not in _INLINE:
-            self.block.path = self.path()
+            self.block.path, self.block.prose = self.path(), tag in _PROSE
+
+    def imply(self, ended: frozenset[str], beyond: frozenset[str]) -> None:
+        """Close the innermost open element of ``ended``, if none of ``beyond`` is open inside it."""
+        for at in range(len(self.open) - 1, -1, -1):
+            tag = self.open[at][0]
+            if tag in ended:
+                self.hidden -= sum(out for _, _, out in self.open[at:])
+                del self.open[at:]
+                return
+            if tag in beyond:
+                return
 
     @staticmethod
     def marked(attrs: list[tuple[str, str | None]]) -> bool:
@@ -131,8 +169,12 @@ def main_text(html: str | None) -> str:
     Parser events cut the page into lines at block tags. Each line has a
     ratio of its text to its tags; ratios are smoothed along the page and cut
     into two clusters, and the lines of the upper one name the content: it
-    is the innermost container (an <article> or <main> if there is one around)
-    that holds most of their text. All its lines are returned, however short,
+    starts from the innermost element that holds most of their text. If that
+    is in an <article> or <main>, the content is every outermost one of these
+    with lines of the upper cluster; else it is the innermost container around
+    (not a quote, list, table or section) outside of which the next container
+    has no further lines of that cluster, paragraphs, headings or quotes. All
+    its lines are returned, however short,
     but those in navigation, headers, footers, sidebars, notices, adverts,
     forms, scripts, styles or comments, told by tag, role, class and id. An
     empty or null page, or one without text outside of these, gives an empty
@@ -156,8 +198,16 @@ def main_text(html: str | None) -> str:
     inner = max((number for number, size in weight.items() if 2 * size > total), default=None)
     if inner is not None:
         inside = next(b.path for b, _ in chosen if inner in b.path)
-        named = [n for n in inside[: inside.index(inner) + 1] if n in events.named]
-        inner = named[-1] if named else inner
+        around = inside[: inside.index(inner) + 1]
+        if any(n in events.named for n in around):
+            wanted = {next((n for n in b.path if n in events.named), None) for b, _ in chosen} - {None}
+            return " ".join(text for b, text in blocks if not wanted.isdisjoint(b.path))
+        telling = {id(b) for b, _ in chosen} | {id(b) for b, _ in blocks if b.prose}
+        inner = None
+        for number in reversed([n for n in around if n not in events.parts]):
+            if inner is not None and not any(id(b) in telling and number in b.path and inner not in b.path for b, _ in blocks):
+                break
+            inner = number
     return " ".join(text for b, text in blocks if inner is None or inner in b.path)
 
 
