@@ -66,29 +66,36 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mine_rules(
-    labelled: DataFrame, min_support: float = 0.005, min_pages: int = 20, min_confidence: float = 0.7, max_tokens: int = 12
+    labelled: DataFrame, min_support: float = 0.005, min_pages: int = 20, min_confidence: float = 0.7
 ) -> DataFrame:
     """(rule_no, tokens, confidence, support): token combinations that foretell a bad label.
 
     FP-growth over the labelled urls' tokens with their label as one more
     item; kept are rules from tokens to the bad label with the given support
     (share of labelled urls, ``min_pages`` urls at least) and confidence whose every shorter rule is less
-    confident. At most ``max_tokens`` tokens of a url are used for fitting,
-    its host's first, so one long url that fills the sample cannot make 2^n
-    frequent sets. No labelled url: no rule.
+    confident. All tokens of all urls are counted; of frequent tokens that
+    stand on just the same urls one is mined, so one long url that fills the
+    sample cannot make 2^n frequent sets, and its rules are given for each of
+    them. No labelled url: no rule.
     """
     spark = labelled.sparkSession
-    sample = labelled.select(
-        F.concat(
-            F.slice(url_tokens(F.col("url")), 1, max_tokens), F.array(F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD)))
-        ).alias("items")
-    )
+    label = F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD))
+    sample = labelled.select(url_tokens(F.col("url")).alias("tokens"), label.alias("label"), F.monotonically_increasing_id().alias("row_no"))
     empty = spark.range(0).selectExpr("id AS rule_no", "array('') AS tokens", "0.0D AS confidence", "0.0D AS support")
     sample = materialize(sample, "url-sample")
     size = sample.count()
     if size < min_pages:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_pages / size), minConfidence=min_confidence).fit(sample)
+    support = max(min_support, min_pages / size)
+    counted = sample.select(F.explode("tokens").alias("token"), "row_no").groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("row_no")).alias("rows"), F.bit_xor(F.xxhash64("row_no", F.lit(1))).alias("again")
+    )
+    # at most 1 / support times a url's tokens on average
+    alike = counted.where(F.col("n") >= support * size).groupBy("n", "rows", "again").agg(F.sort_array(F.collect_list("token")).alias("alike"))
+    alike = materialize(alike.select(F.element_at("alike", 1).alias("token"), "alike"), "url-tokens")
+    mined = F.broadcast(alike.agg(F.collect_list("token").alias("mined")))
+    sample = sample.crossJoin(mined).select(F.concat(F.array_intersect("tokens", "mined"), F.array("label")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(sample)
     found = (
         model.associationRules.where((F.element_at("consequent", 1) == BAD) & ~F.array_contains("antecedent", GOOD))
         .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
@@ -100,7 +107,16 @@ def mine_rules(
     needless = parts.join(smaller, "_token").where(
         (F.size("_few") < F.size("tokens")) & (F.col("_sure") >= F.col("confidence")) & (F.size(F.array_except("_few", "tokens")) == 0)
     )
-    return found.join(needless.select("rule_no"), "rule_no", "left_anti").select("rule_no", "tokens", "confidence", "support")
+    kept = found.join(needless.select("rule_no"), "rule_no", "left_anti")
+    named = kept.select("rule_no", "confidence", "support", F.explode("tokens").alias("token")).join(alike, "token")
+    named = named.groupBy("rule_no", "confidence", "support").agg(F.collect_list("alike").alias("choices"))
+    every = F.aggregate(
+        "choices",
+        F.array(F.array().cast("array<string>")),
+        lambda done, choice: F.flatten(F.transform(done, lambda d: F.transform(choice, lambda c: F.concat(d, F.array(c))))),
+    )
+    named = named.select(F.explode(every).alias("tokens"), "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
+    return named.select(F.xxhash64("tokens").alias("rule_no"), "tokens", "confidence", "support")
 
 
 def match_mined(urls: DataFrame, rules: DataFrame) -> DataFrame:
