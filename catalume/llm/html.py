@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -25,100 +26,125 @@ _PARTS = frozenset(
     "h1 h2 h3 h4 h5 h6 hgroup address center fieldset p".split()
 )
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
-_TABLE = frozenset("table html template".split())
-#: start tag -> (open elements whose end it implies, elements beyond which it does not reach)
+_TABLE = "table html template".split()
+#: group -> (open elements whose end a start tag of the group implies, elements beyond which it does not reach)
 _ENDS = {
-    "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
-    "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "td": (frozenset(["td", "th"]), _TABLE | {"tr"}),
-    "tr": (frozenset(["tr"]), _TABLE),
-    "tbody": (frozenset("thead tbody tfoot caption".split()), _TABLE),
+    "li": (["li"], "ul ol menu dir".split()),
+    "dt": (["dt", "dd"], ["dl"]),
+    "td": (["td", "th"], [*_TABLE, "tr"]),
+    "tr": (["tr"], _TABLE),
+    "tbody": ("thead tbody tfoot caption".split(), _TABLE),
+    "p": (["p"], "table td th caption button object template html".split()),
 }
-_ENDS |= {"dd": _ENDS["dt"], "th": _ENDS["td"], "thead": _ENDS["tbody"], "tfoot": _ENDS["tbody"]}
-_BEFORE_BLOCK = frozenset(["p"]), frozenset("table td th caption button object template html".split())
 _BLOCKS = _ASIDE | (_PARTS - frozenset("thead tbody tfoot tr td th caption".split())) | frozenset("article main div hr dir".split())
+#: start tag -> the groups whose open element it ends
+_IMPLIES = {tag: [group for group, (ended, _) in _ENDS.items() if tag in ended and group != "p"] + ["p"] * (tag in _BLOCKS) for group in _ENDS.values() for tag in group[0]}
+_IMPLIES |= {tag: ["p"] for tag in _BLOCKS if tag not in _IMPLIES}
+#: tag -> (group, whether the group's start tags end it)
+_WATCHED = {tag: [(g, tag in ended) for g, (ended, beyond) in _ENDS.items() if tag in ended or tag in beyond] for e in _ENDS.values() for tag in e[0] + e[1]}
 _MARKS = re.compile(
     r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|"
     r"footer|sidebar|aside|widget|related|recommended|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"comments?|disqus|respond|replies|share|sharing|social)(?:$|[^a-z])"
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
+#: How sure it is that a container is boilerplate: by tag, role or attribute; by a word of its class or id.
+SURE, LIKELY = 2, 1
 
 
 @dataclass
-class Block:
-    """One line of the page: its text, the tags in it, the containers around it."""
+class Line:
+    """One line of the page: the container it stands in, its text, the characters of it in links, the tags in it."""
 
-    path: tuple[int, ...]
+    box: int
     parts: list[str] = field(default_factory=list)
+    linked: int = 0
     tags: int = 0
-    prose: bool = False
 
     @property
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
 
-class _Events(HTMLParser):
-    """Turns parser events into blocks; what stands in silent or boilerplate elements is left out."""
+class _Page(HTMLParser):
+    """Turns parser events into lines and a tree of containers; every event takes constant time on average.
+
+    Containers are numbered in the order they begin, 0 is the page; each has
+    the one above it, its tag and its mark (0, LIKELY, SURE). Text in silent
+    elements is left out.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[Block] = []
+        self.above, self.tags, self.marks = [0], [""], [0]
+        self.lines: list[Line] = []
         self.open: list[tuple[str, int, bool]] = []
-        self.hidden = self.made = 0
-        self.named: set[int] = set()
-        self.parts: set[int] = set()
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.watched: dict[str, list[tuple[int, bool]]] = defaultdict(list)
+        self.boxes, self.likely, self.silent = [(0, -1)], [], 0
         self.fresh()
 
-    def path(self) -> tuple[int, ...]:
-        return tuple(number for tag, number, _ in self.open if tag not in _INLINE and tag != "p")
-
     def fresh(self) -> None:
-        holder = next((tag for tag, _, _ in reversed(self.open) if tag not in _INLINE), "")
-        self.block = Block(self.path(), prose=holder in _PROSE)
-        self.blocks.append(self.block)
+        self.line = Line(self.boxes[-1][0])
+        self.lines.append(self.line)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in _ENDS:
-            self.imply(*_ENDS[tag])
-        if tag in _BLOCKS:
-            self.imply(*_BEFORE_BLOCK)
-        if tag not in _INLINE:
+        for group in _IMPLIES.get(tag, ()):
+            if self.watched[group] and self.watched[group][-1][1]:
+                self.close_from(self.watched[group][-1][0])
+        inline = tag in _INLINE
+        if tag not in _VOID:
+            mark = SURE if tag in _ASIDE else self.mark(tag, attrs)
+            silent = tag in _SILENT or inline and mark > 0
+            number = 0
+            if not inline:
+                number = len(self.above)
+                self.above.append(self.boxes[-1][0])
+                self.tags.append(tag)
+                self.marks.append(mark)
+                self.boxes.append((number, len(self.open)))
+                if mark == LIKELY:
+                    self.likely.append(number)
+                if tag == "h1":  # a page's title does not stand in boilerplate, whatever its containers are called
+                    for box in self.likely:
+                        self.marks[box] = 0
+                    self.likely.clear()
+            self.places[tag].append(len(self.open))
+            for group, ends in _WATCHED.get(tag, ()):
+                self.watched[group].append((len(self.open), ends))
+            self.open.append((tag, number, silent))
+            self.silent += silent
+        if not inline:
             self.fresh()
-        self.block.tags += 1
-        if tag in _VOID:
-            return
-        self.made += 1
-        out = tag in _SILENT or tag in _ASIDE or tag not in ("html", "body", "main", "article") and self.marked(attrs)
-        self.open.append((tag, self.made, out))
-        if tag in ("article", "main"):
-            self.named.add(self.made)
-        if tag in _PARTS:
-            self.parts.add(self.made)
-        self.hidden += out
-        if tag not in _INLINE:
-            self.block.path, self.block.prose = self.path(), tag in _PROSE
-
-    def imply(self, ended: frozenset[str], beyond: frozenset[str]) -> None:
-        """Close the innermost open element of ``ended``, if none of ``beyond`` is open inside it."""
-        for at in range(len(self.open) - 1, -1, -1):
-            tag = self.open[at][0]
-            if tag in ended:
-                self.hidden -= sum(out for _, _, out in self.open[at:])
-                del self.open[at:]
-                return
-            if tag in beyond:
-                return
+        self.line.tags += 1
+
+    def close_from(self, at: int) -> bool:
+        """Close the open elements from place ``at`` on; whether there was a container among them."""
+        blocks = False
+        while len(self.open) > at:
+            tag, number, silent = self.open.pop()
+            self.places[tag].pop()
+            for group, _ in _WATCHED.get(tag, ()):
+                self.watched[group].pop()
+            self.silent -= silent
+            if number:
+                blocks = True
+                self.boxes.pop()
+                if self.likely and self.likely[-1] == number:
+                    self.likely.pop()
+        return blocks
 
     @staticmethod
-    def marked(attrs: list[tuple[str, str | None]]) -> bool:
+    def mark(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        found = 0
         for name, value in attrs:
-            if name in ("class", "id") and value and _MARKS.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()):
-                return True
             if name == "hidden" or name == "role" and (value or "").lower() in _ROLES or name == "aria-hidden" and value == "true":
-                return True
-        return False
+                return SURE
+            if name in ("class", "id") and value and tag not in ("html", "body", "main"):
+                said = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()
+                if re.search(r"(?:^|\s)(?:comment|related)", said) if tag == "article" else _MARKS.search(said):
+                    found = LIKELY
+        return found
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -126,18 +152,30 @@ class _Events(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        self.block.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self.hidden -= sum(out for _, _, out in self.open[at:])
-                del self.open[at:]
-                break
-        if tag not in _INLINE:
+        self.line.tags += 1
+        inline, places = tag in _INLINE, self.places[tag]
+        if places and (not inline or places[-1] > self.boxes[-1][1]):
+            self.close_from(places[-1])
+        if not inline:
             self.fresh()
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.block.parts.append(data)
+        if not self.silent:
+            self.line.parts.append(data)
+            if self.places["a"]:
+                self.line.linked += len(data)
+
+    def spread(self, own: list[int]) -> list[int]:
+        """The largest of a container's own value and of those above it."""
+        for number in range(1, len(own)):
+            own[number] = max(own[number], own[self.above[number]])
+        return own
+
+    def gathered(self, own: list[int]) -> list[int]:
+        """The sum of a container's own value and of those inside it."""
+        for number in range(len(own) - 1, 0, -1):
+            own[self.above[number]] += own[number]
+        return own
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -163,52 +201,72 @@ def split_level(values: np.ndarray, rounds: int = 50) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The page's article, blocks joined by one blank.
 
     Parser events cut the page into lines at block tags. Each line has a
-    ratio of its text to its tags; ratios are smoothed along the page and cut
-    into two clusters, and the lines of the upper one name the content: it
-    starts from the innermost element that holds most of their text. If that
-    is in an <article> or <main>, the content is every outermost one of these
-    with lines of the upper cluster; else it is the innermost container around
+    ratio of its text outside of links to its tags; a line in a container
+    that tag, role, class or id tell as boilerplate (navigation, headers,
+    footers, sidebars, notices, adverts, forms, comments) has ratio 0. Ratios
+    are smoothed along the page (``sigma`` lines) and cut into two clusters,
+    and the lines of the upper one name the content: it starts from the
+    innermost container that holds most of their text. If that is in an
+    <article> or <main>, the content is every outermost one of these with
+    lines of the upper cluster; else it is the innermost container around
     (not a quote, list, table or section) outside of which the next container
-    has no further lines of that cluster, paragraphs, headings or quotes. All
-    its lines are returned, however short,
-    but those in navigation, headers, footers, sidebars, notices, adverts,
-    forms, scripts, styles or comments, told by tag, role, class and id. An
-    empty or null page, or one without text outside of these, gives an empty
-    text.
+    has no further lines of that cluster, paragraphs, headings or quotes.
+
+    Inside the content a region (the lines that share their innermost
+    container, parts such as lists not counted) without any line of the upper
+    cluster goes if most of its text is links; boilerplate goes; all else
+    stays, however short. Words of class and id do not count for containers
+    around the page's <h1>, nor where nothing else is left. An empty or null
+    page, or one without text outside of boilerplate, gives an empty text.
+    Time is proportional to the page, however deep and broken.
     """
-    events = _Events()
-    events.feed(html or "")
-    events.close()
-    blocks = [(b, text) for b in events.blocks if (text := b.text)]
-    if not blocks:
+    page = _Page()
+    page.feed(html or "")
+    page.close()
+    every = [(line, text) for line in page.lines if (text := line.text)]
+    marks = page.spread(list(page.marks))
+    most = min((marks[line.box] for line, _ in every), default=SURE)
+    if most == SURE:
         return ""
-    ratios = smoothed(np.array([len(text) / max(1, b.tags) for b, text in blocks]))
+    plain = [marks[line.box] <= most for line, _ in every]
+    own = [max(0, len(text) - line.linked) / max(1, line.tags) if fits else 0.0 for (line, text), fits in zip(every, plain, strict=True)]
+    ratios = smoothed(np.array(own), sigma)
     level = split_level(ratios)
-    chosen = [(b, text) for (b, text), ratio in zip(blocks, ratios, strict=True) if ratio >= level] or blocks
-    weight: dict[int, int] = {}
-    total = 0
-    for block, text in chosen:
-        total += len(text)
-        for number in block.path:
-            weight[number] = weight.get(number, 0) + len(text)
-    inner = max((number for number, size in weight.items() if 2 * size > total), default=None)
-    if inner is not None:
-        inside = next(b.path for b, _ in chosen if inner in b.path)
-        around = inside[: inside.index(inner) + 1]
-        if any(n in events.named for n in around):
-            wanted = {next((n for n in b.path if n in events.named), None) for b, _ in chosen} - {None}
-            return " ".join(text for b, text in blocks if not wanted.isdisjoint(b.path))
-        telling = {id(b) for b, _ in chosen} | {id(b) for b, _ in blocks if b.prose}
-        inner = None
-        for number in reversed([n for n in around if n not in events.parts]):
-            if inner is not None and not any(id(b) in telling and number in b.path and inner not in b.path for b, _ in blocks):
-                break
-            inner = number
-    return " ".join(text for b, text in blocks if inner is None or inner in b.path)
+    upper = [fits and ratio >= level for fits, ratio in zip(plain, ratios.tolist(), strict=True)]
+    if not any(upper):
+        upper = plain
+    lines = [(line, text, high) for (line, text), fits, high in zip(every, plain, upper, strict=True) if fits]
+    size = len(page.above)
+    weights, telling, named, region = [0] * size, [0] * size, [0] * size, [0] * size
+    for line, text, high in lines:
+        weights[line.box] += len(text) if high else 0
+        telling[line.box] += high or page.tags[line.box] in _PROSE
+    page.gathered(weights)
+    page.gathered(telling)
+    for box in range(1, size):
+        named[box] = named[page.above[box]] or box * (page.tags[box] in ("article", "main"))
+        region[box] = region[page.above[box]] if page.tags[box] in _PARTS else box
+    inner = max(box for box in range(size) if 2 * weights[box] > weights[0])
+    if named[inner]:
+        wanted = {named[line.box] for line, _, high in lines if high} - {0}
+        content = [x for x in lines if named[x[0].box] in wanted]
+    else:
+        inner = region[inner]
+        while inner and telling[region[page.above[inner]]] > telling[inner]:
+            inner = region[page.above[inner]]
+        inside = page.spread([int(box == inner) for box in range(size)])
+        content = [x for x in lines if inside[x[0].box]]
+    linked, chars, has_upper = defaultdict(int), defaultdict(int), set()
+    for line, text, high in content:
+        linked[region[line.box]] += line.linked
+        chars[region[line.box]] += len(text)
+        if high:
+            has_upper.add(region[line.box])
+    return " ".join(text for line, text, _ in content if (r := region[line.box]) in has_upper or 2 * linked[r] <= chars[r])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Whole articles of pages without <article>, and implied end tags."""
 
+import time
+
 import pytest
 
 from catalume.llm import html
@@ -20,3 +22,40 @@ LONG = "A long quotation that holds most of the text of this page, and more than
 )
 def test_html_whole_articles(page, want):
     assert html.main_text(page) == want
+
+
+TEXT = "A paragraph of the article that is long enough to be told from menus, which are short and full of links."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # regions of links without any mark are told by their ratio alone, short lines without links stay
+        (f"<div><div><a href=a>One</a> <a href=b>Two</a></div><div><h1>T</h1><p>{TEXT}</p><p>Short.</p></div></div>", f"T {TEXT} Short."),
+        (f"<main><div><a href=a>Back to the list of all entries</a></div><div><p>{TEXT}</p></div><div>End</div></main>", f"{TEXT} End"),
+        # names of containers do not count around the title, nor where nothing else is left
+        (f"<div class='notice-board'><h1>Title</h1><p>{TEXT}</p></div>", f"Title {TEXT}"),
+        (f"<div class=overlay><p>{TEXT}</p></div>", TEXT),
+        (f"<article><p>{TEXT}</p></article><section class=comments><article class=comment><p>{TEXT} {TEXT}</p></article></section>", TEXT),
+        ('<article><p class="ad">Buy now<p>Real text.</article>', "Real text."),
+        (f"<article><p>{TEXT} <span class=ad>Buy</span> more</p><ul><li class=share>x<li>kept</ul></article>", f"{TEXT} more kept"),
+        (f"<b><div><p>{TEXT}</b> on</p></div>", f"{TEXT} on"),
+    ],
+)
+def test_html_regions(page, want):
+    assert html.main_text(page) == want
+
+
+def test_html_threshold_decides(monkeypatch):
+    page = f"<div><div><a href=a>One</a> <a href=b>Two</a></div><div><p>{TEXT}</p></div></div>"
+    assert html.main_text(page) == TEXT
+    monkeypatch.setattr(html, "split_level", lambda values: float("-inf"))
+    assert html.main_text(page) == f"One Two {TEXT}"
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<p>", "<b>", "<li>", "<a><div>", "</p>", "<td><b>", "<span hidden><i>"])
+def test_html_broken_pages_take_linear_time(piece):
+    began = time.process_time()
+    html.main_text("<button>" + "<b>" * 20_000 + (piece + "x") * 20_000 + "</i></p>" * 20_000)
+    html.main_text("<article>" + (piece + "x ") * 20_000)
+    assert time.process_time() - began < 20
