@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from catalume.llm.storage import materialize
 
-#: Characters of a word at most.
-WORD = 12
+#: Characters of a word at most; a longer run without blanks counts as its single characters.
+WORD = 24
 #: A text with fewer syncmers has its word pairs as anchors too.
 FEWEST = 4
 
@@ -24,11 +24,11 @@ def _with_shifted(values: Column, shift: int, join: Callable[[Column, Column], C
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with array ``name`` of (pos, code): the closed syncmers of column ``text``, in order.
 
-    The text is read as words (runs without white space, cut after 12
-    characters); a run of 8 words is an anchor if the smallest hash of its 7
-    inner word pairs is that of its first or its last pair. The choice looks
-    at nothing outside the run, so a passage has the same anchors in any
-    document. A text with fewer than FEWEST of them has every pair of
+    The text is read as words (runs without white space; of a run over WORD
+    characters, as in scripts without blanks, each character is one); a run of
+    8 words is an anchor if the smallest hash of its 7 inner word pairs is
+    that of its first or its last pair. The choice looks at nothing outside
+    the run, so a passage has the same anchors in any document. A text with fewer than FEWEST of them has every pair of
     neighbouring words as an anchor besides, a single word is one itself; only
     a text without words has none.
 
@@ -38,7 +38,7 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
     """
     kept = df.columns
     col = {x: f"_{name}_{x}" for x in ("word", "pair", "four", "min2", "min4", "least", "code", "runs")}
-    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\S{{1,{WORD}}}"), F.lit(0))
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"(?<!\S)\S{{1,{WORD}}}(?!\S)|\S"), F.lit(0))
     hashed = lambda a, b: F.xxhash64(a, b)
     smaller = lambda a, b: F.least(a, b)
     df = df.withColumn(col["word"], F.transform(words, lambda w: F.xxhash64(w)))
@@ -63,17 +63,21 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def codes(anchors: Column) -> Column:
-    """The anchors' codes in order, upper 32 bits."""
-    return F.transform(anchors, lambda a: F.shiftright(a["code"], 32).cast("int"))
+    """One 32-bit code per anchor in order: the upper half of its own, mixed with its distance from the anchor before."""
+    gap = lambda a, i: F.when(i > 0, a["pos"] - F.get(anchors, i - 1)["pos"]).otherwise(0).cast("bigint")
+    return F.transform(anchors, lambda a, i: F.shiftright(a["code"].bitwiseXOR(F.shiftleft(gap(a, i), 32)), 32).cast("int"))
 
 
 def fingerprint(codes: Column) -> Column:
-    """The codes in order, eight hex digits each."""
+    """The codes in order, eight hex digits each: which anchors a text has and how far they stand apart."""
     return F.array_join(F.transform(codes, lambda c: F.lpad(F.lower(F.hex(c.cast("bigint").bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared codes over the mean number of codes of both (Dice): 1 for equal sets, 1 for two empty ones."""
+    """Shared codes over the mean number of codes of both (Dice): 1 for equal sets, 1 for two empty ones.
+
+    As codes hold distances, an anchor counts only if it stands at the same distance from the one before it.
+    """
     both = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
     return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
@@ -94,54 +98,68 @@ def positional_matches(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def followers(ids: DataFrame) -> DataFrame:
-    """For each row of ``ids`` (doc_id, n_chars): the row whose next document, by descending doc_id, it is.
+    """For each row of ``ids`` (doc_id, key, mark, n_chars): the row whose next document, by descending doc_id, it is.
 
-    Returns doc_id, prev_id, prev_chars; the largest doc_id follows the
-    smallest. Ids are dealt out by range and written; neighbours are found
-    inside the ranges and, at their edges, between one row per range.
+    Returns key, mark, prev_key, prev_mark, prev_chars; the largest doc_id
+    follows the smallest, a null one is smaller than all, rows of one doc_id
+    stand in the order of their keys. Ids are dealt out by range and written;
+    neighbours are found inside the ranges and, at their edges, between one
+    row per range.
     """
-    ranged = ids.repartitionByRange("doc_id").select("doc_id", "n_chars", F.spark_partition_id().alias("range_no"))
+    ranged = ids.repartitionByRange("doc_id", "key", "mark").select("*", F.spark_partition_id().alias("range_no"))
     ranged = materialize(ranged, "doc-ranges")
-    edge = ranged.groupBy("range_no").agg(F.min(F.struct("doc_id", "n_chars")).alias("first"))
+    order = ["doc_id", "key", "mark"]
+    row = F.struct("key", "mark", "n_chars")
+    edge = ranged.groupBy("range_no").agg(F.min(F.struct(*order, "n_chars")).alias("first"))
     over = Window.orderBy("range_no")  # one row per range
     edge = edge.select(
         "range_no",
-        F.coalesce(F.lead("first").over(over), F.first("first").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("beyond"),
-    )
-    inside = Window.partitionBy("range_no").orderBy("doc_id", "n_chars")
-    above = F.lead(F.struct("doc_id", "n_chars")).over(inside)
+        F.coalesce(F.lead("first").over(over), F.first("first").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("first"),
+    ).select("range_no", F.struct("first.key", "first.mark", "first.n_chars").alias("beyond"))
+    above = F.lead(row).over(Window.partitionBy("range_no").orderBy(*order))
     found = ranged.withColumn("above", above).join(F.broadcast(edge), "range_no")
     found = found.withColumn("above", F.coalesce("above", "beyond"))
-    return found.select("doc_id", F.col("above.doc_id").alias("prev_id"), F.col("above.n_chars").alias("prev_chars"))
+    return found.select("key", "mark", F.col("above.key").alias("prev_key"), F.col("above.mark").alias("prev_mark"), F.col("above.n_chars").alias("prev_chars"))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each document and of its edited text.
+    """Fingerprints of each document and of its edited text, a row per row of ``docs`` (doc_id, text).
 
     The edited text has its last floor(n/2) code points replaced by as many
     first ones (or all) of the next document, by descending doc_id, after the
-    last the first. Reads doc_id (distinct, not null) and text; a null text
-    is empty. Returns doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next. Where a doc_id repeats, its
-    rows are paired with each row of their neighbour's. An empty table gives
-    an empty result; other columns are ignored.
-
-    Texts are shuffled once by doc_id; of the next document only as many
-    characters as the edit takes and its codes follow.
+    last the first. A null text is empty. Rows with the same doc_id and text
+    are one document, which has a row for each; of one doc_id on several
+    texts each text is a document, in the order of their hashes; null ids
+    come last. Returns doc_id, n_chars, edited_sha256, fingerprint,
+    edited_fingerprint, near_edited, near_next. An empty table gives an empty
+    result; other columns are ignored.
+
+    Anchors of the whole texts are made once, where the texts are read, and
+    their codes kept. Texts are shuffled once by key; of the next document
+    only as many characters as the edit takes and its codes follow.
     """
-    texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ahead = materialize(followers(texts.select("doc_id", F.length("text").cast("long").alias("n_chars"))), "followers")
-    keyed = with_anchors(texts.join(ahead, "doc_id"), "text", "anchors")
-    lent = keyed.select(
-        F.col("prev_id").alias("doc_id"),
+    key = ["key", "mark"]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("mark", F.hash("doc_id", "text"))
+    known = with_anchors(texts, "text", "anchors").select("doc_id", *key, F.length("text").cast("long").alias("n_chars"), codes(F.col("anchors")).alias("codes"))
+    known = materialize(known, "codes")
+    ids = known.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.min("n_chars").alias("n_chars"), F.count("*").alias("rows"))
+    ids = materialize(ids, "documents")
+    repeated = not ids.where("rows > 1").isEmpty()
+    once = (lambda df: df.dropDuplicates(key)) if repeated else (lambda df: df)
+    ahead = materialize(followers(ids.drop("rows")), "followers")
+    own = once(known.select(*key, "codes"))
+    lent = texts.join(own, key).join(ahead, key).select(
+        F.col("prev_key").alias("key"),
+        F.col("prev_mark").alias("mark"),
         F.expr("left(text, cast(prev_chars div 2 as int))").alias("lent"),
-        codes(F.col("anchors")).alias("next_codes"),
+        F.col("codes").alias("next_codes"),
     )
-    edited = texts.join(lent, "doc_id").withColumn(
+    edited = texts.join(own, key).join(once(lent), key).withColumn(
         "edited", F.expr("concat(left(text, char_length(text) - char_length(text) div 2), lent)")
     )
-    both = with_anchors(with_anchors(edited, "text", "anchors"), "edited", "edited_anchors")
-    full = both.select("*", codes(F.col("anchors")).alias("codes"), codes(F.col("edited_anchors")).alias("edited_codes"))
+    both = with_anchors(edited, "edited", "edited_anchors")
+    full = both.withColumn("edited_codes", codes(F.col("edited_anchors")))
     return full.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

@@ -1,6 +1,15 @@
-"""Fingerprints of short texts."""
+"""Fingerprints against a plain version; short texts, repeated and null ids, texts without blanks."""
+
+import hashlib
+import random
+import re
+import struct
+
+import xxhash
+from pyspark.sql import functions as F
 
 from catalume.llm import syncmers
+from tests.llm.test_operators import rows
 
 
 def test_syncmers_of_short_texts(spark):
@@ -16,3 +25,83 @@ def test_syncmers_keep_the_kept_half(spark):
     rows = [(1, "aa bb cc dd ee ff gg hh"), (2, "kk ll mm nn oo pp qq rr")]
     found = syncmers.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(0 < r.near_edited < 1 and r.near_next == 0 for r in found)
+
+
+# -- a plain version ---------------------------------------------------------
+
+
+def signed(value, bits=64):
+    return value - (1 << bits) if value >> bits - 1 else value
+
+
+def hashed(*values):
+    found = 42
+    for v in values:
+        found = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), found)
+    return signed(found)
+
+
+def plain_codes(text):
+    words = []
+    for run in re.findall(r"[^ \t\n\x0b\f\r]+", text):
+        words += [run] if len(run) <= 24 else list(run)
+    words = [hashed(w) for w in words]
+    pair = [hashed(a, b) for a, b in zip(words, words[1:])]
+    four = [hashed(a, b) for a, b in zip(pair, pair[2:])]
+    eight = [hashed(a, b) for a, b in zip(four, four[4:])]
+    anchors = [(i + 1, eight[i]) for i in range(len(eight)) if min(pair[i : i + 7]) in (pair[i], pair[i + 6])]
+    if len(anchors) < 4:
+        anchors = [(1, words[0])] if len(words) == 1 else sorted(anchors + [(i + 1, p) for i, p in enumerate(pair)])
+    out, before = [], None
+    for pos, code in anchors:
+        gap = 0 if before is None else pos - before
+        out.append(((code ^ gap << 32) >> 32) & 0xFFFFFFFF)
+        before = pos
+    return out
+
+
+def plain_likeness(a, b):
+    a, b = set(a), set(b)
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def plain_edits(given):
+    """Each distinct document's columns; given: (doc_id, text), distinct, in descending order."""
+    out = {}
+    for at, (i, text) in enumerate(given):
+        after = given[(at + 1) % len(given)][1]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        own, other, following = plain_codes(text), plain_codes(edited), plain_codes(after)
+        shown = ["".join(f"{c:08x}" for c in codes) for codes in (own, other)]
+        out[i, shown[0]] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), *shown, plain_likeness(own, other), plain_likeness(own, following))
+    return out
+
+
+def found_edits(docs):
+    return [((r.doc_id, r.fingerprint), (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next)) for r in syncmers.fingerprint_edits(docs).collect()]
+
+
+def test_syncmers_like_the_plain_version(spark):
+    given = [(i, t or "") for i, t, *_ in rows()]
+    given += [(100 + i, "".join(chr(0x4E00 + random.Random(i).randint(0, 900)) for _ in range(300))) for i in range(3)]
+    table = spark.createDataFrame(given, "doc_id long, text string").withColumn("key", F.lit("x")).withColumn("mark", F.lit(1))
+    assert dict(found_edits(table.repartition(5))) == plain_edits(sorted(given, reverse=True))
+
+
+def test_syncmers_repeated_and_null_ids(spark):
+    texts = [" ".join(f"{c}{i * i % 50}" for i in range(30)) for c in "abcdef"]
+    given = [(1, texts[0])] * 9 + [(2, texts[1]), (2, texts[2]), (None, texts[3]), (None, texts[3]), (None, None)]
+    found = found_edits(spark.createDataFrame(given, "doc_id long, text string"))
+    assert len(found) == len(given) and len(set(found)) == 5
+    key = {t: hashed(*([i] if i is not None else []), t) for i, t in ((1, texts[0]), (2, texts[1]), (2, texts[2]), (None, texts[3]), (None, ""))}
+    order = [*sorted(texts[1:3], key=key.get, reverse=True), texts[0], *sorted([texts[3], ""], key=key.get, reverse=True)]
+    ids = {texts[0]: 1, texts[1]: 2, texts[2]: 2, texts[3]: None, "": None}
+    assert dict(found) == plain_edits([(ids[t], t) for t in order])
+
+
+def test_syncmers_of_text_without_blanks(spark):
+    rng = random.Random(8)
+    run = "".join(chr(0x4E00 + rng.randint(0, 900)) for _ in range(400))
+    marked = syncmers.with_anchors(spark.createDataFrame([(1, run), (2, "x" + run)], "doc_id long, text string"), "text", "anchors")
+    code = {r.doc_id: {a.code for a in r.anchors} for r in marked.collect()}
+    assert len(code[1]) > 50 and code[1] <= code[2]
