@@ -66,38 +66,44 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mine_rules(
-    labelled: DataFrame, min_support: float = 0.005, min_pages: int = 20, min_confidence: float = 0.7
+    labelled: DataFrame, min_support: float = 0.005, min_pages: int = 20, min_confidence: float = 0.5, errors: float = 4.0
 ) -> DataFrame:
-    """(rule_no, tokens, confidence, support): token combinations that foretell a bad label.
+    """(rule_no, tokens, confidence, support, lift): token combinations that foretell a bad label.
 
     FP-growth over the labelled urls' tokens with their label as one more
-    item; kept are rules from tokens to the bad label with the given support
-    (share of labelled urls, ``min_pages`` urls at least) and confidence whose every shorter rule is less
+    item. Kept are rules from tokens to the bad label with the given support
+    (share of labelled urls, ``min_pages`` urls at least) whose confidence is
+    ``min_confidence`` or more and ``errors`` standard errors above the share
+    of bad urls among all, and that no shorter rule makes needless by being as
     confident. All tokens of all urls are counted; of frequent tokens that
     stand on just the same urls one is mined, so one long url that fills the
     sample cannot make 2^n frequent sets, and its rules are given for each of
-    them. No labelled url: no rule.
+    them. Lift is confidence over the share of bad urls. No labelled url: no
+    rule.
     """
     spark = labelled.sparkSession
     label = F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD))
     sample = labelled.select(url_tokens(F.col("url")).alias("tokens"), label.alias("label"), F.monotonically_increasing_id().alias("row_no"))
-    empty = spark.range(0).selectExpr("id AS rule_no", "array('') AS tokens", "0.0D AS confidence", "0.0D AS support")
+    empty = spark.createDataFrame([], "rule_no bigint, tokens array<string>, confidence double, support double, lift double")
     sample = materialize(sample, "url-sample")
-    size = sample.count()
-    if size < min_pages:
+    size, bad = sample.agg(F.count("*"), F.count_if(F.col("label") == BAD)).first()
+    if size < min_pages or not bad:
         return empty
-    support = max(min_support, min_pages / size)
+    support, base = max(min_support, min_pages / size), bad / size
     counted = sample.select(F.explode("tokens").alias("token"), "row_no").groupBy("token").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("row_no")).alias("rows"), F.bit_xor(F.xxhash64("row_no", F.lit(1))).alias("again")
     )
     # at most 1 / support times a url's tokens on average
     alike = counted.where(F.col("n") >= support * size).groupBy("n", "rows", "again").agg(F.sort_array(F.collect_list("token")).alias("alike"))
     alike = materialize(alike.select(F.element_at("alike", 1).alias("token"), "alike"), "url-tokens")
-    mined = F.broadcast(alike.agg(F.collect_list("token").alias("mined")))
-    sample = sample.crossJoin(mined).select(F.concat(F.array_intersect("tokens", "mined"), F.array("label")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(sample)
+    mined = [r.token for r in alike.select("token").collect()]
+    mined = F.array(*map(F.lit, mined)) if mined else F.array().cast("array<string>")
+    items = sample.select(F.concat(F.array_intersect("tokens", mined), F.array("label")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
+    sure = F.col("confidence") - base >= errors * F.sqrt(base * (1 - base) / (F.col("support") / F.col("confidence") * size))
     found = (
         model.associationRules.where((F.element_at("consequent", 1) == BAD) & ~F.array_contains("antecedent", GOOD))
+        .where(sure)
         .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
         .withColumn("rule_no", F.xxhash64("tokens"))
     )
@@ -116,27 +122,31 @@ def mine_rules(
         lambda done, choice: F.flatten(F.transform(done, lambda d: F.transform(choice, lambda c: F.concat(d, F.array(c))))),
     )
     named = named.select(F.explode(every).alias("tokens"), "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
-    return named.select(F.xxhash64("tokens").alias("rule_no"), "tokens", "confidence", "support")
+    return named.select(F.xxhash64("tokens").alias("rule_no"), "tokens", "confidence", "support", (F.col("confidence") / base).alias("lift"))
 
 
 def match_mined(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct ``urls`` (url, tokens) that hold all tokens of some rule.
+    """(url, mined): those of the distinct ``urls`` (url, tokens) that hold all tokens of some rule, and the surest such rule.
 
     An inverted index lists each rule under its rarest token among the rules'
     own; a url looks up its tokens there and checks the rest of the rule.
     """
     shares = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    listed = rules.select("rule_no", "tokens", F.explode("tokens").alias("token")).join(shares, "token")
-    index = listed.groupBy("rule_no").agg(F.min(F.struct("n", "token"))["token"].alias("token"), F.first("tokens").alias("needs"))
+    evidence = F.struct("confidence", "support", "rule_no", "lift", F.col("tokens").alias("rule_tokens"))
+    listed = rules.select("rule_no", "tokens", evidence.alias("evidence"), F.explode("tokens").alias("token")).join(shares, "token")
+    index = listed.groupBy("rule_no").agg(F.min(F.struct("n", "token"))["token"].alias("token"), F.first("tokens").alias("needs"), F.first("evidence").alias("evidence"))
     looked = urls.select("url", "tokens", F.explode("tokens").alias("token"))
-    return looked.join(index, "token").where(F.size(F.array_except("needs", "tokens")) == 0).select("url").distinct()
+    fits = looked.join(index, "token").where(F.size(F.array_except("needs", "tokens")) == 0)
+    return fits.groupBy("url").agg(F.max("evidence").alias("mined"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, **mining) -> DataFrame:
-    """One row per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict.
+    """One row per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict and, of a mined rule that fits, its evidence.
 
     The longest fitting rule decides; else a url is blocked if a mined rule
-    matches its tokens and allowed if none does. Null urls and urls without
+    matches its tokens and allowed if none does. The surest such rule's
+    mined_rule (number), mined_tokens, mined_confidence, mined_support and
+    mined_lift stand beside the verdict, null where none fits. Null urls and urls without
     ``://`` have empty host and path and no rule. Repeated pages get a row
     each; an empty table gives an empty result; other columns are ignored.
     Verdicts are made once per distinct url; one url may hold any share of
@@ -145,10 +155,21 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, **mining) -> Da
     pages = pages.select("page_id", "url")
     mined = mine_rules(labelled_urls(pages, labels), **mining)
     urls = pages.select("url").distinct().select("url", url_tokens(F.col("url")).alias("tokens"))
-    hits = match_mined(urls, mined).select(F.col("url").alias("_url"), F.hash("url").alias("_deal"))
+    hits = match_mined(urls, mined).select(F.col("url").alias("_url"), F.hash("url").alias("_deal"), "mined")
     rows = pages.withColumn("_own", F.hash("url"))
     joined = rows.join(hits, (rows["_own"] == hits["_deal"]) & (rows["url"] == hits["_url"]), "left")
-    judged = joined.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("_url").isNotNull().alias("hit"))
+    judged = joined.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("_url").isNotNull().alias("hit"), "mined")
     judged = judged.withColumn("fit", match_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow")))
-    return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
+    return judged.select(
+        "page_id",
+        "host",
+        "path",
+        F.col("fit.rule").alias("rule"),
+        verdict.alias("verdict"),
+        F.col("mined.rule_no").alias("mined_rule"),
+        F.col("mined.rule_tokens").alias("mined_tokens"),
+        F.col("mined.confidence").alias("mined_confidence"),
+        F.col("mined.support").alias("mined_support"),
+        F.col("mined.lift").alias("mined_lift"),
+    )
