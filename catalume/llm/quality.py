@@ -32,39 +32,49 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 
 
 def features(text: str) -> Iterator[np.ndarray]:
-    """Buckets of a text's words and character n-grams, in pieces.
+    """Buckets of a text's words and character n-grams, in pieces; each is counted once, wherever pieces end.
 
-    White space counts as one blank, also at both ends. A piece ends behind a blank, if one
-    stands in its second half, so words stay whole; n-grams overlap into the next piece.
+    White space counts as one blank, also at both ends. An n-gram belongs to the piece it starts
+    in; the hash of a word that reaches into further pieces is carried on.
     """
-    points = np.frombuffer(f" {' '.join(text.split())} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    points = np.frombuffer(f" {' '.join(text.split())} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(points) < 3:
         return
-    at = 0
-    while at < len(points) - 1:
-        end = min(len(points), at + _AT_ONCE)
-        if end < len(points):
-            blanks = np.nonzero(points[at + _AT_ONCE // 2 : end] == 32)[0]
-            end = at + _AT_ONCE // 2 + int(blanks[-1]) + 1 if len(blanks) else end
-        yield _features(points[at:end])
-        at = end if end == len(points) else end - 1
-
-
-def _features(points: np.ndarray) -> np.ndarray:
-    found = []
-    for n in GRAMS:
-        if len(points) >= n:
-            hashes = np.full(len(points) - n + 1, n, np.uint64)
-            for i in range(n):
-                hashes = hashes * _FACTOR + points[i : len(points) - n + 1 + i]
-            found.append(_bucket(hashes))
-    blanks = np.nonzero(points == 32)[0]
-    starts, ends = blanks[:-1] + 1, blanks[1:]
-    if len(starts):
-        # running sums of factor^i x point; a word's part over factor^start does not depend on its place
-        sums = np.concatenate(([np.uint64(0)], np.add.accumulate(_powers(_FACTOR, len(points)) * points)))
-        found.append(_bucket((sums[ends] - sums[starts]) * _powers(_INVERSE, len(points))[starts]))
-    return np.concatenate(found)
+    begun, long = 0, 0
+    for at in range(0, len(points), _AT_ONCE):
+        piece = points[at : at + _AT_ONCE + max(GRAMS) - 1].astype(np.uint64)
+        own = piece[:_AT_ONCE]
+        found = []
+        for n in GRAMS:
+            starts = min(len(own), len(piece) - n + 1)
+            if starts > 0:
+                hashes = np.full(starts, n, np.uint64)
+                for i in range(n):
+                    hashes = hashes * _FACTOR + piece[i : starts + i]
+                found.append(_bucket(hashes))
+        # a word's hash is the sum of factor^i x point from its start; running sums over factor^start give it anywhere
+        sums = np.concatenate(([np.uint64(0)], np.add.accumulate(_powers(_FACTOR, len(own)) * own)))
+        blanks = np.nonzero(own == 32)[0]
+        first = int(blanks[0]) if len(blanks) else len(own)
+        begun = (begun + pow(int(_FACTOR), long, 1 << 64) * int(sums[first])) % (1 << 64)
+        long += first
+        if len(blanks):
+            inverse = _powers(_INVERSE, len(own) + 1)
+            starts, ends = blanks[:-1] + 1, blanks[1:]
+            hashes = (sums[ends] - sums[starts]) * inverse[starts]
+            found.append(_bucket(np.append(hashes, np.uint64(begun)) if long else hashes))
+            rest = int(blanks[-1]) + 1
+            begun, long = (int(sums[-1]) - int(sums[rest])) * int(inverse[rest]) % (1 << 64), len(own) - rest
+        yield np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct buckets, in order, and how often each occurs."""
+    total = np.zeros(BUCKETS, np.int64)
+    for found in features(text or ""):
+        total += np.bincount(found, minlength=BUCKETS)
+    at = np.nonzero(total)[0]
+    return at, total[at]
 
 
 @dataclass(frozen=True)
@@ -91,25 +101,21 @@ def score(text: str | None, margins: np.ndarray, offset: float) -> float:
     return float(0.5 * (1 + np.tanh((total / max(1, count) + offset) / 2)))
 
 
-def train(samples: list[tuple[str, int]], epochs: int = 8, rate: float = 0.08, seed: int = 0) -> Model:
+def train(samples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, rate: float = 0.08, seed: int = 0) -> Model:
     """Fit by stochastic gradient descent, one document a step, the rate falling to zero.
 
-    A document is the mean of the vectors of its words and n-grams. Without
-    samples of both labels the score is their share (a half for none).
+    Samples: buckets, counts (see ``counted``), label. A document is the mean
+    of the vectors of its words and n-grams. Without samples of both labels the score is their share (a half for none).
     """
     random = np.random.default_rng(seed)
     embeddings = random.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
     weights, bias = np.zeros((WIDTH, 2)), np.zeros(2)
-    labels = np.array([y for _, y in samples], np.int64)
+    labels = np.array([y for *_, y in samples], np.int64)
     share = (labels.sum() + 1) / (len(labels) + 2)
     bias[:] = np.log(1 - share), np.log(share)
     if len(set(labels.tolist())) < 2:
         return Model(embeddings, weights, bias)
-    sparse = []
-    for text, _ in samples:
-        pieces = list(features(text))
-        at, counts = np.unique(np.concatenate(pieces), return_counts=True) if pieces else (np.zeros(0, np.int64), np.zeros(0))
-        sparse.append((at, counts / max(1, counts.sum())))
+    sparse = [(at, counts / max(1, counts.sum())) for at, counts, _ in samples]
     steps, done = epochs * len(samples), 0
     for _ in range(epochs):
         for i in random.permutation(len(samples)).tolist():
@@ -139,14 +145,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 2400) -> Model:
 
     At most ``max_documents`` labelled rows are used, those of the smallest
     hashes of their doc_id, whole texts each; a doc_id labelled more than once
-    has the mean label, rounded up. Their ids are broadcast, their texts go to the driver.
+    has the mean label, rounded up, one that stands on several texts the text
+    of the smallest hash. Their ids are broadcast; their buckets and counts,
+    ``BUCKETS`` pairs a row at most, go to the driver.
     """
+    ship_package(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents).select(F.col("doc_id").alias("_id"), "label")
-    texts = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"])
-    rows = texts.select("_id", F.coalesce("text", F.lit("")).alias("text"), "label").dropDuplicates(["_id"]).collect()
-    return train([(r["text"], r["label"]) for r in sorted(rows, key=lambda r: r["_id"])])
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"))
+    met = texts.join(F.broadcast(chosen), texts["_doc"] == chosen["_id"]).groupBy("_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    kind = dict(met.dtypes)["_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [counted(x.as_py()) for x in batch.column(2)]
+            sides = [pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sides], ["_id", "label", "buckets", "counts"])
+
+    rows = met.mapInArrow(run, f"_id {kind}, label int, buckets array<int>, counts array<int>").toArrow().sort_by("_id").to_pydict()
+    return train([(np.array(b, np.int64), np.array(c, np.int64), y) for b, c, y in zip(rows["buckets"], rows["counts"], rows["label"], strict=True)])
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

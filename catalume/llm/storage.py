@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,10 +18,13 @@ _PACKAGE = Path(__file__).resolve().parents[1]
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session has none (local tests) a folder of our own is set.
+    Only where the session has none and runs in this process alone (local
+    tests) a folder of our own is set; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="catalume-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -38,6 +42,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` made and that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for file in df.inputFiles()[:1]:
+        folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def small_or_not(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` (a few short columns), broadcast if it was counted to have ``rows`` rows at most; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let executors import this package even where it is not installed (once per context)."""
     context = spark.sparkContext

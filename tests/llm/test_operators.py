@@ -71,6 +71,8 @@ def test_exact_null_ids_and_empty(spark, nothing):
     assert exact.exact_duplicates(ids).where("kept").count() == 2
     assert exact.exact_duplicates(nothing).count() == 0
     assert exact.drop_exact_duplicates(nothing).count() == 0
+    clash = ids.withColumn("_sha", F.lit("s")).withColumn("_key", F.lit("k")).withColumn("kept", F.lit(1)).withColumn("_id", F.lit(2))
+    assert sorted(map(str, exact.drop_exact_duplicates(clash).collect())) == sorted(map(str, clash.distinct().collect()))
 
 
 # -- simhash -----------------------------------------------------------------
@@ -259,19 +261,72 @@ def test_quality_learns_and_scores_all(spark, docs, nothing):
     assert quality.classify(nothing, none).count() == 0
 
 
-def test_quality_word_features_do_not_depend_on_place():
-    points = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    assert set(quality._features(points(" ab cd "))) <= set(quality._features(points(" xx ab cd "))) | set(quality._features(points(" ab cd zz ")))
-
-
-def test_quality_pieces_of_long_texts(monkeypatch):
-    text = " ".join(f"w{i}" for i in range(2000))
-    whole = np.sort(np.concatenate(list(quality.features(text))))
-    monkeypatch.setattr(quality, "_AT_ONCE", 500)
-    pieces = list(quality.features(text))
-    assert len(pieces) > 10
-    cut = np.sort(np.concatenate(pieces))
-    assert abs(len(cut) - len(whole)) <= 3 * len(pieces) and set(cut) <= set(whole)
+def plain_features(text):
+    """Buckets of words and n-grams, one at a time."""
+    factor, mix = int(quality._FACTOR), int(quality._MIX)
+
+    def bucket(h):
+        mixed = h * mix % (1 << 64)
+        return ((mixed ^ mixed >> 32) * factor % (1 << 64) >> 48) % quality.BUCKETS
+
+    whole, found = f" {' '.join(text.split())} ", []
+    if len(whole) < 3:
+        return found
+    for n in quality.GRAMS:
+        for i in range(len(whole) - n + 1):
+            h = n
+            for c in whole[i : i + n]:
+                h = (h * factor + ord(c)) % (1 << 64)
+            found.append(bucket(h))
+    return found + [bucket(sum(ord(c) * pow(factor, k, 1 << 64) for k, c in enumerate(w)) % (1 << 64)) for w in text.split()]
+
+
+@pytest.mark.parametrize("size", [1 << 18, 500, 7, 3])
+def test_quality_features_do_not_depend_on_pieces(monkeypatch, size):
+    monkeypatch.setattr(quality, "_AT_ONCE", size)
+    for text in ("", "a", " ab  cd ", "z" * 2000, "é漢 " * 30 + "x" * 40, " ".join(f"w{i}" for i in range(400))):
+        assert sorted(np.concatenate([[], *quality.features(text)]).tolist()) == sorted(plain_features(text))
+
+
+def test_quality_trains_like_the_plain_version():
+    import math
+
+    rng = random.Random(9)
+    texts = [(" ".join(rng.choice("abc") for _ in range(rng.randint(1, 9))), rng.randint(0, 1)) for _ in range(12)]
+    model = quality.train([(*quality.counted(t), y) for t, y in texts], epochs=2)
+    draw = np.random.default_rng(0)
+    vectors = draw.uniform(-1 / quality.WIDTH, 1 / quality.WIDTH, (quality.BUCKETS, quality.WIDTH)).tolist()
+    share = (sum(y for _, y in texts) + 1) / (len(texts) + 2)
+    weights, bias, done, steps = [[0.0, 0.0] for _ in range(quality.WIDTH)], [math.log(1 - share), math.log(share)], 0, 2 * len(texts)
+
+    def odds(found):
+        mean = [sum(vectors[b][k] for b in found) / max(1, len(found)) for k in range(quality.WIDTH)]
+        logits = [sum(m * w[c] for m, w in zip(mean, weights)) + bias[c] for c in (0, 1)]
+        return mean, [math.exp(x) / sum(map(math.exp, logits)) for x in logits]
+
+    for _ in range(2):
+        for i in draw.permutation(len(texts)).tolist():
+            found, (_, y) = plain_features(texts[i][0]), texts[i]
+            pace, done = 0.08 * (1 - done / steps), done + 1
+            mean, p = odds(found)
+            error = [p[c] - (c == y) for c in (0, 1)]
+            back = [sum(w[c] * error[c] for c in (0, 1)) for w in weights]
+            kinds = len(set(found))
+            for k in range(quality.WIDTH):
+                for c in (0, 1):
+                    weights[k][c] -= pace * mean[k] * error[c]
+            bias = [b - pace * e for b, e in zip(bias, error)]
+            for b in found:
+                vectors[b] = [v - pace * kinds / len(found) * g for v, g in zip(vectors[b], back)]
+    for text, _ in [*texts, ("", 0), ("other words", 0)]:
+        assert abs(quality.score(text, model.margins(), model.offset()) - odds(plain_features(text))[1][1]) < 1e-9
+
+
+def test_quality_clashing_columns(spark):
+    table = spark.createDataFrame([(i, f"text {i}", 1, 2, "x") for i in range(30)] + [(3, "another", 1, 2, "x")], "doc_id long, text string, label int, _id int, _doc string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    assert quality.classify(table, labels).count() == 31
+    assert quality.keep_good(table, labels).columns == table.columns
 
 
 # -- html --------------------------------------------------------------------
