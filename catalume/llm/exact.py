@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalume.llm.storage import free_name, materialize, small_or_not
+from catalume.llm.storage import materialize
+from catalume.llm.survivors import drop_rows
 
 #: Characters of an anchor window: code points 1 modulo 4 below U+0180.
 _ANCHORS = "".join(f"\\x{{{c:x}}}" for c in range(0x180) if c % 4 == 1)
@@ -108,22 +109,3 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     odd = pairs.where("not kept or rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_odd"), "kept")
     odd = materialize(odd, "dropped")
     return drop_rows(docs, odd, F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))
-
-
-def drop_rows(docs: DataFrame, odd: DataFrame, text_key: Column) -> DataFrame:
-    """``docs`` without the rows that ``odd`` (_id, _odd, kept) names by doc_id and ``text_key``, but one of each that is kept.
-
-    Few such rows are broadcast, so that no text moves; many are shuffled.
-    """
-    name = free_name(docs, "_key")
-    keyed = docs.withColumn(name, text_key)
-
-    def on(other: DataFrame) -> Column:
-        return keyed["doc_id"].eqNullSafe(other["_id"]) & (keyed[name] == other["_odd"])
-
-    gone, repeated = small_or_not(odd), odd.where("kept")
-    stay = keyed.join(gone, on(gone), "left_anti")
-    if not repeated.isEmpty():
-        once = small_or_not(repeated)
-        stay = stay.unionByName(keyed.join(once, on(once), "left_semi").dropDuplicates(["doc_id", name]))
-    return stay.drop(name)

@@ -3,59 +3,68 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalume.llm.storage import materialize, ship_package
+from catalume.llm.storage import materialize, remove, ship_package
+from catalume.llm.survivors import keep_first, text_key
 
 BITS, RADIUS, SEED, SHINGLE = 64, 3, 42, 3
 #: Shingle hashes counted at once.
 _BLOCK = 16_384
 
 
-def simhash(text: str | None, words: int = SHINGLE) -> int:
-    """The unsigned 64-bit SimHash of a text.
+def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """XXH64 of a text's runs of ``words`` words (of all words of a shorter text) in order, repeats included.
 
-    A-Z are lower-cased; words are runs without ASCII white space; shingles of
-    ``words`` words (all words of a shorter text) are hashed with XXH64, repeats
-    included. A bit is set if it is in over half the hashes; no word: 0.
+    A-Z are lower-cased; words are runs without ASCII white space; no word: no hash.
     """
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     n = max(1, len(parts) - words + 1)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = ends[min(words, len(parts)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half of the hashes; none: 0."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, _BLOCK):
+    for at in range(0, len(hashes), _BLOCK):
         rows = hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << i for i in np.nonzero(counts * 2 > n)[0].tolist())
+    return sum(1 << i for i in np.nonzero(counts * 2 > len(hashes))[0].tolist())
+
+
+def simhash(text: str | None, words: int = SHINGLE) -> int:
+    """The unsigned 64-bit SimHash of a text's shingles."""
+    return majority(shingle_hashes(text, words))
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): each row's SimHash as a signed long. A null text is empty; other columns are ignored."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """(doc_id, key, fp): each row's text key and SimHash as a signed long. A null text is empty; other columns are ignored."""
     ship_package(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array((_signed(simhash(x.as_py())) for x in batch.column(1)), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "fp"])
+            found = pa.array((_signed(simhash(x.as_py(), words)) for x in batch.column(2)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["doc_id", "key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", text_key(docs).alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key bigint, fp bigint")
 
 
 def covering_masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
@@ -72,22 +81,20 @@ def covering_masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
     ]
 
 
-def _close(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= RADIUS
-
-
-def links(points: DataFrame, max_bucket: int = 64) -> DataFrame:
-    """Edges (a, b) that join the distinct fingerprints ``points`` (fp) as linking at RADIUS bits does.
+def links(points: DataFrame, max_bucket: int = 64, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) that join the distinct fingerprints ``points`` (fp) as linking at ``radius`` bits does.
 
     Fingerprints meet in the buckets of their masked values. In a bucket of up
     to ``max_bucket`` every close pair is an edge. Fingerprints of a larger
     bucket are joined exactly without pairs: each announces the points within
-    1 bit of it and asks at those within 2; two fingerprints are within 3 bits
-    just if one announces a point at which the other asks, and all who meet at
-    a point are then linked to one that announces it. That is 2,146 rows for
-    each fingerprint concerned, whatever the bucket's size.
+    half the radius of it (rounded down) and asks at those at half of it
+    (rounded up); two fingerprints are within the radius just if one announces
+    a point at which the other asks, and all who meet at a point are then
+    linked to one that announces it. At 3 bits that is 2,081 rows for each
+    fingerprint concerned, whatever the bucket's size.
     """
-    masks = F.array(*(F.lit(_signed(m)) for m in covering_masks()))
+    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
+    masks = F.array(*(F.lit(_signed(m)) for m in covering_masks(radius=radius)))
     keyed = points.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("mask", "key"))
     sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialize(sizes.withColumn("large", F.col("n") > max_bucket), "buckets")
@@ -96,13 +103,11 @@ def links(points: DataFrame, max_bucket: int = 64) -> DataFrame:
     met = materialize(met.select("fp", "mask", "key", "large"), "bucket-members")
     small = met.where("not large").select("fp", "mask", "key")
     other = small.select(F.col("fp").alias("b"), "mask", "key")
-    pairs = small.join(other, ["mask", "key"]).where((F.col("fp") < F.col("b")) & _close(F.col("fp"), F.col("b"))).select(F.col("fp").alias("a"), "b")
+    pairs = small.join(other, ["mask", "key"]).where((F.col("fp") < F.col("b")) & close(F.col("fp"), F.col("b"))).select(F.col("fp").alias("a"), "b")
     dense = met.where("large").select("fp").distinct()
-    bits = [_signed(1 << i) for i in range(BITS)]
-    ones = F.array(*(F.lit(x) for x in bits))
-    asked = [F.lit(_signed((1 << i) | (1 << j))) for i in range(BITS) for j in range(i)]
-    near = dense.select("fp", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), ones)).alias("flip"), F.lit(True).alias("announced"))
-    far = dense.select("fp", F.explode(F.array(*asked)).alias("flip"), F.lit(False).alias("announced"))
+    flips = lambda n: F.array(*(F.lit(_signed(sum(1 << i for i in some))) for some in combinations(range(BITS), n)))
+    near = dense.select("fp", F.explode(F.concat(*map(flips, range(radius // 2 + 1)))).alias("flip"), F.lit(True).alias("announced"))
+    far = dense.select("fp", F.explode(flips(radius - radius // 2)).alias("flip"), F.lit(False).alias("announced"))
     stands = near.unionByName(far).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "announced")
     hubs = stands.where("announced").groupBy("point").agg(F.min("fp").alias("hub"))
     spokes = stands.join(hubs, "point").where("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
@@ -138,7 +143,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
     before = stamp(edges)
     while before[0]:
-        edges = materialize(star(star(edges, True), False), "edges")
+        last, edges = edges, materialize(star(star(edges, True), False), "edges")
+        remove(last)
         after = stamp(edges)
         if after == before:
             break
@@ -148,19 +154,19 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, max_bucket: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_bucket: int = 64, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id.
 
-    Fingerprints (16 hex digits) link at 3 or fewer differing bits;
+    Fingerprints (16 hex digits) link at ``radius`` or fewer differing bits;
     component_id is the smallest doc_id reachable. A null or empty text has
     fingerprint zero, linked like any other. Repeated rows get a row each,
     null doc_ids count only if a component has no other; an empty table gives
     an empty result; other columns are ignored. Copies are linked as one
     fingerprint, however many there are.
     """
-    rows = materialize(fingerprints(docs), "fingerprints")
+    rows = materialize(fingerprints(docs, words), "fingerprints")
     points = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "points")
-    found = components(links(points.select("fp"), max_bucket))
+    found = components(links(points.select("fp"), max_bucket, radius))
     tied = points.join(found, points["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     low = tied.groupBy("root").agg(F.min("low").alias("component_id"))
     named = tied.select("fp", "root", F.hash("root").alias("deal")).join(low.withColumn("deal", F.hash("root")), ["root", "deal"])
@@ -169,8 +175,8 @@ def near_duplicates(docs: DataFrame, max_bucket: int = 64) -> DataFrame:
     return placed.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose near-duplicate group has a smaller doc_id, all columns as they are."""
-    found = near_duplicates(docs)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def drop_near_duplicates(docs: DataFrame, max_bucket: int = 64, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each component of fingerprints, all columns as they are; see ``keep_first`` for which."""
+    rows = materialize(fingerprints(docs, words), "fingerprints")
+    linked = components(links(rows.select("fp").distinct(), max_bucket, radius))
+    return keep_first(docs, rows.select("doc_id", "key", F.col("fp").alias("node")), linked)

@@ -1,4 +1,4 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands find candidates, whole sets decide."""
+"""Near copies by Jaccard similarity of word shingles: SimHash and MinHash find candidates, whole sets decide."""
 
 from __future__ import annotations
 
@@ -6,36 +6,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalume.llm.simhash import components
-from catalume.llm.storage import materialize, ship_package
+from catalume.llm.simhash import components, links, majority, shingle_hashes
+from catalume.llm.storage import materialize, remove, ship_package, small_or_not
+from catalume.llm.survivors import keep_first, text_key
 
-WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 24, 5, 42
+WORDS, SIMILARITY, RADIUS, BANDS, ROWS, SEED = 5, 0.8, 3, 24, 5, 42
+#: Members of a bucket whose pairs are all looked at; of larger ones those that one task holds against as many others.
+BUCKET, BLOCK = 32, 256
 #: Shingle hashes taken at once.
-_BLOCK = 2_048
+_AT_ONCE = 2_048
 _RANDOM = np.random.default_rng(SEED)
 _FACTORS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The distinct XXH64 hashes of a text's runs of ``words`` words (of all words of a shorter text), sorted.
-
-    A-Z are lower-cased; words are runs without ASCII white space; no word: no shingle.
-    """
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(parts)
-    n = max(1, len(parts) - words + 1)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    stops = ends[min(words, len(parts)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n))
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(shingle_hashes(text, words))
 
 
 def bands(found: np.ndarray) -> list[int]:
@@ -43,8 +35,8 @@ def bands(found: np.ndarray) -> list[int]:
     if not len(found):
         return []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), _BLOCK):
-        least = np.minimum(least, (found[None, at : at + _BLOCK] * _FACTORS + _TERMS).min(axis=1))
+    for at in range(0, len(found), _AT_ONCE):
+        least = np.minimum(least, (found[None, at : at + _AT_ONCE] * _FACTORS + _TERMS).min(axis=1))
     return [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
@@ -56,32 +48,31 @@ def _point(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-
-
 def points(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, key, point, n, bands): each row's text hash, the hash of its shingle set, its size and its bands."""
+    """(doc_id, key, point, n, fp, bands): each row's text key, the hash of its shingle set, its size, SimHash and bands."""
     ship_package(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes, keys = [], [], []
+            names, sizes, prints, keys = [], [], [], []
             for x in batch.column(2):
-                found = shingles(x.as_py(), words)
+                hashes = shingle_hashes(x.as_py(), words)
+                found = np.unique(hashes)
                 names.append(_point(found))
                 sizes.append(len(found))
+                prints.append(majority(hashes))
                 keys.append(_signed(bands(found)))
-            columns = [batch.column(0), batch.column(1), pa.array(_signed(names)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "point", "n", "bands"])
+            columns = [pa.array(_signed(names)), pa.array(sizes, pa.int64()), pa.array(_signed(prints)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "key", "point", "n", "fp", "bands"])
 
-    return _keyed(docs).select("doc_id", "_key", "text").mapInArrow(run, f"doc_id {kind}, key bigint, point bigint, n bigint, bands array<bigint>")
+    rows = docs.select("doc_id", text_key(docs).alias("key"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, point bigint, n bigint, fp bigint, bands array<bigint>")
 
 
-def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(point, held): the shingle set of each row of ``docs`` (text)."""
-    ship_package(docs.sparkSession)
+def sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(point, held): the shingle set of each row of ``texts`` (text)."""
+    ship_package(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +81,12 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 columns = [pa.array(_signed([_point(x) for x in held])), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["point", "held"])
 
-    return docs.select("text").mapInArrow(run, "point bigint, held array<bigint>")
+    return texts.select("text").mapInArrow(run, "point bigint, held array<bigint>")
+
+
+def _dealt(df: DataFrame, by: str) -> DataFrame:
+    """A further join key: with it both sides are dealt out for the join, so that large partitions can be split."""
+    return df.withColumn("deal", F.hash(by))
 
 
 def _fits(a: Column, b: Column, similarity: float) -> Column:
@@ -98,82 +94,161 @@ def _fits(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) / F.greatest(a, b) >= similarity
 
 
-def candidates(found: DataFrame, similarity: float = SIMILARITY, max_bucket: int = 64) -> DataFrame:
-    """(a, b), a < b: pairs of ``found`` (point, n, bands) to be compared.
-
-    Points with a band in common meet in its bucket; in one of up to
-    ``max_bucket`` all pairs are compared. Members of a larger one are
-    compared with its smallest point, and with the smallest of those that
-    share the next band too, so pairs grow with the members.
-    """
+def bucket_members(found: DataFrame, max_bucket: int = BUCKET) -> DataFrame:
+    """(point, n, band, key, large): who shares a band's value with others, and whether more than ``max_bucket`` do."""
     keyed = found.select("point", "n", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("rows")).where("rows > 1")
     sizes = materialize(sizes.select("band", "key", (F.col("rows") > max_bucket).alias("large")), "bands")
-    # the further key has both sides dealt out for the join, so that large partitions can be split
-    met = keyed.withColumn("deal", F.hash("key")).join(sizes.withColumn("deal", F.hash("key")), ["band", "key", "deal"])
-    met = materialize(met.select("point", "n", "band", "key", "large"), "band-members")
+    met = materialize(_dealt(keyed, "key").join(_dealt(sizes, "key"), ["band", "key", "deal"]).drop("deal"), "band-members")
+    remove(sizes)
+    return met
+
+
+def candidates(found: DataFrame, met: DataFrame, similarity: float = SIMILARITY, max_bucket: int = BUCKET, radius: int = RADIUS) -> DataFrame:
+    """(a, b), a < b: pairs of ``found`` (point, n, fp, bands) to be compared first, in number proportional to the points.
+
+    Points whose SimHashes are linked through the covering masks; all pairs of
+    a small bucket of ``met``; the members of a large one with its smallest
+    point, and with the smallest of those that share the next band too.
+    """
+    prints = found.groupBy("fp").agg(F.min("point").alias("first"))
+    same = found.select("fp", "point", F.hash("fp").alias("deal")).join(_dealt(prints, "fp"), ["fp", "deal"]).where("first < point")
+    close = links(prints.select("fp"), radius=radius)
+    close = close.join(prints.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    alike = same.select(F.col("first").alias("a"), F.col("point").alias("b")).unionByName(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     small = met.where("not large").select(F.col("point").alias("a"), F.col("n").alias("n_a"), "band", "key")
     other = small.select(F.col("a").alias("b"), F.col("n_a").alias("n_b"), "band", "key")
     pairs = small.join(other, ["band", "key"]).where((F.col("a") < F.col("b")) & _fits(F.col("n_a"), F.col("n_b"), similarity))
     dense = met.where("large").select("point", "n", "band", "key")
-    after = keyed.select("point", (F.pmod(F.col("band") - 1, F.lit(BANDS))).alias("band"), F.col("key").alias("next"))
-    both = dense.join(after, ["point", "band"]).select("point", "n", "band", F.xxhash64("key", "next").alias("key"))
-    dense = dense.unionByName(both)
-    hubs = dense.groupBy("band", "key").agg(F.min(F.struct("point", "n")).alias("hub")).withColumn("deal", F.hash("key"))
-    spokes = dense.withColumn("deal", F.hash("key")).join(hubs, ["band", "key", "deal"])
+    after = met.select("point", F.pmod(F.col("band") - 1, F.lit(BANDS)).alias("band"), F.col("key").alias("next"))
+    dense = dense.unionByName(dense.join(after, ["point", "band"]).select("point", "n", "band", F.xxhash64("key", "next").alias("key")))
+    hubs = dense.groupBy("band", "key").agg(F.min(F.struct("point", "n")).alias("hub"))
+    spokes = _dealt(dense, "key").join(_dealt(hubs, "key"), ["band", "key", "deal"])
     spokes = spokes.where((F.col("hub.point") < F.col("point")) & _fits(F.col("n"), F.col("hub.n"), similarity))
-    return pairs.select("a", "b").unionByName(spokes.select(F.col("hub.point").alias("a"), F.col("point").alias("b"))).distinct()
+    spokes = spokes.select(F.col("hub.point").alias("a"), F.col("point").alias("b"))
+    return alike.unionByName(pairs.select("a", "b")).unionByName(spokes).distinct()
 
 
-def similar_pairs(docs: DataFrame, found: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, max_bucket: int = 64) -> DataFrame:
-    """The candidates (a, b) whose whole shingle sets have the Jaccard similarity.
-
-    ``found`` (point, n, bands, key) names one text of each point. Sets are
-    made anew for the points that are compared, not kept for all.
-    """
-    pairs = materialize(candidates(found, similarity, max_bucket), "candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct()
-    texts = found.join(asked, "point").select(F.col("key").alias("_key"))
-    held = materialize(sets(_keyed(docs).join(texts, "_key", "left_semi").dropDuplicates(["_key"]), words), "sets")
+def similar_pairs(pairs: DataFrame, held: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The ``pairs`` (a, b) whose whole shingle sets ``held`` have the Jaccard similarity."""
 
     def side(name: str) -> DataFrame:
-        return held.select(F.col("point").alias(name), F.hash("point").alias("deal"), F.col("held").alias(f"held_{name}"))
+        return _dealt(held.select(F.col("point").alias(name), F.col("held").alias(f"held_{name}")), name)
 
-    met = pairs.withColumn("deal", F.hash("a")).join(side("a"), ["a", "deal"])
-    met = met.withColumn("deal", F.hash("b")).join(side("b"), ["b", "deal"])
+    met = _dealt(_dealt(pairs, "a").join(side("a"), ["a", "deal"]), "b").join(side("b"), ["b", "deal"])
     met = met.withColumn("shared", F.size(F.array_intersect("held_a", "held_b")))
     return met.where(F.col("shared") / (F.size("held_a") + F.size("held_b") - F.col("shared")) >= similarity).select("a", "b")
 
 
-def drop_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, max_bucket: int = 64) -> DataFrame:
-    """``docs`` with one row of each group of near copies, all columns as they are.
+def _forest(left: pa.Table, right: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links between sets of two blocks (point, root, held) that join different roots; of each pair of roots at most one way."""
+
+    def flat(side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        held = side.column("held").combine_chunks()
+        sizes = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return held.flatten().to_numpy(zero_copy_only=False), sizes
+
+    (own, own_n), (other, other_n) = flat(left), flat(right)
+    common = np.intersect1d(own, other)
+    shared = np.zeros((len(own_n), len(other_n)))
+    for at in range(0, len(common), 4096):
+        part = common[at : at + 4096]
+        sides = []
+        for values, sizes in ((own, own_n), (other, other_n)):
+            place = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            there = part[place] == values
+            table = np.zeros((len(sizes), len(part)), np.float32)
+            table[np.repeat(np.arange(len(sizes)), sizes)[there], place[there]] = 1
+            sides.append(table)
+        shared += sides[0] @ sides[1].T
+    alike = shared / (own_n[:, None] + other_n[None, :] - shared) >= similarity
+    roots = [side.column("root").to_numpy() for side in (left, right)]
+    names = [side.column("point").to_pylist() for side in (left, right)]
+    joined: dict[int, int] = {}
+
+    def find(root: int) -> int:
+        while root in joined:
+            root = joined[root]
+        return root
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(alike & (roots[0][:, None] != roots[1][None, :]))), strict=True):
+        a, b = find(int(roots[0][i])), find(int(roots[1][j]))
+        if a != b:
+            joined[max(a, b)] = min(a, b)
+            out.append((min(names[0][i], names[1][j]), max(names[0][i], names[1][j])))
+    return out
+
+
+def settle(met: DataFrame, linked: DataFrame, held: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame | None:
+    """Links (a, b) between members of large buckets of ``met`` that ``linked`` (node, root) holds in different groups.
+
+    Where a large bucket still has several groups, each member outside of its
+    largest one is held against all members, in blocks of about ``block`` by
+    ``block``, and a block gives no more links than it has groups. None where
+    every large bucket is one group.
+    """
+    dense = met.where("large").select("point", "band", "key").join(linked.withColumnRenamed("node", "point"), "point", "left")
+    dense = dense.withColumn("root", F.coalesce("root", "point"))
+    groups = dense.groupBy("band", "key", "root").agg(F.count("*").alias("rows"))
+    open_ = groups.groupBy("band", "key").agg(F.sum("rows").alias("rows"), F.count("*").alias("groups"), F.max(F.struct("rows", "root")).alias("main"))
+    parts = lambda rows: F.ceil(rows / block).cast("int")
+    open_ = open_.where("groups > 1").select("band", "key", F.col("main.root").alias("main"), parts(F.col("rows")).alias("all"), parts(F.col("rows") - F.col("main.rows")).alias("few"))
+    open_ = materialize(open_, "open-buckets")
+    if open_.isEmpty():
+        return None
+    rows = _dealt(dense, "key").join(_dealt(open_, "key"), ["band", "key", "deal"])
+    rows = _dealt(rows.drop("deal"), "point").join(_dealt(held, "point"), ["point", "deal"]).drop("deal")
+    own = lambda n: F.pmod(F.xxhash64("point"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["band", "key", "point", "root", "held"]
+    left = rows.where("root <> main").select(*columns, own("few").alias("i"), every("all").alias("j"), F.lit(True).alias("asks"))
+    right = rows.select(*columns, own("all").alias("j"), every("few").alias("i"), F.lit(False).alias("asks"))
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks")
+        found = _forest(table.filter(asks), table.filter(pa.compute.invert(asks)), similarity)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    found = left.unionByName(right).groupBy("band", "key", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    return materialize(found.distinct(), "further-links")
+
+
+def linked_points(docs: DataFrame, found: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, max_bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """(node, root) of the points of ``found`` (point, n, fp, bands, key) that are linked with others.
+
+    ``key`` names one text of each point. Sets are made anew for the points
+    that are compared, not kept for all.
+    """
+    met = bucket_members(found, max_bucket)
+    pairs = materialize(candidates(found, met, similarity, max_bucket), "candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("point")).unionByName(met.where("large").select("point")).distinct()
+    texts = materialize(found.join(asked, "point").select(F.col("key").alias("_key")), "compared")
+    keyed = docs.select("text", text_key(docs).alias("_key"))
+    held = materialize(sets(keyed.join(small_or_not(texts), "_key", "left_semi").dropDuplicates(["_key"]), words), "sets")
+    linked = components(similar_pairs(pairs, held, similarity))
+    further = settle(met, linked, held, similarity, block)
+    if further is not None and not further.isEmpty():
+        linked = components(further.unionByName(linked.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    for done in (met, pairs, texts, held):
+        remove(done)
+    return linked
+
+
+def drop_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, max_bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each group of near copies, all columns as they are; see ``keep_first`` for which.
 
     Texts are linked if the sets of their ``words``-word shingles have a
     Jaccard similarity of ``similarity`` or more; groups are what links
-    connect. The row with the smallest doc_id stays (null ids last; of one
-    doc_id on several texts the smallest text hash; of repeated rows one).
-    Texts without words are alike. A pair at 0.8 shares a band with a chance
-    of 0.9999, a closer one more likely. An empty table gives an empty result.
+    connect. Candidates are pairs whose SimHashes the covering masks link and
+    pairs that share one of BANDS bands of ROWS MinHash values: a pair at 0.8
+    shares one with a chance of 0.9999, a closer one more likely. Whole sets
+    decide. Null texts and texts without words are alike; an empty table gives
+    an empty result.
     """
     rows = materialize(points(docs, words), "points")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    found = rows.groupBy("point").agg(F.min(order).alias("low"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    found = rows.groupBy("point").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     found = materialize(found, "sets-of-points")
-    linked = components(similar_pairs(docs, found, words, similarity, max_bucket))
-    tied = found.join(linked, found["point"] == linked["node"], "left").select("point", "low", F.coalesce("root", "point").alias("root"))
-    least = tied.groupBy("root").agg(F.min("low").alias("least"))
-    named = tied.select("point", "root", F.hash("root").alias("deal")).join(least.withColumn("deal", F.hash("root")), ["root", "deal"])
-    named = named.select("point", F.hash("point").alias("deal"), "least")
-    placed = rows.withColumn("deal", F.hash("point")).join(named, ["point", "deal"])
-    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))
-    odd = placed.select("doc_id", "key", kept.alias("kept")).groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    odd = materialize(odd.where("not kept or rows > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_odd"), "kept"), "near-dropped")
-    keyed = _keyed(docs)
-
-    def on(other: DataFrame) -> Column:
-        return keyed["doc_id"].eqNullSafe(other["_id"]) & (keyed["_key"] == other["_odd"])
-
-    stay, repeated = keyed.join(odd, on(odd), "left_anti"), odd.where("kept")
-    if not repeated.isEmpty():
-        stay = stay.unionByName(keyed.join(repeated, on(repeated), "left_semi").dropDuplicates(["doc_id", "_key"]))
-    return stay.drop("_key")
+    linked = linked_points(docs, found, words, similarity, max_bucket, block)
+    remove(found)
+    return keep_first(docs, rows.select("doc_id", "key", F.col("point").alias("node")), linked)

@@ -131,7 +131,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     are one document, which has a row for each; of one doc_id on several
     texts each text is a document, in the order of their hashes; null ids
     come last. Returns doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next. An empty table gives an empty
+    edited_fingerprint, near_edited, near_next, next_id. An empty table gives an empty
     result; other columns are ignored.
 
     Anchors of the whole texts are made once, where the texts are read, and
@@ -149,13 +149,15 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     once = (lambda df: df.dropDuplicates(key)) if repeated else (lambda df: df)
     ahead = materialize(followers(ids.drop("rows")), "followers")
     own = once(known.select(*key, "codes"))
-    lent = texts.join(own, key).join(ahead, key).select(
+    whole = texts.join(own, key)  # read twice with the same columns, so that its shuffles are made once
+    lent = whole.join(ahead, key).select(
         F.col("prev_key").alias("key"),
         F.col("prev_mark").alias("mark"),
         F.expr("left(text, cast(prev_chars div 2 as int))").alias("lent"),
         F.col("codes").alias("next_codes"),
+        F.col("doc_id").alias("next_id"),
     )
-    edited = texts.join(own, key).join(once(lent), key).withColumn(
+    edited = whole.join(once(lent), key).withColumn(
         "edited", F.expr("concat(left(text, char_length(text) - char_length(text) div 2), lent)")
     )
     both = with_anchors(edited, "edited", "edited_anchors")
@@ -168,4 +170,5 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         fingerprint(F.col("edited_codes")).alias("edited_fingerprint"),
         likeness(F.col("codes"), F.col("edited_codes")).alias("near_edited"),
         likeness(F.col("codes"), F.col("next_codes")).alias("near_next"),
+        "next_id",
     )
