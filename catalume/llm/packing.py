@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,14 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalume.llm.merges import merges_alone
 from catalume.llm.pieces import PieceCache
 from catalume.llm.storage import materialize, rank_in_cells, ship_package
 
 LENGTH, END = 1024, 0
-#: Words that the tokenizer gets in one text.
-_IN_A_ROW = 128
-
-
 # -- tokens ------------------------------------------------------------------
 
 
@@ -30,35 +26,24 @@ def token_bytes(tokenizer_json: str, pattern: str) -> PieceCache:
     """Ids by a ``tokenizers`` file as little-endian unsigned 32-bit numbers, each word of the pattern encoded once.
 
     The tokenizer splits a text by the same pattern before it merges, so the
-    ids of a text are those of its words in order.
+    ids of a text are those of its words in order. Where the file does no more
+    than merge, short words are merged many at a time (see ``Merges``); the
+    library encodes the others.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(tokenizer_json)
     tokenizer.encode_special_tokens = True
-
-    def together(words: list[str]) -> list[bytes]:
-        """Words that stay words when written in a row: one call, told apart by the library's word numbers."""
-        coded = tokenizer.encode("".join(words), add_special_tokens=False)
-        ids, last = np.array(coded.ids, "<u4").tobytes(), np.diff(np.array([*coded.word_ids, -1])) != 0
-        ends = (4 * np.flatnonzero(last) + 4).tolist()
-        if len(ends) != len(words):
-            return apart(words)
-        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-    def apart(words: list[str]) -> list[bytes]:
-        coded = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (c.ids for c in coded)]
+    merges = merges_alone(tokenizer_json)
 
     def encode(words: list[str]) -> list[bytes]:
-        led = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
-        found = dict(zip(rest, apart(rest), strict=True))
-        for at in range(0, len(led), _IN_A_ROW):
-            some = led[at : at + _IN_A_ROW]
-            found.update(zip(some, together(some), strict=True))
-        return [found[w] for w in words]
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        out = merges.encode(raw) if merges else [b""] * len(words)
+        left = [i for i, w in enumerate(raw) if w and not out[i]]
+        for i, coded in zip(left, tokenizer.encode_batch_fast([words[i] for i in left], add_special_tokens=False), strict=True):
+            out[i] = np.array(coded.ids, "<u4").tobytes()
+        return out
 
     return PieceCache(pattern, encode)
 
@@ -84,8 +69,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, pattern: str, length: in
         if key not in _caches:
             _caches[key] = token_bytes(shipped.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
                 row, start, size, crc, total = [], [], [], [], []
                 for i, coded in enumerate(_caches[key].encode_batch(part.column(1))):
                     ids = coded.tobytes() + end

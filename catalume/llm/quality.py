@@ -163,8 +163,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 2400) -> Model:
             sides = [pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sides], ["_id", "label", "buckets", "counts"])
 
-    rows = met.mapInArrow(run, f"_id {kind}, label int, buckets array<int>, counts array<int>").toArrow().sort_by("_id").to_pydict()
-    return train([(np.array(b, np.int64), np.array(c, np.int64), y) for b, c, y in zip(rows["buckets"], rows["counts"], rows["label"], strict=True)])
+    rows = met.mapInArrow(run, f"_id {kind}, label int, buckets array<int>, counts array<int>").toArrow().sort_by("_id")
+    sides = [rows.column(name).combine_chunks() for name in ("buckets", "counts")]
+    flat = [side.flatten().to_numpy(zero_copy_only=False) for side in sides]
+    ends = np.cumsum([0, *sides[0].value_lengths().to_pylist()]).tolist()
+    spans = zip(ends, ends[1:], rows.column("label").to_pylist(), strict=False)
+    return train([(flat[0][a:b].astype(np.int64), flat[1][a:b].astype(np.int64), y) for a, b, y in spans])
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
