@@ -22,28 +22,48 @@ def _kind(value: Column) -> Column:
 
 def field(record: Column, name: str) -> Column:
     """A field of a record; what its ``detalhe`` object holds wins, even a null."""
-    own = F.try_variant_get(record, f"$.{name}", "variant")
-    inner = F.try_variant_get(record, "$.detalhe", "variant")
-    inside = F.try_variant_get(record, f"$.detalhe.{name}", "variant")
-    keys = F.json_object_keys(F.to_json(inner))
-    return F.when(_kind(inner).startswith("OBJECT") & F.coalesce(F.array_contains(keys, name), F.lit(False)), inside).otherwise(own)
+    return F.coalesce(F.try_variant_get(record, f"$.detalhe.{name}", "variant"), F.try_variant_get(record, f"$.{name}", "variant"))
 
 
-def text_field(record: Column, name: str) -> Column:
-    """A field's text if it is a JSON string with some, else null."""
-    value = field(record, name)
+def _text(value: Column) -> Column:
+    """A value's text if it is a JSON string with some, else null."""
     return F.when(_kind(value) == "STRING", text.blank_to_null(F.try_variant_get(value, "$", "string")))
 
 
+def _whole(value: Column) -> Column:
+    return F.when(_kind(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+
+
+def text_field(record: Column, name: str) -> Column:
+    return _text(field(record, name))
+
+
 def id_field(record: Column) -> Column:
-    """The identifier as text; numbers count."""
+    """The identifier as text; numbers but zero count."""
     value = field(record, "id")
-    return F.when(_kind(value).isin("STRING", "BIGINT"), text.blank_to_null(F.try_variant_get(value, "$", "string")))
+    number = _kind(value).startswith("DECIMAL") | _kind(value).isin("BIGINT", "DOUBLE")
+    said = text.blank_to_null(F.try_variant_get(value, "$", "string"))
+    return F.when(_kind(value) == "STRING", said).when(number & (F.try_variant_get(value, "$", "double") != 0), said)
+
+
+#: Keys under which a listed record may name itself, in order.
+ID_KEYS = ("id", "_id", "identificador", "idConjuntoDados", "name")
+
+
+def extract_id(record: Column) -> Column:
+    """The first text or whole number that is not blank under ID_KEYS, as text."""
+    values = (F.try_variant_get(record, f"$.{key}", "variant") for key in ID_KEYS)
+    return F.coalesce(*(F.when(_kind(v).isin("STRING", "BIGINT"), text.blank_to_null(F.try_variant_get(v, "$", "string"))) for v in values))
 
 
 def whole_number(record: Column, name: str) -> Column:
+    return _whole(field(record, name))
+
+
+def list_field(record: Column, name: str) -> Column:
+    """A field's list as JSON text, ``[]`` where it is none."""
     value = field(record, name)
-    return F.when(_kind(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+    return F.when(_kind(value).startswith("ARRAY"), F.to_json(value)).otherwise("[]")
 
 
 def truth(record: Column, name: str) -> Column:
@@ -53,10 +73,15 @@ def truth(record: Column, name: str) -> Column:
     return ~(value.isNull() | F.coalesce(shown.isin("null", "false", "0", "0.0", '""', "[]", "{}"), F.lit(True)))
 
 
+def _resources(record: Column) -> Column:
+    """The objects among a record's ``recursos``."""
+    listed = F.try_variant_get(field(record, "recursos"), "$", "array<variant>")
+    return F.filter(listed, lambda r: _kind(r).startswith("OBJECT"))
+
+
 def bad_resource(record: Column) -> Column:
-    """Whether some resource of the record has no identifier."""
-    ids = F.from_json(F.to_json(field(record, "recursos")), "array<struct<id:string>>")
-    return F.coalesce(F.exists(ids, lambda r: text.blank_to_null(r["id"]).isNull()), F.lit(False))
+    """Whether some resource of the record has no text with something in it as its identifier; a number is none."""
+    return F.coalesce(F.exists(_resources(record), lambda r: _text(F.try_variant_get(r, "$.id", "variant")).isNull()), F.lit(False))
 
 
 def rejection(value: Column) -> Column:
@@ -78,45 +103,86 @@ def split_quarantine(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def rejection_rate(lines: DataFrame, limit: float) -> DataFrame:
     """One row: lines read and rejected, their share (0 when none is read), whether it is above ``limit``."""
-    seen = parsed(lines).agg(F.count("*").alias("lidos"), F.count_if(rejection(F.col("v")).isNotNull()).alias("rejeitados"))
+    return _rate(parsed(lines).agg(F.count("*").alias("lidos"), F.count_if(rejection(F.col("v")).isNotNull()).alias("rejeitados")), limit)
+
+
+def _rate(seen: DataFrame, limit: float) -> DataFrame:
     share = F.round(F.coalesce(F.try_divide(F.col("rejeitados").cast("double"), F.col("lidos")), F.lit(0.0)), 6)
     return seen.withColumn("taxa", share).withColumn("acima", F.col("taxa") > limit)
 
 
+def report(lines: DataFrame, limit: float) -> DataFrame:
+    """One row of an ingestion's counts, by line and not by identifier: lidos, conjuntos, recursos, rejeitados, taxa, acima."""
+    judged = parsed(lines).select((rejection(F.col("v")).isNull()).alias("fine"), F.coalesce(F.size(_resources(F.col("v"))), F.lit(0)).alias("n"))
+    seen = judged.agg(
+        F.count("*").alias("lidos"),
+        F.count_if("fine").alias("conjuntos"),
+        F.coalesce(F.sum(F.when(F.col("fine") & (F.col("n") > 0), F.col("n"))), F.lit(0)).alias("recursos"),
+        F.count_if(~F.col("fine")).alias("rejeitados"),
+    )
+    return _rate(seen, limit)
+
+
+#: The text fields of a raw record.
+_TEXTS = (
+    "nome titulo title descricao organizacao nomeOrganizacao periodicidade granularidadeEspacial valorCoberturaEspacial coberturaEspacial "
+    "coberturaTemporalInicio coberturaTemporalFim dataCatalogacao catalogacao dataUltimaAtualizacaoMetadados ultimaAlteracaoMetadados "
+    "dataUltimaAtualizacaoArquivo ultimaAtualizacaoDados"
+).split()
+
+
 def datasets(accepted: DataFrame) -> DataFrame:
-    """Typed dataset rows of accepted lines."""
-    v = F.col("v")
-    moment = lambda *names: F.coalesce(*(text.utc_timestamp(text_field(v, n)) for n in names))
-    return accepted.select(
+    """Typed dataset rows of accepted lines; of two names of a field the second counts where the first gives nothing."""
+    first = lambda *names: F.coalesce(*(F.col(n) for n in names))
+    moment = lambda *names: F.coalesce(*(text.utc_timestamp(F.col(n)) for n in names))
+    # one projection finds the values, the next reads them, so that each is looked for once
+    found = accepted.select("linha", "v", *(field(F.col("v"), n).alias(n) for n in _TEXTS), F.try_variant_get("v", "$.coletado_em", "variant").alias("coletado_em"))
+    read = found.select(
+        "linha",
+        id_field(F.col("v")).alias("id"),
+        truth(F.col("v"), "descontinuado").alias("descontinuado"),
+        list_field(F.col("v"), "temas").alias("temas"),
+        list_field(F.col("v"), "tags").alias("tags"),
+        *(_text(F.col(n)).alias(n) for n in (*_TEXTS, "coletado_em")),
+    )
+    return read.select(
         "linha",
-        id_field(v).alias("id"),
-        F.coalesce(text_field(v, "nome"), text_field(v, "name")).alias("nome"),
-        F.coalesce(text_field(v, "titulo"), text_field(v, "title")).alias("titulo"),
-        text_field(v, "descricao").alias("descricao"),
-        F.coalesce(text_field(v, "organizacao"), text_field(v, "nomeOrganizacao")).alias("organizacao"),
-        text_field(v, "periodicidade").alias("periodicidade"),
-        truth(v, "descontinuado").alias("descontinuado"),
-        moment("dataCatalogacao").alias("catalogado_em"),
-        moment("dataUltimaAtualizacaoMetadados").alias("metadados_atualizados_em"),
-        moment("dataUltimaAtualizacaoArquivo").alias("dados_atualizados_em"),
-    ).withColumn("url_portal", text.dataset_page(F.col("nome"), F.col("id")))
+        "id",
+        "nome",
+        first("titulo", "title").alias("titulo"),
+        "descricao",
+        first("organizacao", "nomeOrganizacao").alias("organizacao"),
+        "periodicidade",
+        F.col("granularidadeEspacial").alias("granularidade_espacial"),
+        first("valorCoberturaEspacial", "coberturaEspacial").alias("cobertura_espacial"),
+        moment("coberturaTemporalInicio").alias("cobertura_temporal_inicio"),
+        moment("coberturaTemporalFim").alias("cobertura_temporal_fim"),
+        "temas",
+        "tags",
+        "descontinuado",
+        moment("dataCatalogacao", "catalogacao").alias("catalogado_em"),
+        moment("dataUltimaAtualizacaoMetadados", "ultimaAlteracaoMetadados").alias("metadados_atualizados_em"),
+        moment("dataUltimaAtualizacaoArquivo", "ultimaAtualizacaoDados").alias("dados_atualizados_em"),
+        "coletado_em",
+        text.dataset_page(F.col("nome"), F.col("id")).alias("url_portal"),
+    )
 
 
 def resources(accepted: DataFrame) -> DataFrame:
-    """Typed resource rows of accepted lines."""
-    kinds = "array<struct<id:string,titulo:string,descricao:string,formato:string,link:string,tamanho:string,dataCatalogacao:string>>"
-    listed = F.from_json(F.to_json(field(F.col("v"), "recursos")), kinds)
-    flat = accepted.select("linha", id_field(F.col("v")).alias("conjunto_id"), F.explode(listed).alias("r"))
+    """Typed resource rows of accepted lines; a value of another type than its column's is null."""
+    flat = accepted.select("linha", id_field(F.col("v")).alias("conjunto_id"), F.explode(_resources(F.col("v"))).alias("r"))
+    value = lambda name: F.try_variant_get("r", f"$.{name}", "variant")
     return flat.select(
         "linha",
-        text.blank_to_null(F.col("r.id")).alias("id"),
+        _text(value("id")).alias("id"),
         "conjunto_id",
-        text.blank_to_null(F.col("r.titulo")).alias("titulo"),
-        text.blank_to_null(F.col("r.descricao")).alias("descricao"),
-        text.file_format(F.col("r.formato")).alias("formato"),
-        text.blank_to_null(F.col("r.link")).alias("link"),
-        F.expr("try_cast(r.tamanho as bigint)").alias("tamanho"),
-        text.utc_timestamp(F.col("r.dataCatalogacao")).alias("catalogado_em"),
+        _text(value("titulo")).alias("titulo"),
+        _text(value("descricao")).alias("descricao"),
+        text.file_format(_text(value("formato"))).alias("formato"),
+        _text(value("link")).alias("link"),
+        _whole(value("tamanho")).alias("tamanho"),
+        text.utc_timestamp(_text(value("dataCatalogacao"))).alias("catalogado_em"),
+        text.utc_timestamp(_text(value("dataUltimaAtualizacaoArquivo"))).alias("arquivo_atualizado_em"),
     )
 
 
@@ -148,3 +214,58 @@ def remove_vanished(stored: DataFrame, latest: DataFrame, seen: DataFrame) -> Da
 def unseen(page: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
     """Rows of ``page`` whose key is not stored yet, each once."""
     return page.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+
+
+def store(lines: DataFrame, stored_datasets: DataFrame, stored_resources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Datasets and resources after an ingestion of ``lines``.
+
+    Accepted records are upserted, the last line of an identifier wins;
+    resources that the latest record of their dataset lacks go, those of
+    datasets that do not occur stay.
+    """
+    good, _ = split_quarantine(lines)
+    made = datasets(good)
+    last = made.withColumn("_last", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("linha")))).where("_last = 1")
+    found = resources(good).join(last.select("linha"), "linha", "left_semi")
+    after = upsert(stored_resources, found, "id", "linha")
+    return upsert(stored_datasets, made, "id", "linha"), remove_vanished(after, found, last.select(F.col("id").alias("conjunto_id")))
+
+
+def stored_ids(lines: DataFrame) -> DataFrame:
+    """The identifiers of stored records (raw), each once; lines that cannot be read are passed over."""
+    return parsed(lines).select(extract_id(F.col("v")).alias("id")).where("id is not null").distinct()
+
+
+def listing_end(pages: DataFrame) -> DataFrame:
+    """One row: where a listing (pagina, n; n null for a page that failed) ended and why.
+
+    It ends complete behind two confirmed empty pages or with a page shorter
+    than the longest before it; a failed page stops it without being its end;
+    one empty page among others is passed over. Pages are few; rows a page.
+    """
+    by = Window.orderBy("pagina")
+    rows = pages.withColumn("longest", F.max("n").over(by)).withColumn("after", F.lead("n").over(by))
+    why = (
+        F.when(F.col("n").isNull(), "falha")
+        .when((F.col("n") == 0) & (F.col("after") == 0), "vazia")
+        .when((F.col("n") > 0) & (F.col("n") < F.col("longest")), "incompleta")
+    )
+    ended = rows.withColumn("motivo", why).where("motivo is not null").agg(F.min(F.struct("pagina", "motivo")).alias("fim"), F.max("longest").alias("_"))
+    longest = pages.agg(F.max("n").alias("maior_pagina"))
+    return ended.join(longest).select("fim.pagina", "fim.motivo", (F.col("fim.motivo") != "falha").alias("concluida"), "maior_pagina")
+
+
+#: Statuses that pass, and those that do not.
+AGAIN, NEVER = (403, 405, 408, 425, 429), (400, 404, 410)
+
+
+def retry_kind(status: Column, is_json: Column) -> Column:
+    """``ok``, ``repetir`` or ``desistir``: unknown errors and answers that are not JSON are asked for again."""
+    return (
+        F.when(status.isNull(), "repetir")
+        .when(status.isin(*AGAIN) | (status >= 500), "repetir")
+        .when(status.isin(*NEVER), "desistir")
+        .when(status >= 400, "repetir")
+        .when(~F.coalesce(is_json, F.lit(False)), "repetir")
+        .otherwise("ok")
+    )

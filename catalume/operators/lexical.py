@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catalume.config import Settings
 from catalume.functions import text
+from catalume.sources.kept import keep
 
 
 def postings(index: DataFrame, columns: list[str]) -> DataFrame:
@@ -41,8 +42,9 @@ def question_phrases(questions: DataFrame) -> DataFrame:
 def occurrences(posted: DataFrame, phrases: DataFrame) -> DataFrame:
     """(raw, doc, col, n): how often each phrase stands in each column.
 
-    Only postings of tokens that some phrase holds are read; phrases are the
-    small side. Longer phrases meet their tokens at one start position.
+    Postings meet the phrases' tokens in a join, before which a kept index
+    (see ``write``) is pruned to the files of these tokens. Longer phrases
+    meet their tokens at one start position.
     """
     wanted = phrases.select("raw", "phrase").distinct()
     parts = wanted.select("raw", F.size("phrase").alias("words"), F.posexplode("phrase").alias("at", "term"))
@@ -140,8 +142,8 @@ def read(spark: SparkSession, path: str) -> Index:
 
 def search_index(index: Index, cards: DataFrame, questions: DataFrame, settings: Settings, limit: int) -> DataFrame:
     """Ranked documents of each question: qid, doc, posicao, score."""
-    phrases = question_phrases(questions)
-    found = occurrences(index.posted, phrases)
+    phrases = keep(question_phrases(questions), "phrases")
+    found = keep(occurrences(index.posted, phrases), "occurrences")  # read for frequencies and for scores
     frequencies = term_frequencies(found)
     useful = keep_useful(phrases, frequencies, index.stats, settings)
     scores = penalized(bm25(useful, found, frequencies, index.lengths, index.stats, settings), cards, settings)

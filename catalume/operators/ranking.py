@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalume.config import Settings
+from catalume.functions import text
+from catalume.sources.kept import keep
 
 
 def fuse(rankings: DataFrame, k: int, limit: int | None = None) -> DataFrame:
@@ -25,14 +27,16 @@ def fuse(rankings: DataFrame, k: int, limit: int | None = None) -> DataFrame:
     return fused.where(F.col("posicao") <= limit) if limit else fused
 
 
-def hybrid(rankings: dict[str, Callable[[], DataFrame]], settings: Settings, on_error: Callable[[str, Exception], None]) -> DataFrame | None:
-    """Fuse what can be ranked: each ranking is computed and kept on its own, one that fails is reported and left out."""
-    kept = []
+def hybrid(rankings: dict[str, Callable[[], DataFrame]], settings: Settings, on_error: Callable[[str, Exception], None], limit: int | None = None) -> DataFrame | None:
+    """Fuse what can be ranked: each ranking is computed and kept on its own, one that fails is reported and left out.
+
+    Each gives max(depth, limit) candidates; the cut to ``limit`` comes after the fusion.
+    """
+    kept, limit = [], limit or settings.limit
     for name, make in rankings.items():
         try:
-            ranked = make().where(F.col("posicao") <= settings.depth).select("qid", F.lit(name).alias("ranking"), "id", "posicao", "score").cache()
-            ranked.count()
-            kept.append(ranked)
+            ranked = make().where(F.col("posicao") <= max(settings.depth, limit)).select("qid", F.lit(name).alias("ranking"), "id", "posicao", "score")
+            kept.append(keep(ranked, f"ranking-{name}"))
         except Exception as error:  # noqa: BLE001  a ranking may fail in any way; the others still answer
             on_error(name, error)
     if not kept:
@@ -40,7 +44,7 @@ def hybrid(rankings: dict[str, Callable[[], DataFrame]], settings: Settings, on_
     union = kept[0]
     for other in kept[1:]:
         union = union.unionByName(other)
-    return fuse(union, settings.rrf_k, settings.limit)
+    return fuse(union, settings.rrf_k, limit)
 
 
 def score_of(origins: Column, ranking: str) -> Column:
@@ -48,16 +52,23 @@ def score_of(origins: Column, ranking: str) -> Column:
     return F.get(F.transform(F.filter(origins, lambda o: o["ranking"] == ranking), lambda o: o["score"]), F.lit(0))
 
 
-def is_relevant(origins: Column, settings: Settings) -> Column:
-    """Named by two rankings, or by the lexical one with a sufficient score; similarity alone does not count."""
-    return (F.size(origins) >= 2) | (F.coalesce(score_of(origins, "lexica"), F.lit(0.0)) >= settings.relevant_score)
+def is_relevant(origins: Column, settings: Settings, plain: Column | None = None) -> Column:
+    """Named by two rankings, or by the lexical one with a sufficient score; similarity alone does not count.
+
+    Where no ranking is recorded the row's ``plain`` score is the lexical one.
+    """
+    lexical = F.coalesce(score_of(origins, "lexica"), F.lit(0.0))
+    if plain is not None:
+        lexical = F.when(F.size(origins) == 0, F.coalesce(plain, F.lit(0.0))).otherwise(lexical)
+    return (F.size(origins) >= 2) | (lexical >= settings.relevant_score)
 
 
 def route(questions: DataFrame, fused: DataFrame, settings: Settings) -> DataFrame:
     """(qid, rota, relevant): how each question is answered.
 
     AUSENCIA without a relevant row; MODELO if the first one is not relevant,
-    its lexical score is low or its lead over the second is small; else TEMPLATE.
+    its lexical score is low or its lead over the second relevant one is
+    small (0 without a second); else TEMPLATE.
     """
     rows = fused.select(
         "qid",
@@ -69,8 +80,8 @@ def route(questions: DataFrame, fused: DataFrame, settings: Settings) -> DataFra
         F.count_if("relevant").alias("relevant"),
         F.max(F.when(F.col("posicao") == 1, F.col("relevant"))).alias("first_fits"),
         F.max(F.when(F.col("posicao") == 1, F.col("lexical"))).alias("first"),
-        F.max(F.when(F.col("posicao") > 1, F.col("lexical"))).alias("second"),
-    )
+        F.array_sort(F.collect_list(F.when(F.col("relevant"), F.struct("posicao", "lexical")))).alias("fit"),
+    ).withColumn("second", F.get("fit", F.lit(1))["lexical"])
     joined = questions.select("qid").distinct().join(seen, "qid", "left")
     rota = (
         F.when(F.coalesce("relevant", F.lit(0)) == 0, "AUSENCIA")
@@ -94,6 +105,23 @@ def first_hits(questions: DataFrame, results: DataFrame) -> DataFrame:
     return rows.select("qid", "tema", "dificuldade", F.when(F.size("aceitaveis") == 0, absent).otherwise(F.col("hit")).cast("long").alias("posicao"))
 
 
+def acceptable(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """(qid, doc): the documents (doc, text) that hold a question's (qid, whole) text.
+
+    A document that holds the text holds its words, so it is looked up by the
+    text's rarest inner word (or, of one or two words, any of them, which then
+    must stand whole) and only such documents are searched.
+    """
+    words = questions.select("qid", "whole", text.tokens(F.col("whole")).alias("t"))
+    inner = words.select("qid", "whole", F.explode(F.array_distinct(F.when(F.size("t") > 2, F.slice("t", 2, F.size("t") - 2)).otherwise(F.col("t")))).alias("term"))
+    asked = inner.select("term").distinct()
+    held = documents.select("doc", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term")).join(asked, "term")
+    counted = held.groupBy("term").agg(F.count("*").alias("n"))
+    known = inner.join(counted, "term", "left").groupBy("qid").agg(F.first("whole").alias("whole"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("key"))
+    near = held.join(known.where("key.n > 0").select("qid", "whole", F.col("key.term").alias("term")), "term")
+    return near.join(documents.select("doc", "text"), "doc").where(F.contains("text", F.col("whole"))).select("qid", "doc")
+
+
 def _metrics() -> list[Column]:
     within = lambda k: F.round(F.avg((F.coalesce("posicao", F.lit(k + 1)) <= k).cast("double")), 4)
     return [

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalume.config import Settings
 from catalume.functions import text
+from catalume.operators import lexical
+from catalume.sources import kept
 
 #: The SQL twins of the views below.
 SQL = r"""
@@ -15,7 +18,7 @@ conjunto AS (SELECT doc_id AS doc, CAST(doc_id AS VARCHAR) AS id, split_part(tex
 ficha AS (SELECT c.*, CASE WHEN q = 1 THEN 'alta' WHEN q = 0 THEN 'baixa' ELSE 'media' END AS confianca
     FROM conjunto c LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) l ON l.doc_id = c.doc),
 indice AS (SELECT doc, nome || ' ' || titulo AS nome, split_part(text, chr(10), -1) AS perguntas, text AS resumo, organizacao AS orgao, lang AS tags FROM conjunto),
-pergunta AS (SELECT item_id AS qid, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS question, text AS whole FROM benchmark),
+pergunta AS (SELECT item_id AS qid, text AS question FROM benchmark),
 recurso AS (SELECT page_id AS id, url AS link, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) AS host FROM pages),
 sondado AS (SELECT *, CASE WHEN host = 'tionsh.example.net' OR host LIKE '%.tionsh.example.net' THEN 403 WHEN id % 7 = 0 THEN 404 WHEN id % 11 = 0 THEN 503 WHEN id % 13 = 0 THEN 301 WHEN id % 17 = 0 THEN NULL ELSE 200 END AS status_http,
     (id * 37) % 1000 AS latencia_ms FROM recurso),
@@ -58,10 +61,15 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, question (a benchmark item's first six words), whole."""
-    return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("question"), F.col("text").alias("whole")
-    )
+    """qid, question: whole benchmark items."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The index of all documents, kept: built once for each state of the tables."""
+    paths = (f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet")
+    made = lambda folder: lexical.write(lexical.build(index(spark, sf_dir), list(Settings().weights)), folder)
+    return lexical.read(spark, kept.once(spark, "lexical-index", paths, made))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:

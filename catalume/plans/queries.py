@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalume.config import Settings
@@ -12,6 +12,7 @@ from catalume.functions import text
 from catalume.operators import answers, enrich, health, ingest, lexical, limiter, presentation, publish, ranking, vectors
 from catalume.plans import catalog
 from catalume.plans.catalog import table
+from catalume.sources import kept
 from catalume.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,20 +61,18 @@ lexica AS (SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    index, asked = catalog.index(spark, sf_dir), catalog.questions(spark, sf_dir)
-    columns = list(SETTINGS.weights)
-    posted = lexical.postings(index, columns)
+    made, asked = catalog.lexical_index(spark, sf_dir), catalog.questions(spark, sf_dir)
     phrases = lexical.question_phrases(asked)
-    found = lexical.occurrences(posted, phrases)
-    lengths = lexical.document_lengths(index, columns)
+    found = kept.keep(lexical.occurrences(made.posted, phrases), "occurrences")
     return {
-        "index": index, "asked": asked, "posted": posted, "phrases": phrases, "found": found, "lengths": lengths,
-        "stats": lexical.corpus_stats(lengths), "freq": lexical.term_frequencies(found), "cards": catalog.cards(spark, sf_dir),
+        "asked": asked, "posted": made.posted, "phrases": phrases, "found": found, "lengths": made.lengths,
+        "stats": made.stats, "freq": lexical.term_frequencies(found), "cards": catalog.cards(spark, sf_dir),
     }
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search(catalog.index(spark, sf_dir), catalog.cards(spark, sf_dir), catalog.questions(spark, sf_dir), SETTINGS, SETTINGS.depth)
+    made = catalog.lexical_index(spark, sf_dir)
+    return lexical.search_index(made, catalog.cards(spark, sf_dir), catalog.questions(spark, sf_dir), SETTINGS, SETTINGS.depth)
 
 
 @query(f"WITH {_POSTED} SELECT qid, doc, posicao, score FROM lexica WHERE posicao <= 5")
@@ -109,7 +108,7 @@ def term_frequency(spark, sf_dir):
 
 @query(f"WITH {_POSTED} SELECT n_docs, round(mean_length, 6) AS mean_length FROM stats")
 def bm25_corpus_stats(spark, sf_dir):
-    return _parts(spark, sf_dir)["stats"].withColumn("mean_length", F.round("mean_length", 6))
+    return catalog.lexical_index(spark, sf_dir).stats.withColumn("mean_length", F.round("mean_length", 6))
 
 
 @query(
@@ -117,22 +116,23 @@ def bm25_corpus_stats(spark, sf_dir):
     FROM lexica l JOIN phrases p ON p.qid = l.qid JOIN met m ON m.doc = l.doc AND m.raw = p.raw GROUP BY ALL"""
 )
 def match_explain(spark, sf_dir):
-    p = _parts(spark, sf_dir)
-    found = lexical.matches(p["index"], _lexical(spark, sf_dir), p["asked"], list(SETTINGS.weights))
+    asked = catalog.questions(spark, sf_dir)
+    found = lexical.matches(catalog.index(spark, sf_dir), _lexical(spark, sf_dir), asked, list(SETTINGS.weights))
     return found.select("qid", "doc", "col", F.size("terms").cast("long").alias("words"))
 
 
 @query(
-    f"""WITH {_POSTED}, pairs AS (SELECT DISTINCT list_extract(t, 1) AS a, list_extract(t, 2) AS b FROM (
-        SELECT regexp_extract_all(lower(strip_accents(question)), '[\\p{{L}}\\p{{N}}]+') AS t FROM pergunta) WHERE len(t) > 1)
+    f"""WITH {_POSTED}, pairs AS (SELECT DISTINCT t[i] AS a, t[i + 1] AS b FROM (
+        SELECT regexp_extract_all(lower(strip_accents(question)), '[\\p{{L}}\\p{{N}}]+') AS t, unnest(range(1, len(t))) AS i FROM pergunta))
     SELECT a || '_' || b AS raw, x.doc, x.col, count(*) AS n FROM pairs JOIN posted x ON x.term = a
     JOIN posted y ON y.term = b AND y.doc = x.doc AND y.col = x.col AND y.pos = x.pos + 1 GROUP BY ALL"""
 )
 def phrase_match(spark, sf_dir):
-    p = _parts(spark, sf_dir)
-    first = F.slice(text.tokens(F.col("question")), 1, 2)
-    joined = p["asked"].select("qid", first.alias("t")).where("size(t) > 1").select("qid", F.array_join("t", "_").alias("question")).dropDuplicates(["question"])
-    return lexical.occurrences(p["posted"], lexical.question_phrases(joined))
+    t = F.col("t")
+    beside = F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.concat(a, F.lit("_"), b))
+    asked = catalog.questions(spark, sf_dir).select("qid", text.tokens(F.col("question")).alias("t")).where("size(t) > 1")
+    joined = asked.select("qid", F.array_join(beside, " ").alias("question"))
+    return lexical.occurrences(catalog.lexical_index(spark, sf_dir).posted, lexical.question_phrases(joined))
 
 
 @query(
@@ -197,27 +197,71 @@ def vector_coverage_gate(spark, sf_dir):
 # -- fusion, routing, evaluation ---------------------------------------------
 
 
+DIM = 64
+
+
+def _embedded(rows: DataFrame, key: str, body: str) -> DataFrame:
+    return rows.select(F.col(key), enrich.hashed_embedding(F.col(body), DIM).alias("vetor")).where("vetor is not null")
+
+
+def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose hashed vectors are nearest to each question's."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return vectors.cosine_top(_embedded(docs, "id", "text"), _embedded(catalog.questions(spark, sf_dir), "qid", "question"), SETTINGS.depth)
+
+
 def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexical ranking and, as a second one, the documents that hold most of a question's terms."""
-    p = _parts(spark, sf_dir)
-    counted = p["phrases"].join(p["found"].select("raw", "doc").distinct(), "raw").groupBy("qid", "doc").agg(F.count_distinct("raw").cast("double").alias("score"))
-    second = lexical.top(counted, SETTINGS.depth).select("qid", F.lit("cobertura").alias("ranking"), F.col("doc").alias("id"), "posicao", "score")
+    """The lexical ranking and the one by vectors."""
+    second = _semantic(spark, sf_dir).select("qid", F.lit("semantica").alias("ranking"), "id", "posicao", "score")
     first = _lexical(spark, sf_dir).select("qid", F.lit("lexica").alias("ranking"), F.col("doc").alias("id"), "posicao", "score")
     return first.unionByName(second)
 
 
+def _embed_sql(source: str, key: str, body: str) -> str:
+    """Counts of tokens by slot (16 bits of their MD5), as a unit vector."""
+    return f"""SELECT {key}, list_transform(c, x -> x / sqrt(list_inner_product(c, c))) AS vetor FROM (
+        SELECT {key}, list_transform(range({DIM}), i -> CAST(len(list_filter(s, x -> x = i)) AS DOUBLE)) AS c FROM (
+        SELECT {key}, list_transform(regexp_extract_all(lower(strip_accents({body})), '[\\p{{L}}\\p{{N}}]+'), t -> CAST('0x' || substr(md5(t), 1, 4) AS INT) % {DIM}) AS s FROM {source})
+        WHERE len(s) > 0)""".replace("x -> ", "lambda x: ").replace("i -> ", "lambda i: ").replace("t -> ", "lambda t: ")
+
+
 _FUSED = (
     _POSTED
-    + """,
-counted AS (SELECT p.qid, m.doc, count(DISTINCT p.raw) AS score FROM phrases p JOIN (SELECT DISTINCT raw, doc FROM met) m ON m.raw = p.raw GROUP BY ALL),
-cobertura AS (SELECT qid, doc, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS posicao FROM counted QUALIFY posicao <= 10),
-rankings AS (SELECT qid, 'lexica' AS ranking, doc AS id, posicao, score FROM lexica UNION ALL SELECT qid, 'cobertura', doc, posicao, score FROM cobertura),
+    + f""",
+vetores AS ({_embed_sql("documents", "doc_id", "text")}),
+perguntas_v AS ({_embed_sql("pergunta", "qid", "question")}),
+semantica AS (SELECT qid, doc_id AS doc, round(list_inner_product(q.vetor, v.vetor), 6) AS score,
+    row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS posicao FROM perguntas_v q, vetores v QUALIFY posicao <= 10),
+rankings AS (SELECT qid, 'lexica' AS ranking, doc AS id, posicao, score FROM lexica UNION ALL SELECT qid, 'semantica', doc, posicao, score FROM semantica),
 fused AS (SELECT qid, id, round(sum(1.0 / (60 + posicao)), 9) AS rrf, count(*) AS n, string_agg(ranking || ':' || posicao, ',' ORDER BY ranking) AS origens,
     max(CASE WHEN ranking = 'lexica' THEN score END) AS lexical FROM rankings GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS posicao FROM fused QUALIFY posicao <= 5)"""
 )
 
 
+@query(f"WITH {_FUSED} SELECT doc_id, list_transform(vetor, lambda x: round(x, 6)) AS vetor FROM vetores")
+def embed_stub(spark, sf_dir):
+    rows = _embedded(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select("doc_id", F.transform("vetor", lambda x: F.round(x, 6)).alias("vetor"))
+
+
+@query(f"WITH {_FUSED} SELECT qid, doc AS id, posicao, score FROM semantica")
+def semantic_topk(spark, sf_dir):
+    return _semantic(spark, sf_dir)
+
+
+@query(f"WITH {_FUSED} SELECT qid, id, rrf, posicao FROM placed")
+def hybrid_search(spark, sf_dir):
+    """Each ranking kept on its own; one that fails is left out (here a third one does)."""
+
+    def broken() -> DataFrame:
+        raise RuntimeError("no model")
+
+    first = lambda: _lexical(spark, sf_dir).withColumnRenamed("doc", "id")
+    made = {"lexica": first, "semantica": lambda: _semantic(spark, sf_dir), "ausente": broken}
+    return ranking.hybrid(made, SETTINGS, lambda name, error: None).select("qid", "id", "rrf", "posicao")
+
+
 @query(f"WITH {_FUSED} SELECT qid, id, rrf, posicao FROM placed")
 def rrf_fusion(spark, sf_dir):
     return ranking.fuse(_rankings(spark, sf_dir), SETTINGS.rrf_k, SETTINGS.limit).select("qid", "id", "rrf", "posicao")
@@ -240,7 +284,7 @@ _ROUTED = (
     + """,
 fits AS (SELECT qid, posicao, n >= 2 OR coalesce(lexical, 0) >= 12 AS relevant, coalesce(lexical, 0) AS lexical FROM placed),
 seen AS (SELECT qid, count(*) FILTER (WHERE relevant) AS relevant, max(CASE WHEN posicao = 1 THEN relevant::INT END) AS first_fits,
-    max(CASE WHEN posicao = 1 THEN lexical END) AS first, max(CASE WHEN posicao > 1 THEN lexical END) AS second FROM fits GROUP BY qid)"""
+    max(CASE WHEN posicao = 1 THEN lexical END) AS first, (list(lexical ORDER BY posicao) FILTER (WHERE relevant))[2] AS second FROM fits GROUP BY qid)"""
 )
 
 
@@ -261,14 +305,14 @@ def route_relevant_cards(spark, sf_dir):
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question's acceptable documents are those of its benchmark item's first word run among the lexical results."""
-    asked = catalog.questions(spark, sf_dir)
+    """A question's acceptable documents are those that hold its text, sought among all; none: it asks for absence."""
+    asked = catalog.questions(spark, sf_dir).withColumn("whole", F.col("question"))
     results = _lexical(spark, sf_dir)
-    held = results.join(asked, "qid").join(catalog.cards(spark, sf_dir).select("doc", "text"), "doc").where(F.contains("text", F.col("question")))
+    held = ranking.acceptable(asked, catalog.cards(spark, sf_dir).select("doc", "text"))
     wanted = held.groupBy("qid").agg(F.collect_set(F.col("doc").cast("string")).alias("aceitaveis"))
     kinds = asked.join(wanted, "qid", "left").select(
         "qid",
-        F.coalesce("aceitaveis", F.array(F.lit("-"))).alias("aceitaveis"),
+        F.coalesce("aceitaveis", F.array().cast("array<string>")).alias("aceitaveis"),
         F.concat(F.lit("t"), (F.col("qid") % 3).cast("string")).alias("tema"),
         F.when(F.length("whole") > 200, "longa").otherwise("curta").alias("dificuldade"),
     )
@@ -278,9 +322,19 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HITS = (
     _POSTED
     + """,
-hits AS (SELECT p.qid, 't' || (p.qid % 3) AS tema, CASE WHEN length(whole) > 200 THEN 'longa' ELSE 'curta' END AS dificuldade,
-    (SELECT min(posicao) FROM lexica l JOIN conjunto c ON c.doc = l.doc WHERE l.qid = p.qid AND contains(c.text, p.question)) AS posicao FROM pergunta p)"""
+aceitavel AS (SELECT qid, doc FROM pergunta, conjunto WHERE contains(text, question)),
+hits AS (SELECT p.qid, 't' || (p.qid % 3) AS tema, CASE WHEN length(question) > 200 THEN 'longa' ELSE 'curta' END AS dificuldade,
+    CASE WHEN EXISTS (SELECT 1 FROM aceitavel a WHERE a.qid = p.qid) THEN (SELECT min(posicao) FROM lexica l JOIN aceitavel a ON a.qid = l.qid AND a.doc = l.doc WHERE l.qid = p.qid)
+    WHEN NOT EXISTS (SELECT 1 FROM lexica l WHERE l.qid = p.qid) THEN 1 END AS posicao FROM pergunta p)"""
 )
+
+
+@query(f"WITH {_HITS} SELECT qid, doc FROM aceitavel")
+def eval_acceptable(spark, sf_dir):
+    asked = catalog.questions(spark, sf_dir).withColumnRenamed("question", "whole")
+    return ranking.acceptable(asked, catalog.cards(spark, sf_dir).select("doc", "text"))
+
+
 _METRICS = """count(*) AS total, round(avg(CASE WHEN posicao <= 5 THEN 1.0 ELSE 0 END), 4) AS recall_5,
     round(avg(CASE WHEN posicao <= 10 THEN 1.0 ELSE 0 END), 4) AS recall_10, round(avg(coalesce(1.0 / posicao, 0)), 4) AS mrr"""
 
@@ -443,18 +497,41 @@ def format_normalize(spark, sf_dir):
 # -- ingestion ---------------------------------------------------------------
 
 
+def _pick(i: Column, *values) -> Column:
+    """The value whose place is the number modulo how many there are."""
+    return F.element_at(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), (i % len(values) + 1).cast("int"))
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as raw records; by number some are broken in one way or another."""
+    """Documents as raw records; by number their fields are given in one way or another, or broken."""
     i = F.col("doc_id")
-    detail = F.struct(
-        F.when(i % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit(" detalhe "), i.cast("string"))).alias("titulo"),
-        F.array(F.struct(F.when(i % 9 == 8, "").otherwise(F.concat(F.lit("r"), i.cast("string"))).alias("id"), F.lit(".csv").alias("formato"), F.lit("07/05/2025 16:42:55").alias("dataCatalogacao"))).alias("recursos"),
-    )
-    whole = F.to_json(F.struct(i.cast("string").alias("id"), F.lit("listagem").alias("titulo"), F.lit(5).alias("descricao"), F.col("source").alias("nomeOrganizacao"), detail.alias("detalhe")), {"ignoreNullFields": "false"})
-    raw = F.when(i % 9 == 5, "não é json").when(i % 9 == 6, "[1, 2]").when(i % 9 == 7, '{"id": "  "}').otherwise(whole)
+    n = i.cast("string")
+    said = lambda before, after: F.concat(F.lit(before), n, F.lit(after))
+    resource = F.concat(
+        said('{"id": " r', ' ", "titulo": '), _pick(i, "7", said('"t ', ' "'), "null"), F.lit(', "formato": " .csv ", "link": 3, "tamanho": '), _pick(i, '"12"', "34", "5.5"),
+        F.lit(', "dataCatalogacao": "07/05/2025 16:42:55", "dataUltimaAtualizacaoArquivo": '), _pick(i, '"Indisponível"', '"09/12/2020"'), F.lit("}, 3"),
+    )
+    detail = F.concat(
+        _pick(i, '"titulo": null, ', said('"titulo": " detalhe ', ' ", '), said('"titulo": 7, "title": "outro ', '", ')),
+        _pick(i, '"dataCatalogacao": "Indisponível", "catalogacao": "07/05/2025", ', '"dataCatalogacao": "09/12/2020 10:00", ', '"ultimaAlteracaoMetadados": "2026-09-07T02:14:30+00:00", '),
+        _pick(i, '"descontinuado": "false", ', '"descontinuado": false, ', '"descontinuado": 0, ', '"descontinuado": [], ', ""),
+        F.lit('"valorCoberturaEspacial": " ", "coberturaEspacial": "BR", "coberturaTemporalInicio": "01/02/2024", "temas": '), _pick(i, '["a", 1]', '"a"'),
+        F.lit(', "recursos": ['), F.when(i % 9 == 8, _pick(i, '{"id": 5}', '{"titulo": "x"}', '{"id": " "}')).otherwise(resource), F.lit("]"),
+    )
+    whole = F.concat(
+        F.lit('{"id": '), _pick(i, n, said('" ', ' "')), F.lit(', "titulo": "listagem", "tags": [], "coletado_em": " hoje ", "descricao": '), _pick(i, "5", '"  "', said('" texto ', '"'), "null"),
+        F.lit(', "nomeOrganizacao": "'), F.col("source"), F.lit('", "detalhe": {'), detail, F.lit("}}"),
+    )
+    raw = F.when(i % 9 == 5, "não é json").when(i % 9 == 6, "[1, 2]").when(i % 9 == 7, _pick(i, '{"id": "  "}', '{"id": 0}', '{"titulo": "x"}')).otherwise(whole)
+    # the number zero is no identifier
+    raw = F.when(i == 0, F.replace(raw, F.lit('"id": 0'), F.lit('"id": "0"'))).otherwise(raw)
     return table(spark, sf_dir, "documents").select(i.alias("linha"), raw.alias("raw"))
 
 
+def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.split_quarantine(_lines(spark, sf_dir))[0]
+
+
 _REASON = "CASE doc_id % 9 WHEN 5 THEN 'JSON inválido' WHEN 6 THEN 'registro não é um objeto' WHEN 7 THEN 'identificador ausente' WHEN 8 THEN 'recurso sem identificador' END"
 
 
@@ -468,20 +545,99 @@ def rejection_rate(spark, sf_dir):
     return ingest.rejection_rate(_lines(spark, sf_dir), SETTINGS.rejection_limit)
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 <> 0 THEN 'detalhe ' || doc_id END AS titulo, source AS organizacao FROM documents WHERE doc_id % 9 < 5", model=False)
+@query(
+    """SELECT count(*) AS lidos, count(*) FILTER (WHERE doc_id % 9 < 5) AS conjuntos, CAST(count(*) FILTER (WHERE doc_id % 9 < 5) AS BIGINT) AS recursos, count(*) FILTER (WHERE doc_id % 9 >= 5) AS rejeitados,
+    round(count(*) FILTER (WHERE doc_id % 9 >= 5) / count(*), 6) AS taxa, taxa > 0.05 AS acima FROM documents""",
+    model=False,
+)
+def ingestion_report(spark, sf_dir):
+    return ingest.report(_lines(spark, sf_dir), SETTINGS.rejection_limit)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 3 WHEN 1 THEN 'detalhe ' || doc_id WHEN 2 THEN 'outro ' || doc_id END AS titulo, source AS organizacao FROM documents WHERE doc_id % 9 < 5", model=False)
 def json_override_merge(spark, sf_dir):
-    return ingest.datasets(ingest.split_quarantine(_lines(spark, sf_dir))[0]).select("id", "titulo", "organizacao")
+    return ingest.datasets(_accepted(spark, sf_dir)).select("id", "titulo", "organizacao")
 
 
-@query("SELECT doc_id AS linha, CAST(NULL AS VARCHAR) AS descricao, false AS descontinuado FROM documents WHERE doc_id % 9 < 5", model=False)
+@query(
+    """SELECT doc_id AS linha, CASE WHEN doc_id % 4 = 2 THEN 'texto ' || doc_id END AS descricao, doc_id % 5 = 0 AS descontinuado, 'hoje' AS coletado_em,
+    CASE WHEN doc_id % 2 = 0 THEN '["a",1]' ELSE '[]' END AS temas, '[]' AS tags, 'BR' AS cobertura_espacial FROM documents WHERE doc_id % 9 < 5""",
+    model=False,
+)
 def text_or_null(spark, sf_dir):
-    return ingest.datasets(ingest.split_quarantine(_lines(spark, sf_dir))[0]).select("linha", "descricao", "descontinuado")
+    return ingest.datasets(_accepted(spark, sf_dir)).select("linha", "descricao", "descontinuado", "coletado_em", "temas", "tags", "cobertura_espacial")
 
 
-@query("SELECT 'r' || doc_id AS id, CAST(doc_id AS VARCHAR) AS conjunto_id, 'CSV' AS formato, TIMESTAMP '2025-05-07 16:42:55' AS catalogado_em FROM documents WHERE doc_id % 9 < 5", model=False)
+@query(
+    """SELECT doc_id AS linha, CASE doc_id % 3 WHEN 0 THEN TIMESTAMP '2025-05-07' WHEN 1 THEN TIMESTAMP '2020-12-09 10:00:00' END AS catalogado_em,
+    CASE WHEN doc_id % 3 = 2 THEN TIMESTAMP '2026-09-07 02:14:30' END AS metadados_atualizados_em, CAST(NULL AS TIMESTAMP) AS dados_atualizados_em,
+    TIMESTAMP '2024-02-01' AS cobertura_temporal_inicio FROM documents WHERE doc_id % 9 < 5""",
+    model=False,
+)
+def date_fallbacks(spark, sf_dir):
+    names = ("catalogado_em", "metadados_atualizados_em", "dados_atualizados_em", "cobertura_temporal_inicio")
+    return ingest.datasets(_accepted(spark, sf_dir)).select("linha", *(F.col(c).cast("timestamp_ntz").alias(c) for c in names))
+
+
+@query(
+    """SELECT 'r' || doc_id AS id, CAST(doc_id AS VARCHAR) AS conjunto_id, CASE WHEN doc_id % 3 = 1 THEN 't ' || doc_id END AS titulo, 'CSV' AS formato, CAST(NULL AS VARCHAR) AS link,
+    CASE WHEN doc_id % 3 = 1 THEN CAST(34 AS BIGINT) END AS tamanho, TIMESTAMP '2025-05-07 16:42:55' AS catalogado_em,
+    CASE WHEN doc_id % 2 = 1 THEN TIMESTAMP '2020-12-09' END AS arquivo_atualizado_em FROM documents WHERE doc_id % 9 < 5""",
+    model=False,
+)
 def resource_rows(spark, sf_dir):
-    rows = ingest.resources(ingest.split_quarantine(_lines(spark, sf_dir))[0])
-    return rows.select("id", "conjunto_id", "formato", F.col("catalogado_em").cast("timestamp_ntz").alias("catalogado_em"))
+    rows = ingest.resources(_accepted(spark, sf_dir))
+    moments = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("catalogado_em", "arquivo_atualizado_em")]
+    return rows.select("id", "conjunto_id", "titulo", "formato", "link", "tamanho", *moments)
+
+
+@query(
+    """SELECT 'conjunto' AS tabela, CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 9 < 5 THEN CAST(doc_id AS VARCHAR) ELSE 'antes' END AS dono FROM documents WHERE doc_id % 9 < 5 OR doc_id % 2 = 0
+    UNION ALL SELECT 'recurso', 'r' || doc_id, CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 9 < 5
+    UNION ALL SELECT 'recurso', 'velho' || doc_id, CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 9 >= 5 AND doc_id % 2 = 0""",
+    model=False,
+)
+def ingestion_store(spark, sf_dir):
+    """Every second document and an old resource of each are stored already."""
+    n = F.col("doc_id").cast("string")
+    before = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(n.alias("id"), F.lit("antes").alias("url_portal"))
+    old = before.select(F.concat(F.lit("velho"), "id").alias("id"), F.col("id").alias("conjunto_id"))
+    made, found = ingest.store(_lines(spark, sf_dir), before, old)
+    owner = F.when(F.col("url_portal") == "antes", "antes").otherwise(F.substring_index("url_portal", "/", -1))
+    return made.select(F.lit("conjunto").alias("tabela"), "id", owner.alias("dono")).unionByName(found.select(F.lit("recurso").alias("tabela"), "id", F.col("conjunto_id").alias("dono")))
+
+
+@query("SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN 'x' || doc_id WHEN 2 THEN 'n' || doc_id END AS id FROM documents WHERE doc_id % 4 < 3", model=False)
+def stored_ids(spark, sf_dir):
+    i = F.col("doc_id")
+    n = i.cast("string")
+    raw = _pick(i, F.concat(F.lit('{"id": '), n, F.lit("}")), F.concat(F.lit('{"id": " ", "_id": true, "identificador": " x'), n, F.lit(' "}')), F.concat(F.lit('{"id": null, "name": "n'), n, F.lit('"}')), F.lit('{"id": [1]}{'))
+    return ingest.stored_ids(table(spark, sf_dir, "documents").select(raw.alias("raw")))
+
+
+@query(
+    """SELECT event_id, CASE WHEN s IS NULL OR s IN (403, 405, 408, 425, 429) OR s >= 500 THEN 'repetir' WHEN s IN (400, 404, 410) THEN 'desistir' WHEN s >= 400 OR event_type = 'error' THEN 'repetir' ELSE 'ok' END AS acao
+    FROM (SELECT event_id, event_type, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 200 + (event_id * 7) % 400 END AS s FROM events)""",
+    model=False,
+)
+def retry_kind(spark, sf_dir):
+    status = F.when(F.col("event_id") % 11 != 0, 200 + F.col("event_id") * 7 % 400)
+    return table(spark, sf_dir, "events").select("event_id", ingest.retry_kind(status, F.col("event_type") != "error").alias("acao"))
+
+
+@query(
+    """WITH p AS (SELECT CAST(ts AS DATE) AS d, count(*) AS c FROM events GROUP BY d), q AS (SELECT row_number() OVER (ORDER BY d) AS pagina, count(*) OVER () AS k FROM p),
+    n AS (SELECT pagina, CASE WHEN pagina > k - 3 THEN 0 WHEN pagina = 3 THEN 0 WHEN pagina = 5 THEN 120 ELSE 100 + pagina END AS n FROM q),
+    w AS (SELECT *, max(n) OVER (ORDER BY pagina) AS longest, lead(n) OVER (ORDER BY pagina) AS after FROM n)
+    SELECT arg_min(pagina, pagina) AS pagina, arg_min(motivo, pagina) AS motivo, true AS concluida, (SELECT max(n) FROM n) AS maior_pagina FROM (
+        SELECT pagina, CASE WHEN n = 0 AND after = 0 THEN 'vazia' WHEN n > 0 AND n < longest THEN 'incompleta' END AS motivo FROM w) WHERE motivo IS NOT NULL""",
+    model=False,
+)
+def listing_end(spark, sf_dir):
+    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("c"))
+    pages = days.select(F.row_number().over(Window.orderBy("d")).cast("long").alias("pagina"), F.count("*").over(Window.partitionBy()).alias("k"))
+    n = F.when((F.col("pagina") > F.col("k") - 3) | (F.col("pagina") == 3), 0).when(F.col("pagina") == 5, 120).otherwise(100 + F.col("pagina"))
+    return ingest.listing_end(pages.select("pagina", n.cast("long").alias("n")))
 
 
 @query(
