@@ -175,3 +175,46 @@ def fragments(text: Column, size: int = 24) -> Column:
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size))
     pieces = F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(size)))
     return F.filter(pieces, lambda p: p != "")
+
+
+def json_texts(cell: Column) -> Column:
+    """The items of a JSON list as texts, stripped, blanks dropped; anything else: none."""
+    items = F.try_variant_get(F.try_parse_json(cell), "$", "array<variant>")
+    said = F.transform(items, lambda v: strip(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))))
+    return F.coalesce(F.filter(said, lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def json_tag_names(cell: Column) -> Column:
+    """Names of a JSON list of tags, each a text or an object with ``name`` or ``nome``; blanks and anything else go."""
+    items = F.try_variant_get(F.try_parse_json(cell), "$", "array<variant>")
+
+    def text_of(v: Column) -> Column:
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+    def named(v: Column) -> Column:
+        first, second = (F.try_variant_get(v, f"$.{key}", "variant") for key in ("name", "nome"))
+        return F.coalesce(text_of(v), F.nullif(text_of(first), F.lit("")), text_of(second))
+
+    names = F.transform(items, lambda v: strip(named(v)))
+    return F.coalesce(F.filter(names, lambda n: n.isNotNull() & (n != "")), F.array().cast("array<string>"))
+
+
+def theme_list() -> str:
+    """The vocabulary as a list for a prompt, a theme a line."""
+    return "\n".join(f"- {key}: {label}" for key, label in THEMES.items())
+
+
+def masked(text: Column, secrets: list[str]) -> Column:
+    """A text with every known secret replaced."""
+    for secret in sorted(filter(None, secrets), key=len, reverse=True):
+        text = F.replace(text, F.lit(secret), F.lit("***"))
+    return text
+
+
+def askable(question: Column, most: int = 500) -> Column:
+    """Whether a question has something in it and at most ``most`` characters."""
+    return F.coalesce(blank_to_null(question).isNotNull() & (F.length(question) <= most), F.lit(False))
+
+
+def publisher_name(publisher: Column, default: str = "órgão não informado") -> Column:
+    return F.coalesce(F.nullif(publisher_text(publisher), F.lit("")), F.lit(default))

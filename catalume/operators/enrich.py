@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -79,22 +80,44 @@ def with_cache(inputs: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFram
     return inputs.join(cache, "hash"), inputs.join(cache.select("hash"), "hash", "left_anti")
 
 
-def enrich(inputs: DataFrame, cache: DataFrame, model: Callable[[list[str]], list[str | None]]) -> DataFrame:
+def fits(said: str | None) -> bool:
+    """Whether a model's answer is a card: a JSON object with a summary and a known confidence."""
+    try:
+        card = json.loads(said or "")
+        return bool(str(card["resumo"]).strip()) and card["confianca"].lower() in ("alta", "media", "baixa")
+    except (ValueError, KeyError, TypeError, AttributeError):
+        return False
+
+
+def cache_rows(made: DataFrame) -> DataFrame:
+    """What an enrichment adds to the cache (hash, resumo, confianca, origem): fallback cards too, so they are not asked for again."""
+    return made.where("origem <> 'cache'").dropDuplicates(["hash"]).select("hash", "resumo", "confianca", "origem")
+
+
+def enrich(inputs: DataFrame, cache: DataFrame, model: Callable[[list[str]], list[str | None]], attempts: int = 3) -> DataFrame:
     """A card for every input (doc, hash, entrada, titulo, nome, organizacao, descricao): cache, model or fallback.
 
     ``model`` gets a batch of inputs and gives a JSON text or None for each;
-    it runs inside tasks, only for what the cache does not answer. Returns
-    doc, hash, resumo, confianca, origem.
+    it runs inside tasks, only for what the cache does not answer, and what is
+    no card is asked for again, ``attempts`` times in all. Returns doc, hash,
+    resumo, confianca, origem, perguntas (capped by the final confidence),
+    temas (those of the vocabulary).
     """
     known, fresh = with_cache(inputs, cache)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["doc", "hash"]].assign(said=model(batch["entrada"].tolist()))
+            asked = batch["entrada"].tolist()
+            said: list[str | None] = [None] * len(asked)
+            for _ in range(attempts):
+                left = [i for i, x in enumerate(said) if not fits(x)]
+                for i, x in zip(left, model([asked[i] for i in left]) if left else [], strict=True):
+                    said[i] = x
+            yield batch[["doc", "hash"]].assign(said=said)
 
     kind = dict(inputs.dtypes)
     said = fresh.select("doc", "hash", "entrada").mapInPandas(run, f"doc {kind['doc']}, hash string, said string")
-    card = F.from_json("said", "resumo string, confianca string")
+    card = F.from_json("said", "resumo string, confianca string, perguntas array<string>, temas array<string>")
     read = fresh.join(said.select("doc", card.alias("card")), "doc")
     fine = text.blank_to_null(F.col("card.resumo")).isNotNull() & F.lower("card.confianca").isin("alta", "media", "baixa")
     fine = F.coalesce(fine, F.lit(False))
@@ -104,40 +127,139 @@ def enrich(inputs: DataFrame, cache: DataFrame, model: Callable[[list[str]], lis
         F.when(fine, text.strip(F.col("card.resumo"))).otherwise(fallback_summary(F.col("titulo"), F.col("nome"), F.col("organizacao"))).alias("resumo"),
         F.when(fine, clamped_confidence(F.col("descricao"), F.col("card.confianca"))).otherwise("baixa").alias("confianca"),
         F.when(fine, "modelo").otherwise("fallback").alias("origem"),
+        F.when(fine, F.col("card.perguntas")).alias("perguntas"),
+        F.when(fine, F.col("card.temas")).alias("temas"),
     )
-    return known.select("doc", "hash", "resumo", "confianca", F.lit("cache").alias("origem")).unionByName(made)
+    none = F.lit(None).cast("array<string>")
+    every = known.select("doc", "hash", "resumo", "confianca", F.lit("cache").alias("origem"), none.alias("perguntas"), none.alias("temas")).unionByName(made)
+    empty = F.array().cast("array<string>")
+    return every.withColumn("perguntas", F.coalesce(capped_questions(F.col("perguntas"), F.col("confianca")), empty)).withColumn("temas", F.coalesce(text.known_themes(F.col("temas")), empty))
 
 
-def varied_sample(datasets: DataFrame, n: int, seed: int = 0, edges: tuple[int, ...] = (1, 200, 500, 1500)) -> DataFrame:
-    """``n`` datasets (id, organizacao, descricao) taken in turn from bands of description length, publishers in turn.
+#: Where the bands of description length begin.
+BANDS = (20, 40, 200, 800)
 
-    The ``r``-th dataset of a publisher comes after all ``r-1``-th ones of its
-    band, in an order drawn by ``seed``; bands then take turns. The same seed
-    gives the same sample.
-    """
-    length = F.length(F.coalesce("descricao", F.lit("")))
-    band = sum((F.when(length >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    drawn = datasets.withColumn("faixa", band).withColumn("sorte", F.xxhash64(F.col("id").cast("string"), F.lit(seed)))
-    again = F.row_number().over(Window.partitionBy("organizacao").orderBy("sorte", "id"))
-    turn = F.row_number().over(Window.partitionBy("faixa").orderBy("again", "sorte", "id"))
-    return drawn.withColumn("again", again).withColumn("turn", turn).orderBy("turn", "faixa").limit(n).select("id", "organizacao", "faixa", "turn")
 
+def varied_sample(datasets: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` datasets (id, organizacao, faixa, turn) from five bands of description length in turn.
 
-def cached_answers(queries: DataFrame, cache: DataFrame, least: float) -> DataFrame:
+    While some band has a publisher not taken yet, none is taken twice; then
+    the bands are filled up in turn. ``turn`` counts the draws. The order
+    inside a band is drawn by ``seed``; the same seed gives the same sample.
+    At most 2 ``n`` rows of each band (its first of each of ``n`` publishers,
+    its first ``n`` of all) can be drawn, and only these come together to be
+    drawn from; they are found by limits that hold before rows are shuffled.
+    """
+    length = F.length(F.coalesce("descricao", F.lit("")))
+    band = sum((F.when(length >= e, 1).otherwise(0) for e in BANDS), F.lit(0))
+    drawn = datasets.select("id", F.coalesce("organizacao", F.lit("")).alias("organizacao"), band.alias("faixa"), F.xxhash64(F.col("id").cast("string"), F.lit(seed)).alias("sorte"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("sorte", "id"))
+    first = drawn.withColumn("k", place("faixa", "organizacao")).where("k = 1").withColumn("k", place("faixa")).where(F.col("k") <= n)
+    fill = drawn.withColumn("k", place("faixa")).where(F.col("k") <= 2 * n)
+    kind = dict(datasets.dtypes)["id"]
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns="one").sort_values(["sorte", "id"]).drop_duplicates("id")
+        bands = {f: own.to_dict("records") for f, own in rows.groupby("faixa", sort=True)}
+        used, out = set(), []
+        for fresh in (True, False):
+            idle, at = 0, 0
+            while len(out) < n and idle < len(bands):
+                own = bands[list(bands)[at % len(bands)]]
+                at += 1
+                pick = next((r for r in own if not fresh or r["organizacao"] not in used), None)
+                idle = idle + 1 if pick is None else 0
+                if pick is not None:
+                    own.remove(pick)
+                    used.add(pick["organizacao"])
+                    out.append({**pick, "turn": len(out) + 1})
+        return pd.DataFrame(out, columns=["id", "organizacao", "faixa", "turn"])
+
+    both = first.drop("k").unionByName(fill.drop("k")).withColumn("one", F.lit(0))
+    return both.groupBy("one").applyInPandas(draw, f"id {kind}, organizacao string, faixa int, turn bigint")
+
+
+def ends_of_lists(rows: DataFrame, owner: str, item: str, most: int = 20) -> DataFrame:
+    """(owner, items): each owner's items sorted; of more than ``most`` the first and last halves around a line that counts the rest.
+
+    Only the ends of a list are gathered, found by limits that hold before
+    rows are shuffled.
+    """
+    half = most // 2
+    flat = rows.select(F.col(owner).alias("_of"), F.col(item).alias("_item"))
+    near = flat.withColumn("k", F.row_number().over(Window.partitionBy("_of").orderBy("_item"))).where(F.col("k") <= most)
+    far = flat.withColumn("k", F.row_number().over(Window.partitionBy("_of").orderBy(F.desc("_item")))).where(F.col("k") <= half)
+    count = flat.groupBy("_of").agg(F.count("*").alias("n"))
+    listed = near.groupBy("_of").agg(F.array_sort(F.collect_list("_item")).alias("low"))
+    other = far.groupBy("_of").agg(F.array_sort(F.collect_list("_item")).alias("high"))
+    rest = F.concat(F.lit("[…] e mais "), (F.col("n") - 2 * half).cast("string"), F.lit(" entre estes e os seguintes"))
+    shown = F.when(F.col("n") <= most, F.col("low")).otherwise(F.concat(F.slice("low", 1, half), F.array(rest), "high"))
+    return count.join(listed, "_of").join(other, "_of").select(F.col("_of").alias(owner), shown.alias("items"))
+
+
+def cached_answers(queries: DataFrame, cache: DataFrame, least: float, newest: int | None = None) -> DataFrame:
     """(qid, answer_id, likeness): the most alike cached question of the same catalog version, if alike enough.
 
     Queries: qid, versao, vetor (unit); cache: answer_id, versao, vetor,
-    origem; absences and reduced answers are never reused. The cache is kept
-    small by evicting its oldest entries, so a version's vectors are compared
-    with every query of that version.
+    origem (and quando); absences and reduced answers are never reused. With
+    ``newest`` only so many of the latest entries are left in the cache.
+    Queries are held against the cache in blocks, see ``vectors.cosine_top``.
     """
-    usable = cache.where("origem not in ('nao_encontrado', 'modo_reduzido')").select("answer_id", "versao", F.col("vetor").alias("other"))
-    met = queries.join(usable, "versao")
-    dot = F.aggregate(F.zip_with("vetor", "other", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    close = met.select("qid", "answer_id", F.round(dot, 6).alias("likeness")).where(F.col("likeness") > least)
-    return close.groupBy("qid").agg(F.max(F.struct("likeness", (-F.col("answer_id")).alias("back"))).alias("best")).select(
-        "qid", (-F.col("best.back")).alias("answer_id"), F.col("best.likeness").alias("likeness")
+    from catalume.operators import vectors
+
+    usable = cache.where("origem not in ('nao_encontrado', 'modo_reduzido')")
+    if newest is not None:
+        usable = usable.orderBy(F.desc("quando"), F.desc("answer_id")).limit(newest)
+    rows = usable.select(F.col("answer_id").alias("id"), "versao", "vetor")
+    found = vectors.cosine_top(rows, queries.select("qid", "versao", "vetor"), 1, by="versao")
+    return found.where(F.col("score") > least).select("qid", F.col("id").alias("answer_id"), F.col("score").alias("likeness"))
+
+
+def confidence_report(cards: DataFrame) -> DataFrame:
+    """(confianca, n, share) of the cards."""
+    seen = cards.groupBy("confianca").agg(F.count("*").alias("n"))
+    return seen.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+def enrichment_report(made: DataFrame) -> DataFrame:
+    """One row: cards by origin (cache, modelo, fallback) and the cache's share, 0 for none."""
+    seen = made.agg(
+        F.count("*").alias("total"),
+        *(F.count_if(F.col("origem") == o).alias(name) for o, name in (("cache", "do_cache"), ("modelo", "do_modelo"), ("fallback", "de_fallback"))),
     )
+    return seen.withColumn("aproveitamento", F.round(F.coalesce(F.try_divide(F.col("do_cache").cast("double"), F.col("total")), F.lit(0.0)), 6))
+
+
+def token_usage(calls: DataFrame, group: str) -> DataFrame:
+    """Sums of tokens in and out, of single calls and of batches (which cost half), and calls; rows: group, entrada, saida, lote."""
+    total = lambda c, batch: F.coalesce(F.sum(F.when(F.col("lote") == batch, F.col(c))), F.lit(0)).alias(c + "_lote" * batch)
+    return calls.groupBy(group).agg(*(total(c, b) for c in ("entrada", "saida") for b in (False, True)), F.count("*").alias("chamadas"))
+
+
+def with_resources(datasets: DataFrame, resources: DataFrame, limit: int | None = None) -> DataFrame:
+    """Datasets (id, nome, ...) by nome, with array ``recursos`` of their resources' (id, conjunto_id, descricao) descriptions by id."""
+    rows = datasets.orderBy("nome", "id").limit(limit) if limit else datasets
+    listed = resources.join(rows.select(F.col("id").alias("conjunto_id")), "conjunto_id", "left_semi").groupBy("conjunto_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("id", "descricao"))), lambda r: r["descricao"]).alias("recursos")
+    )
+    joined = rows.join(listed.withColumnRenamed("conjunto_id", "id"), "id", "left")
+    return joined.withColumn("recursos", F.coalesce("recursos", F.array().cast("array<string>")))
+
+
+def batch_cards(results: DataFrame, pending: DataFrame) -> DataFrame:
+    """Results of a batch (custom_id, said) met with what was asked (custom_id, doc, hash); unknown ones go, missing ones have null."""
+    return pending.join(results.dropDuplicates(["custom_id"]), "custom_id", "left").select("doc", "hash", "said")
+
+
+#: name -> what makes a model (a function from a list of inputs to a list of JSON texts or None).
+PROVIDERS: dict[str, Callable[..., Callable[[list[str]], list[str | None]]]] = {}
+
+
+def provider(name: str, **options) -> Callable[[list[str]], list[str | None]]:
+    """The model registered under a name; an unknown one is an error that lists the names."""
+    if name not in PROVIDERS:
+        raise ValueError(f"unknown provider {name!r}; known: {', '.join(sorted(PROVIDERS)) or 'none'}")
+    return PROVIDERS[name](**options)
 
 
 def hashed_embedding(body: Column, dim: int = 384) -> Column:
@@ -151,3 +273,6 @@ def hashed_embedding(body: Column, dim: int = 384) -> Column:
     length = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, y: a + y * y))
     unit = lambda counts: bound(length(counts), lambda n: F.when(n > 0, F.transform(counts, lambda x: x / n)))
     return bound(bound(slots, counted), unit)
+
+
+PROVIDERS["stub"] = lambda **_: lambda inputs: [json.dumps({"resumo": x[:200], "confianca": "media"}) for x in inputs]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalume.config import Settings
 from catalume.functions import text
 
-#: The classes, and what may be said of a link of each.
+#: The classes, in the order of the published distribution, and what may be said of a link of each.
 CLASSES = ("disponivel", "cadeia_incompleta", "indisponivel", "instavel", "bloqueado", "dominio_inexistente", "nao_verificado")
 SITUATIONS = {
     "disponivel": "acessivel",
@@ -65,8 +65,51 @@ def reclassified(resources: DataFrame, settings: Settings) -> DataFrame:
     return joined.withColumn("classe_saude", F.when(blocked, "bloqueado").otherwise(F.col("classe_saude"))).select(*resources.columns)
 
 
-def class_report(resources: DataFrame) -> DataFrame:
-    """(classe, n, share) over the fixed classes, zeros filled in; links without a class do not count."""
+def blocked_counts(resources: DataFrame, settings: Settings) -> DataFrame:
+    """(host, n, place): links of each blocking host that are classed anew, most first."""
+    seen = reclassified(resources, settings).where("classe_saude = 'bloqueado'").groupBy(text.host(F.col("link")).alias("host")).agg(F.count("*").alias("n"))
+    return seen.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "host")).cast("long"))  # one row a blocking host
+
+
+def blindness(resources: DataFrame) -> DataFrame:
+    """One row: links confirmed absent, links about which nothing can be said, and the latter's share of those classed."""
+    classed = resources.where("classe_saude is not null")
+    seen = classed.agg(
+        F.count("*").alias("verificados"),
+        F.count_if(F.col("classe_saude") == "indisponivel").alias("ausentes"),
+        F.count_if(F.col("classe_saude").isin("bloqueado", "nao_verificado")).alias("cegos"),
+    )
+    return seen.withColumn("cegueira", F.round(F.coalesce(F.try_divide(F.col("cegos").cast("double"), F.col("verificados")), F.lit(0.0)), 6))
+
+
+def skipped(resources: DataFrame, selected: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row: how many links a selection passed over: the lesser of all and ``limit``, without those selected."""
+    total = resources.agg(F.count("*").alias("total"))
+    most = F.least(F.col("total"), F.lit(limit)) if limit else F.col("total")
+    return total.join(selected.agg(F.count("*").alias("n"))).select((most - F.col("n")).alias("pulados"))
+
+
+HEALTH = ("status_http", "classe_saude", "motivo_saude", "latencia_ms", "checado_em")
+
+
+def updated(stored: DataFrame, probed: DataFrame) -> DataFrame:
+    """``stored`` resources with the five health columns of ``probed`` (id, HEALTH) where they were probed; an empty reason is null."""
+    new = probed.select(F.col("id").alias("_id"), *(F.col(c).alias(f"_new_{c}") for c in HEALTH))
+    new = new.withColumn("_new_motivo_saude", F.nullif("_new_motivo_saude", F.lit("")))
+    there = F.col("_id").isNotNull()
+    joined = stored.join(new, stored["id"] == new["_id"], "left")
+    return joined.select(*(F.when(there, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in HEALTH else F.col(c) for c in stored.columns))
+
+
+def unavailable(resources: DataFrame, owner: str) -> DataFrame:
+    """(owner, n): links that answers call out of reach."""
+    return resources.groupBy(owner).agg(F.count_if(situation(F.col("classe_saude")) == "inacessivel").alias("n"))
+
+
+def class_report(resources: DataFrame, since: Column | None = None) -> DataFrame:
+    """(classe, n, share) over the fixed classes, zeros filled in; links without a class, or checked before ``since``, do not count."""
+    if since is not None:
+        resources = resources.where(F.col("checado_em") >= since)
     seen = resources.where("classe_saude is not null").groupBy(F.col("classe_saude").alias("classe")).agg(F.count("*").alias("n"))
     every = resources.sparkSession.createDataFrame([(c,) for c in CLASSES], "classe string")
     rows = F.broadcast(every).join(seen, "classe", "right").unionByName(every.join(seen, "classe", "left_anti").withColumn("n", F.lit(0).cast("bigint")))

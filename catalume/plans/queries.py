@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalume.config import Settings
 from catalume.functions import text
-from catalume.operators import answers, enrich, health, ingest, lexical, limiter, presentation, publish, ranking, vectors
+from catalume.operators import answers, enrich, health, ingest, lexical, limiter, presentation, publish, ranking, sinks, vectors
 from catalume.plans import catalog
 from catalume.plans.catalog import table
 from catalume.sources import kept
@@ -431,8 +431,8 @@ def describe_resource(spark, sf_dir):
     FROM (SELECT host, list(link ORDER BY link) AS l, count(*) AS n FROM recurso GROUP BY host)"""
 )
 def sample_resources(spark, sf_dir):
-    listed = catalog.links(spark, sf_dir).groupBy("host").agg(F.collect_list("link").alias("l"))
-    return listed.select("host", F.array_join(text.sample_ends(F.col("l")), "|").alias("links"))
+    listed = enrich.ends_of_lists(catalog.links(spark, sf_dir), "host", "link")
+    return listed.select("host", F.array_join("items", "|").alias("links"))
 
 
 _INPUT = """entrada AS (SELECT doc, 'nome: ' || CASE WHEN nome = '' THEN '(sem slug)' ELSE nome END || chr(10) || 'titulo: ' || CASE WHEN titulo = '' THEN '(sem título)' ELSE titulo END || chr(10)
@@ -488,9 +488,10 @@ def date_normalize(spark, sf_dir):
     return rows.select("event_id", text.utc_timestamp(F.col("w")).cast("timestamp_ntz").alias("quando"))
 
 
-@query("SELECT id, CASE id % 5 WHEN 0 THEN 'CSV' WHEN 1 THEN 'CSV' WHEN 2 THEN 'CSV' WHEN 3 THEN NULL ELSE 'ZIP SHP' END AS formato FROM recurso")
+@query("SELECT id, CASE id % 5 WHEN 3 THEN NULL WHEN 4 THEN 'ZIP ' ELSE '' END || CASE WHEN id % 5 = 3 THEN NULL ELSE upper(split_part(host, '.', 1)) END AS formato FROM recurso")
 def format_normalize(spark, sf_dir):
-    raw = F.element_at(F.array(*map(F.lit, ("csv", "CSV ", ".csv", "  ", "zip shp."))), (F.col("id") % 5 + 1).cast("int"))
+    name = F.substring_index("host", ".", 1)
+    raw = _pick(F.col("id"), name, F.concat(F.upper(name), F.lit(" ")), F.concat(F.lit(" .."), name, F.lit(".")), "  ", F.concat(F.lit("zip "), name, F.lit(".")))
     return catalog.links(spark, sf_dir).select("id", text.file_format(raw).alias("formato"))
 
 
@@ -761,8 +762,7 @@ def question_cap(spark, sf_dir):
 
 @query("SELECT confianca, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM ficha GROUP BY confianca")
 def confidence_distribution(spark, sf_dir):
-    seen = catalog.cards(spark, sf_dir).groupBy("confianca").agg(F.count("*").alias("n"))
-    return seen.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    return enrich.confidence_report(catalog.cards(spark, sf_dir))
 
 
 @query(
@@ -868,9 +868,9 @@ def operation_state(spark, sf_dir):
     return limiter.daily_state(table(spark, sf_dir, "events").where("event_type = 'purchase'"), 60)
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS conjuntos, (SELECT count(*) FROM pages) AS recursos, (SELECT count(*) FROM labels) AS fichas, 'm0,m1' AS modelos", model=False)
+@query("SELECT (SELECT count(*) FROM documents) AS conjuntos, (SELECT count(*) FROM pages) AS recursos, (SELECT count(*) FROM labels) AS fichas, (SELECT string_agg(DISTINCT 'm' || quality, ',' ORDER BY 'm' || quality) FROM labels WHERE doc_id % 3 > 0) AS modelos", model=False)
 def manifest_counts(spark, sf_dir):
-    made = table(spark, sf_dir, "labels").select(F.concat(F.lit("m"), F.col("quality").cast("string")).alias("modelo"))
+    made = table(spark, sf_dir, "labels").select(F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("m"), F.col("quality").cast("string"))).otherwise("").alias("modelo"))
     return publish.manifest_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"), made)
 
 
@@ -945,16 +945,21 @@ def dead_domains(spark, sf_dir):
     return health.dead_domains(links, looked).select("id", "classe_saude")
 
 
-@query("SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS entrada, count(*) AS chamadas FROM events GROUP BY event_type", model=False)
+@query(
+    """SELECT event_type, CAST(coalesce(sum(k) FILTER (WHERE NOT lote), 0) AS BIGINT) AS entrada, CAST(coalesce(sum(k) FILTER (WHERE lote), 0) AS BIGINT) AS entrada_lote,
+    CAST(coalesce(sum(2 * k) FILTER (WHERE NOT lote), 0) AS BIGINT) AS saida, CAST(coalesce(sum(2 * k) FILTER (WHERE lote), 0) AS BIGINT) AS saida_lote, count(*) AS chamadas
+    FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id % 3 = 0 AS lote FROM events) GROUP BY event_type""",
+    model=False,
+)
 def token_usage(spark, sf_dir):
-    used = F.try_variant_get(F.parse_json("props"), "$.k", "bigint")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(used).alias("entrada"), F.count("*").alias("chamadas"))
+    k = F.try_variant_get(F.parse_json("props"), "$.k", "bigint")
+    calls = table(spark, sf_dir, "events").select("event_type", k.alias("entrada"), (2 * k).alias("saida"), (F.col("event_id") % 3 == 0).alias("lote"))
+    return enrich.token_usage(calls, "event_type")
 
 
 @query("SELECT host, count(*) FILTER (WHERE classe_saude = 'indisponivel') AS n FROM classificado GROUP BY host")
 def unavailable_count(spark, sf_dir):
-    gone = F.count_if(health.situation(F.col("classe_saude")) == "inacessivel")
-    return catalog.links(spark, sf_dir).groupBy("host").agg(gone.alias("n"))
+    return health.unavailable(catalog.links(spark, sf_dir), "host")
 
 
 @query(
@@ -970,24 +975,342 @@ def semantic_cache_lookup(spark, sf_dir):
     return enrich.cached_answers(rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "qid"), cache, 0.2)
 
 
-@query("SELECT count(*) AS n, count(DISTINCT organizacao) AS orgaos FROM (SELECT organizacao FROM conjunto ORDER BY organizacao LIMIT 20000)", model=True)
+_SAMPLED = 50
+
+
+@query(
+    f"""WITH t AS (SELECT doc, organizacao, (length(text) >= 20)::INT + (length(text) >= 40)::INT + (length(text) >= 200)::INT + (length(text) >= 800)::INT AS faixa FROM conjunto)
+    SELECT {_SAMPLED} AS n, least({_SAMPLED}, count(DISTINCT organizacao)) AS novos, count(DISTINCT faixa) AS faixas FROM t""",
+)
 def stratified_sample(spark, sf_dir):
-    drawn = enrich.varied_sample(catalog.cards(spark, sf_dir).select("id", "organizacao", F.col("text").alias("descricao")), 20_000)
-    return drawn.agg(F.count("*").alias("n"), F.count_distinct("organizacao").alias("orgaos"))
+    """What holds of every draw: as many rows as asked for, new publishers first, all bands met."""
+    rows = catalog.cards(spark, sf_dir).select(F.col("doc").alias("id"), "organizacao", F.col("text").alias("descricao"))
+    drawn = kept.keep(enrich.varied_sample(rows, _SAMPLED), "sample")
+    publishers = rows.agg(F.least(F.count_distinct("organizacao"), F.lit(_SAMPLED)).alias("many"))
+    first = drawn.join(F.broadcast(publishers), F.col("turn") <= F.col("many")).agg(F.count_distinct("organizacao").alias("novos"))
+    return drawn.agg(F.count("*").alias("n"), F.count_distinct("faixa").alias("faixas")).join(first)
 
 
 @query(
-    """SELECT doc, CASE WHEN doc % 2 = 0 THEN 'cache' WHEN length(entrada) % 3 = 0 THEN 'fallback' ELSE 'modelo' END AS origem FROM (WITH """
+    """SELECT doc, CASE WHEN doc % 2 = 0 THEN 'cache' WHEN length(entrada) % 3 = 0 THEN 'fallback' ELSE 'modelo' END AS origem,
+    CASE WHEN doc % 2 = 0 THEN 'guardado' WHEN length(entrada) % 3 = 0 THEN titulo || '. Publicado por ' || organizacao || '. Não foi possível descrever o conteúdo com os metadados disponíveis.' ELSE 'ok ' || length(entrada) END AS resumo,
+    CASE WHEN doc % 2 = 0 THEN 'alta' WHEN length(entrada) % 3 = 0 OR length(trim(text, ' ' || chr(10) || chr(9))) < 60 THEN 'baixa' ELSE 'alta' END AS confianca,
+    CASE WHEN doc % 2 = 0 OR length(entrada) % 3 = 0 THEN '' WHEN length(trim(text, ' ' || chr(10) || chr(9))) < 60 THEN 'a?|b?' ELSE 'a?|b?|c?' END AS perguntas,
+    CASE WHEN doc % 2 = 0 OR length(entrada) % 3 = 0 THEN '' ELSE 'saude' END AS temas FROM (WITH """
     + _INPUT
-    + """ SELECT * FROM entrada)"""
+    + """ SELECT e.*, titulo, organizacao, text FROM entrada e JOIN conjunto c ON c.doc = e.doc) WHERE titulo <> ''"""
 )
 def enrich_stub(spark, sf_dir):
-    cards = catalog.cards(spark, sf_dir).join(_inputs(spark, sf_dir), "doc")
+    made = _enriched(spark, sf_dir)
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return made.select("doc", "origem", "resumo", "confianca", joined("perguntas"), joined("temas"))
+
+
+def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = catalog.cards(spark, sf_dir).join(_inputs(spark, sf_dir), "doc").where("titulo <> ''")
     inputs = cards.select("doc", F.sha2(F.col("entrada").cast("binary"), 256).alias("hash"), "entrada", "titulo", "nome", "organizacao", F.col("text").alias("descricao"))
     inputs = inputs.withColumn("hash", F.concat(F.col("hash"), F.col("doc").cast("string")))
     cache = inputs.where("doc % 2 = 0").select("hash", F.lit("guardado").alias("resumo"), F.lit("alta").alias("confianca"))
 
     def model(texts: list[str]) -> list[str | None]:
-        return [None if len(t) % 3 == 0 else '{"resumo": " ok ", "confianca": "Alta"}' for t in texts]
+        card = '{"resumo": " ok %d ", "confianca": "Alta", "perguntas": ["a?", " ", "b?", "c?"], "temas": ["Saude", "x"]}'
+        return [None if len(t) % 3 == 0 else card % len(t) for t in texts]
+
+    return enrich.enrich(inputs, cache, model)
+
+
+# -- further operators -------------------------------------------------------
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN 'b' || doc_id WHEN 2 THEN 'n' || doc_id END AS id FROM documents""",
+    model=False,
+)
+def extract_id(spark, sf_dir):
+    i, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    raw = _pick(i, F.concat(F.lit('{"id": '), n, F.lit("}")), F.concat(F.lit('{"id": " ", "_id": " b'), n, F.lit('"}')), F.concat(F.lit('{"id": null, "identificador": [1], "name": "n'), n, F.lit('"}')), '{"id": {}}')
+    return table(spark, sf_dir, "documents").select("doc_id", ingest.extract_id(F.try_parse_json(raw)).alias("id"))
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source || '|7' WHEN 1 THEN '' ELSE lang END AS itens,
+    CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN '' ELSE lang || '|' || source END AS tags FROM documents""",
+    model=False,
+)
+def json_lists(spark, sf_dir):
+    i = F.col("doc_id")
+    cell = _pick(i, F.concat(F.lit('[" '), F.col("source"), F.lit(' ", " ", 7]')), "quebrado [", F.concat(F.lit('["'), F.col("lang"), F.lit('"]')))
+    tags = _pick(i, F.concat(F.lit('[{"name": " '), F.col("source"), F.lit(' "}, {"name": 3}, 4]')), '{"name": "x"}', F.concat(F.lit('["'), F.col("lang"), F.lit('", {"name": "", "nome": "'), F.col("source"), F.lit('"}]')))
+    shown = lambda c: F.array_join(c, "|")
+    return table(spark, sf_dir, "documents").select("doc_id", shown(text.json_texts(cell)).alias("itens"), shown(text.json_tag_names(tags)).alias("tags"))
+
+
+@query("SELECT 16 AS temas, '- saude: Saúde' AS primeiro, '- demografia: População e território' AS ultimo", model=False)
+def theme_prompt(spark, sf_dir):
+    lines = F.split(F.lit(text.theme_list()), "\n")
+    return spark.range(1).select(F.size(lines).alias("temas"), F.element_at(lines, 1).alias("primeiro"), F.element_at(lines, -1).alias("ultimo"))
+
+
+@query("SELECT doc_id, sha256(replace(replace(text, 'tion', '***'), 'the', '***')) AS texto FROM documents", model=False)
+def masked_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.masked(F.col("text"), ["the", "tion", ""]).cast("binary"), 256).alias("texto"))
+
+
+@query("SELECT doc_id, trim(text, ' ' || chr(10) || chr(9)) <> '' AND length(text) <= 500 AS cabe FROM documents", model=False)
+def askable_questions(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.askable(F.col("text")).alias("cabe"))
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN replace(host, '-', ' ') ELSE 'órgão não informado' END AS orgao FROM recurso")
+def publisher_default(spark, sf_dir):
+    return catalog.links(spark, sf_dir).select("id", text.publisher_name(F.when(F.col("id") % 2 == 0, F.col("host"))).alias("orgao"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'h' || user_id WHEN 1 THEN 's' || user_id ELSE 'desconhecido' END AS origem FROM events", model=False)
+def origin_address(spark, sf_dir):
+    user = F.col("user_id").cast("string")
+    header = _pick(F.col("event_id"), F.concat(F.lit(" h"), user, F.lit(" ")), "  ", F.lit(None).cast("string"))
+    socket = F.when(F.col("event_id") % 3 < 2, F.concat(F.lit("s"), user))
+    return table(spark, sf_dir, "events").select("event_id", presentation.origin_address(header, socket).alias("origem"))
+
+
+@query(
+    """SELECT id, CASE id % 5 WHEN 0 THEN 'dominio_inexistente' WHEN 1 THEN 'cadeia_incompleta' WHEN 2 THEN 'cadeia_incompleta' ELSE 'instavel' END AS classe FROM recurso"""
+)
+def failure_class(spark, sf_dir):
+    error = _pick(F.col("id"), "gaierror", "SSLCertVerificationError", "SSLCertVerificationError", "SSLCertVerificationError", "ConnectError")
+    code = _pick(F.col("id"), F.lit(None).cast("int"), F.lit(20), F.lit(2), F.lit(10), F.lit(None).cast("int"))
+    return catalog.links(spark, sf_dir).select("id", health.failure_class(error, code).alias("classe"))
+
+
+@query(f"WITH {_BLOCKERS} SELECT host, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, host) AS place FROM final WHERE classe_saude = 'bloqueado' GROUP BY host")
+def blocked_counts(spark, sf_dir):
+    return health.blocked_counts(catalog.links(spark, sf_dir), SETTINGS)
+
+
+@query(
+    f"""WITH {_BLOCKERS} SELECT count(classe_saude) AS verificados, count(*) FILTER (WHERE classe_saude = 'indisponivel') AS ausentes, count(*) FILTER (WHERE classe_saude IN ('bloqueado', 'nao_verificado')) AS cegos,
+    round(cegos / verificados, 6) AS cegueira FROM final"""
+)
+def blindness(spark, sf_dir):
+    return health.blindness(health.reclassified(catalog.links(spark, sf_dir), SETTINGS))
+
+
+@query(
+    """SELECT classe, count(event_id) AS n, round(count(event_id) / sum(count(event_id)) OVER (), 6) AS share FROM (SELECT unnest(['disponivel', 'cadeia_incompleta', 'indisponivel', 'instavel', 'bloqueado', 'dominio_inexistente', 'nao_verificado']) AS classe) k
+    LEFT JOIN (SELECT event_id, CASE event_type WHEN 'view' THEN 'disponivel' WHEN 'click' THEN 'instavel' WHEN 'error' THEN 'indisponivel' END AS c FROM events WHERE ts >= TIMESTAMP '2024-01-15') e ON e.c = k.classe GROUP BY classe""",
+    model=False,
+)
+def class_counts_since(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "view", "disponivel").when(F.col("event_type") == "click", "instavel").when(F.col("event_type") == "error", "indisponivel")
+    rows = table(spark, sf_dir, "events").select(kind.alias("classe_saude"), F.col("ts").alias("checado_em"))
+    return health.class_report(rows, F.lit("2024-01-15").cast("timestamp_ntz"))
+
+
+@query("SELECT least(count(*), 100) - count(*) FILTER (WHERE id IN (SELECT id FROM classificado WHERE classe_saude IS NOT NULL AND classe_saude <> 'disponivel' ORDER BY id LIMIT 100)) AS pulados FROM classificado")
+def skipped_links(spark, sf_dir):
+    links = catalog.links(spark, sf_dir)
+    return health.skipped(links, health.select_links(links, only_failures=True, limit=100), 100)
+
+
+@query(
+    """SELECT id, CASE WHEN id % 3 = 0 THEN 503 ELSE status_http END AS status_http, CASE WHEN id % 3 = 0 THEN 'instavel' ELSE classe_saude END AS classe_saude,
+    CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'tempo' END ELSE 'antes' END AS motivo_saude, CASE WHEN id % 3 = 0 THEN 9 ELSE latencia_ms END AS latencia_ms FROM classificado"""
+)
+def health_update(spark, sf_dir):
+    stored = catalog.links(spark, sf_dir).withColumn("motivo_saude", F.lit("antes")).withColumn("checado_em", F.lit("2024-01-01"))
+    reason = F.when(F.col("id") % 2 == 0, "tempo").otherwise("")
+    probed = stored.where("id % 3 = 0").select("id", F.lit(503).alias("status_http"), F.lit("instavel").alias("classe_saude"), reason.alias("motivo_saude"), F.lit(9).cast("long").alias("latencia_ms"), F.lit("2024-02-01").alias("checado_em"))
+    return health.updated(stored, probed).select("id", "status_http", "classe_saude", "motivo_saude", "latencia_ms")
+
+
+@query("SELECT source AS conjunto, coalesce(string_agg('r' || doc_id, ',' ORDER BY CAST(doc_id AS VARCHAR)) FILTER (WHERE doc_id % 4 = 0), '') AS recursos FROM documents WHERE source IN (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 3) GROUP BY source", model=False)
+def datasets_with_resources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    owners = docs.select(F.col("source").alias("id"), F.col("source").alias("nome")).distinct()
+    files = docs.where("doc_id % 4 = 0").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("conjunto_id"), F.concat(F.lit("r"), "doc_id").alias("descricao"))
+    return enrich.with_resources(owners, files, 3).select(F.col("id").alias("conjunto"), F.array_join("recursos", ",").alias("recursos"))
+
+
+@query("SELECT doc_id AS doc, CASE WHEN doc_id % 3 = 0 THEN source END AS said FROM documents WHERE doc_id % 2 = 0", model=False)
+def batch_cards(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("custom_id", F.concat(F.lit("c"), "doc_id"))
+    pending = docs.where("doc_id % 2 = 0").select("custom_id", F.col("doc_id").alias("doc"), F.lit("h").alias("hash"))
+    return enrich.batch_cards(docs.where("doc_id % 3 = 0").select("custom_id", F.col("source").alias("said")), pending).select("doc", "said")
+
+
+@query(
+    """SELECT count(*) AS total, count(*) FILTER (WHERE doc % 2 = 0) AS do_cache, count(*) FILTER (WHERE doc % 2 = 1 AND length(entrada) % 3 <> 0) AS do_modelo, count(*) FILTER (WHERE doc % 2 = 1 AND length(entrada) % 3 = 0) AS de_fallback,
+    round(do_cache / total, 6) AS aproveitamento, count(*) FILTER (WHERE doc % 2 = 1) AS novos_no_cache FROM (WITH """
+    + _INPUT
+    + """ SELECT e.* FROM entrada e JOIN conjunto c ON c.doc = e.doc WHERE c.titulo <> '')"""
+)
+def enrichment_report(spark, sf_dir):
+    made = kept.keep(_enriched(spark, sf_dir), "cards")
+    return enrich.enrichment_report(made).join(enrich.cache_rows(made).agg(F.count("*").alias("novos_no_cache")))
+
+
+@query("SELECT doc, CASE WHEN doc % 2 = 0 THEN 'nova' ELSE 'velha' END AS resumo, confianca FROM ficha")
+def card_upsert(spark, sf_dir):
+    """Cards of every second dataset are made anew and stored over the old ones; read back from the table's last state."""
+    cards = catalog.cards(spark, sf_dir).select("doc", "confianca")
+    path = kept.new_path(spark, "cards")
+    sinks.replace(cards.withColumn("resumo", F.lit("velha")), path)
+    new = cards.where("doc % 2 = 0").select("doc", F.lit("nova").alias("resumo"), F.lit(1).alias("vez"))
+    sinks.replace(ingest.upsert(sinks.current(spark, path), new, "doc", "vez"), path)
+    return sinks.current(spark, path).select("doc", "resumo", "confianca")
+
+
+@query("SELECT event_id, event_type AS motivo FROM events WHERE event_type IN ('error', 'click') UNION ALL SELECT event_id, event_type FROM events WHERE event_type = 'error'", model=False)
+def appended_failures(spark, sf_dir):
+    """Failures appended in two runs and read back."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("motivo"))
+    path = kept.new_path(spark, "failures")
+    sinks.append_json(rows.where("motivo in ('error', 'click')"), path)
+    sinks.append_json(rows.where("motivo = 'error'"), path)
+    return spark.read.schema("event_id bigint, motivo string").json(path)
+
+
+@query("SELECT doc_id, text IS NULL AS vazio, CAST(NULL AS VARCHAR) AS classe_saude FROM documents", model=False)
+def added_columns(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").isNull().alias("vazio"))
+    return sinks.with_columns(sinks.with_columns(rows, {"classe_saude": "string"}), {"classe_saude": "int", "DOC_ID": "string"})
+
+
+@query("SELECT true AS vectors_fit, true AS same_model, true AS same_catalog, true AS same_vectors, true AS ready UNION ALL SELECT true, false, false, true, false", model=False)
+def readiness_gate(spark, sf_dir):
+    """Vectors and manifest as written are ready; asked with another model and a changed catalog they are not."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vetor"))
+    cards = rows.select(F.col("id"), F.concat(F.lit("texto "), "id").alias("texto"))
+    version = publish.catalog_fingerprint(cards.select(F.col("id").cast("string").alias("id"), "texto")).first()["fingerprint"]
+    manifest = sinks.write_vectors(rows, cards, kept.new_path(spark, "vectors"), "hash/64", version, 64)
+    named = lambda c: c.select(F.col("id").cast("string").alias("id"), "texto")
+    own = rows.select(F.col("id").cast("string").alias("id"), "vetor")
+    good = vectors.ready(own, named(cards), 64, "hash/64", manifest)
+    other = vectors.ready(own, named(cards.withColumn("texto", F.lit("outro"))), 64, "outro", manifest)
+    return good.unionByName(other)
+
+
+@query("SELECT round(min(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS least, least > 0.999 AS passed FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 2", model=False)
+def vector_parity(spark, sf_dir):
+    """Each vector against that of the even number at or below it."""
+    rows = _vectors(spark, sf_dir).select("id", "vetor")
+    below = rows.select(F.col("id").alias("_even"), "vetor").join(rows.select(F.col("id"), (F.col("id") - F.col("id") % 2).alias("_even")), "_even").select("id", "vetor")
+    return vectors.parity(below, rows)
+
+
+@query("SELECT true AS same_order UNION ALL SELECT false", model=False)
+def vector_order_gate(spark, sf_dir):
+    ids = _vectors(spark, sf_dir).select("id")
+    risen = vectors.same_order(ids.select("id", (2 * F.col("id")).alias("pos")), ids)
+    return risen.unionByName(vectors.same_order(ids.select("id", F.when(F.col("id") == 3, 0).otherwise(F.col("id") + 1).alias("pos")), ids))
+
+
+@query(f"WITH {_ROUTED} SELECT p.qid, sha256('{answers.ABSENCE}') AS answer FROM pergunta p LEFT JOIN seen s ON s.qid = p.qid WHERE p.qid % 2 = 0 OR coalesce(relevant, 0) = 0")
+def absence_answer(spark, sf_dir):
+    """Questions whose results (here those of odd numbers only) hold nothing relevant get the fixed text."""
+    fused = ranking.fuse(_rankings(spark, sf_dir), SETTINGS.rrf_k, SETTINGS.limit).where("qid % 2 = 1")
+    routed = ranking.route(catalog.questions(spark, sf_dir), fused, SETTINGS)
+    return routed.where("rota = 'AUSENCIA'").select("qid", F.sha2(F.lit(answers.ABSENCE).cast("binary"), 256).alias("answer"))
+
+
+@query(
+    f"""WITH {_FUSED}, part AS (SELECT p.qid, p.posicao, '**' || CASE WHEN c.titulo = '' THEN nome ELSE titulo END || '**' || chr(10) || 'Publicado por ' || organizacao || '.' || chr(10) || lang || chr(10) || 'Formatos: CSV.' || chr(10) || c.id AS part
+        FROM placed p JOIN conjunto c ON c.doc = p.id WHERE p.qid % 2 = 1)
+    SELECT p.qid, sha256(coalesce('{answers.CAPPED}' || chr(10) || chr(10) || string_agg(part || chr(10), chr(10) ORDER BY posicao), '{answers.ABSENCE}')) AS answer FROM pergunta p LEFT JOIN part ON part.qid = p.qid GROUP BY p.qid"""
+)
+def capped_answer(spark, sf_dir):
+    return _capped(spark, sf_dir).select("qid", F.sha2(F.col("answer").cast("binary"), 256).alias("answer"))
+
+
+def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = ranking.fuse(_rankings(spark, sf_dir), SETTINGS.rrf_k, SETTINGS.limit).where("qid % 2 = 1").select("qid", "posicao", F.col("id").alias("doc"))
+    named = catalog.cards(spark, sf_dir).select("doc", "titulo", "nome", "organizacao", F.col("lang").alias("resumo"), F.array(F.lit("CSV")).alias("formatos"), F.col("id").alias("page"))
+    return answers.capped_answers(catalog.questions(spark, sf_dir), fused.join(named, "doc"))
+
+
+@query(
+    f"""WITH {_ROUTED}, r AS (SELECT p.qid, CASE WHEN coalesce(relevant, 0) = 0 THEN 'AUSENCIA' WHEN first_fits = 0 OR first < 35 THEN 'MODELO' WHEN first - coalesce(second, 0) < 2 THEN 'MODELO' ELSE 'TEMPLATE' END AS rota
+        FROM pergunta p LEFT JOIN seen s ON s.qid = p.qid)
+    SELECT qid, CASE rota WHEN 'AUSENCIA' THEN 'nao_encontrado' WHEN 'TEMPLATE' THEN 'correspondencia_direta' ELSE CASE WHEN qid % 5 IN (1, 2) THEN 'redigida_pelo_modelo' ELSE 'modo_reduzido' END END AS origem,
+    CASE rota WHEN 'AUSENCIA' THEN 'ausencia' WHEN 'TEMPLATE' THEN 't' ELSE CASE qid % 5 WHEN 0 THEN 'c' WHEN 3 THEN 'r' WHEN 4 THEN 'descartada' ELSE 'm' END END AS answer, rota = 'MODELO' AND qid % 5 NOT IN (0, 3) AS called FROM r"""
+)
+def answer_branches(spark, sf_dir):
+    """Of each five questions one is over the cap, one gets nothing from the model, one a made-up answer."""
+    fused = ranking.fuse(_rankings(spark, sf_dir), SETTINGS.rrf_k, SETTINGS.limit)
+    asked = catalog.questions(spark, sf_dir)
+    q = F.col("qid") % 5
+    routed = ranking.route(asked, fused, SETTINGS).withColumn("reduzido", q == 0)
+    ready = asked.select("qid", F.lit("t").alias("template"), F.lit("c").alias("capped"), F.lit("r").alias("reduced"))
+    said = asked.where(q != 3).select("qid", F.lit("m").alias("answer"))
+    made = answers.assemble(routed, ready, said, asked.select("qid", (q != 4).alias("approved")))
+    shown = F.when(F.col("answer") == answers.ABSENCE, "ausencia").when(F.col("answer") == answers.DISCARDED, "descartada").otherwise(F.col("answer"))
+    return made.select("qid", "origem", shown.alias("answer"), "called")
+
+
+@query(
+    """SELECT doc, sha256('Pergunta da pessoa:' || chr(10) || 'q?' || chr(10) || chr(10) || 'Fichas recuperadas (1):' || chr(10) || chr(10) || '### ' || CASE WHEN titulo = '' THEN nome ELSE titulo END || chr(10) || 'identificador: ' || nome || chr(10) || 'órgão: ' || organizacao || chr(10) || 'confiança da ficha: ' || confianca || chr(10) || 'página no portal: ' || id || chr(10) || 'resumo: ' || lang
+    || CASE WHEN confianca = 'baixa' THEN chr(10) || 'ATENÇÃO: metadados pobres. Não afirme conteúdo além do resumo.' ELSE '' END || chr(10) || 'perguntas que este conjunto ajuda a responder:' || chr(10) || '    - onde?' || chr(10) || 'arquivos (9):' || chr(10)
+    || '    - a (CSV) — http://a' || chr(10) || '    - (sem título)  [INDISPONÍVEL na última verificação]' || chr(10) || '    - c  [NÃO FOI POSSÍVEL VERIFICAR este link]' || chr(10) || repeat('    - d' || chr(10), 4) || '    - d') AS entrada FROM ficha"""
+)
+def model_entry(spark, sf_dir):
+    file = lambda t, f, link, s: F.struct(F.lit(t).alias("titulo"), F.lit(f).alias("formato"), F.lit(link).alias("link"), F.lit(s).alias("situacao"))
+    files = F.array(file("a", "csv", "http://a", "acessivel"), file("", "", "", "inacessivel"), file("c", "", "", "nao_verificado"), *[file("d", "", "", "acessivel")] * 6)
+    block = answers.context_block(F.col("titulo"), F.col("nome"), F.col("organizacao"), F.col("confianca"), F.col("id"), F.col("lang"), F.array(F.lit("onde?")), files)
+    return catalog.cards(spark, sf_dir).select("doc", F.sha2(answers.model_entry(F.lit("q?"), F.array(block)).cast("binary"), 256).alias("entrada"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'resposta' ELSE 'resposta_descartada' END AS evento, CASE WHEN event_id % 2 = 1 THEN 'inteiro ' || event_id END AS texto FROM events", model=False)
+def answer_log(spark, sf_dir):
+    i = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(i.cast("string").alias("pergunta"), F.col("event_type").alias("origem"), F.lit(1).alias("fichas"), F.lit(2).alias("latencia_ms"), F.lit("").alias("motivo"), F.when(i % 2 == 1, F.concat(F.lit("inteiro "), i.cast("string"))).alias("texto"))
+    read = answers.log_lines(rows).select(F.from_json("value", "evento string, pergunta string, texto string").alias("r"))
+    return read.select(F.col("r.pergunta").cast("long").alias("event_id"), "r.evento", "r.texto")
+
 
-    return enrich.enrich(inputs, cache, model).select("doc", "origem")
+@query("SELECT conv_id * 1000 + turn AS sid, CAST(0 AS BIGINT) AS seq, 'nota' AS evento, length(to_json(text)) > 0 AS tem FROM conversations WHERE role = 'assistant'", model=False)
+def sse_chunks(spark, sf_dir):
+    """Streams cut into pieces of 7 bytes, in the middle of characters too."""
+    said = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sid"), F.to_json(F.struct("text")).alias("j"))
+    body = said.select("sid", F.concat(F.lit("event: nota\r\ndata: "), "j").cast("binary").alias("b"))
+    cut = body.select("sid", "b", F.explode(F.sequence(F.lit(0), F.expr("cast((length(b) - 1) div 7 as int)"))).alias("seq"))
+    chunks = cut.select("sid", "seq", F.expr("substring(b, seq * 7 + 1, 7)").alias("chunk"))
+    return answers.parse_chunks(chunks).select("sid", "seq", "evento", (F.length("dados") > 0).alias("tem"))
+
+
+@query("SELECT 'hibrida' AS recuperacao, count(*) AS fichas, 'm0,m1' AS modelos, true AS completo FROM labels", model=False)
+def retrieval_version(spark, sf_dir):
+    cards = table(spark, sf_dir, "labels").select(F.concat(F.lit("m"), F.col("quality").cast("string")).alias("modelo"))
+    made = publish.retrieval_version(cards, "hibrida", SETTINGS, "hash/64", "0123456789abcdef0123")
+    read = F.from_json("parametros", "rrf_k int, profundidade int, versao_vetores string, pesos struct<nome:double>")
+    full = (read["rrf_k"] == 60) & (read["profundidade"] == 10) & (read["versao_vetores"] == "0123456789abcdef") & (read["pesos"]["nome"] == 3.0)
+    return made.select("recuperacao", "fichas", "modelos", full.alias("completo"))
+
+
+@query(
+    """SELECT (SELECT count(*) FROM documents) AS conjuntos, (SELECT count(*) FROM pages) AS recursos, (SELECT count(*) FROM labels) AS fichas, (SELECT max(ts) FROM events) AS gerado_em, 'a.npy,b.db' AS assets""",
+    model=False,
+)
+def release_manifest(spark, sf_dir):
+    latest = table(spark, sf_dir, "events").agg(F.max("ts").alias("gerada_em"))
+    cards = table(spark, sf_dir, "labels").join(latest).withColumn("modelo", F.lit("m"))
+    assets = spark.createDataFrame([("x/b.db", 3, "h"), ("y/a.npy", 4, "g")], "path string, bytes bigint, sha256 string")
+    made = publish.manifest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"), cards, assets)
+    return made.select("conjuntos", "recursos", "fichas", "gerado_em", F.array_join(F.transform("assets", lambda a: a["nome"]), ",").alias("assets"))
+
+
+@query("SELECT count(*) = 1 AS um, true AS confere, false AS outro FROM (SELECT 1)", model=False)
+def file_checksums(spark, sf_dir):
+    """Digests of stored files against the ones noted for them."""
+    path = kept.new_path(spark, "asset")
+    spark.range(1).select(F.lit("conteudo").alias("value")).coalesce(1).write.text(path)
+    found = publish.file_digests(spark, f"{path}/part-*")
+    name = found.select(F.substring_index("path", "/", -1).alias("nome"), "sha256")
+    fine = publish.checked_files(found, name).agg((F.count("*") == 1).alias("um"), F.every("ok").alias("confere"))
+    return fine.join(publish.checked_files(found, name.withColumn("sha256", F.lit("x"))).agg(F.every("ok").alias("outro")))
+
+
+@query(f"{_LIMITER} SELECT event_id, user_id AS origem, wait_s = 0 AS allowed, wait_s FROM s", model=False)
+def limiter_fold(spark, sf_dir):
+    """The limiter without Python, as a fold over each origin's requests."""
+    return limiter.sliding_fold(catalog.requests(spark, sf_dir), 3, 86_400)

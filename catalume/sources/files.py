@@ -47,3 +47,8 @@ def last_run(spark: SparkSession, path: str, kind: str) -> DataFrame:
     read = numbered_lines(spark, path).withColumn("r", F.from_json("raw", "recuperacao string, recall_5 double, recall_10 double, mrr double, total int"))
     fine = read.where("r.recall_5 is not null").select("linha", "r.*").withColumn("recuperacao", F.coalesce("recuperacao", F.lit("lexica")))
     return fine.where(F.col("recuperacao") == kind).orderBy(F.desc("linha")).limit(1)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A release's manifest, a JSON object over any number of lines."""
+    return spark.read.option("multiLine", True).json(path)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-#: Keys under which a listing may hold its records, in order.
+#: Keys under which a listing may hold its records, in order.
 LIST_KEYS = ("dados", "data", "result", "resultado", "conjuntos", "items")
 
 
@@ -22,6 +23,30 @@ def records_of(payload: object) -> list[dict]:
     return [x for x in found if isinstance(x, dict)]
 
 
+def detail_of(payload: object) -> dict:
+    """A detail lookup's record: an object itself, a list's first item; anything else: none."""
+    if isinstance(payload, list):
+        payload = payload[0] if payload else {}
+    return payload if isinstance(payload, dict) else {}
+
+
+class Again(Exception):
+    """An answer that another try may better."""
+
+
+def fetch(url: str, headers: dict[str, str], timeout: float = 60) -> object:
+    """The JSON at a url; ``Again`` for what passes (see ``retry_kind``), OSError for what does not."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as answer:
+            return json.load(answer)
+    except urllib.error.HTTPError as error:
+        if error.code in (400, 404, 410):
+            raise
+        raise Again(f"HTTP {error.code}") from None
+    except (urllib.error.URLError, TimeoutError, ValueError) as error:
+        raise Again(type(error).__name__) from None
+
+
 class Page(InputPartition):
     def __init__(self, number: int):
         self.number = number
@@ -31,27 +56,39 @@ class PortalReader(DataSourceReader):
     """One partition per page; a page that comes back empty is asked for again before that is believed."""
 
     def __init__(self, options: dict[str, str]):
-        self.url, self.key = options["url"], options.get("key", "")
+        self.url, self.detail = options["url"], options.get("detail", "")
+        self.headers = {"chave-api-dados-abertos": options["key"]} if options.get("key") else {}
         self.first, self.pages = int(options.get("first", "1")), int(options["pages"])
         self.asks, self.pause = int(options.get("asks", "7")), float(options.get("pause", "1"))
 
     def partitions(self) -> list[InputPartition]:
         return [Page(n) for n in range(self.first, self.first + self.pages)]
 
+    def ask(self, url: str) -> object:
+        """What the portal answers, asked again while that may help; the last failure is raised."""
+        for turn in range(self.asks):
+            try:
+                return fetch(url, self.headers)
+            except Again:
+                if turn + 1 == self.asks:
+                    raise
+                time.sleep(self.pause * (turn + 1))
+
     def read(self, partition: Page) -> Iterator[tuple]:
+        records: list[dict] = []
         for turn in range(self.asks):
-            request = urllib.request.Request(self.url.format(page=partition.number), headers={"chave-api-dados-abertos": self.key} if self.key else {})
-            with urllib.request.urlopen(request, timeout=60) as answer:
-                records = records_of(json.load(answer))
+            records = records_of(self.ask(self.url.format(page=partition.number)))
             if records:
                 break
             time.sleep(self.pause * (turn + 1))
         for record in records:
+            if self.detail and record.get("id"):
+                record = {**record, "detalhe": detail_of(self.ask(self.detail.format(id=record["id"])))}
             yield partition.number, json.dumps(record, ensure_ascii=False)
 
 
 class PortalSource(DataSource):
-    """``spark.read.format("portal")`` with options url (holding ``{page}``), pages, first, key, asks, pause."""
+    """``spark.read.format("portal")`` with options url (holding ``{page}``), detail (holding ``{id}``, optional), pages, first, key, asks, pause."""
 
     @classmethod
     def name(cls) -> str:
