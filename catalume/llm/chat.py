@@ -131,10 +131,11 @@ def format_chat(conversations: DataFrame, template: Template | None = None) -> D
 def read_turns(formatted: Column, template: Template | None = None) -> Column:
     """The (role, text) turns of a formatted conversation, texts unescaped."""
     template = template or Template()
+    tags = "|".join(re.escape(t) for t in [*template.turns.values(), "ROLE"])
     pieces = F.filter(F.split(formatted, re.escape(template.end) + "\n"), lambda p: p != "")
 
     def turn(piece: Column) -> Column:
-        tag = F.regexp_extract(piece, r"(?s)^" + re.escape(template.start) + r"\[([A-Z]+)\] ", 1)
+        tag = F.regexp_extract(piece, r"(?s)^" + re.escape(template.start) + rf"\[({tags})\] ", 1)
         inner = F.substring(piece, F.length(tag) + len(template.start) + 4, F.length(piece) - 2 * F.length(tag) - len(template.start) - 7)
         named = tag == "ROLE"
         role = F.when(named, F.url_decode(F.substring_index(inner, " ", 1)))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from catalume.llm.merges import merges_alone
 from catalume.llm.pieces import PieceCache
-from catalume.llm.storage import materialize, rank_in_cells, ship_package
+from catalume.llm.storage import materialize, rank_in_cells, ship_package, small_or_not
 
 LENGTH, END = 1024, 0
 # -- tokens ------------------------------------------------------------------
@@ -125,14 +125,15 @@ def _price(value: np.ndarray, sizes: np.ndarray, length: int) -> tuple[float, di
     return float(best[length]), holds
 
 
-def solve_patterns(demand: dict[int, int], length: int = LENGTH, grid: int = 8, gap: float = 0.002) -> list[Pattern]:
+def solve_patterns(demand: dict[int, int], length: int = LENGTH, grid: int = 8, gap: float = 0.002, pivots: int = 4000) -> list[Pattern]:
     """Patterns that hold each length as often as ``demand`` says, in few sequences.
 
     The linear program over all patterns has a row per length, rounded up to
     ``grid``, and is solved by column generation: a revised simplex method
     keeps one pattern per row as its basis, the knapsack program finds the
     pattern that its prices undervalue most, until no pattern is worth more
-    than 1 + ``gap`` or the tokens themselves need as many sequences. Prices
+    than 1 + ``gap``, the tokens themselves need as many sequences, or after
+    ``pivots`` exchanges (any basis can be packed by, just less tightly). Prices
     are first drawn halfway to the lengths' shares of a sequence, near which
     the best prices lie. The solution is rounded down; what is left, less than
     one sequence per pattern, is filled largest first into the best fitting
@@ -154,7 +155,9 @@ def solve_patterns(demand: dict[int, int], length: int = LENGTH, grid: int = 8,
     amounts = inverse @ need
     share = sizes / room
     floor = float(need @ share)
-    while amounts.sum() > floor * (1 + gap):
+    for _ in range(pivots):
+        if amounts.sum() <= floor * (1 + gap):
+            break
         prices = inverse.sum(axis=0)
         _, holds = _price((prices + share) / 2, sizes, room)
         if sum(prices[place[s]] * n for s, n in holds.items()) <= 1 + gap:
@@ -236,7 +239,7 @@ def _places(spark: SparkSession, patterns: list[Pattern]) -> DataFrame:
 # -- assignment --------------------------------------------------------------
 
 
-def pack(docs: DataFrame, tokenizer_path: str, pattern: str, length: int = LENGTH, sub_buckets: int = 32) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, pattern: str, length: int = LENGTH, rows_a_part: int = 250_000) -> DataFrame:
     """Every token of ``docs`` (doc_id, text) in a sequence of at most ``length`` tokens.
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens,
@@ -246,16 +249,16 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, length: int = LENGT
 
     The histogram of at most ``length`` piece lengths goes to the driver, the
     patterns come back as a broadcast table that it bounds. Pieces of a length
-    are ranked in parts (see ``rank_in_cells``), so a frequent length fills no
-    task; a piece's rank says which pattern, sequence and offset it gets.
+    are ranked in parts that grow in number with them (see ``rank_in_cells``),
+    so a frequent length fills no task; a piece's rank says which pattern, sequence and offset it gets.
     """
     spark = docs.sparkSession
     pieces = materialize(cut_documents(docs, tokenizer_path, pattern, length), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     whole = histogram.pop(length, 0)
     patterns = ([Pattern({length: 1}, whole)] if whole else []) + solve_patterns(histogram, length)
-    placed, parts = rank_in_cells(pieces, ["length"], ["doc_id", "start", "ids_crc32"], sub_buckets)
-    ranked = placed.join(F.broadcast(parts.select("length", "sub", "before")), ["length", "sub"])
+    placed, parts = rank_in_cells(pieces, ["length"], ["doc_id", "start", "ids_crc32"], rows_a_part)
+    ranked = placed.join(small_or_not(parts.select("length", "sub", "before")), ["length", "sub"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("place"))
     spots = _places(spark, patterns).groupBy("length").agg(
         F.sort_array(F.collect_list(F.struct("first", "beyond", "each", "base", "at"))).alias("spots")

@@ -69,12 +69,12 @@ def features(text: str) -> Iterator[np.ndarray]:
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """A text's distinct buckets, in order, and how often each occurs."""
-    total = np.zeros(BUCKETS, np.int64)
+    """A text's distinct buckets, in order, and how often each occurs, as unsigned 16- and 32-bit numbers."""
+    total = np.zeros(BUCKETS, np.uint32)
     for found in features(text or ""):
-        total += np.bincount(found, minlength=BUCKETS)
+        total += np.bincount(found, minlength=BUCKETS).astype(np.uint32)
     at = np.nonzero(total)[0]
-    return at, total[at]
+    return at.astype(np.uint16), total[at]
 
 
 @dataclass(frozen=True)
@@ -115,11 +115,11 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, ra
     bias[:] = np.log(1 - share), np.log(share)
     if len(set(labels.tolist())) < 2:
         return Model(embeddings, weights, bias)
-    sparse = [(at, counts / max(1, counts.sum())) for at, counts, _ in samples]
     steps, done = epochs * len(samples), 0
     for _ in range(epochs):
         for i in random.permutation(len(samples)).tolist():
-            at, share_of = sparse[i]
+            at, counts, _ = samples[i]
+            at, share_of = at.astype(np.int64), counts / max(1, counts.sum())
             pace = rate * (1 - done / steps)
             done += 1
             hidden = share_of @ embeddings[at]
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 2400) -> Model:
     hashes of their doc_id, whole texts each; a doc_id labelled more than once
     has the mean label, rounded up, one that stands on several texts the text
     of the smallest hash. Their ids are broadcast; their buckets and counts,
-    ``BUCKETS`` pairs a row at most, go to the driver.
+    six bytes each and ``BUCKETS`` pairs a row at most, go to the driver.
     """
     ship_package(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
@@ -160,15 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 2400) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [counted(x.as_py()) for x in batch.column(2)]
-            sides = [pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (0, 1)]
+            sides = [pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sides], ["_id", "label", "buckets", "counts"])
 
-    rows = met.mapInArrow(run, f"_id {kind}, label int, buckets array<int>, counts array<int>").toArrow().sort_by("_id")
-    sides = [rows.column(name).combine_chunks() for name in ("buckets", "counts")]
-    flat = [side.flatten().to_numpy(zero_copy_only=False) for side in sides]
-    ends = np.cumsum([0, *sides[0].value_lengths().to_pylist()]).tolist()
-    spans = zip(ends, ends[1:], rows.column("label").to_pylist(), strict=False)
-    return train([(flat[0][a:b].astype(np.int64), flat[1][a:b].astype(np.int64), y) for a, b, y in spans])
+    rows = sorted(met.mapInArrow(run, f"_id {kind}, label int, buckets binary, counts binary").collect(), key=lambda r: r["_id"])
+    return train([(np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["counts"], np.uint32), r["label"]) for r in rows])
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

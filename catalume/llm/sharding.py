@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalume.llm.storage import materialize, rank_in_cells
+from catalume.llm.storage import materialize, rank_in_cells, small_or_not
 
 DIMENSIONS, BITS = ("q_lang", "q_size", "q_source"), 4
 
@@ -16,8 +16,9 @@ def quantised(value: Column) -> Column:
 
 
 def quantised_size(size: Column) -> Column:
-    """The size's power of two, 0 to 15."""
-    return F.least(F.floor(F.log2(size.cast("double"))).cast("int"), F.lit((1 << BITS) - 1))
+    """The size's power of two, 0 for 8 to 15 bytes, 15 from 256 KiB on."""
+    power = F.floor(F.log2(size.cast("double"))).cast("int") - 3
+    return F.greatest(F.lit(0), F.least(power, F.lit((1 << BITS) - 1)))
 
 
 def hilbert_index(df: DataFrame, dims: tuple[str, ...] = DIMENSIONS, bits: int = BITS, name: str = "curve") -> DataFrame:
@@ -54,7 +55,7 @@ def hilbert_index(df: DataFrame, dims: tuple[str, ...] = DIMENSIONS, bits: int =
     return df.withColumn(name, index.cast("int")).select(*kept, name)
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 24, sub_buckets: int = 64) -> DataFrame:
+def hilbert_shards(docs: DataFrame, shards: int = 24, rows_a_part: int = 250_000) -> DataFrame:
     """Each row of ``docs`` (doc_id, text, lang, source) in one of ``shards`` runs of the curve.
 
     Rows are ordered by the Hilbert index of (language, size, source), then
@@ -66,10 +67,10 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, sub_buckets: int = 64) ->
     take a slot each; an empty table gives an empty result; other columns are
     ignored.
 
-    The only sort is inside parts: a cell is dealt over ``sub_buckets`` parts
-    by document, so no language, source or text fills a task, and a row's
-    rank is its part's offset plus its place. The parts number at most 4,096
-    x ``sub_buckets`` whatever the input, which bounds the broadcast.
+    The only sort is inside parts: a cell is dealt by document over as many
+    parts as its rows need (see ``rank_in_cells``), so no language, source or
+    text fills a task, and a row's rank is its part's offset plus its place.
+    The table of parts is broadcast if it is counted to be small.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
@@ -80,7 +81,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, sub_buckets: int = 64) ->
         quantised(F.col("source")).alias("q_source"),
     ).withColumn("q_size", quantised_size(F.col("size")))
     rows = materialize(rows, "shard-rows")
-    placed, parts = rank_in_cells(rows, list(DIMENSIONS), ["doc_id", "size", "text_crc32"], sub_buckets)
+    placed, parts = rank_in_cells(rows, list(DIMENSIONS), ["doc_id", "size", "text_crc32"], rows_a_part)
     cells = hilbert_index(parts.groupBy(*DIMENSIONS).agg(F.sum("rows").alias("rows")))
     along = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)  # at most 4,096 cells
     cells = cells.withColumn("ahead", F.coalesce(F.sum("rows").over(along), F.lit(0)))
@@ -89,7 +90,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, sub_buckets: int = 64) ->
     offsets = parts.join(F.broadcast(cells), list(DIMENSIONS)).select(
         *DIMENSIONS, "sub", "curve", "total", (F.col("ahead") + F.col("before")).alias("offset")
     )
-    ranked = placed.join(F.broadcast(offsets), [*DIMENSIONS, "sub"]).withColumn("rank", F.col("offset") + F.col("place"))
+    ranked = placed.join(small_or_not(offsets), [*DIMENSIONS, "sub"]).withColumn("rank", F.col("offset") + F.col("place"))
     shard = F.expr(f"rank * {shards} div total")
     ranked = ranked.withColumn("shard", shard.cast("int"))
     start = F.expr(f"(shard * total + {shards - 1}) div {shards}")

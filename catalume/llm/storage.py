@@ -77,20 +77,25 @@ def ship_package(spark: SparkSession) -> None:
     context._catalume_shipped = True
 
 
-def rank_in_cells(df: DataFrame, cells: list[str], order: list[str], sub_buckets: int) -> tuple[DataFrame, DataFrame]:
+def rank_in_cells(df: DataFrame, cells: list[str], order: list[str], rows_a_part: int = 250_000, dealt: int = 64) -> tuple[DataFrame, DataFrame]:
     """Exact 0-based ranks inside each cell without sorting a cell in one task.
 
-    Each cell is dealt over ``sub_buckets`` parts by a hash of the ``order``
-    columns; parts are counted (partially before the shuffle) and a row's rank
-    is its part's offset plus its place in the part. Returns ``df`` with
-    ``sub`` and ``place`` and the table of parts (cells, sub, rows, before).
-    The parts are at most distinct cells x ``sub_buckets``.
+    Cells are counted first. Each is dealt by a hash of the ``order`` columns
+    over as many parts as its rows need at ``rows_a_part`` each, and over up to
+    ``dealt`` before that (a part for each thousand rows); parts are counted
+    (partially before the shuffle) and a row's rank is its part's offset plus
+    its place in the part. Returns ``df`` with ``sub`` and ``place`` and the
+    table of parts (cells, sub, rows, before): at most distinct cells x
+    ``dealt`` and one for each ``rows_a_part`` rows.
     """
     from pyspark.sql import Window
 
-    with_sub = df.withColumn("sub", F.pmod(F.xxhash64(*order), F.lit(sub_buckets)).cast("int"))
+    counted = materialize(df.groupBy(*cells).agg(F.count("*").alias("_rows")), "cells")
+    parts = F.greatest(F.ceil(F.col("_rows") / rows_a_part), F.least(F.lit(dealt), F.ceil(F.col("_rows") / 1000)))
+    sized = df.join(F.broadcast(counted.select(*cells, parts.cast("int").alias("_parts"))), cells)
+    with_sub = sized.withColumn("sub", F.pmod(F.xxhash64(*order), F.col("_parts")).cast("int")).drop("_parts")
     parts = with_sub.groupBy(*cells, "sub").agg(F.count("*").alias("rows"))
     running = Window.partitionBy(*cells).orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("rows").over(running), F.lit(0)))
     inside = Window.partitionBy(*cells, "sub").orderBy(*order)
-    return with_sub.withColumn("place", F.row_number().over(inside) - 1), parts
+    return with_sub.withColumn("place", F.row_number().over(inside) - 1), materialize(parts, "parts")

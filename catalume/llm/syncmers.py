@@ -134,22 +134,19 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     edited_fingerprint, near_edited, near_next, next_id. An empty table gives an empty
     result; other columns are ignored.
 
-    Anchors of the whole texts are made once, where the texts are read, and
-    their codes kept. Texts are shuffled once by key; of the next document
-    only as many characters as the edit takes and its codes follow.
+    Anchors of the whole texts are made once, where the texts are read. Texts
+    and their codes are shuffled once by key; of the next document only as
+    many characters as the edit takes and its codes follow.
     """
     key = ["key", "mark"]
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("mark", F.hash("doc_id", "text"))
-    known = with_anchors(texts, "text", "anchors").select("doc_id", *key, F.length("text").cast("long").alias("n_chars"), codes(F.col("anchors")).alias("codes"))
-    known = materialize(known, "codes")
-    ids = known.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.min("n_chars").alias("n_chars"), F.count("*").alias("rows"))
+    ids = texts.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.min(F.length("text").cast("long")).alias("n_chars"), F.count("*").alias("rows"))
     ids = materialize(ids, "documents")
     repeated = not ids.where("rows > 1").isEmpty()
-    once = (lambda df: df.dropDuplicates(key)) if repeated else (lambda df: df)
     ahead = materialize(followers(ids.drop("rows")), "followers")
-    own = once(known.select(*key, "codes"))
-    whole = texts.join(own, key)  # read twice with the same columns, so that its shuffles are made once
+    # read twice with the same columns, so that its shuffle, with the anchors in front of it, is made once
+    whole = with_anchors(texts, "text", "anchors").select("doc_id", "text", *key, codes(F.col("anchors")).alias("codes"))
     lent = whole.join(ahead, key).select(
         F.col("prev_key").alias("key"),
         F.col("prev_mark").alias("mark"),
@@ -157,7 +154,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         F.col("codes").alias("next_codes"),
         F.col("doc_id").alias("next_id"),
     )
-    edited = whole.join(once(lent), key).withColumn(
+    edited = whole.join(lent.dropDuplicates(key) if repeated else lent, key).withColumn(
         "edited", F.expr("concat(left(text, char_length(text) - char_length(text) div 2), lent)")
     )
     both = with_anchors(edited, "edited", "edited_anchors")

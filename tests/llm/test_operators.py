@@ -173,6 +173,14 @@ def test_chat_round_trip(spark):
     assert by[2].n_turns == 2 and by[None].n_turns == 1
 
 
+def test_chat_other_template(spark):
+    odd = chat.Template(turns={"user": "u+1", "assistant": "Bot.x"}, start="«", end="»")
+    said = ["«[u+1] a [/Bot.x]»", "b"]
+    given = [(1, 0, "user", said[0], "v"), (1, 1, "assistant", said[1], "v"), (1, 2, "tool", said[0], "v")]
+    done = chat.format_chat(spark.createDataFrame(given, TALK), odd).select(chat.read_turns(F.col("formatted"), odd).alias("turns"), chat.loss_text(F.col("segments"), odd).alias("loss")).first()
+    assert [tuple(t) for t in done.turns] == [("user", said[0]), ("assistant", said[1]), ("tool", said[0])] and done.loss == "b"
+
+
 def test_chat_automaton(spark):
     order = {1: "system user assistant", 2: "user user", 3: "assistant", 4: "user assistant user assistant", 5: "user assistant system", 6: "user"}
     given = [(c, i, r, "t", "v") for c, rs in order.items() for i, r in enumerate(rs.split())]
@@ -448,7 +456,7 @@ def test_syncmers_are_context_free(spark):
 
 def test_shards_are_even_and_gapless(docs, nothing):
     twice = docs.unionByName(docs.where("doc_id < 10"))
-    found = sharding.hilbert_shards(twice, shards=7, sub_buckets=4).collect()
+    found = sharding.hilbert_shards(twice, shards=7, rows_a_part=3).collect()
     counts = {}
     for r in found:
         counts.setdefault(r.shard, []).append(r.slot)
@@ -471,7 +479,7 @@ def test_hilbert_curve_steps_to_neighbours(spark):
 
 def test_ranks_in_cells(spark):
     table = spark.range(500).selectExpr("id", "if(id % 3 = 0, id % 7, 99) as cell")
-    placed, parts = rank_in_cells(table, ["cell"], ["id"], 5)
+    placed, parts = rank_in_cells(table, ["cell"], ["id"], 40, 5)
     ranks = placed.join(parts, ["cell", "sub"]).select("cell", (F.col("before") + F.col("place")).alias("rank")).collect()
     by = {}
     for r in ranks:
