@@ -35,10 +35,13 @@ class Settings:
 
     @classmethod
     def from_session(cls, spark: SparkSession) -> Settings:
-        """A value that does not read as its field's type raises."""
+        """A value that does not read as its field's type raises; weights and factors are ``catalume.weights.<column>`` and the like."""
         changed = {}
         for f in fields(cls):
             value = spark.conf.get(f"catalume.{f.name}", None)
             if value is not None and f.type in ("float", "int"):
                 changed[f.name] = (float if f.type == "float" else int)(value)
+        for name in ("weights", "confidence"):
+            default = getattr(cls(), name)
+            changed[name] = {key: float(spark.conf.get(f"catalume.{name}.{key}", str(value))) for key, value in default.items()}
         return replace(cls(), **changed)

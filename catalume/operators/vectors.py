@@ -132,7 +132,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 def _block_top(vectors: DataFrame, queries: DataFrame, k: int, by: str | None) -> tuple[DataFrame, Broadcast]:
     rows = queries.select("qid", "vetor", *([by] if by else [])).toPandas()  # about BLOCK rows
-    wanted = np.array(rows["vetor"].tolist(), np.float64).reshape(len(rows), -1)
+    wanted = np.array(rows["vetor"].tolist(), np.float64)
     shared = vectors.sparkSession.sparkContext.broadcast((rows["qid"].to_numpy(), wanted, rows[by].to_numpy() if by else None))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1314,3 +1314,18 @@ def file_checksums(spark, sf_dir):
 def limiter_fold(spark, sf_dir):
     """The limiter without Python, as a fold over each origin's requests."""
     return limiter.sliding_fold(catalog.requests(spark, sf_dir), 3, 86_400)
+
+
+@query(f"{_LIMITER} SELECT event_id, user_id AS origem, wait_s = 0 AS allowed, wait_s FROM s", model=False)
+def limiter_stream(spark, sf_dir):
+    """The limiter over a stream of the same requests, all there is taken and then ended."""
+    from catalume.streaming import limiter as stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    given, out, state = (kept.new_path(spark, name) for name in ("requests", "admitted", "state"))
+    asked = catalog.requests(spark, sf_dir)
+    asked.write.parquet(given)
+    came = spark.readStream.schema(asked.schema).parquet(given)
+    run = stream.admit(came, 3, 86_400, idle_seconds=86_400).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)

@@ -13,13 +13,13 @@ from catalume.operators.limiter import SECOND, decide
 
 
 class Admission(StatefulProcessor):
-    """Keeps the admitted instants of each origin, ``most`` at most."""
+    """Keeps the admitted instants of each origin, ``most`` at most, and forgets origins not heard of for ``idle_seconds``."""
 
-    def __init__(self, most: int, window_seconds: int):
-        self.most, self.window = most, window_seconds * SECOND
+    def __init__(self, most: int, window_seconds: int, idle_seconds: int | None = None):
+        self.most, self.window, self.idle = most, window_seconds * SECOND, idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.instants = handle.getListState("instants", "quando bigint")
+        self.instants = handle.getListState("instants", "quando bigint", self.idle * 1000 if self.idle else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         admitted = deque(sorted(r[0] for r in self.instants.get()))
@@ -32,14 +32,17 @@ class Admission(StatefulProcessor):
         pass
 
 
-def admit(requests: DataFrame, most: int, window_seconds: int) -> DataFrame:
+def admit(requests: DataFrame, most: int, window_seconds: int, idle_seconds: int | None = None) -> DataFrame:
     """(event_id, origem, allowed, wait_s) of a stream of requests (event_id, origem, quando as microseconds).
 
     Each micro-batch is taken in order of time; needs the RocksDB state store.
+    With ``idle_seconds`` the state of an origin is given up so long after its
+    last request came in (by the clock, not by ``quando``); the window's
+    length suits requests that come in as they happen.
     """
     return requests.groupBy("origem").transformWithStateInPandas(
-        statefulProcessor=Admission(most, window_seconds),
+        statefulProcessor=Admission(most, window_seconds, idle_seconds),
         outputStructType="event_id bigint, origem bigint, allowed boolean, wait_s bigint",
         outputMode="Append",
-        timeMode="None",
+        timeMode="ProcessingTime" if idle_seconds else "None",
     )
