@@ -1326,6 +1326,6 @@ def limiter_stream(spark, sf_dir):
     asked = catalog.requests(spark, sf_dir)
     asked.write.parquet(given)
     came = spark.readStream.schema(asked.schema).parquet(given)
-    run = stream.admit(came, 3, 86_400, idle_seconds=86_400).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
-    run.trigger(availableNow=True).start().awaitTermination()
+    run = stream.admit(came, 3, 86_400).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+    run.trigger(availableNow=True).start().awaitTermination(600)
     return spark.read.parquet(out)

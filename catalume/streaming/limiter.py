@@ -38,7 +38,8 @@ def admit(requests: DataFrame, most: int, window_seconds: int, idle_seconds: int
     Each micro-batch is taken in order of time; needs the RocksDB state store.
     With ``idle_seconds`` the state of an origin is given up so long after its
     last request came in (by the clock, not by ``quando``); the window's
-    length suits requests that come in as they happen.
+    length suits requests that come in as they happen. It is for queries that
+    keep running: one triggered with availableNow did not end with it.
     """
     return requests.groupBy("origem").transformWithStateInPandas(
         statefulProcessor=Admission(most, window_seconds, idle_seconds),
