@@ -39,6 +39,7 @@ class Merger:
     """
 
     def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.tokens = dict(zip(ranks.values(), ranks.keys(), strict=True))
         self.bytes_rank = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
@@ -57,11 +58,13 @@ class Merger:
         return np.where(self.keys[at] == key, self.merged[at], _NONE)
 
     def encode(self, words: list[bytes]) -> list[bytes]:
-        """The tokens of each word, as little-endian unsigned 32-bit numbers."""
+        """The tokens of each word, as little-endian unsigned 32-bit numbers; a word that is a token stays whole."""
         out = [b""] * len(words)
         by_size: dict[int, list[int]] = {}
         for i, word in enumerate(words):
-            if len(word) > _LONG:
+            if (whole := self.ranks.get(word)) is not None:
+                out[i] = whole.to_bytes(4, "little")
+            elif len(word) > _LONG:
                 out[i] = self._merge_long(word)
             elif word:
                 by_size.setdefault(max(1, (len(word) - 1).bit_length()), []).append(i)

@@ -10,7 +10,7 @@ import numpy as np
 _WIDTHS = (4, 8, 12, 16, 24, 32)
 LONGEST = _WIDTHS[-1]
 #: Words merged at once; bits of the lookup table's places.
-_AT_ONCE, _BITS = 4096, 22
+_AT_ONCE, _BITS = 4096, 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -19,6 +19,8 @@ from catalume.llm.pieces import PieceCache
 from catalume.llm.storage import materialize, rank_in_cells, ship_package, small_or_not
 
 LENGTH, END = 1024, 0
+#: Words and pieces whose ids a worker remembers.
+WORDS_KEPT = 900_000
 # -- tokens ------------------------------------------------------------------
 
 
@@ -45,7 +47,7 @@ def token_bytes(tokenizer_json: str, pattern: str) -> PieceCache:
             out[i] = np.array(coded.ids, "<u4").tobytes()
         return out
 
-    return PieceCache(pattern, encode)
+    return PieceCache(pattern, encode, WORDS_KEPT)
 
 
 _caches: dict[tuple[int, str], PieceCache] = {}
@@ -69,8 +71,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, pattern: str, length: in
         if key not in _caches:
             _caches[key] = token_bytes(shipped.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 row, start, size, crc, total = [], [], [], [], []
                 for i, coded in enumerate(_caches[key].encode_batch(part.column(1))):
                     ids = coded.tobytes() + end

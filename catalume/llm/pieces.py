@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -26,7 +27,9 @@ class PieceCache:
     words), and a piece, mostly a word with its punctuation, is looked up
     whole; the pattern is only run over new pieces that aren't letters alone.
     ``encode`` gets the new words of many texts at once and returns each one's
-    ids as little-endian unsigned 32-bit numbers.
+    ids as little-endian unsigned 32-bit numbers. This cutting is right for
+    ``public_tokenizers.PATTERN``; with any other pattern the matches
+    themselves are looked up, found in whole texts.
 
     There is a younger and an older half: if the younger is full it becomes
     the older, whose entries are forgotten unless they are met again, so
@@ -35,6 +38,7 @@ class PieceCache:
 
     def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], memory: int = 1_500_000):
         self.find, self.encode, self.half = regex.compile(pattern).findall, encode, max(1, memory // 2)
+        self.cuts = pattern == public_tokenizers.PATTERN
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -47,7 +51,7 @@ class PieceCache:
             before = sizes[at - 1] if at else 0
             end = max(at + 1, int(np.searchsorted(sizes, before + _TOGETHER)))
             some = texts.slice(at, end - at)
-            unsafe = pc.match_substring_regex(some, _UNSAFE)
+            unsafe = pc.match_substring_regex(some, _UNSAFE if self.cuts else "")
             safe = some.filter(pc.invert(unsafe))
             cut = pc.replace_substring(pc.replace_substring(safe, " ", "\0 "), "\n", "\0\n\0")
             easy = self._ids(pc.split_pattern(cut, "\0"))
@@ -85,7 +89,7 @@ class PieceCache:
         words, mixed = [], {}
         for p in pieces:
             if p not in learnt:
-                if p.isalpha() or p[:1] == " " and p[1:].isalpha():
+                if not self.cuts or p.isalpha() or p[:1] == " " and p[1:].isalpha():
                     words.append(p)
                 else:
                     mixed[p] = self.find(p)

@@ -206,6 +206,18 @@ def test_bpe_like_tiktoken(docs, nothing):
     assert bpe.encode_documents(nothing, MULTI, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_other_patterns_and_ranks():
+    """A pattern that holds a blank with what stands before it, and a token that no merge reaches."""
+    import tiktoken
+
+    ranks = bpe.parse_ranks(open(MULTI, "rb").read())
+    ranks |= {b"zqxzq": max(ranks.values()) + 1}
+    texts = ["zqxzq zqxzqq the rio  casa", "a b c", "", "água the\nof "]
+    for pattern in (public_tokenizers.PATTERN, r"\w+ ?|\s+|[^\w\s]+", r"\w+(?= )|."):
+        plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        assert [list(x) for x in bpe.Codec(ranks, pattern).encode_batch(texts)] == [plain.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_memory_is_bounded():
     ranks = bpe.parse_ranks(open(MULTI, "rb").read())
     small, large = bpe.Codec(ranks, public_tokenizers.PATTERN, memory=5), bpe.Codec(ranks, public_tokenizers.PATTERN)

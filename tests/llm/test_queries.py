@@ -45,10 +45,29 @@ def test_chat_digests(spark):
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in found} == want
 
 
-def test_native_plans_have_no_python(spark):
-    for name in ("op1_chat_format", "op4_url_filter", "op8_syncmer_fingerprints", "op9_hilbert_shards", "op10_exact_dedup"):
-        plan = queries.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-        assert not any(x in plan for x in ("Python", "Pandas", "Arrow")), name
+NATIVE = ("op1_chat_format", "op4_url_filter", "op8_syncmer_fingerprints", "op9_hilbert_shards", "op10_exact_dedup")
+
+
+@pytest.mark.parametrize("name", NATIVE)
+def test_native_queries_have_no_python(spark, monkeypatch, name):
+    """In no stage: everything that would start a Python worker is an error, and the last plan names none."""
+
+    def refuse(*_, **__):
+        raise AssertionError("Python in a native query")
+
+    kind = type(spark.range(1))
+    for method in ("mapInArrow", "mapInPandas", "foreach", "foreachPartition"):
+        monkeypatch.setattr(kind, method, refuse)
+    for method in ("applyInPandas", "applyInArrow"):
+        monkeypatch.setattr(type(spark.range(1).groupBy("id")), method, refuse)
+    for method in ("udf", "pandas_udf", "arrow_udf"):
+        if hasattr(F, method):
+            monkeypatch.setattr(F, method, refuse)
+    monkeypatch.setattr(kind, "rdd", property(refuse))
+    found = queries.queries()[name](spark, DATA)
+    assert found.count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
 def test_sql(spark):
