@@ -25,6 +25,8 @@ def duck():
 
 
 def shown(value):
+    if isinstance(value, list):
+        return tuple(map(shown, value))
     return round(float(value), 6) if isinstance(value, float) or type(value).__name__ == "Decimal" else value
 
 
