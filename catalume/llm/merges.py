@@ -7,10 +7,10 @@ import json
 import numpy as np
 
 #: Bytes of the words that share a table, in steps; longer words are not taken.
-_WIDTHS = (4, 8, 12, 16, 24, 32)
+_WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128)
 LONGEST = _WIDTHS[-1]
 #: Words merged at once; bits of the lookup table's places.
-_AT_ONCE, _BITS = 4096, 20
+_AT_ONCE, _BITS = 2048, 19
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -28,17 +28,19 @@ def merges_alone(tokenizer_json: str) -> Merges | None:
     plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
     if not plain or file["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
         return None
-    return Merges(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
+    vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    single = np.array([vocabulary[c] for c in byte_letters()], np.int32)
+    keys = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in merges], np.int64)
+    return Merges(single, keys, np.array([vocabulary[a + b] for a, b in merges], np.int32))
 
 
 class Merges:
     """Repeats the merge of lowest rank, leftmost first, in a table of words side by side, until no word has one."""
 
-    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
-        self.bytes = np.array([vocabulary[c] for c in byte_letters()], np.int32)
-        self.merged = np.array([*(vocabulary[a + b] for a, b in merges), -1], np.int32)
-        self.none = len(merges)
-        keys = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in merges], np.int64)
+    def __init__(self, single: np.ndarray, keys: np.ndarray, merged: np.ndarray):
+        """``single``: each byte's id; by rank, ``keys``: left id << 32 | right id, ``merged``: the id they make."""
+        self.made_of = single, keys, merged
+        self.bytes, self.merged, self.none = single, np.append(merged, np.int32(-1)), len(keys)
         place = self._place(keys)
         taken, first = np.unique(place, return_index=True)
         self.keys, self.ranks = np.full(1 << _BITS, -1, np.int64), np.full(1 << _BITS, self.none, np.int32)
@@ -48,6 +50,9 @@ class Merges:
         self.shared, self.more, self.more_ranks = np.zeros(1 << _BITS, bool), keys[rest], rest.astype(np.int32)
         self.shared[place[rest]] = True
 
+    def __reduce__(self):
+        return Merges, self.made_of
+
     @staticmethod
     def _place(keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) * _MULTIPLIER >> np.uint64(64 - _BITS)).view(np.int64)

@@ -14,36 +14,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalume.llm.merges import merges_alone
+from catalume.llm.merges import Merges, merges_alone
 from catalume.llm.pieces import PieceCache
 from catalume.llm.storage import materialize, rank_in_cells, ship_package, small_or_not
 
 LENGTH, END = 1024, 0
 #: Words and pieces whose ids a worker remembers.
-WORDS_KEPT = 900_000
+WORDS_KEPT = 500_000
 # -- tokens ------------------------------------------------------------------
 
 
-def token_bytes(tokenizer_json: str, pattern: str) -> PieceCache:
+def token_bytes(tokenizer_json: str, pattern: str, merges: Merges | None = None) -> PieceCache:
     """Ids by a ``tokenizers`` file as little-endian unsigned 32-bit numbers, each word of the pattern encoded once.
 
     The tokenizer splits a text by the same pattern before it merges, so the
     ids of a text are those of its words in order. Where the file does no more
-    than merge, short words are merged many at a time (see ``Merges``); the
-    library encodes the others.
+    than merge, words up to ``LONGEST`` bytes are merged many at a time (see
+    ``merges_alone``, which gives ``merges``); the library, loaded when it is
+    first needed, encodes the others.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(tokenizer_json)
-    tokenizer.encode_special_tokens = True
-    merges = merges_alone(tokenizer_json)
+    library = []
 
     def encode(words: list[str]) -> list[bytes]:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         out = merges.encode(raw) if merges else [b""] * len(words)
         left = [i for i, w in enumerate(raw) if w and not out[i]]
-        for i, coded in zip(left, tokenizer.encode_batch_fast([words[i] for i in left], add_special_tokens=False), strict=True):
+        if left and not library:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            library.append(Tokenizer.from_str(tokenizer_json))
+            library[0].encode_special_tokens = True
+        for i, coded in zip(left, library[0].encode_batch_fast([words[i] for i in left], add_special_tokens=False) if left else [], strict=True):
             out[i] = np.array(coded.ids, "<u4").tobytes()
         return out
 
@@ -62,17 +64,19 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, pattern: str, length: in
     """
     spark = docs.sparkSession
     ship_package(spark)
-    shipped = spark.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
+    text = Path(tokenizer_path).read_text(encoding="utf-8")
+    shipped = spark.sparkContext.broadcast((text, merges_alone(text)))
     kind = dict(docs.dtypes)["doc_id"]
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (hash(shipped.value), pattern)
+        file, merges = shipped.value
+        key = (hash(file), pattern)
         if key not in _caches:
-            _caches[key] = token_bytes(shipped.value, pattern)
+            _caches[key] = token_bytes(file, pattern, merges)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 row, start, size, crc, total = [], [], [], [], []
                 for i, coded in enumerate(_caches[key].encode_batch(part.column(1))):
                     ids = coded.tobytes() + end

@@ -27,9 +27,9 @@ def test_texts_like_the_library():
     library = Tokenizer.from_str(PLAIN)
     library.encode_special_tokens = True
     rng = random.Random(2)
-    pieces = ["a", "b", "é", "漢", "🙂", " ", "  ", "\n", "\t", "x1", "<|endoftext|>", "the", "ing", "\x00", "Ġ", "ß", "y" * 40]
+    pieces = ["a", "b", "é", "漢", "🙂", " ", "  ", "\n", "\t", "x1", "<|endoftext|>", "the", "ing", "\x00", "Ġ", "ß", "y" * 40, "qz" * 70]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
-    found = packing.token_bytes(PLAIN, public_tokenizers.PATTERN).encode_batch(pa.array(texts))
+    found = packing.token_bytes(PLAIN, public_tokenizers.PATTERN, merges.merges_alone(PLAIN)).encode_batch(pa.array(texts))
     assert all(a.tolist() == library.encode(t, add_special_tokens=False).ids for a, t in zip(found, texts, strict=True))
 
 
