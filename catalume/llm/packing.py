@@ -20,7 +20,7 @@ from catalume.llm.storage import materialize, rank_in_cells, ship_package, small
 
 LENGTH, END = 1024, 0
 #: Words and pieces whose ids a worker remembers.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 # -- tokens ------------------------------------------------------------------
 
 
