@@ -1,4 +1,4 @@
-"""The portal's paginated listing as a Spark data source."""
+"""The portal's paginated listing as a Spark data source, read at once or as a stream of pages."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 #: Keys under which a listing may hold its records, in order.
@@ -36,6 +37,8 @@ class Again(Exception):
 
 def fetch(url: str, headers: dict[str, str], timeout: float = 60) -> object:
     """The JSON at a url; ``Again`` for what passes (see ``retry_kind``), OSError for what does not."""
+    if urlsplit(url).scheme not in ("http", "https"):
+        return recorded(url)
     try:
         with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as answer:
             return json.load(answer)
@@ -47,13 +50,27 @@ def fetch(url: str, headers: dict[str, str], timeout: float = 60) -> object:
         raise Again(type(error).__name__) from None
 
 
+def recorded(url: str) -> object:
+    """A recorded answer: the JSON in a file, or in the files of a folder that Spark wrote; a page that is not there is empty."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(url)
+    kind = store.get_file_info(path).type
+    if kind == fs.FileType.NotFound:
+        return []
+    inside = store.get_file_info(fs.FileSelector(path)) if kind == fs.FileType.Directory else []
+    files = sorted(f.path for f in inside if not f.base_name.startswith(("_", "."))) if kind == fs.FileType.Directory else [path]
+    said = b"".join(store.open_input_stream(f).readall() for f in files).strip()
+    return json.loads(said) if said else []
+
+
 class Page(InputPartition):
     def __init__(self, number: int):
         self.number = number
 
 
 class PortalReader(DataSourceReader):
-    """One partition per page; a page that comes back empty is asked for again before that is believed."""
+    """One partition per page."""
 
     def __init__(self, options: dict[str, str]):
         self.url, self.detail = options["url"], options.get("detail", "")
@@ -74,28 +91,76 @@ class PortalReader(DataSourceReader):
                     raise
                 time.sleep(self.pause * (turn + 1))
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def listed(self, number: int) -> list[dict]:
+        """A page's records; one that comes back empty is asked for again before that is believed."""
         records: list[dict] = []
         for turn in range(self.asks):
-            records = records_of(self.ask(self.url.format(page=partition.number)))
+            records = records_of(self.ask(self.url.format(page=number)))
             if records:
                 break
             time.sleep(self.pause * (turn + 1))
+        return records
+
+    def whole(self, record: dict) -> str:
+        if self.detail and record.get("id"):
+            record = {**record, "detalhe": detail_of(self.ask(self.detail.format(id=record["id"])))}
+        return json.dumps(record, ensure_ascii=False)
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        for record in self.listed(partition.number):
+            yield partition.number, None, self.whole(record)
+
+
+class PortalStreamReader(PortalReader, DataSourceStreamReader):
+    """Pages as offsets: {"pagina": the last page taken}. A batch is up to ``step`` pages, a partition each.
+
+    The next batch is offered if the page behind the last one taken, or the one behind that, has records; if neither has,
+    these two are offered once, so that the listing's end is on record. ``after`` says what was taken in earlier runs;
+    Spark's checkpoint says so too, and a batch that it had begun is taken again first.
+    Each page gives a row of its own without a record, that says how many it has.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__({"pages": "0", **options})
+        self.step, self.taken = int(options.get("step", "8")), int(options.get("after", self.first - 1))
+        self.end: int | None = None
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"pagina": self.first - 1}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        if self.end is None:
+            if any(self.listed(n) for n in (self.taken + 1, self.taken + 2)):
+                return {"pagina": self.taken + self.step}
+            self.end = self.taken + 2
+        return {"pagina": self.end}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.taken = max(self.taken, end["pagina"])
+        return [Page(n) for n in range(start["pagina"] + 1, end["pagina"] + 1)]
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        records = self.listed(partition.number)
+        yield partition.number, len(records), None
         for record in records:
-            if self.detail and record.get("id"):
-                record = {**record, "detalhe": detail_of(self.ask(self.detail.format(id=record["id"])))}
-            yield partition.number, json.dumps(record, ensure_ascii=False)
+            yield partition.number, None, self.whole(record)
 
 
 class PortalSource(DataSource):
-    """``spark.read.format("portal")`` with options url (holding ``{page}``), detail (holding ``{id}``, optional), pages, first, key, asks, pause."""
+    """``spark.read.format("portal")`` with options url (holding ``{page}``), detail (holding ``{id}``, optional), pages, first, key, asks, pause.
+
+    ``spark.readStream.format("portal")`` takes step and after instead of pages. ``n`` is null but in a stream's row for a page.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "portal"
 
     def schema(self) -> str:
-        return "pagina int, raw string"
+        return "pagina int, n int, raw string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return PortalReader(self.options)
+
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+        return PortalStreamReader(self.options)

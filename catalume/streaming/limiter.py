@@ -1,4 +1,4 @@
-"""The sliding-window limiter over a stream, with keyed state."""
+"""The sliding-window limiter over a stream, with keyed state that goes when it is no longer needed."""
 
 from __future__ import annotations
 
@@ -6,44 +6,67 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from catalume.operators.limiter import SECOND, decide
 
+_OUT = "event_id bigint, origem bigint, allowed boolean, wait_s bigint"
+
 
 class Admission(StatefulProcessor):
-    """Keeps the admitted instants of each origin, ``most`` at most, and forgets origins not heard of for ``idle_seconds``."""
+    """Keeps the admitted instants of each origin, ``most`` at most; with ``evict`` until none of them counts any more.
+
+    Then a timer stands at the instant from which on the newest admitted one is out of the window; there is one an origin.
+    """
 
-    def __init__(self, most: int, window_seconds: int, idle_seconds: int | None = None):
-        self.most, self.window, self.idle = most, window_seconds * SECOND, idle_seconds
+    def __init__(self, most: int, window_seconds: int, evict: bool = False):
+        self.most, self.window, self.evict = most, window_seconds * SECOND, evict
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.instants = handle.getListState("instants", "quando bigint", self.idle * 1000 if self.idle else None)
+        self.handle = handle
+        self.instants = handle.getListState("instants", "quando bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         admitted = deque(sorted(r[0] for r in self.instants.get()))
         batch = pd.concat(list(rows)).sort_values(["quando", "event_id"])
         waits = [decide(admitted, now, self.most, self.window) for now in batch["quando"].tolist()]
         self.instants.put([(x,) for x in admitted])
+        if self.evict:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer((admitted[-1] + self.window) // 1000 + 1)
         yield pd.DataFrame({"event_id": batch["event_id"], "origem": key[0], "allowed": [w == 0 for w in waits], "wait_s": waits})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.instants.clear()
+        yield pd.DataFrame({"event_id": [], "origem": [], "allowed": [], "wait_s": []}).astype({"event_id": "int64", "origem": "int64", "allowed": "bool", "wait_s": "int64"})
+
     def close(self) -> None:
         pass
 
 
-def admit(requests: DataFrame, most: int, window_seconds: int, idle_seconds: int | None = None) -> DataFrame:
+def admit(requests: DataFrame, most: int, window_seconds: int, late_seconds: int | None = None) -> DataFrame:
     """(event_id, origem, allowed, wait_s) of a stream of requests (event_id, origem, quando as microseconds).
 
-    Each micro-batch is taken in order of time; needs the RocksDB state store.
-    With ``idle_seconds`` the state of an origin is given up so long after its
-    last request came in (by the clock, not by ``quando``); the window's
-    length suits requests that come in as they happen. It is for queries that
-    keep running: one triggered with availableNow did not end with it.
+    Each micro-batch is taken in order of time; needs the RocksDB state store. With ``late_seconds`` requests may come so
+    much later than the newest one, by their own time, and those that come later still are passed over; the state of an
+    origin then goes as soon as no request that may yet come can meet its newest admitted one, so what is kept is
+    bounded by the origins of a window. Time is that of the requests, so a query over recorded ones ends as it should.
     """
-    return requests.groupBy("origem").transformWithStateInPandas(
-        statefulProcessor=Admission(most, window_seconds, idle_seconds),
-        outputStructType="event_id bigint, origem bigint, allowed boolean, wait_s bigint",
+    timed = requests
+    if late_seconds is not None:
+        timed = requests.withColumn("_ts", F.timestamp_micros("quando")).withWatermark("_ts", f"{late_seconds} seconds")
+    return timed.groupBy("origem").transformWithStateInPandas(
+        statefulProcessor=Admission(most, window_seconds, late_seconds is not None),
+        outputStructType=_OUT,
         outputMode="Append",
-        timeMode="ProcessingTime" if idle_seconds else "None",
+        timeMode="None" if late_seconds is None else "EventTime",
     )
+
+
+def origins_kept(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The origins whose instants a query's checkpoint holds now."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "instants").load()
+    return state.select(F.col("key.origem").alias("origem")).distinct()
