@@ -18,6 +18,8 @@ from catalume.llm.survivors import keep_first, text_key
 WORDS, SIMILARITY, RADIUS, BANDS, ROWS, SEED = 5, 0.8, 3, 24, 5, 42
 #: Members of a bucket whose pairs are all looked at; of larger ones those that one task holds against as many others.
 BUCKET, BLOCK = 32, 256
+#: Shingle hashes of a block's side: 8 MB, and one set more, however long.
+HASHES = 1 << 20
 #: Shingle hashes taken at once.
 _AT_ONCE = 2_048
 _RANDOM = np.random.default_rng(SEED)
@@ -180,37 +182,49 @@ def _forest(left: pa.Table, right: pa.Table, similarity: float) -> list[tuple[in
     return out
 
 
-def settle(met: DataFrame, linked: DataFrame, held: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame | None:
+def settle(met: DataFrame, linked: DataFrame, held: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, hashes: int = HASHES) -> DataFrame | None:
     """Links (a, b) between members of large buckets of ``met`` that ``linked`` (node, root) holds in different groups.
 
     Where a large bucket still has several groups, each member outside of its
-    largest one is held against all members, in blocks of about ``block`` by
-    ``block``, and a block gives no more links than it has groups. None where
-    every large bucket is one group.
+    largest one is held against all members, in blocks of about ``block``
+    members or ``hashes`` shingle hashes a side, whichever is fewer, and a
+    block gives no more links than it has groups. Members are dealt to blocks
+    by size, so that those too unlike in size to be similar share none: a
+    block is met only where the sizes in it allow. None where every large
+    bucket is one group.
     """
-    dense = met.where("large").select("point", "band", "key").join(linked.withColumnRenamed("node", "point"), "point", "left")
-    dense = dense.withColumn("root", F.coalesce("root", "point"))
+    dense = met.where("large").select("point", "n", "band", "key").join(linked.withColumnRenamed("node", "point"), "point", "left")
+    dense = dense.withColumn("root", F.coalesce("root", "point")).withColumn("size", F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int"))
     groups = dense.groupBy("band", "key", "root").agg(F.count("*").alias("rows"))
-    open_ = groups.groupBy("band", "key").agg(F.sum("rows").alias("rows"), F.count("*").alias("groups"), F.max(F.struct("rows", "root")).alias("main"))
-    parts = lambda rows: F.ceil(rows / block).cast("int")
-    open_ = open_.where("groups > 1").select("band", "key", F.col("main.root").alias("main"), parts(F.col("rows")).alias("all"), parts(F.col("rows") - F.col("main.rows")).alias("few"))
-    open_ = materialize(open_, "open-buckets")
+    open_ = groups.groupBy("band", "key").agg(F.count("*").alias("groups"), F.max(F.struct("rows", "root")).alias("main"))
+    open_ = materialize(open_.where("groups > 1").select("band", "key", F.col("main.root").alias("main")), "open-buckets")
     if open_.isEmpty():
         return None
-    rows = _dealt(dense, "key").join(_dealt(open_, "key"), ["band", "key", "deal"])
-    rows = _dealt(rows.drop("deal"), "point").join(_dealt(held, "point"), ["point", "deal"]).drop("deal")
-    own = lambda n: F.pmod(F.xxhash64("point"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["band", "key", "point", "root", "held"]
-    left = rows.where("root <> main").select(*columns, own("few").alias("i"), every("all").alias("j"), F.lit(True).alias("asks"))
-    right = rows.select(*columns, own("all").alias("j"), every("few").alias("i"), F.lit(False).alias("asks"))
+    rows = _dealt(dense, "key").join(_dealt(open_, "key"), ["band", "key", "deal"]).drop("deal")
+    parts = lambda chosen: F.ceil(F.greatest(F.sum(F.when(chosen, 1).otherwise(0)) / block, F.sum(F.when(chosen, F.col("n")).otherwise(0)) / hashes)).cast("int")
+    cells = rows.groupBy("band", "key", "size").agg(parts(F.lit(True)).alias("all"), parts(F.col("root") != F.col("main")).alias("few"))
+    cells = materialize(cells, "open-cells")
+    own = lambda n: F.pmod(F.xxhash64("point"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")))
+    # sets at least 0.8 alike differ in size by a quarter at most: their sizes' powers of two are the same or neighbours
+    reach = int(np.ceil(-np.log2(similarity))) if similarity > 0 else 64
+    near = F.explode(F.sequence(F.col("size") - reach, F.col("size") + reach))
+    sides = cells.select("band", "key", F.col("size").alias("of"), F.col("all").alias("all_of"), F.col("few").alias("few_of"))
+    own_cell = rows.join(cells, ["band", "key", "size"])
+    columns = ["band", "key", "point", "root"]
+    left = own_cell.where("root <> main").select(*columns, F.col("size").alias("x"), own("few").alias("i"), near.alias("of"))
+    left = left.join(sides, ["band", "key", "of"]).select(*columns, "x", "i", F.col("of").alias("y"), every("all_of").alias("j"), F.lit(True).alias("asks"))
+    right = own_cell.select(*columns, F.col("size").alias("y"), own("all").alias("j"), near.alias("of"))
+    right = right.join(sides, ["band", "key", "of"]).select(*columns, F.col("of").alias("x"), every("few_of").alias("i"), "y", "j", F.lit(False).alias("asks"))
+    met_blocks = left.select(*columns, "x", "i", "y", "j", "asks").unionByName(right.select(*columns, "x", "i", "y", "j", "asks"))
+    met_blocks = _dealt(met_blocks, "point").join(_dealt(held, "point"), ["point", "deal"]).drop("deal")
 
     def run(table: pa.Table) -> pa.Table:
         asks = table.column("asks")
         found = _forest(table.filter(asks), table.filter(pa.compute.invert(asks)), similarity)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    found = left.unionByName(right).groupBy("band", "key", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    found = met_blocks.groupBy("band", "key", "x", "i", "y", "j").applyInArrow(run, "a bigint, b bigint")
     return materialize(found.distinct(), "further-links")
 
 

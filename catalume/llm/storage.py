@@ -66,10 +66,11 @@ def small_or_not(df: DataFrame, rows: int = 100_000) -> DataFrame:
 def ship_package(spark: SparkSession) -> None:
     """Let executors import this package even where it is not installed (once per context).
 
-    Where the session does not say how many rows Python workers get at once, it is set to 2,048: rows are whole texts.
+    Where nobody has said how many rows Python workers get at once, it is set to 2,048, as rows are whole texts; a number
+    that the session was given, the usual 10,000 too, stays.
     """
     context = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "-7") == "-7":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     if getattr(context, "_catalume_shipped", False):
         return

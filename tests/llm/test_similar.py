@@ -85,11 +85,14 @@ def test_blocks_find_what_hubs_miss(spark):
     base = list(range(100))
     held = {0: range(1000, 1100), 1: base, 2: [*base[10:], *range(200, 210)], 3: [*base[20:], *range(200, 220)], 9: range(40, 140)}
     sets = spark.createDataFrame([(i, list(map(int, x))) for i, x in held.items()], "point long, held array<long>")
-    met = spark.createDataFrame([(i, 0, 7, True) for i in held], "point long, band int, key long, large boolean")
+    held |= {20: range(5000, 5127), 21: range(5001, 5131), 22: range(5001, 5156)}  # alike on both sides of a power of two
+    sets = spark.createDataFrame([(i, list(map(int, x))) for i, x in held.items()], "point long, held array<long>")
+    met = spark.createDataFrame([(i, len(x), 0, 7, True) for i, x in held.items()], "point long, n long, band int, key long, large boolean")
     none = spark.createDataFrame([], "node long, root long")
-    for block in (1, 2, 256):
-        found = similar.settle(met, none, sets, block=block)
-        assert sorted((r.a, r.b) for r in found.collect()) == [(1, 2), (2, 3)]
+    for block, hashes in ((1, 1000), (2, 1 << 20), (256, 130), (256, 1 << 20)):
+        found = similar.settle(met, none, sets, block=block, hashes=hashes)
+        links = {(r.a, r.b) for r in found.collect()}
+        assert {(1, 2), (2, 3), (20, 21), (21, 22)} <= links <= {(1, 2), (2, 3), (20, 21), (21, 22), (20, 22)}
     whole = spark.createDataFrame([(i, 0) for i in held], "node long, root long")
     assert similar.settle(met, whole, sets) is None
 
