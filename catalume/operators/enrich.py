@@ -262,17 +262,4 @@ def provider(name: str, **options) -> Callable[[list[str]], list[str | None]]:
     return PROVIDERS[name](**options)
 
 
-def hashed_embedding(body: Column, dim: int = 384) -> Column:
-    """A deterministic unit vector of a text's tokens, for where no model is at hand; null without tokens.
-
-    A token counts at the place that the first 16 bits of its MD5 name.
-    """
-    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  evaluates ``value`` once
-    slots = F.transform(text.tokens(body), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int") % dim)
-    counted = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double"))
-    length = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, y: a + y * y))
-    unit = lambda counts: bound(length(counts), lambda n: F.when(n > 0, F.transform(counts, lambda x: x / n)))
-    return bound(bound(slots, counted), unit)
-
-
 PROVIDERS["stub"] = lambda **_: lambda inputs: [json.dumps({"resumo": x[:200], "confianca": "media"}) for x in inputs]

@@ -9,16 +9,10 @@ from pyspark.sql import functions as F
 
 from catalume.config import Settings
 from catalume.functions import text
+from catalume.operators import postings
 from catalume.sources.kept import keep
 
 
-def postings(index: DataFrame, columns: list[str]) -> DataFrame:
-    """(doc, col, pos, term) of an index of text columns; positions count from 0 in each column."""
-    named = F.array(*(F.struct(F.lit(c).alias("col"), F.coalesce(c, F.lit("")).alias("body")) for c in columns))
-    flat = index.select("doc", F.explode(named).alias("f"))
-    return flat.select("doc", F.col("f.col").alias("col"), F.posexplode(text.tokens(F.col("f.body"))).alias("pos", "term"))
-
-
 def document_lengths(index: DataFrame, columns: list[str]) -> DataFrame:
     """(doc, length): tokens over all columns, unweighted."""
     length = sum((F.size(text.tokens(F.col(c))) for c in columns[1:]), F.size(text.tokens(F.col(columns[0]))))
@@ -39,21 +33,23 @@ def question_phrases(questions: DataFrame) -> DataFrame:
     return words.withColumn("phrase", text.tokens(F.col("raw"))).where(F.size("phrase") > 0)
 
 
-def occurrences(posted: DataFrame, phrases: DataFrame) -> DataFrame:
+def occurrences(index: Index, phrases: DataFrame) -> DataFrame:
     """(raw, doc, col, n): how often each phrase stands in each column.
 
-    Postings meet the phrases' tokens in a join, before which a kept index
-    (see ``write``) is pruned to the files of these tokens. Longer phrases
-    meet their tokens at one start position.
+    Only the blocks of the phrases' terms are unpacked, before which a kept
+    index (see ``write``) is pruned to the files of these terms. Longer
+    phrases meet their tokens at one start position.
     """
     wanted = phrases.select("raw", "phrase").distinct()
-    parts = wanted.select("raw", F.size("phrase").alias("words"), F.posexplode("phrase").alias("at", "term"))
-    met = posted.join(parts, "term").withColumn("start", F.col("pos") - F.col("at"))
-    single = met.where("words = 1").select("raw", "doc", "col")
-    longer = (
-        met.where("words > 1").groupBy("raw", "words", "doc", "col", "start").agg(F.count_distinct("at").alias("met")).where("met = words")
-    ).select("raw", "doc", "col")
-    return single.unionByName(longer).groupBy("raw", "doc", "col").agg(F.count("*").alias("n"))
+    named = F.array(*map(F.lit, index.columns))
+    ones = wanted.where("size(phrase) = 1").select("raw", F.element_at("phrase", 1).alias("term"))
+    single = postings.counted(index.posted.join(ones.select("term").distinct(), "term", "left_semi")).join(ones, "term")
+    single = single.select("raw", "doc", F.get(named, F.col("col").cast("int")).alias("col"), F.col("n").cast("bigint").alias("n"))
+    parts = wanted.where("size(phrase) > 1").select("raw", F.size("phrase").alias("words"), F.posexplode("phrase").alias("at", "term"))
+    met = postings.unpacked(index.posted.join(parts.select("term").distinct(), "term", "left_semi")).join(parts, "term")
+    met = met.withColumn("start", F.col("pos") - F.col("at")).groupBy("raw", "words", "doc", "col", "start").agg(F.count_distinct("at").alias("met"))
+    longer = met.where("met = words").groupBy("raw", "doc", "col").agg(F.count("*").alias("n"))
+    return single.unionByName(longer.select("raw", "doc", F.get(named, F.col("col").cast("int")).alias("col"), "n"))
 
 
 def term_frequencies(found: DataFrame, without: tuple[str, ...] = ("tags",)) -> DataFrame:
@@ -62,6 +58,14 @@ def term_frequencies(found: DataFrame, without: tuple[str, ...] = ("tags",)) ->
     return found.groupBy("raw").agg(natural.alias("in_text"), F.count_distinct("doc").alias("anywhere"))
 
 
+def block_frequencies(index: Index, phrases: DataFrame) -> DataFrame:
+    """``term_frequencies`` of phrases that are one token, from what their blocks say of themselves; no posting is read."""
+    ones = phrases.where("size(phrase) = 1").select("raw", F.element_at("phrase", 1).alias("term")).distinct()
+    seen = index.posted.select("term", "n", "n_text").join(ones.select("term").distinct(), "term", "left_semi")
+    seen = seen.groupBy("term").agg(F.sum("n_text").alias("in_text"), F.sum("n").alias("anywhere"))
+    return ones.join(seen, "term").select("raw", "in_text", "anywhere")
+
+
 def keep_useful(phrases: DataFrame, frequencies: DataFrame, stats: DataFrame, settings: Settings) -> DataFrame:
     """The phrases of each question that tell documents apart.
 
@@ -79,8 +83,10 @@ def keep_useful(phrases: DataFrame, frequencies: DataFrame, stats: DataFrame, se
     return rows.where(chosen).select("qid", "term_no", "raw", "phrase")
 
 
-def bm25(phrases: DataFrame, found: DataFrame, frequencies: DataFrame, lengths: DataFrame, stats: DataFrame, settings: Settings) -> DataFrame:
-    """(qid, doc, score): weighted term frequencies against lengths over all columns.
+def bm25(
+    phrases: DataFrame, found: DataFrame, frequencies: DataFrame, lengths: DataFrame, stats: DataFrame, settings: Settings, only: DataFrame | None = None
+) -> DataFrame:
+    """(qid, doc, score): weighted term frequencies against lengths over all columns; of the pairs (qid, doc) in ``only``, if given.
 
     idf = ln((N - n + 0.5) / (n + 0.5)), not below its floor.
     """
@@ -89,11 +95,11 @@ def bm25(phrases: DataFrame, found: DataFrame, frequencies: DataFrame, lengths:
         weight = F.when(F.col("col") == name, value) if weight is None else weight.when(F.col("col") == name, value)
     heavy = found.groupBy("raw", "doc").agg(F.sum(F.col("n") * weight.otherwise(1.0)).alias("tf"))
     asked = phrases.select("qid", "raw").join(frequencies.select("raw", "anywhere"), "raw")
-    rows = asked.join(heavy, "raw").join(lengths, "doc").join(F.broadcast(stats))
-    idf = F.log((F.col("n_docs") - F.col("anywhere") + 0.5) / (F.col("anywhere") + 0.5))
-    idf = F.when(idf <= 0, settings.idf_floor).otherwise(idf)
+    rows = asked.join(heavy, "raw")
+    rows = rows if only is None else rows.join(only, ["qid", "doc"], "left_semi")
+    rows = _idf(rows.join(lengths, "doc").join(F.broadcast(stats)), settings)
     norm = settings.k1 * (1 - settings.b + settings.b * F.col("length") / F.col("mean_length"))
-    part = idf * F.col("tf") * (settings.k1 + 1) / (F.col("tf") + norm)
+    part = F.col("idf") * F.col("tf") * (settings.k1 + 1) / (F.col("tf") + norm)
     return rows.groupBy("qid", "doc").agg(F.sum(part).alias("score"))
 
 
@@ -114,40 +120,99 @@ def top(scores: DataFrame, limit: int, order: str = "doc", value: str = "score")
 
 @dataclass(frozen=True)
 class Index:
-    """What a search reads: postings, document lengths, corpus statistics."""
+    """What a search reads: blocks of postings (see ``postings``), document lengths, corpus statistics, the columns' names."""
 
     posted: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    columns: tuple[str, ...]
 
 
 def build(index: DataFrame, columns: list[str]) -> Index:
     """The index of a table (doc and text columns), computed where it is used."""
     lengths = document_lengths(index, columns)
-    return Index(postings(index, columns), lengths, corpus_stats(lengths))
+    return Index(postings.postings(index, columns), lengths, corpus_stats(lengths), tuple(columns))
 
 
-def write(index: Index, path: str, files: int | None = None) -> None:
-    """Keep an index: postings in order of their terms, so that a lookup reads the files of its terms alone."""
-    ranged = index.posted.repartitionByRange(files, "term") if files else index.posted.repartitionByRange("term")
-    ranged.sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+def write(index: DataFrame, columns: list[str], path: str, files: int | None = None) -> None:
+    """Keep the index of a table: blocks in order of their terms, so that a lookup reads the files of its terms alone."""
+    postings.postings(index, columns, parts=files).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    document_lengths(index, columns).write.mode("overwrite").parquet(f"{path}/lengths")
+    spark = index.sparkSession
+    corpus_stats(spark.read.parquet(f"{path}/lengths")).withColumn("columns", F.array(*map(F.lit, columns))).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def read(spark: SparkSession, path: str) -> Index:
     """An index that was kept."""
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "stats")))
+    posted, lengths, stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "stats"))
+    return Index(posted, lengths, stats.drop("columns"), tuple(stats.first().columns))
+
+
+def _idf(rows: DataFrame, settings: Settings) -> DataFrame:
+    idf = F.log((F.col("n_docs") - F.col("anywhere") + 0.5) / (F.col("anywhere") + 0.5))
+    return rows.withColumn("idf", F.when(idf <= 0, settings.idf_floor).otherwise(idf))
+
+
+def bounds(index: Index, useful: DataFrame, frequencies: DataFrame, settings: Settings) -> DataFrame:
+    """(qid, raw, term, low, high, bound): what a block of a question's one-token term can add to a document's score at most.
+
+    From the block's most occurrences in each column and its shortest length; no posting is read.
+    """
+    ones = useful.where("size(phrase) = 1").select("qid", "raw", F.element_at("phrase", 1).alias("term"))
+    asked = ones.join(frequencies.select("raw", "anywhere"), "raw")
+    blocks = index.posted.select("term", "low", "high", "least", "most")
+    rows = _idf(asked.join(blocks, "term").join(F.broadcast(index.stats)), settings)
+    most = sum((F.get("most", F.lit(i)) * F.lit(float(settings.weights.get(c, 1.0))) for i, c in enumerate(index.columns)), F.lit(0.0))
+    norm = settings.k1 * (1 - settings.b + settings.b * F.col("least") / F.col("mean_length"))
+    factor = max([1.0, *settings.confidence.values()])
+    return rows.select("qid", "raw", "term", "low", "high", (factor * F.col("idf") * most * (settings.k1 + 1) / (most + norm)).alias("bound"))
+
+
+def telling(bounded: DataFrame, share: float = 0.5) -> DataFrame:
+    """(qid, raw): each question's terms of the greatest bounds, up to ``share`` of the sum of all its bounds."""
+    terms = bounded.groupBy("qid", "raw").agg(F.max("bound").alias("bound"))
+    down = Window.partitionBy("qid").orderBy(F.desc("bound"), "raw")
+    before = F.coalesce(F.sum("bound").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return terms.withColumn("before", before).withColumn("all", F.sum("bound").over(Window.partitionBy("qid"))).where(F.col("before") < F.col("all") * share).select("qid", "raw")
+
+
+def essential(bounded: DataFrame, floor: DataFrame) -> DataFrame:
+    """(qid, raw): terms without which a document cannot reach ``floor`` (qid, floor), a score that enough documents have.
+
+    By rising bound, the terms whose bounds add up to less than the floor are the others: a document that has only such
+    terms is not among the best.
+    """
+    terms = bounded.groupBy("qid", "raw").agg(F.max("bound").alias("bound")).join(floor, "qid", "left")
+    upto = F.sum("bound").over(Window.partitionBy("qid").orderBy("bound", "raw").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return terms.withColumn("upto", upto).where(F.col("upto") >= F.coalesce("floor", F.lit(0.0)) - 1e-5).select("qid", "raw")
 
 
 def search_index(index: Index, cards: DataFrame, questions: DataFrame, settings: Settings, limit: int) -> DataFrame:
-    """Ranked documents of each question: qid, doc, posicao, score."""
+    """Ranked documents of each question: qid, doc, posicao, score.
+
+    Common terms are told by what blocks say, and their postings not read.
+    Of the others, those with the greatest bounds are scored first; the
+    ``limit``-th best score so far is one that no document below can win with.
+    Terms whose bounds together stay below it find no documents of their own,
+    they only add to those that other terms find.
+    """
     phrases = keep(question_phrases(questions), "phrases")
-    found = keep(occurrences(index.posted, phrases), "occurrences")  # read for frequencies and for scores
-    frequencies = term_frequencies(found)
-    useful = keep_useful(phrases, frequencies, index.stats, settings)
-    scores = penalized(bm25(useful, found, frequencies, index.lengths, index.stats, settings), cards, settings)
-    return top(scores, limit).select("qid", "doc", "posicao", "score")
+    longer = phrases.where("size(phrase) > 1")
+    rare = keep(occurrences(index, longer), "longer-occurrences")
+    frequencies = keep(block_frequencies(index, phrases).unionByName(term_frequencies(rare)), "frequencies")
+    useful = keep(keep_useful(phrases, frequencies, index.stats, settings), "useful")
+    bounded = keep(bounds(index, useful, frequencies, settings), "bounds")
+    scored = lambda terms, found, only=None: penalized(bm25(terms, found, frequencies, index.lengths, index.stats, settings, only), cards, settings)
+    single = useful.where("size(phrase) = 1")
+    first = keep(single.join(telling(bounded), ["qid", "raw"], "left_semi"), "telling")
+    begun = keep(occurrences(index, first), "telling-occurrences")
+    floor = top(scored(first, begun), limit).where(F.col("posicao") == limit).select("qid", F.col("score").alias("floor"))
+    more = keep(essential(bounded, floor), "essential")
+    rest = single.join(first.select("raw").distinct(), "raw", "left_anti")
+    found = keep(begun.unionByName(occurrences(index, rest)).unionByName(rare), "occurrences")
+    own = single.join(more, ["qid", "raw"], "left_semi").unionByName(useful.where("size(phrase) > 1"))
+    named = own.select("qid", "raw").join(found.select("raw", "doc").distinct(), "raw").select("qid", "doc").distinct()
+    return top(scored(useful, found, named), limit).select("qid", "doc", "posicao", "score")
 
 
 def search(index: DataFrame, cards: DataFrame, questions: DataFrame, settings: Settings, limit: int) -> DataFrame:

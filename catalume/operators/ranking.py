@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalume.config import Settings
 from catalume.functions import text
+from catalume.operators import postings, sinks
 from catalume.sources.kept import keep
 
 
@@ -93,32 +95,66 @@ def route(questions: DataFrame, fused: DataFrame, settings: Settings) -> DataFra
 
 
 def first_hits(questions: DataFrame, results: DataFrame) -> DataFrame:
-    """(qid, tema, dificuldade, posicao): the place of the first acceptable result, null for none.
+    """(qid, tema, dificuldade, posicao): the place of the first acceptable result, null for none; see ``ranked_hits``."""
+    return ranked_hits(questions, results.withColumn("ranking", F.lit("")), [""]).select("qid", "tema", "dificuldade", "posicao")
 
-    A question without acceptable rows asks for absence: place 1 if nothing came back.
+
+def ranked_hits(questions: DataFrame, rankings: DataFrame, names: list[str]) -> DataFrame:
+    """(ranking, qid, tema, dificuldade, posicao, esperado, primeiros) of each question in each ranking of ``names``.
+
+    ``questions`` (qid, tema, dificuldade, aceitaveis), ``rankings`` (ranking, qid, name, posicao). ``posicao`` is the place
+    of the first acceptable result, null for none. A question without acceptable rows asks for absence: place 1 if nothing
+    came back. ``esperado`` are the acceptable names, ``primeiros`` the first five results.
     """
-    wanted = questions.select("qid", F.explode("aceitaveis").alias("name"))
-    hit = results.join(wanted, ["qid", "name"]).groupBy("qid").agg(F.min("posicao").alias("hit"))
-    came = results.groupBy("qid").agg(F.count("*").alias("came"))
-    rows = questions.join(hit, "qid", "left").join(came, "qid", "left")
+    rankings = rankings.select("ranking", "qid", "name", "posicao")
+    wanted = questions.select("qid", F.explode("aceitaveis").alias("name"), F.lit(True).alias("fits"))
+    came = rankings.join(wanted, ["qid", "name"], "left").groupBy("ranking", "qid").agg(
+        F.min(F.when(F.col("fits"), F.col("posicao"))).alias("hit"),
+        F.count("*").alias("came"),
+        F.array_sort(F.collect_list(F.when(F.col("posicao") <= 5, F.struct("posicao", "name")))).alias("first"),
+    )
+    asked = questions.select("qid", "tema", "dificuldade", "aceitaveis", F.explode(F.array(*map(F.lit, names))).alias("ranking"))
+    rows = asked.join(came, ["ranking", "qid"], "left")
     absent = F.when(F.coalesce("came", F.lit(0)) == 0, 1)
-    return rows.select("qid", "tema", "dificuldade", F.when(F.size("aceitaveis") == 0, absent).otherwise(F.col("hit")).cast("long").alias("posicao"))
+    return rows.select(
+        "ranking",
+        "qid",
+        "tema",
+        "dificuldade",
+        F.when(F.size("aceitaveis") == 0, absent).otherwise(F.col("hit")).cast("long").alias("posicao"),
+        F.array_sort("aceitaveis").alias("esperado"),
+        F.coalesce(F.transform("first", lambda r: r["name"]), F.array().cast("array<string>")).alias("primeiros"),
+    )
 
 
-def acceptable(questions: DataFrame, documents: DataFrame) -> DataFrame:
+def failures(hits: DataFrame, within: int = 5) -> DataFrame:
+    """(ranking, qid, esperado, primeiros): questions without an acceptable result among the first ``within``."""
+    return hits.where(F.col("posicao").isNull() | (F.col("posicao") > within)).select("ranking", "qid", "esperado", "primeiros")
+
+
+def acceptable(questions: DataFrame, documents: DataFrame, index=None) -> DataFrame:
     """(qid, doc): the documents (doc, text) that hold a question's (qid, whole) text.
 
     A document that holds the text holds its words, so it is looked up by the
     text's rarest inner word (or, of one or two words, any of them, which then
-    must stand whole) and only such documents are searched.
+    must stand whole) and only such documents are searched. With an ``index``
+    of the documents, which has the text as one of its columns, frequencies
+    and documents of words are read from it; else texts are cut anew.
     """
     words = questions.select("qid", "whole", text.tokens(F.col("whole")).alias("t"))
     inner = words.select("qid", "whole", F.explode(F.array_distinct(F.when(F.size("t") > 2, F.slice("t", 2, F.size("t") - 2)).otherwise(F.col("t")))).alias("term"))
     asked = inner.select("term").distinct()
-    held = documents.select("doc", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term")).join(asked, "term")
-    counted = held.groupBy("term").agg(F.count("*").alias("n"))
-    known = inner.join(counted, "term", "left").groupBy("qid").agg(F.first("whole").alias("whole"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("key"))
-    near = held.join(known.where("key.n > 0").select("qid", "whole", F.col("key.term").alias("term")), "term")
+    if index is None:
+        held = documents.select("doc", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term")).join(asked, "term")
+        counts = held.groupBy("term").agg(F.count("*").alias("n"))
+    else:
+        counts = index.posted.select("term", "n").join(asked, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    known = inner.join(counts, "term", "left").groupBy("qid").agg(F.first("whole").alias("whole"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("key"))
+    known = known.where("key.n > 0").select("qid", "whole", F.col("key.term").alias("term"))
+    if index is not None:
+        known = keep(known, "keys")
+        held = postings.counted(index.posted.join(known.select("term").distinct(), "term", "left_semi")).select("term", "doc").distinct()
+    near = held.join(known, "term")
     return near.join(documents.select("doc", "text"), "doc").where(F.contains("text", F.col("whole"))).select("qid", "doc")
 
 
@@ -143,6 +179,47 @@ def metrics_by_segment(hits: DataFrame) -> DataFrame:
     return sides.groupBy(F.col("s.segmento").alias("segmento"), F.col("s.valor").alias("valor")).agg(*_metrics())
 
 
+def metrics_by_ranking(hits: DataFrame) -> DataFrame:
+    """(ranking, segmento, valor, total, recall_5, recall_10, mrr) of each ranking over all, by theme and by difficulty: one pass over grouping sets."""
+    sets = hits.groupingSets([["ranking"], ["ranking", "tema"], ["ranking", "dificuldade"]], "ranking", "tema", "dificuldade")
+    by = lambda name: F.grouping(name) == 0
+    named = sets.agg(F.when(by("tema"), "tema").when(by("dificuldade"), "dificuldade").otherwise("geral").alias("segmento"), *_metrics())
+    return named.select("ranking", "segmento", F.when(F.col("segmento") == "tema", F.col("tema")).when(F.col("segmento") == "dificuldade", F.col("dificuldade")).otherwise("").alias("valor"), "total", "recall_5", "recall_10", "mrr")
+
+
+RUN = "run_no bigint, recuperacao string, recall_5 double, recall_10 double, mrr double, total bigint"
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """The recorded runs; lines that are none are passed over, runs without kind are lexical."""
+    try:
+        rows = spark.read.schema(RUN).option("mode", "PERMISSIVE").json(path)
+    except AnalysisException:
+        rows = spark.createDataFrame([], RUN)
+    return rows.where("recall_5 is not null").withColumn("recuperacao", F.coalesce("recuperacao", F.lit("lexica")))
+
+
+def record(measured: DataFrame, questions: DataFrame, cards: DataFrame, path: str) -> int:
+    """Append a run's metrics over all (see ``metrics_by_ranking``), a line a ranking, behind what is recorded; returns its number.
+
+    Refused while questions (aceitaveis) name cards (name) that are not there: what is measured then is the annotation.
+    """
+    broken = [r.name for r in broken_annotations(questions, cards).orderBy("name").limit(20).collect()]
+    if broken:
+        raise ValueError(f"acceptable names without a card: {', '.join(broken)}")
+    number = (history(measured.sparkSession, path).agg(F.max("run_no")).first()[0] or 0) + 1
+    rows = measured.where("segmento = 'geral'").select(F.lit(number).cast("bigint").alias("run_no"), F.col("ranking").alias("recuperacao"), "recall_5", "recall_10", "mrr", "total")
+    sinks.append_json(rows, path)
+    return number
+
+
+def last_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Each kind's last recorded run against the one before it; see ``regression``."""
+    seen = regression(history(spark, path))
+    last = seen.groupBy("kind").agg(F.max("run_no").alias("run_no"))
+    return seen.join(last, ["kind", "run_no"])
+
+
 def regression(history: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Each run (run_no, recuperacao, recall_5) against the one before of its kind; a run without kind is lexical."""
     kind = F.coalesce("recuperacao", F.lit("lexica"))

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalume.sources.kept import keep, new_path
 
-#: Queries that are broadcast at once.
-BLOCK = 2048
+#: Queries that are broadcast at once, and rows that are held against them at once.
+BLOCK, AT_ONCE = 2048, 2048
 
 
 def norm(vector: Column) -> Column:
@@ -113,6 +113,7 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, by: str | None =
     ``k`` of each query.
     """
     spark = vectors.sparkSession
+    queries = keep(queries, "asked")
     blocks = max(1, -(-queries.count() // BLOCK))
     path = new_path(spark, "cosine")
     for block in range(blocks):
@@ -130,26 +131,31 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(ids, order, 0), np.take_along_axis(scores, order, 0)
 
 
+def _matrix(lists: pa.ListArray, dim: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), dim)
+
+
 def _block_top(vectors: DataFrame, queries: DataFrame, k: int, by: str | None) -> tuple[DataFrame, Broadcast]:
-    rows = queries.select("qid", "vetor", *([by] if by else [])).toPandas()  # about BLOCK rows
-    wanted = np.array(rows["vetor"].tolist(), np.float64)
-    shared = vectors.sparkSession.sparkContext.broadcast((rows["qid"].to_numpy(), wanted, rows[by].to_numpy() if by else None))
+    rows = queries.select("qid", "vetor", *([by] if by else [])).toArrow()  # about BLOCK rows
+    wanted = np.array(rows.column("vetor").to_pylist(), np.float64)
+    shared = vectors.sparkSession.sparkContext.broadcast((rows.column("qid").to_numpy(), wanted, np.array(rows.column(by).to_pylist(), object) if by else None))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, wanted, kinds = shared.value
         found = None
-        for batch in batches:
-            if not len(batch) or not len(qids):
-                continue
-            scores = np.round(np.array(batch["vetor"].tolist(), np.float64) @ wanted.T, 6) + 0.0
-            if kinds is not None:
-                scores[batch[by].to_numpy()[:, None] != kinds[None, :]] = -np.inf
-            ids = np.broadcast_to(batch["id"].to_numpy()[:, None], scores.shape)
-            best = _best(ids, scores, k)
-            found = best if found is None else _best(np.concatenate((found[0], best[0])), np.concatenate((found[1], best[1])), k)
+        for whole in batches if len(qids) else ():
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                scores = np.round(_matrix(batch.column(1), wanted.shape[1]) @ wanted.T, 6) + 0.0
+                if kinds is not None:
+                    scores[np.array(batch.column(2).to_pylist(), object)[:, None] != kinds[None, :]] = -np.inf
+                ids = np.broadcast_to(batch.column(0).to_numpy()[:, None], scores.shape)
+                best = _best(ids, scores, k)
+                found = best if found is None else _best(np.concatenate((found[0], best[0])), np.concatenate((found[1], best[1])), k)
         if found is not None:
-            out = pd.DataFrame({"qid": np.tile(qids, len(found[0])), "id": found[0].ravel(), "score": found[1].ravel()})
-            yield out[np.isfinite(out["score"])]
+            fine = np.isfinite(found[1].ravel())
+            out = (np.tile(qids, len(found[0]))[fine], found[0].ravel()[fine], found[1].ravel()[fine])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2])], ["qid", "id", "score"])
 
     columns = ["id", "vetor", *([by] if by else [])]
-    return vectors.select(*columns).mapInPandas(run, "qid bigint, id bigint, score double"), shared
+    return vectors.select(*columns).where("vetor is not null").mapInArrow(run, "qid bigint, id bigint, score double"), shared

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalume.config import Settings
 from catalume.functions import text
-from catalume.operators import lexical
+from catalume.operators import embedding, lexical
 from catalume.sources import kept
 
 #: The SQL twins of the views below.
@@ -68,10 +70,28 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexical_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     """The index of all documents, kept: built once for each state of the tables."""
     paths = (f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet")
-    made = lambda folder: lexical.write(lexical.build(index(spark, sf_dir), list(Settings().weights)), folder)
+    made = lambda folder: lexical.write(index(spark, sf_dir), list(Settings().weights), folder)
     return lexical.read(spark, kept.once(spark, "lexical-index", paths, made))
 
 
+#: No trained model is at hand: vectors of hashed tokens.
+MODEL = embedding.hashed(64)
+
+
+def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, vetor of all documents with tokens, kept: made once for each state of the table, refused if made for another."""
+    path = (f"{sf_dir}/documents.parquet",)
+    version = hashlib.sha256(repr(kept.stamp(spark, *path)[1]).encode()).hexdigest()
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    folder = kept.once(spark, "document-vectors", path, lambda out: embedding.keep_vectors(docs, "text", MODEL, out, version))
+    return embedding.kept_vectors(spark, folder, MODEL, version)
+
+
+def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, vetor of the questions."""
+    return embedding.embed(questions(spark, sf_dir), "qid", "question", MODEL, embedding.QUERY)
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, link, host, status_http, latencia_ms, classe_saude: pages as resources with made-up probes."""
     from catalume.operators import health

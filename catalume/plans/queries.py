@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalume.config import Settings
 from catalume.functions import text
-from catalume.operators import answers, enrich, health, ingest, lexical, limiter, presentation, publish, ranking, sinks, vectors
+from catalume.operators import answers, embedding, enrich, health, ingest, lexical, limiter, presentation, publish, ranking, sinks, vectors
 from catalume.plans import catalog
 from catalume.plans.catalog import table
 from catalume.sources import kept
@@ -63,9 +63,9 @@ lexica AS (SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY
 def _parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     made, asked = catalog.lexical_index(spark, sf_dir), catalog.questions(spark, sf_dir)
     phrases = lexical.question_phrases(asked)
-    found = kept.keep(lexical.occurrences(made.posted, phrases), "occurrences")
+    found = kept.keep(lexical.occurrences(made, phrases), "occurrences")
     return {
-        "asked": asked, "posted": made.posted, "phrases": phrases, "found": found, "lengths": made.lengths,
+        "asked": asked, "index": made, "phrases": phrases, "found": found, "lengths": made.lengths,
         "stats": made.stats, "freq": lexical.term_frequencies(found), "cards": catalog.cards(spark, sf_dir),
     }
 
@@ -132,7 +132,7 @@ def phrase_match(spark, sf_dir):
     beside = F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.concat(a, F.lit("_"), b))
     asked = catalog.questions(spark, sf_dir).select("qid", text.tokens(F.col("question")).alias("t")).where("size(t) > 1")
     joined = asked.select("qid", F.array_join(beside, " ").alias("question"))
-    return lexical.occurrences(catalog.lexical_index(spark, sf_dir).posted, lexical.question_phrases(joined))
+    return lexical.occurrences(catalog.lexical_index(spark, sf_dir), lexical.question_phrases(joined))
 
 
 @query(
@@ -197,17 +197,12 @@ def vector_coverage_gate(spark, sf_dir):
 # -- fusion, routing, evaluation ---------------------------------------------
 
 
-DIM = 64
-
-
-def _embedded(rows: DataFrame, key: str, body: str) -> DataFrame:
-    return rows.select(F.col(key), enrich.hashed_embedding(F.col(body), DIM).alias("vetor")).where("vetor is not null")
+DIM = catalog.MODEL.dim
 
 
 def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents whose hashed vectors are nearest to each question's."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return vectors.cosine_top(_embedded(docs, "id", "text"), _embedded(catalog.questions(spark, sf_dir), "qid", "question"), SETTINGS.depth)
+    """The documents whose kept vectors are nearest to each question's."""
+    return vectors.cosine_top(catalog.document_vectors(spark, sf_dir), catalog.question_vectors(spark, sf_dir), SETTINGS.depth)
 
 
 def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,19 +212,19 @@ def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second)
 
 
-def _embed_sql(source: str, key: str, body: str) -> str:
-    """Counts of tokens by slot (16 bits of their MD5), as a unit vector."""
+def _embed_sql(source: str, key: str, body: str, prefix: str) -> str:
+    """Counts of tokens by slot (16 bits of their MD5), as a unit vector; ``prefix`` stands before the text."""
     return f"""SELECT {key}, list_transform(c, x -> x / sqrt(list_inner_product(c, c))) AS vetor FROM (
         SELECT {key}, list_transform(range({DIM}), i -> CAST(len(list_filter(s, x -> x = i)) AS DOUBLE)) AS c FROM (
-        SELECT {key}, list_transform(regexp_extract_all(lower(strip_accents({body})), '[\\p{{L}}\\p{{N}}]+'), t -> CAST('0x' || substr(md5(t), 1, 4) AS INT) % {DIM}) AS s FROM {source})
+        SELECT {key}, list_transform(regexp_extract_all(lower(strip_accents('{prefix}' || {body})), '[\\p{{L}}\\p{{N}}]+'), t -> CAST('0x' || substr(md5(t), 1, 4) AS INT) % {DIM}) AS s FROM {source})
         WHERE len(s) > 0)""".replace("x -> ", "lambda x: ").replace("i -> ", "lambda i: ").replace("t -> ", "lambda t: ")
 
 
 _FUSED = (
     _POSTED
     + f""",
-vetores AS ({_embed_sql("documents", "doc_id", "text")}),
-perguntas_v AS ({_embed_sql("pergunta", "qid", "question")}),
+vetores AS ({_embed_sql("documents", "doc_id", "text", embedding.PASSAGE)}),
+perguntas_v AS ({_embed_sql("pergunta", "qid", "question", embedding.QUERY)}),
 semantica AS (SELECT qid, doc_id AS doc, round(list_inner_product(q.vetor, v.vetor), 6) AS score,
     row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS posicao FROM perguntas_v q, vetores v QUALIFY posicao <= 10),
 rankings AS (SELECT qid, 'lexica' AS ranking, doc AS id, posicao, score FROM lexica UNION ALL SELECT qid, 'semantica', doc, posicao, score FROM semantica),
@@ -241,8 +236,7 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id)
 
 @query(f"WITH {_FUSED} SELECT doc_id, list_transform(vetor, lambda x: round(x, 6)) AS vetor FROM vetores")
 def embed_stub(spark, sf_dir):
-    rows = _embedded(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return rows.select("doc_id", F.transform("vetor", lambda x: F.round(x, 6)).alias("vetor"))
+    return catalog.document_vectors(spark, sf_dir).select(F.col("id").alias("doc_id"), F.transform("vetor", lambda x: F.round(x, 6)).alias("vetor"))
 
 
 @query(f"WITH {_FUSED} SELECT qid, doc AS id, posicao, score FROM semantica")
@@ -304,19 +298,32 @@ def route_relevant_cards(spark, sf_dir):
     return fused.where(ranking.is_relevant(F.col("origens"), SETTINGS)).select("qid", "id", "posicao")
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question's acceptable documents are those that hold its text, sought among all; none: it asks for absence."""
     asked = catalog.questions(spark, sf_dir).withColumn("whole", F.col("question"))
-    results = _lexical(spark, sf_dir)
-    held = ranking.acceptable(asked, catalog.cards(spark, sf_dir).select("doc", "text"))
+    held = ranking.acceptable(asked, catalog.cards(spark, sf_dir).select("doc", "text"), catalog.lexical_index(spark, sf_dir))
     wanted = held.groupBy("qid").agg(F.collect_set(F.col("doc").cast("string")).alias("aceitaveis"))
-    kinds = asked.join(wanted, "qid", "left").select(
+    return asked.join(wanted, "qid", "left").select(
         "qid",
         F.coalesce("aceitaveis", F.array().cast("array<string>")).alias("aceitaveis"),
         F.concat(F.lit("t"), (F.col("qid") % 3).cast("string")).alias("tema"),
         F.when(F.length("whole") > 200, "longa").otherwise("curta").alias("dificuldade"),
     )
-    return ranking.first_hits(kinds, results.select("qid", F.col("doc").cast("string").alias("name"), "posicao"))
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = _lexical(spark, sf_dir)
+    return ranking.first_hits(_truth(spark, sf_dir), results.select("qid", F.col("doc").cast("string").alias("name"), "posicao"))
+
+
+KINDS = ["lexica", "semantica", "hibrida"]
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three rankings of each question, ten places each."""
+    both = kept.keep(_rankings(spark, sf_dir), "rankings")
+    fused = ranking.fuse(both, SETTINGS.rrf_k, SETTINGS.depth).select("qid", F.lit("hibrida").alias("ranking"), "id", "posicao")
+    return both.select("qid", "ranking", "id", "posicao").unionByName(fused).withColumn("name", F.col("id").cast("string"))
 
 
 _HITS = (
@@ -332,7 +339,7 @@ hits AS (SELECT p.qid, 't' || (p.qid % 3) AS tema, CASE WHEN length(question) >
 @query(f"WITH {_HITS} SELECT qid, doc FROM aceitavel")
 def eval_acceptable(spark, sf_dir):
     asked = catalog.questions(spark, sf_dir).withColumnRenamed("question", "whole")
-    return ranking.acceptable(asked, catalog.cards(spark, sf_dir).select("doc", "text"))
+    return ranking.acceptable(asked, catalog.cards(spark, sf_dir).select("doc", "text"), catalog.lexical_index(spark, sf_dir))
 
 
 _METRICS = """count(*) AS total, round(avg(CASE WHEN posicao <= 5 THEN 1.0 ELSE 0 END), 4) AS recall_5,
@@ -357,6 +364,52 @@ def eval_failures(spark, sf_dir):
     return _hits(spark, sf_dir).where("posicao is null or posicao > 5").select("qid", "tema", "dificuldade")
 
 
+_HITS3 = (
+    _FUSED
+    + """,
+aceitavel AS (SELECT qid, CAST(doc AS VARCHAR) AS name FROM pergunta, conjunto WHERE contains(text, question)),
+tres AS (SELECT qid, ranking, CAST(id AS VARCHAR) AS name, posicao FROM rankings UNION ALL
+    SELECT qid, 'hibrida', CAST(id AS VARCHAR), row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) FROM fused QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) <= 10),
+hits AS (SELECT k.ranking, p.qid, 't' || (p.qid % 3) AS tema, CASE WHEN length(question) > 200 THEN 'longa' ELSE 'curta' END AS dificuldade,
+    CASE WHEN EXISTS (SELECT 1 FROM aceitavel a WHERE a.qid = p.qid) THEN (SELECT min(posicao) FROM tres t JOIN aceitavel a ON a.qid = t.qid AND a.name = t.name WHERE t.qid = p.qid AND t.ranking = k.ranking)
+    WHEN NOT EXISTS (SELECT 1 FROM tres t WHERE t.qid = p.qid AND t.ranking = k.ranking) THEN 1 END AS posicao
+    FROM pergunta p, (VALUES ('lexica'), ('semantica'), ('hibrida')) k(ranking))"""
+)
+
+
+@query(
+    f"""WITH {_HITS3} SELECT ranking, 'geral' AS segmento, '' AS valor, {_METRICS} FROM hits GROUP BY ranking UNION ALL SELECT ranking, 'tema', tema, {_METRICS} FROM hits GROUP BY ranking, tema
+    UNION ALL SELECT ranking, 'dificuldade', dificuldade, {_METRICS} FROM hits GROUP BY ranking, dificuldade"""
+)
+def eval_three_rankings(spark, sf_dir):
+    """Lexical, semantic and hybrid ranking over all, by theme and by difficulty."""
+    return ranking.metrics_by_ranking(ranking.ranked_hits(_truth(spark, sf_dir), _ranked(spark, sf_dir), KINDS))
+
+
+@query(
+    f"""WITH {_HITS3} SELECT h.ranking, h.qid, (SELECT coalesce(string_agg(name, ',' ORDER BY name), '') FROM aceitavel a WHERE a.qid = h.qid) AS esperado,
+    (SELECT coalesce(string_agg(name, ',' ORDER BY posicao), '') FROM tres t WHERE t.qid = h.qid AND t.ranking = h.ranking AND posicao <= 5) AS primeiros FROM hits h WHERE posicao IS NULL OR posicao > 5"""
+)
+def eval_failures_explained(spark, sf_dir):
+    """What a question that failed should have found, and what it found."""
+    failed = ranking.failures(ranking.ranked_hits(_truth(spark, sf_dir), _ranked(spark, sf_dir), KINDS))
+    return failed.select("ranking", "qid", F.array_join("esperado", ",").alias("esperado"), F.array_join("primeiros", ",").alias("primeiros"))
+
+
+@query(
+    f"""WITH {_HITS3}, m AS (SELECT ranking, round(avg(CASE WHEN posicao <= 5 THEN 1.0 ELSE 0 END), 4) AS whole, round(avg(CASE WHEN posicao <= 1 THEN 1.0 ELSE 0 END), 4) AS one FROM hits GROUP BY ranking)
+    SELECT ranking AS kind, 2 AS run_no, one AS recall_5, whole AS before, round(whole - one, 6) > 0.05 AS regressed FROM m"""
+)
+def eval_history(spark, sf_dir):
+    """Two runs recorded and read back: one over ten results, one over the first alone, held against the run before."""
+    asked, found = kept.keep(_truth(spark, sf_dir), "truth"), kept.keep(_ranked(spark, sf_dir), "ranked")
+    path, names = kept.new_path(spark, "runs"), catalog.cards(spark, sf_dir).select(F.col("id").alias("name"))
+    for results in (found, found.where("posicao = 1")):
+        hits = ranking.ranked_hits(asked, results, KINDS)
+        ranking.record(ranking.metrics_by_ranking(hits), asked, names, path)
+    return ranking.last_runs(spark, path).select("kind", "run_no", "recall_5", "before", "regressed")
+
+
 @query(
     """SELECT event_id AS run_no, coalesce(CASE event_type WHEN 'view' THEN 'semantica' WHEN 'click' THEN 'hibrida' END, 'lexica') AS kind, value AS recall_5,
     lag(value) OVER (PARTITION BY kind ORDER BY event_id) AS before, coalesce(round(before - value, 6) > 0.05, false) AS regressed FROM events""",
