@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,29 +28,112 @@ def replace_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def replace(table: DataFrame, path: str) -> DataFrame:
-    """A table's next state in a new version folder, which a last file names, so that readers see one state or the other.
+class Conflict(Exception):
+    """Another writer committed a state behind the one that this writer began from."""
 
-    ``table`` may read the state before. Returns the new state.
-    """
-    spark = table.sparkSession
-    version = _version(spark, path) + 1
-    table.write.mode("overwrite").parquet(f"{path}/v{version}")
-    spark.range(1).select(F.lit(version).alias("v")).coalesce(1).write.mode("append").json(f"{path}/current")
-    return spark.read.parquet(f"{path}/v{version}")
+
+#: Seconds that a marker may be there without its content before its writer counts as dead.
+CLAIM_SECONDS = 5.0
+
+
+def _at(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _version(spark: SparkSession, path: str) -> int:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return 0
-    return spark.read.schema("v int").json(f"{path}/current").agg(F.max("v")).first()[0] or 0
+def _markers(spark: SparkSession, path: str) -> dict[int, str]:
+    """Number -> name of the folder with the state's rows; empty where a marker has no content (yet)."""
+    place, system = _at(spark, f"{path}/current")
+    listed = [f.getPath() for f in system.listStatus(place)] if system.exists(place) else []
+    read = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString
+    return {int(f.getName()): read(system.open(f), "UTF-8") for f in listed if f.getName().isdigit()}
+
+
+def versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """The committed states of a table: number -> folder."""
+    return {n: f"{path}/{name}" for n, name in sorted(_markers(spark, path).items()) if name}
 
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The state that ``replace`` left last; None before the first."""
-    version = _version(spark, path)
-    return spark.read.parquet(f"{path}/v{version}") if version else None
+    """The state that was committed last; None before the first."""
+    known = versions(spark, path)
+    return spark.read.parquet(known[max(known)]) if known else None
+
+
+def _claim(spark: SparkSession, path: str, base: int, name: str) -> None:
+    """Name the state behind ``base`` with a marker that must not exist yet; ``Conflict`` if another writer has done so.
+
+    A marker is made by exclusive creation, which only one writer can, and filled at once. One that stays empty for
+    CLAIM_SECONDS was left by a writer that died; its number is passed over.
+    """
+    number, waited = base + 1, 0.0
+    while True:
+        markers = _markers(spark, path)
+        if any(n > base and said for n, said in markers.items()):
+            raise Conflict(f"{path}: a state behind {base} was committed by another writer")
+        if number in markers and waited < CLAIM_SECONDS:
+            time.sleep(0.25)
+            waited += 0.25
+        elif number in markers:
+            number, waited = number + 1, 0.0
+        else:
+            place, system = _at(spark, f"{path}/current/{number}")
+            try:
+                out = system.create(place, False)
+            except Py4JJavaError as error:
+                if "AlreadyExists" not in str(error.java_exception):
+                    raise
+                continue
+            out.write(name.encode())
+            out.close()
+            return
+
+
+def commit(table: DataFrame, path: str, base: int) -> DataFrame:
+    """Make ``table`` the state behind number ``base`` (0: none yet); ``Conflict``, and no trace, if another writer was first.
+
+    Rows go to a folder of this writer's own before a marker names it, so readers see one whole state or the other.
+    """
+    spark, name = table.sparkSession, f"v{base + 1}-{uuid.uuid4().hex}"
+    table.write.parquet(f"{path}/{name}")
+    try:
+        _claim(spark, path, base, name)
+    except Conflict:
+        place, system = _at(spark, f"{path}/{name}")
+        system.delete(place, True)
+        raise
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def update(spark: SparkSession, path: str, change: Callable[[DataFrame | None], DataFrame], keep: int = 3, tries: int = 20) -> DataFrame:
+    """Commit what ``change`` makes of the current state (None before the first); started again from the winner's state if another writer was first.
+
+    Behind that only the last ``keep`` states stay; a reader of an older one has to read again.
+    """
+    for turn in range(tries):
+        known = versions(spark, path)
+        base = max(known, default=0)
+        try:
+            made = commit(change(spark.read.parquet(known[base]) if known else None), path, base)
+        except Conflict:
+            if turn + 1 == tries:
+                raise
+            continue
+        forget(spark, path, keep)
+        return made
+
+
+def replace(table: DataFrame, path: str) -> DataFrame:
+    """A table's next state as a whole, whatever the one before; returns it."""
+    return update(table.sparkSession, path, lambda old: table)
+
+
+def forget(spark: SparkSession, path: str, keep: int) -> None:
+    """Remove the states but the last ``keep``; their markers go last, so an interrupted removal goes on in the next one."""
+    for number, folder in list(versions(spark, path).items())[:-keep]:
+        for name in (folder, f"{path}/current/{number}"):
+            place, system = _at(spark, name)
+            system.delete(place, True)
 
 
 def with_columns(table: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -1210,7 +1210,7 @@ def card_upsert(spark, sf_dir):
     path = kept.new_path(spark, "cards")
     sinks.replace(cards.withColumn("resumo", F.lit("velha")), path)
     new = cards.where("doc % 2 = 0").select("doc", F.lit("nova").alias("resumo"), F.lit(1).alias("vez"))
-    sinks.replace(ingest.upsert(sinks.current(spark, path), new, "doc", "vez"), path)
+    sinks.update(spark, path, lambda old: ingest.upsert(old, new, "doc", "vez"))
     return sinks.current(spark, path).select("doc", "resumo", "confianca")
 
 
