@@ -1,5 +1,7 @@
 """Whole articles of pages without <article>, and implied end tags."""
 
+import random
+import re
 import time
 
 import pytest
@@ -46,6 +48,67 @@ def test_html_regions(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><form id=aspnetForm><article><p>{TEXT}</p></article></form><div>(c) 2020</div></body>", TEXT),
+        (f"<body><form><input><label>Name</label></form><div><p>{TEXT}</p></div></body>", TEXT),
+        (f'<article><h1>T</h1><div class="social-history"><p>{TEXT}</p></div></article>', f"T {TEXT}"),
+        (f'<article><h2 class="menu">The menu</h2><p id="comments">{TEXT}</p></article>', f"The menu {TEXT}"),
+        (f"<article><p>{TEXT}</p><div class=share><a href=a>Share</a> it</div></article>", TEXT),
+        (f"<article><p>{TEXT}</p><div class=comments><p>{TEXT} {TEXT}</p></div></article>", TEXT),
+        (f"<div><p>{TEXT}</p></div><div class=sidebar><p>{TEXT}</p></div>", TEXT),
+    ],
+)
+def test_html_words_and_forms_are_evidence(page, want):
+    assert html.main_text(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!--", '<a href="', "<![", "<?", "</", '<a b="x>', "<script>", "<title>", "&#", "<a href='\""])
+@pytest.mark.parametrize("end", ["", ">", "\"'>-->"])
+def test_html_unclosed_pieces_take_linear_time(piece, end):
+    began = time.process_time()
+    assert html.main_text(f"<article><p>{TEXT}</p></article>" + piece * 20_000 + end).startswith(TEXT)
+    html.main_text(piece * 20_000 + end)
+    assert time.process_time() - began < 2
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("a <b title='x > y'>c</b> d", "a <b title='x > y'>c</b> d"),
+        ("a < b <3 <c", "a &lt; b &lt;3 &lt;c"),
+        ("x<!-- > <p> -->y<!DOCTYPE html>z<![CDATA[1]]>", "xyz"),
+        ("<p class=it's>q \"r\" s</p>", "<p class=it&#39;s>q \"r\" s</p>"),
+        ("<script>if (a<b) '<!--'</script>t<style>", "<script></script>t<style>"),
+        ("<a href=\"x>y</a> z", "<a href=&quot;x>y</a> z"),
+        ("<!-- no end <p>x</p>", " no end <p>x</p>"),
+    ],
+)
+def test_html_complete(page, want):
+    assert html.complete(page) == want
+
+
+def made_page(rng, n):
+    """A page without article tags or telling names: a list of links, paragraphs, short lines, a foot."""
+    links = "".join(f"<li><a href=p{i}>{' '.join(rng.choices(['Home', 'News', 'Shop', 'About us', 'Contact'], k=2))}</a></li>" for i in range(rng.randrange(3, 9)))
+    words = ["the", "river", "old", "stone", "walks", "under", "a", "grey", "sky", "and", "waits"]
+    body = "".join(f"<p>{' '.join(rng.choices(words, k=rng.randrange(15, 50)))}.</p>" for _ in range(rng.randrange(2, 6)))
+    foot = "".join(f"<a href=f{i}>{rng.choice(['Terms', 'Privacy', 'Imprint'])}</a> " for i in range(3))
+    return f"<body><div><ul>{links}</ul></div><div><h1>Page {n}</h1>{body}</div><div>{foot}All rights reserved {n}</div></body>"
+
+
+def test_html_ratios_decide_on_made_pages(monkeypatch):
+    """Without article tags and names the clusters of ratios choose: without a threshold most of such pages come out otherwise."""
+    rng = random.Random(2)
+    pages = [made_page(rng, n) for n in range(60)]
+    want = [re.sub(r"\s+", " ", re.sub("<[^>]+>", " ", p[p.index("<h1>") : p.rindex("</p>")])).strip() for p in pages]
+    found = [html.main_text(p) for p in pages]
+    assert sum(a == b for a, b in zip(found, want)) == len(pages)
+    monkeypatch.setattr(html, "split_level", lambda values: float("-inf"))
+    assert sum(html.main_text(p) != a for p, a in zip(pages, found)) > 0.9 * len(pages)
+
+
 def test_html_threshold_decides(monkeypatch):
     page = f"<div><div><a href=a>One</a> <a href=b>Two</a></div><div><p>{TEXT}</p></div></div>"
     assert html.main_text(page) == TEXT
