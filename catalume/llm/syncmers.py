@@ -11,8 +11,8 @@ from catalume.llm.storage import materialize
 
 #: Characters of a word at most; a longer run without blanks counts as its single characters.
 WORD = 24
-#: A text with fewer syncmers has its word pairs as anchors too.
-FEWEST = 4
+#: A text of fewer words has its word pairs as a second kind of codes.
+SHORT = 128
 
 
 def _with_shifted(values: Column, shift: int, join: Callable[[Column, Column], Column]) -> Column:
@@ -22,15 +22,17 @@ def _with_shifted(values: Column, shift: int, join: Callable[[Column, Column], C
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with array ``name`` of (pos, code): the closed syncmers of column ``text``, in order.
+    """``df`` with ``name``: ``runs``, an array of (pos, code) of the closed syncmers of column ``text`` in order, and ``pairs``.
 
     The text is read as words (runs without white space; of a run over WORD
     characters, as in scripts without blanks, each character is one); a run of
     8 words is an anchor if the smallest hash of its 7 inner word pairs is
     that of its first or its last pair. The choice looks at nothing outside
-    the run, so a passage has the same anchors in any document. A text with fewer than FEWEST of them has every pair of
-    neighbouring words as an anchor besides, a single word is one itself; only
-    a text without words has none.
+    the run, so a passage has the same anchors in any document. Runs of 8
+    words say little of a text of few words: a text of fewer than SHORT has,
+    besides, the codes of all its pairs of neighbouring words (``pairs``; of a
+    single word its own; null in longer texts). Only a text without words has
+    neither.
 
     Minima and codes of runs are built by doubling: two runs side by side
     make a longer one. Every step is its own projection, as its array is read
@@ -55,46 +57,38 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
     runs = F.transform(places, lambda i: anchor(i + 1, F.get(code, i)))
     none = F.array().cast("array<struct<pos:int,code:bigint>>")
     df = df.withColumn(col["runs"], F.when(F.size(code) > 0, runs).otherwise(none))
-    runs = F.col(col["runs"])
-    single = F.transform(word, lambda w, i: anchor(i + 1, w))
-    pairs = F.transform(pair, lambda c, i: anchor(i + 1, c))
-    few = F.when(F.size(word) == 1, single).otherwise(F.array_sort(F.concat(runs, pairs)))
-    return df.withColumn(name, F.when(F.size(runs) < FEWEST, few).otherwise(runs)).select(*kept, name)
+    pairs = F.when(F.size(word) < SHORT, F.when(F.size(word) == 1, word).otherwise(pair))
+    return df.withColumn(name, F.struct(F.col(col["runs"]).alias("runs"), pairs.alias("pairs"))).select(*kept, name)
 
 
 def codes(anchors: Column) -> Column:
-    """One 32-bit code per anchor in order: the upper half of its own, mixed with its distance from the anchor before."""
-    gap = lambda a, i: F.when(i > 0, a["pos"] - F.get(anchors, i - 1)["pos"]).otherwise(0).cast("bigint")
-    return F.transform(anchors, lambda a, i: F.shiftright(a["code"].bitwiseXOR(F.shiftleft(gap(a, i), 32)), 32).cast("int"))
+    """(runs, pairs) in 32-bit codes: a run's is the upper half of its own, mixed with its distance from the one before; a pair's is its upper half."""
+    runs = anchors["runs"]
+    gap = lambda a, i: F.when(i > 0, a["pos"] - F.get(runs, i - 1)["pos"]).otherwise(0).cast("bigint")
+    own = F.transform(runs, lambda a, i: F.shiftright(a["code"].bitwiseXOR(F.shiftleft(gap(a, i), 32)), 32).cast("int"))
+    return F.struct(own.alias("runs"), F.transform(anchors["pairs"], lambda c: F.shiftright(c, 32).cast("int")).alias("pairs"))
 
 
 def fingerprint(codes: Column) -> Column:
-    """The codes in order, eight hex digits each: which anchors a text has and how far they stand apart."""
-    return F.array_join(F.transform(codes, lambda c: F.lpad(F.lower(F.hex(c.cast("bigint").bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
+    """The codes in order, eight hex digits each: which anchors a text has and how far they stand apart; a short text's pairs behind a dot."""
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(F.lower(F.hex(x.cast("bigint").bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
+    return F.concat(shown(codes["runs"]), F.when(F.size(codes["pairs"]) > 0, F.concat(F.lit("."), shown(codes["pairs"]))).otherwise(""))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Shared codes over the mean number of codes of both (Dice): 1 for equal sets, 1 for two empty ones.
 
-    As codes hold distances, an anchor counts only if it stands at the same distance from the one before it.
+    Two short texts are held against each other by their pairs, else both by their runs, which every text has in the same
+    way: a text that an edit makes short, or long, keeps the codes by which it is compared. As codes of runs hold
+    distances, a run counts only if it stands at the same distance from the one before it.
     """
-    both = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
-    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
+    def dice(x: Column, y: Column) -> Column:
+        both = F.size(F.array_distinct(x)) + F.size(F.array_distinct(y))
+        return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
 
-def positional_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id, shift, anchors): how many anchors two documents share at one shift of positions.
-
-    Both inputs: (doc_id, anchors). Codes meet in an equi-join after each
-    document's repeats of a code have been dropped to its first place.
-    """
-
-    def flat(df: DataFrame, side: str) -> DataFrame:
-        one = df.select(F.col("doc_id").alias(f"{side}_id"), F.explode("anchors").alias("a"))
-        return one.groupBy(f"{side}_id", F.col("a.code").alias("code")).agg(F.min("a.pos").alias(f"{side}_pos"))
-
-    met = flat(left, "left").join(flat(right, "right"), "code")
-    return met.groupBy("left_id", "right_id", (F.col("right_pos") - F.col("left_pos")).alias("shift")).agg(F.count("*").alias("anchors"))
+    short = a["pairs"].isNotNull() & b["pairs"].isNotNull()
+    return F.when(short, dice(a["pairs"], b["pairs"])).otherwise(dice(a["runs"], b["runs"]))
 
 
 def followers(ids: DataFrame) -> DataFrame:

@@ -457,10 +457,10 @@ def test_syncmers_are_context_free(spark):
     passage = " ".join(f"word{i * i % 97}" for i in range(40))
     table = spark.createDataFrame([(1, passage), (2, f"some other words before it {passage} and after"), (3, "few words")], "doc_id long, text string")
     marked = syncmers.with_anchors(table, "text", "anchors")
-    code = {r.doc_id: [a.code for a in r.anchors] for r in marked.collect()}
-    assert set(code[1]) <= set(code[2]) and len(code[3]) == 1
-    best = syncmers.positional_matches(marked.where("doc_id = 1"), marked.where("doc_id = 2")).orderBy(F.desc("anchors")).first()
-    assert best["shift"] == 5 and best["anchors"] == len(set(code[1]))
+    found = {r.doc_id: r.anchors for r in marked.collect()}
+    place = {d: {a.code: a.pos for a in x.runs} for d, x in found.items()}
+    assert len(place[1]) > 5 and {c: p + 5 for c, p in place[1].items()}.items() <= place[2].items()
+    assert not found[3].runs and len(found[3].pairs) == 1
 
 
 # -- sharding ----------------------------------------------------------------

@@ -50,17 +50,22 @@ def plain_codes(text):
     four = [hashed(a, b) for a, b in zip(pair, pair[2:])]
     eight = [hashed(a, b) for a, b in zip(four, four[4:])]
     anchors = [(i + 1, eight[i]) for i in range(len(eight)) if min(pair[i : i + 7]) in (pair[i], pair[i + 6])]
-    if len(anchors) < 4:
-        anchors = [(1, words[0])] if len(words) == 1 else sorted(anchors + [(i + 1, p) for i, p in enumerate(pair)])
     out, before = [], None
     for pos, code in anchors:
         gap = 0 if before is None else pos - before
         out.append(((code ^ gap << 32) >> 32) & 0xFFFFFFFF)
         before = pos
-    return out
+    short = (words if len(words) == 1 else pair) if len(words) < 128 else None
+    return out, short and [(p >> 32) & 0xFFFFFFFF for p in short] if short is not None else None
+
+
+def shown(codes):
+    runs, pairs = ("".join(f"{c:08x}" for c in x or []) for x in codes)
+    return runs + ("." + pairs if pairs else "")
 
 
 def plain_likeness(a, b):
+    a, b = (a[1], b[1]) if a[1] is not None and b[1] is not None else (a[0], b[0])
     a, b = set(a), set(b)
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
 
@@ -72,8 +77,8 @@ def plain_edits(given):
         after = given[(at + 1) % len(given)][1]
         edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
         own, other, following = plain_codes(text), plain_codes(edited), plain_codes(after)
-        shown = ["".join(f"{c:08x}" for c in codes) for codes in (own, other)]
-        out[i, shown[0]] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), *shown, plain_likeness(own, other), plain_likeness(own, following))
+        prints = [shown(codes) for codes in (own, other)]
+        out[i, prints[0]] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), *prints, plain_likeness(own, other), plain_likeness(own, following))
     return out
 
 
@@ -103,5 +108,28 @@ def test_syncmers_of_text_without_blanks(spark):
     rng = random.Random(8)
     run = "".join(chr(0x4E00 + rng.randint(0, 900)) for _ in range(400))
     marked = syncmers.with_anchors(spark.createDataFrame([(1, run), (2, "x" + run)], "doc_id long, text string"), "text", "anchors")
-    code = {r.doc_id: {a.code for a in r.anchors} for r in marked.collect()}
+    code = {r.doc_id: {a.code for a in r.anchors.runs} for r in marked.collect()}
     assert len(code[1]) > 50 and code[1] <= code[2]
+
+
+def edits(words, rng):
+    """One word gone, put in, or changed, at the start, at the end and somewhere between."""
+    for at in (0, len(words) - 1, rng.randrange(1, len(words) - 1)):
+        yield words[:at] + words[at + 1 :]
+        yield [*words[:at], "new", *words[at:]]
+        yield [*words[:at], "other", *words[at + 1 :]]
+
+
+def test_syncmers_bear_one_edit_at_every_length(spark):
+    """No edit of one word takes a text of 12 words or more below one half, least of all where texts stop being short."""
+    rng, pairs = random.Random(11), []
+    for n in [*range(12, 40), *range(40, 124, 9), *range(125, 132), 200, 400]:
+        for _ in range(4):
+            words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            pairs += [(len(pairs), n, " ".join(words), " ".join(e)) for e in edits(words, rng)]
+    table = spark.createDataFrame(pairs, "doc_id long, n int, a string, b string")
+    both = syncmers.with_anchors(syncmers.with_anchors(table, "a", "x"), "b", "y")
+    both = both.select("n", syncmers.codes(F.col("x")).alias("x"), syncmers.codes(F.col("y")).alias("y"))
+    low = {r.n: r.low for r in both.groupBy("n").agg(F.min(syncmers.likeness(F.col("x"), F.col("y"))).alias("low")).collect()}
+    assert min(low.values()) >= 0.5, sorted(low.items(), key=lambda x: x[1])[:5]
+    assert [plain_likeness(plain_codes(a), plain_codes(b)) for _, _, a, b in pairs] == [r[0] for r in syncmers.with_anchors(syncmers.with_anchors(table, "a", "x"), "b", "y").orderBy("doc_id").select(syncmers.likeness(syncmers.codes(F.col("x")), syncmers.codes(F.col("y")))).collect()]
