@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from catalume.llm.storage import materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD, GOOD = "label:bad", "label:good"
+#: Frequent tokens of a url up to which FP-growth makes few sets.
+WIDE = 12
 #: (verdict, rule): the rule's host up to its first slash, then the start of the path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -65,8 +69,34 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return numbered.join(marks, numbered["_doc"] == marks["doc_id"]).select("url", "bad")
 
 
+def _sets(tokens: str, most: int) -> Column:
+    """All sets of up to ``most`` of an array's distinct values, each in the array's order."""
+    rest = lambda s: F.slice(tokens, s["last"] + 1, F.greatest(F.size(tokens) - s["last"], F.lit(0)))
+    one = lambda s: F.transform(rest(s), lambda y, j: F.struct((s["last"] + j + 1).alias("last"), F.concat(s["items"], F.array(y)).alias("items")))
+    sets = [F.transform(tokens, lambda x, i: F.struct((i + 1).alias("last"), F.array(x).alias("items")))]
+    for _ in range(most - 1):
+        sets.append(F.flatten(F.transform(sets[-1], one)))
+    return F.transform(F.concat(*sets), lambda s: s["items"])
+
+
+def _rules(items: DataFrame, support: float, size: int, max_tokens: int, min_confidence: float) -> DataFrame:
+    """(tokens, confidence, support): sets of up to ``max_tokens`` tokens that foretell the bad label; ``items`` (tokens, label).
+
+    By FP-growth. It finds sets of any size, 2^n of n frequent tokens that stand together often, so where some url has
+    more than WIDE such tokens the sets of the wanted sizes are counted one by one instead, with the same rules.
+    """
+    if (items.agg(F.max(F.size("tokens"))).first()[0] or 0) > WIDE:
+        sets = items.select(F.explode(_sets("tokens", max_tokens)).alias("tokens"), (F.col("label") == BAD).cast("int").alias("bad"))
+        seen = sets.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+        share = F.col("bad") / F.col("n")
+        return seen.where((F.col("bad") >= math.ceil(support * size)) & (share >= min_confidence)).select("tokens", share.alias("confidence"), (F.col("bad") / size).alias("support"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items.select(F.concat("tokens", F.array("label")).alias("items")))
+    rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & ~F.array_contains("antecedent", GOOD) & (F.size("antecedent") <= max_tokens))
+    return rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+
+
 def mine_rules(
-    labelled: DataFrame, min_support: float = 0.005, min_pages: int = 20, min_confidence: float = 0.5, errors: float = 4.0
+    labelled: DataFrame, min_support: float = 0.005, min_pages: int = 20, min_confidence: float = 0.5, errors: float = 4.0, max_tokens: int = 3
 ) -> DataFrame:
     """(rule_no, tokens, confidence, support, lift): token combinations that foretell a bad label.
 
@@ -75,11 +105,12 @@ def mine_rules(
     (share of labelled urls, ``min_pages`` urls at least) whose confidence is
     ``min_confidence`` or more and ``errors`` standard errors above the share
     of bad urls among all, and that no shorter rule makes needless by being as
-    confident. All tokens of all urls are counted; of frequent tokens that
-    stand on just the same urls one is mined, so one long url that fills the
-    sample cannot make 2^n frequent sets, and its rules are given for each of
-    them. Lift is confidence over the share of bad urls. No labelled url: no
-    rule.
+    confident. A rule has ``max_tokens`` tokens at most, whatever the urls. All
+    tokens of all urls are counted; of frequent tokens that stand on just the
+    same urls one is mined, and its rules are given for each of them. Long
+    urls that are almost alike cost as many sets as that size allows, not 2^n,
+    see ``_rules``. Lift is confidence over the share of bad urls. No labelled
+    url: no rule.
     """
     spark = labelled.sparkSession
     label = F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD))
@@ -98,15 +129,9 @@ def mine_rules(
     alike = materialize(alike.select(F.element_at("alike", 1).alias("token"), "alike"), "url-tokens")
     mined = [r.token for r in alike.select("token").collect()]
     mined = F.array(*map(F.lit, mined)) if mined else F.array().cast("array<string>")
-    items = sample.select(F.concat(F.array_intersect("tokens", mined), F.array("label")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
+    items = materialize(sample.select(F.array_intersect("tokens", mined).alias("tokens"), "label"), "url-items")
     sure = F.col("confidence") - base >= errors * F.sqrt(base * (1 - base) / (F.col("support") / F.col("confidence") * size))
-    found = (
-        model.associationRules.where((F.element_at("consequent", 1) == BAD) & ~F.array_contains("antecedent", GOOD))
-        .where(sure)
-        .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-        .withColumn("rule_no", F.xxhash64("tokens"))
-    )
+    found = _rules(items, support, size, max_tokens, min_confidence).where(sure).withColumn("rule_no", F.xxhash64("tokens"))
     found = materialize(found, "url-rules")
     parts = found.select("rule_no", "tokens", "confidence", F.explode("tokens").alias("_token"))
     smaller = found.select(F.col("tokens").alias("_few"), F.col("confidence").alias("_sure"), F.element_at("tokens", 1).alias("_token"))

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import pytest
 
@@ -25,10 +26,10 @@ def test_url_rules_name_every_token_alike(spark):
     assert {tuple(r.tokens) for r in rules} == {(t,) for t in ("host:a", "host:shop", "path:win", "path:now", "query:x", "query:y")}
 
 
-def plain_rules(rows, support, confidence, errors):
+def plain_rules(rows, support, confidence, errors, most=3):
     """tokens -> confidence, over every set of tokens of some row; rows: (tokens, bad)."""
     size, base = len(rows), sum(b for _, b in rows) / len(rows)
-    sets = {frozenset(c) for tokens, _ in rows for k in range(1, len(tokens) + 1) for c in itertools.combinations(sorted(tokens), k)}
+    sets = {frozenset(c) for tokens, _ in rows for k in range(1, min(most, len(tokens)) + 1) for c in itertools.combinations(sorted(tokens), k)}
     found = {}
     for tokens in sets:
         held = [b for t, b in rows if tokens <= t]
@@ -38,6 +39,32 @@ def plain_rules(rows, support, confidence, errors):
     return {t: c for t, c in found.items() if not any(s < t and d >= c for s, d in found.items())}
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_url_rules_by_either_way(spark, monkeypatch, most):
+    """FP-growth and counting the sets of the wanted sizes give the same rules."""
+    rng = random.Random(9)
+    rows = [("/".join(w := rng.sample(["a", "b", "c", "d", "e", "f"], rng.randint(1, 5))), rng.random() < 0.1 + 0.8 * ({"a", "b"} <= set(w))) for _ in range(600)]
+    table = spark.createDataFrame([(f"http://x/{u}/{i}", b) for i, (u, b) in enumerate(rows)], "url string, bad boolean")
+    mine = lambda: {(tuple(r.tokens), round(r.confidence, 9), round(r.support, 9)) for r in urls.mine_rules(table, errors=2.0, max_tokens=most).collect()}
+    grown = mine()
+    monkeypatch.setattr(urls, "WIDE", 0)
+    assert grown == mine() and grown
+
+
+@pytest.mark.parametrize(("n", "rows"), [(17, 680), (40, 300)])
+def test_url_rules_of_long_alike_urls(spark, n, rows):
+    """Each url has all but one of n path words: 2^n frequent sets, of which few are counted."""
+    rng, began = random.Random(n), time.time()
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)]
+    given = []
+    for i in range(rows):
+        gone = rng.randrange(n)
+        given.append(("/".join(w for k, w in enumerate(words) if k != gone) + ("/trap" if i % 4 == 0 else ""), i % 4 == 0))
+    table = spark.createDataFrame([(f"http://x/{u}/{i}", b) for i, (u, b) in enumerate(given)], "url string, bad boolean")
+    assert {tuple(r.tokens) for r in urls.mine_rules(table).collect()} == {("path:trap",)}
+    assert time.time() - began < 90
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_url_rules_like_the_plain_version(spark, seed):
     rng = random.Random(seed)
