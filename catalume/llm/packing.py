@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from catalume.llm.merges import Merges, merges_alone
 from catalume.llm.pieces import PieceCache
-from catalume.llm.storage import materialize, rank_in_cells, ship_package, small_or_not
+from catalume.llm.storage import materialize, rank_in_cells, ship_package, small_or_not, tidy
 
 LENGTH, END = 1024, 0
 #: Words and pieces whose ids a worker remembers.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 300_000
 # -- tokens ------------------------------------------------------------------
 
 
@@ -93,7 +93,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, pattern: str, length: in
                 yield pa.RecordBatch.from_arrays([ids_of, *numbers], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     fields = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    return docs.select("doc_id", "text").mapInArrow(run, fields)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), fields)
 
 
 # -- patterns ----------------------------------------------------------------

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalume.llm.storage import ship_package
+from catalume.llm.storage import ship_package, tidy
 
 #: Rows of the embedding table, its width, the lengths of character n-grams.
 BUCKETS, WIDTH, GRAMS = 1 << 16, 8, (3, 4)
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 2400) -> Model:
             sides = [pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sides], ["_id", "label", "buckets", "counts"])
 
-    rows = sorted(met.mapInArrow(run, f"_id {kind}, label int, buckets binary, counts binary").collect(), key=lambda r: r["_id"])
+    rows = sorted(met.mapInArrow(tidy(run), f"_id {kind}, label int, buckets binary, counts binary").collect(), key=lambda r: r["_id"])
     return train([(np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["counts"], np.uint32), r["label"]) for r in rows])
 
 
@@ -187,7 +187,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
             scores = [score(x.as_py(), margins, offset) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double")
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -210,4 +210,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
         for batch in batches:
             yield batch.filter(pa.array([score(x.as_py(), margins, offset) >= threshold for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

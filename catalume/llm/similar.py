@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalume.llm.simhash import components, links, majority, shingle_hashes
-from catalume.llm.storage import materialize, remove, ship_package, small_or_not
+from catalume.llm.storage import materialize, remove, ship_package, small_or_not, tidy
 from catalume.llm.survivors import keep_first, text_key
 
 WORDS, SIMILARITY, RADIUS, BANDS, ROWS, SEED = 5, 0.8, 3, 24, 5, 42
@@ -69,7 +69,7 @@ def points(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "key", "point", "n", "fp", "bands"])
 
     rows = docs.select("doc_id", text_key(docs).alias("key"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, point bigint, n bigint, fp bigint, bands array<bigint>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, key bigint, point bigint, n bigint, fp bigint, bands array<bigint>")
 
 
 def sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
@@ -83,7 +83,7 @@ def sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
                 columns = [pa.array(_signed([_point(x) for x in held])), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["point", "held"])
 
-    return texts.select("text").mapInArrow(run, "point bigint, held array<bigint>")
+    return texts.select("text").mapInArrow(tidy(run), "point bigint, held array<bigint>")
 
 
 def _dealt(df: DataFrame, by: str) -> DataFrame:

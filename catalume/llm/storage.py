@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +87,18 @@ def ship_package(spark: SparkSession) -> None:
     context._catalume_shipped = True
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, whose task gives memory that it no longer needs back to the machine; a worker that is used again would keep it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def rank_in_cells(df: DataFrame, cells: list[str], order: list[str], rows_a_part: int = 250_000, dealt: int = 64) -> tuple[DataFrame, DataFrame]:
     """Exact 0-based ranks inside each cell without sorting a cell in one task.
 
