@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalume.functions import text
@@ -269,3 +269,44 @@ def retry_kind(status: Column, is_json: Column) -> Column:
         .when(~F.coalesce(is_json, F.lit(False)), "repetir")
         .otherwise("ok")
     )
+
+
+class TooManyRejected(ValueError):
+    """More of an ingestion's lines were rejected than is allowed; what it stored stays."""
+
+
+def ingest(lines: DataFrame, target: str, limit: float, strict: bool = True) -> dict:
+    """Store ``lines`` (linha, raw) under ``target``, good records and quarantine apart, and report on them: one pass over the lines.
+
+    The counts of ``report`` are observed on the rows as they are written, so nothing is read or judged twice. Records go to
+    ``registros`` (linha, v as JSON text), rejected lines to ``quarentena`` (linha, motivo, registro), both in one table by
+    ``destino``. With ``strict`` a share of rejected lines above ``limit`` raises ``TooManyRejected``, behind the commit:
+    good records count even then.
+    """
+    seen = Observation("ingestion")
+    judged = parsed(lines).withColumn("motivo", rejection(F.col("v"))).withColumn("n", F.coalesce(F.size(_resources(F.col("v"))), F.lit(0)))
+    fine = F.col("motivo").isNull()
+    told = judged.observe(
+        seen,
+        F.count(F.lit(1)).alias("lidos"),
+        F.count_if(fine).alias("conjuntos"),
+        F.coalesce(F.sum(F.when(fine & (F.col("n") > 0), F.col("n"))), F.lit(0)).alias("recursos"),
+        F.count_if(~fine).alias("rejeitados"),
+    )
+    rows = told.select(
+        "linha", "motivo", F.when(fine, F.to_json("v")).otherwise(F.substring("raw", 1, KEPT)).alias("registro"), F.when(fine, "registros").otherwise("quarentena").alias("destino")
+    )
+    rows.write.mode("overwrite").partitionBy("destino").parquet(target)
+    counts = seen.get
+    counts["taxa"] = round(counts["rejeitados"] / counts["lidos"], 6) if counts["lidos"] else 0.0
+    counts["acima"] = counts["taxa"] > limit
+    if strict and counts["acima"]:
+        raise TooManyRejected(f"{counts['rejeitados']} of {counts['lidos']} lines rejected, more than {limit:.1%}")
+    return counts
+
+
+def ingested(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame]:
+    """Accepted records (linha, v) and rejected lines (linha, motivo, registro) that ``ingest`` stored."""
+    stored = spark.read.schema("linha bigint, motivo string, registro string, destino string").parquet(target)
+    good = stored.where("destino = 'registros'").select("linha", F.try_parse_json("registro").alias("v"))
+    return good, stored.where("destino = 'quarentena'").select("linha", "motivo", "registro")

@@ -608,6 +608,35 @@ def ingestion_report(spark, sf_dir):
     return ingest.report(_lines(spark, sf_dir), SETTINGS.rejection_limit)
 
 
+@query(
+    """SELECT count(*) AS lidos, count(*) FILTER (WHERE doc_id % 9 < 5) AS conjuntos, count(*) FILTER (WHERE doc_id % 9 < 5) AS recursos, count(*) FILTER (WHERE doc_id % 9 >= 5) AS rejeitados,
+    round(count(*) FILTER (WHERE doc_id % 9 >= 5) / count(*), 6) AS taxa, taxa > 0.05 AS acima, count(*) FILTER (WHERE doc_id % 9 < 5) AS lidos_de_volta, count(*) FILTER (WHERE doc_id % 9 >= 5) AS quarentena FROM documents""",
+    model=False,
+)
+def ingestion_observed(spark, sf_dir):
+    """Records and quarantine stored in one pass, counted while they are written, and read back."""
+    path = kept.new_path(spark, "ingested")
+    counts = ingest.ingest(_lines(spark, sf_dir), path, SETTINGS.rejection_limit, strict=False)
+    good, bad = ingest.ingested(spark, path)
+    names = ["lidos", "conjuntos", "recursos", "rejeitados", "taxa", "acima"]
+    back = good.agg(F.count("v").alias("lidos_de_volta")).join(bad.agg(F.count("motivo").alias("quarentena")))
+    return back.select(*(F.lit(counts[n]).alias(n) for n in names), "lidos_de_volta", "quarentena")
+
+
+@query(
+    """SELECT source AS conjunto_id, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS tamanho, min(nome) AS nome FROM documents d JOIN (SELECT source AS s, min(lang) AS nome FROM documents GROUP BY source) c ON c.s = d.source GROUP BY source""",
+    model=False,
+)
+def bucketed_resources(spark, sf_dir):
+    """Resources joined to their datasets, and counted by dataset, from tables kept in buckets of its identifier."""
+    docs = table(spark, sf_dir, "documents")
+    owners = docs.groupBy(F.col("source").alias("conjunto_id")).agg(F.min("lang").alias("nome"))
+    owners = sinks.write_bucketed(owners, kept.new_path(spark, "conjunto"), "conjunto_id", 8)
+    files = docs.select(F.col("source").alias("conjunto_id"), F.col("n_chars").cast("bigint").alias("tamanho"))
+    files = sinks.write_bucketed(files, kept.new_path(spark, "recurso"), "conjunto_id", 8)
+    return files.join(owners, "conjunto_id").groupBy("conjunto_id").agg(F.count("*").alias("n"), F.sum("tamanho").alias("tamanho"), F.min("nome").alias("nome"))
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 3 WHEN 1 THEN 'detalhe ' || doc_id WHEN 2 THEN 'outro ' || doc_id END AS titulo, source AS organizacao FROM documents WHERE doc_id % 9 < 5", model=False)
 def json_override_merge(spark, sf_dir):
     return ingest.datasets(_accepted(spark, sf_dir)).select("id", "titulo", "organizacao")
@@ -1098,10 +1127,11 @@ def json_lists(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", shown(text.json_texts(cell)).alias("itens"), shown(text.json_tag_names(tags)).alias("tags"))
 
 
-@query("SELECT 16 AS temas, '- saude: Saúde' AS primeiro, '- demografia: População e território' AS ultimo", model=False)
+@query(f"SELECT doc_id, sha256('{text.theme_list()}' || chr(10) || 'texto: ' || text) AS pedido FROM documents", model=False)
 def theme_prompt(spark, sf_dir):
-    lines = F.split(F.lit(text.theme_list()), "\n")
-    return spark.range(1).select(F.size(lines).alias("temas"), F.element_at(lines, 1).alias("primeiro"), F.element_at(lines, -1).alias("ultimo"))
+    """The vocabulary, a theme a line, before each text that is to be given themes."""
+    asked = F.concat(F.lit(text.theme_list() + "\ntexto: "), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(asked.cast("binary"), 256).alias("pedido"))
 
 
 @query("SELECT doc_id, sha256(replace(replace(text, 'tion', '***'), 'the', '***')) AS texto FROM documents", model=False)
@@ -1230,7 +1260,13 @@ def added_columns(spark, sf_dir):
     return sinks.with_columns(sinks.with_columns(rows, {"classe_saude": "string"}), {"classe_saude": "int", "DOC_ID": "string"})
 
 
-@query("SELECT true AS vectors_fit, true AS same_model, true AS same_catalog, true AS same_vectors, true AS ready UNION ALL SELECT true, false, false, true, false", model=False)
+@query(
+    """WITH g AS (SELECT bool_and(len(embedding) = 64 AND abs(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) <= 0.001) AND count(*) = count(DISTINCT vec_id) AS fit,
+        md5(string_agg(vec_id || 'texto ' || vec_id, ',' ORDER BY vec_id)) AS made, md5(string_agg(vec_id || 'outro', ',' ORDER BY vec_id)) AS other FROM embeddings)
+    SELECT fit AS vectors_fit, m = 'hash/64' AS same_model, v = made AS same_catalog, true AS same_vectors, fit AND m = 'hash/64' AND v = made AS ready
+    FROM g, LATERAL (VALUES ('hash/64', made), ('outro', other)) x(m, v)""",
+    model=False,
+)
 def readiness_gate(spark, sf_dir):
     """Vectors and manifest as written are ready; asked with another model and a changed catalog they are not."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vetor"))
@@ -1252,7 +1288,11 @@ def vector_parity(spark, sf_dir):
     return vectors.parity(below, rows)
 
 
-@query("SELECT true AS same_order UNION ALL SELECT false", model=False)
+@query(
+    """WITH p AS (SELECT 2 * vec_id > lag(2 * vec_id) OVER w AS x, CASE WHEN vec_id = 3 THEN 0 ELSE vec_id + 1 END > lag(CASE WHEN vec_id = 3 THEN 0 ELSE vec_id + 1 END) OVER w AS y
+        FROM embeddings WINDOW w AS (ORDER BY vec_id)) SELECT bool_and(coalesce(x, true)) AS same_order FROM p UNION ALL SELECT bool_and(coalesce(y, true)) FROM p""",
+    model=False,
+)
 def vector_order_gate(spark, sf_dir):
     ids = _vectors(spark, sf_dir).select("id")
     risen = vectors.same_order(ids.select("id", (2 * F.col("id")).alias("pos")), ids)
@@ -1321,17 +1361,17 @@ def answer_log(spark, sf_dir):
     return read.select(F.col("r.pergunta").cast("long").alias("event_id"), "r.evento", "r.texto")
 
 
-@query("SELECT conv_id * 1000 + turn AS sid, CAST(0 AS BIGINT) AS seq, 'nota' AS evento, length(to_json(text)) > 0 AS tem FROM conversations WHERE role = 'assistant'", model=False)
+@query("SELECT conv_id * 1000 + turn AS sid, CAST(0 AS BIGINT) AS seq, 'nota' AS evento, sha256(coalesce(text, '')) AS texto FROM conversations WHERE role = 'assistant'", model=False)
 def sse_chunks(spark, sf_dir):
     """Streams cut into pieces of 7 bytes, in the middle of characters too."""
     said = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sid"), F.to_json(F.struct("text")).alias("j"))
     body = said.select("sid", F.concat(F.lit("event: nota\r\ndata: "), "j").cast("binary").alias("b"))
     cut = body.select("sid", "b", F.explode(F.sequence(F.lit(0), F.expr("cast((length(b) - 1) div 7 as int)"))).alias("seq"))
     chunks = cut.select("sid", "seq", F.expr("substring(b, seq * 7 + 1, 7)").alias("chunk"))
-    return answers.parse_chunks(chunks).select("sid", "seq", "evento", (F.length("dados") > 0).alias("tem"))
+    return answers.parse_chunks(chunks).select("sid", "seq", "evento", F.sha2(F.coalesce(F.get_json_object("dados", "$.text"), F.lit("")).cast("binary"), 256).alias("texto"))
 
 
-@query("SELECT 'hibrida' AS recuperacao, count(*) AS fichas, 'm0,m1' AS modelos, true AS completo FROM labels", model=False)
+@query("SELECT 'hibrida' AS recuperacao, count(*) AS fichas, string_agg(DISTINCT 'm' || quality, ',' ORDER BY 'm' || quality) AS modelos, true AS completo FROM labels", model=False)
 def retrieval_version(spark, sf_dir):
     cards = table(spark, sf_dir, "labels").select(F.concat(F.lit("m"), F.col("quality").cast("string")).alias("modelo"))
     made = publish.retrieval_version(cards, "hibrida", SETTINGS, "hash/64", "0123456789abcdef0123")
@@ -1341,26 +1381,34 @@ def retrieval_version(spark, sf_dir):
 
 
 @query(
-    """SELECT (SELECT count(*) FROM documents) AS conjuntos, (SELECT count(*) FROM pages) AS recursos, (SELECT count(*) FROM labels) AS fichas, (SELECT max(ts) FROM events) AS gerado_em, 'a.npy,b.db' AS assets""",
+    """SELECT (SELECT count(*) FROM documents) AS conjuntos, (SELECT count(*) FROM pages) AS recursos, (SELECT count(*) FROM labels) AS fichas, (SELECT max(ts) FROM events) AS gerado_em,
+    (SELECT string_agg(n_name || '.bin:' || n_nationkey || ':' || sha256(n_name), ',' ORDER BY n_name || '.bin') FROM nation) AS assets""",
     model=False,
 )
 def release_manifest(spark, sf_dir):
     latest = table(spark, sf_dir, "events").agg(F.max("ts").alias("gerada_em"))
     cards = table(spark, sf_dir, "labels").join(latest).withColumn("modelo", F.lit("m"))
-    assets = spark.createDataFrame([("x/b.db", 3, "h"), ("y/a.npy", 4, "g")], "path string, bytes bigint, sha256 string")
+    name = F.col("n_name")
+    assets = table(spark, sf_dir, "nation").select(F.concat(F.lit("x/"), name, F.lit(".bin")).alias("path"), F.col("n_nationkey").cast("bigint").alias("bytes"), F.sha2(name.cast("binary"), 256).alias("sha256"))
     made = publish.manifest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"), cards, assets)
-    return made.select("conjuntos", "recursos", "fichas", "gerado_em", F.array_join(F.transform("assets", lambda a: a["nome"]), ",").alias("assets"))
+    return made.select("conjuntos", "recursos", "fichas", "gerado_em", F.array_join(F.transform("assets", lambda a: F.concat_ws(":", a["nome"], a["bytes"].cast("string"), a["sha256"])), ",").alias("assets"))
 
 
-@query("SELECT count(*) = 1 AS um, true AS confere, false AS outro FROM (SELECT 1)", model=False)
+@query(
+    """SELECT lang AS nome, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id) || chr(10)) AS sha256, true AS confere, lang = (SELECT min(lang) FROM documents) AS outro FROM documents GROUP BY lang""",
+    model=False,
+)
 def file_checksums(spark, sf_dir):
-    """Digests of stored files against the ones noted for them."""
-    path = kept.new_path(spark, "asset")
-    spark.range(1).select(F.lit("conteudo").alias("value")).coalesce(1).write.text(path)
-    found = publish.file_digests(spark, f"{path}/part-*")
-    name = found.select(F.substring_index("path", "/", -1).alias("nome"), "sha256")
-    fine = publish.checked_files(found, name).agg((F.count("*") == 1).alias("um"), F.every("ok").alias("confere"))
-    return fine.join(publish.checked_files(found, name.withColumn("sha256", F.lit("x"))).agg(F.every("ok").alias("outro")))
+    """Digests of files that Spark stored, one a language, against those noted for them, and against notes of which one is right."""
+    path = kept.new_path(spark, "assets")
+    docs = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("n"), F.col("doc_id").cast("string").alias("value"))
+    docs.repartition("lang").sortWithinPartitions("lang", "n").select("lang", "value").write.partitionBy("lang").text(path)
+    found = publish.file_digests(spark, f"{path}/lang=*/part-*").select(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("path"), "sha256")
+    noted = found.select(F.col("path").alias("nome"), "sha256")
+    least = noted.agg(F.min("nome").alias("_least"))
+    wrong = noted.join(least).select("nome", F.when(F.col("nome") == F.col("_least"), F.col("sha256")).otherwise("x").alias("sha256"))
+    fine = publish.checked_files(found, noted).withColumnRenamed("ok", "confere").join(publish.checked_files(found, wrong).withColumnRenamed("ok", "outro"), "nome")
+    return noted.join(fine, "nome")
 
 
 @query(f"{_LIMITER} SELECT event_id, user_id AS origem, wait_s = 0 AS allowed, wait_s FROM s", model=False)

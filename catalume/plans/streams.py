@@ -146,3 +146,30 @@ def limiter_evicting(spark, sf_dir):
 def limiter_state(spark, sf_dir):
     """The origins that state is still kept for when the stream has ended; without eviction it would be all."""
     return stream.origins_kept(spark, _admitted(spark, sf_dir, 3600)[1])
+
+
+_CACHE = """WITH RECURSIVE q AS (SELECT vec_id, label % 3 AS v, label % 5 = 0 AS odd, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label % 3 ORDER BY vec_id) AS rn FROM embeddings),
+s AS (SELECT v, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(id BIGINT, e DOUBLE[])[]) AS held, CAST(NULL AS BIGINT) AS qid, CAST(NULL AS STRUCT(l DOUBLE, id BIGINT)) AS best FROM (SELECT DISTINCT v FROM q)
+UNION ALL SELECT v, rn, CASE WHEN best IS NOT NULL OR odd THEN held ELSE list_append(held, struct_pack(id := vec_id, e := e))[-20:] END, vec_id, best FROM (
+    SELECT q.v, q.rn, q.vec_id, q.odd, q.e, s.held, list_max(list_filter(list_transform(s.held, lambda x: struct_pack(l := round(list_inner_product(x.e, q.e), 6), id := -x.id)), lambda x: x.l > 0.3)) AS best
+    FROM s JOIN q ON q.v = s.v AND q.rn = s.rn + 1))"""
+
+
+@query(f"{_CACHE} SELECT CAST(v AS BIGINT) AS versao, qid, -best.id AS answer_id, best.l AS likeness, best IS NULL AS chamada FROM s WHERE qid IS NOT NULL", model=False)
+def answer_cache_stream(spark, sf_dir):
+    """Questions answered from a cache of 20 entries a catalog version; the oldest go, hits call no model."""
+    from catalume.streaming import cache
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    given, out, state = (kept.new_path(spark, name) for name in ("asked", "answered", "cache"))
+    rows = table(spark, sf_dir, "embeddings").select(
+        (F.col("label") % 3).cast("bigint").alias("versao"), F.col("vec_id").cast("bigint").alias("qid"), F.col("vec_id").cast("bigint").alias("quando"), F.col("embedding").cast("array<double>").alias("vetor"),
+        F.when(F.col("label") % 5 == 0, "modo_reduzido").otherwise("modelo").alias("origem"),
+    )
+    half = rows.agg(F.max("qid")).first()[0] // 2
+    for part in (F.col("qid") <= half, F.col("qid") > half):
+        rows.where(part).coalesce(1).write.mode("append").parquet(given)
+    came = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(given)
+    run = cache.answer(came, 20, 0.3).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+    run.trigger(availableNow=True).start().awaitTermination(600)
+    return spark.read.parquet(out)

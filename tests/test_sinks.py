@@ -5,7 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from catalume.operators import sinks
+from catalume.operators import ingest, sinks
 
 
 def rows(spark, *values):
@@ -65,3 +65,31 @@ def test_old_states_go(spark, tmp_path):
         sinks.update(spark, path, lambda old: rows(spark, k), keep=2)  # noqa: B023
     assert list(sinks.versions(spark, path)) == [4, 5] and sinks.current(spark, path).first().v == 4
     assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v")]) == 2
+
+
+def test_buckets_join_without_a_shuffle(spark, tmp_path):
+    left = sinks.write_bucketed(spark.range(500).selectExpr("id % 50 as k", "id as v"), f"file://{tmp_path}/a", "k", 4)
+    right = sinks.write_bucketed(spark.range(50).selectExpr("id as k", "id * 2 as w"), f"file://{tmp_path}/b", "k", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = left.join(right, "k").groupBy("k", "w").agg(F.sum("v").alias("v"))
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.k: (r.w, r.v) for r in found.collect()} == {k: (2 * k, sum(range(k, 500, 50))) for k in range(50)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_ingestion_is_counted_while_it_is_written(spark, tmp_path):
+    """One pass over the lines; too many rejected lines raise behind the commit."""
+    raw = ['{"id": 1, "recursos": [{"id": "a"}, {"id": "b"}, 3]}', "", '{"id": 2}', "[]", "{broken", '{"nome": "x"}', '{"id": 3, "recursos": [{"id": 5}]}']
+    lines = spark.createDataFrame(list(enumerate(raw, 1)), "linha long, raw string")
+    counts = ingest.ingest(lines, str(tmp_path / "fine"), 0.9)
+    assert counts == {"lidos": 6, "conjuntos": 2, "recursos": 2, "rejeitados": 4, "taxa": 0.666667, "acima": False}
+    assert counts == ingest.report(lines, 0.9).first().asDict()
+    with pytest.raises(ingest.TooManyRejected):
+        ingest.ingest(lines, str(tmp_path / "bad"), 0.05)
+    good, bad = ingest.ingested(spark, str(tmp_path / "bad"))
+    assert sorted(r.id for r in ingest.datasets(good).collect()) == ["1", "2"]
+    assert sorted(map(tuple, bad.collect())) == sorted(map(tuple, ingest.split_quarantine(lines)[1].collect()))
+    assert ingest.ingest(lines.limit(0), str(tmp_path / "none"), 0.05)["taxa"] == 0.0

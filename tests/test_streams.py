@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalume.operators import limiter
 from catalume.sources import portal
-from catalume.streaming import ingestion
+from catalume.streaming import cache, ingestion
 from catalume.streaming import limiter as stream
 
 
@@ -105,3 +105,27 @@ def test_idle_origins_are_given_up(spark, tmp_path):
         assert sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).collect())) == sorted(map(tuple, limiter.sliding_window(table, 2, 3600).collect()))
         kept[name] = {r.origem for r in stream.origins_kept(spark, str(tmp_path / f"{name}-c")).collect()}
     assert kept == {"all": {0, 1, 2, 7, 9}, "some": {9}}
+
+
+def test_answer_cache(spark, tmp_path):
+    """Hits call no model and store nothing; the oldest entry goes; versions and answers that are never reused stay apart."""
+    asked = [
+        (1, 1, 1, [1.0, 0.0], "modelo"),
+        (1, 2, 2, [0.9, 0.1], "modelo"),  # like 1
+        (1, 3, 3, [0.0, 1.0], "nao_encontrado"),
+        (1, 4, 4, [0.0, 1.0], "modelo"),  # 3 was not stored
+        (2, 5, 5, [1.0, 0.0], "modelo"),  # another version
+        (1, 6, 6, [-1.0, 0.0], "modelo"),  # the third entry: 1 goes
+        (1, 7, 7, [1.0, 0.0], "modelo"),
+        (1, 8, 8, [0.0, -1.0], "modo_reduzido"),
+        (1, 9, 9, [-1.0, 0.0], "modelo"),
+    ]
+    table = spark.createDataFrame(asked, "versao long, qid long, quando long, vetor array<double>, origem string")
+    for part in (F.col("qid") <= 4, F.col("qid") > 4):
+        table.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "g"))
+    came = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "g"))
+    run = cache.answer(came, 2, 0.5).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c"))
+    run.trigger(availableNow=True).start().awaitTermination(300)
+    found = {r.qid: (r.answer_id, r.chamada) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    new = (None, True)
+    assert found == {1: new, 2: (1, False), 3: new, 4: new, 5: new, 6: new, 7: new, 8: new, 9: (6, False)}
