@@ -20,6 +20,9 @@ FROM = {
     "op8_syncmer_fingerprints": "documents",
     "op9_hilbert_shards": "documents",
     "op10_exact_dedup": "documents",
+    "op11_collocations": None,
+    "op12_personal_data": "documents",
+    "op13_prefix_trie": None,
 }
 
 
@@ -45,7 +48,7 @@ def test_chat_digests(spark):
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in found} == want
 
 
-NATIVE = ("op1_chat_format", "op4_url_filter", "op8_syncmer_fingerprints", "op9_hilbert_shards", "op10_exact_dedup")
+NATIVE = ("op1_chat_format", "op4_url_filter", "op8_syncmer_fingerprints", "op9_hilbert_shards", "op10_exact_dedup", "op12_personal_data")
 
 
 @pytest.mark.parametrize("name", NATIVE)
