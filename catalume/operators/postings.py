@@ -93,19 +93,28 @@ def _blocks(fields: int, labels: tuple[int, ...]):
     return run
 
 
-def postings(index: DataFrame, columns: list[str], labels: tuple[str, ...] = ("tags",), parts: int | None = None) -> DataFrame:
-    """The blocks (SCHEMA) of an index (doc and text columns); positions count from 0 in each column.
+def by_document(index: DataFrame, columns: list[str]) -> DataFrame:
+    """(term, doc, length, cols, pos) of an index (doc and text columns): each document's terms, grouped where its texts are read."""
+    rows = index.select(F.col("doc").cast("bigint").alias("doc"), *(text.tokens(F.coalesce(c, F.lit(""))).alias(c) for c in columns))
+    return rows.mapInArrow(_grouped, _ROWS)
+
+
+def in_blocks(rows: DataFrame, columns: list[str], labels: tuple[str, ...] = ("tags",), parts: int | None = None) -> DataFrame:
+    """The blocks (SCHEMA) of ``by_document``'s rows; positions count from 0 in each column.
 
-    Tokens are grouped by term and document where the texts are read. Rows are dealt out by ranges of (term, document), so
-    a frequent term fills many tasks and many blocks. A block says how many documents it has (``n``; ``n_text``: outside
-    of ``labels``), the shortest length among them, and the most occurrences in each column.
+    Rows are dealt out by ranges of (term, document), so a frequent term fills many tasks and many blocks. A block says
+    how many documents it has (``n``; ``n_text``: outside of ``labels``), the shortest length among them, and the most
+    occurrences in each column. ``rows`` are read twice, as ranges are drawn from them first.
     """
-    rows = index.select(F.col("doc").cast("bigint").alias("doc"), *(text.tokens(F.coalesce(c, F.lit(""))).alias(c) for c in columns))
-    grouped = rows.mapInArrow(_grouped, _ROWS)
-    ranged = grouped.repartitionByRange(parts, "term", "doc") if parts else grouped.repartitionByRange("term", "doc")
+    ranged = rows.repartitionByRange(parts, "term", "doc") if parts else rows.repartitionByRange("term", "doc")
     return ranged.sortWithinPartitions("term", "doc").mapInArrow(_blocks(len(columns), tuple(columns.index(x) for x in labels if x in columns)), SCHEMA)
 
 
+def postings(index: DataFrame, columns: list[str], labels: tuple[str, ...] = ("tags",), parts: int | None = None) -> DataFrame:
+    """The blocks of an index (doc and text columns)."""
+    return in_blocks(by_document(index, columns), columns, labels, parts)
+
+
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each occurrence in a batch of blocks (.., docs, times, cols, pos): its block, document, column, position."""
     docs, times, cols, pos = batch.columns[-4:]

@@ -33,6 +33,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Delete the files of a table that ``keep`` made and that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for file in df.inputFiles()[:1]:
+        folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stamp(spark: SparkSession, *paths: str) -> tuple:
     """What tells the state of stored tables: each file's name, length and time of change."""
     context, found = spark.sparkContext, []
