@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Bytes of text whose pieces are looked up together.
-_TOGETHER = 1 << 22
+_TOGETHER = 1 << 23
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: White space beside a blank or a line's end, a blank at the end, or the mark that is put in at cuts.
 _UNSAFE = rf" (?:[{_SPACE}]|\z)|\n[{_SPACE}]|[{_SPACE}]\n|\x00"
