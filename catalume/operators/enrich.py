@@ -148,7 +148,9 @@ def varied_sample(datasets: DataFrame, n: int, seed: int = 0) -> DataFrame:
     inside a band is drawn by ``seed``; the same seed gives the same sample.
     At most 2 ``n`` rows of each band (its first of each of ``n`` publishers,
     its first ``n`` of all) can be drawn, and only these come together to be
-    drawn from; they are found by limits that hold before rows are shuffled.
+    drawn from. They are found by limits that hold before rows are shuffled up
+    to spark.sql.optimizer.windowGroupLimitThreshold (1,000 where not set);
+    for a larger sample, raise it too, or a band is sorted by one task.
     """
     length = F.length(F.coalesce("descricao", F.lit("")))
     band = sum((F.when(length >= e, 1).otherwise(0) for e in BANDS), F.lit(0))

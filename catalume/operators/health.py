@@ -145,15 +145,17 @@ def select_links(resources: DataFrame, only_failures: bool = False, kind: str |
 
 
 def shown_resources(resources: DataFrame, most: int = 6) -> DataFrame:
-    """(conjunto_id, shown, hidden): ids by situation (accessible first) then id, and how many are left out."""
+    """(conjunto_id, shown, hidden): ids by situation (accessible first) then id, and how many are left out.
+
+    Only a dataset's first ``most`` links are ordered, by a limit that holds before rows are shuffled; the others are counted.
+    """
     order = F.array_position(F.array(*map(F.lit, SITUATION_ORDER)), situation(F.col("classe_saude")))
-    listed = resources.withColumn("ord", order)
     place = F.row_number().over(Window.partitionBy("conjunto_id").orderBy("ord", "id"))
-    ranked = listed.withColumn("place", place)
-    return ranked.groupBy("conjunto_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.struct("place", "id")))), lambda r: r["id"]).alias("shown"),
-        F.greatest(F.count("*") - most, F.lit(0)).alias("hidden"),
-    )
+    first = resources.select("conjunto_id", "id", order.alias("ord")).withColumn("place", place).where(F.col("place") <= most)
+    shown = first.groupBy("conjunto_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda r: r["id"]).alias("shown"))
+    count = resources.groupBy("conjunto_id").agg(F.count("*").alias("n"))
+    joined = count.join(shown.withColumnRenamed("conjunto_id", "_of"), F.col("conjunto_id").eqNullSafe(F.col("_of")))
+    return joined.select("conjunto_id", "shown", F.greatest(F.col("n") - most, F.lit(0)).alias("hidden"))
 
 
 def dead_domains(resources: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -77,8 +77,10 @@ def daily_state(calls: DataFrame, cap: int) -> DataFrame:
 def calls_under_cap(calls: DataFrame, cap: int) -> DataFrame:
     """(event_id, reduzido): whether a call came after the day's cap was used up, by time.
 
-    Only a day's first ``cap`` calls are ordered, by a limit that holds before
-    rows are shuffled; the last of them splits the day.
+    Only a day's first ``cap`` calls are ordered; the last of them splits the
+    day. Up to spark.sql.optimizer.windowGroupLimitThreshold (1,000 where not
+    set) that limit holds before rows are shuffled; with a higher cap, raise
+    it too, or a day's calls are sorted by one task.
     """
     rows = calls.select("event_id", "ts", F.to_date("ts").alias("dia"))
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy("dia").orderBy("ts", "event_id"))).where(F.col("k") <= cap)
