@@ -4,10 +4,12 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from catalume.config import Settings
+from catalume.functions import text
 from catalume.operators import embedding, lexical, postings, ranking
 
 COLUMNS = ["nome", "tags", "resumo"]
@@ -44,6 +46,35 @@ def test_blocks(spark):
         assert r.n_text == sum(any(counts[r.term, d, c] for c in (0, 2)) for d in r.docs)
 
 
+def test_tokens_cut_like_columns(spark):
+    """Texts cut in tasks give what the column expression gives, for every letter and mark there is; the first ones too."""
+    points = [chr(p) for p in [*range(0x34000), *range(0xE0000, 0xE0200)] if not 0xD800 <= p < 0xE000]
+    texts = ["".join(f"x{c}Y {c} " for c in points[at : at + 500]) for at in range(0, len(points), 500)]
+    texts += [None, "", "\n", "ΟΔΟΣ ΣΑΣ. Σ ΑΣ'Α İΣ", "e\u0301a \u0301b c\u0301", "Ação_b-2", "a b c d e f g Σ'Α ΣΑΣ'Α j", "A\u0301" * 20 + " ç"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    want = rows.select(text.tokens(F.col("t")).alias("t"), text.first_tokens(F.col("t"), 8).alias("first")).collect()
+    terms, sizes = postings.cut(pa.array(texts, pa.string()), text.fold_table(spark))
+    ends = np.cumsum(sizes)
+    got = [terms[int(high - n) : int(high)].to_pylist() for n, high in zip(sizes, ends, strict=True)]
+    assert got == [r.t for r in want]
+    assert [r.first for r in want] == [r.t[:8] for r in want]
+
+
+def test_slices_become_blocks(spark, monkeypatch):
+    """Whatever the slices are, documents of a block rise, and every document has its length, an empty one too."""
+    monkeypatch.setattr(postings, "CUT", 300)
+    monkeypatch.setattr(postings, "MERGED", 50)
+    data = [(9 * k % 1000, f"a b{k % 7} a", None if k % 5 else "a") for k in range(1000)] + [(1000, "", None)]
+    index = spark.createDataFrame(data, "doc long, nome string, tags string").coalesce(2)
+    slices = postings.by_slice(index, ["nome", "tags"])
+    assert slices.where("term = 'a'").count() > 20
+    assert {(r.doc, r.length) for r in postings.lengths(slices).collect()} == {(d, len(f"{n} {t or ''}".split())) for d, n, t in data}
+    blocks = postings.in_blocks(slices, ["nome", "tags"], parts=2).collect()
+    assert all(r.docs == sorted(set(r.docs)) and r.n == len(r.docs) and len(r.pos) == len(r.cols) == sum(r.times) for r in blocks)
+    assert sorted(d for r in blocks if r.term == "a" for d in r.docs) == list(range(1000))
+    assert sum(r.n_text for r in blocks if r.term == "a") == 1000 and {r.term for r in blocks} == {"a", *(f"b{k}" for k in range(7))}
+
+
 def test_no_documents(spark):
     _, index = table(spark, 1)
     empty = postings.postings(index.limit(0), COLUMNS)
