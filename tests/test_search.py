@@ -75,6 +75,26 @@ def test_slices_become_blocks(spark, monkeypatch):
     assert sum(r.n_text for r in blocks if r.term == "a") == 1000 and {r.term for r in blocks} == {"a", *(f"b{k}" for k in range(7))}
 
 
+def test_phrases_of_shared_terms(spark):
+    """Phrases of several lengths that share their terms, over columns that meet; no occurrence is repeated for each phrase of its term."""
+    rows = [(1, "a b a b c", "c a"), (2, "b", "a b"), (3, "a x b c", "a a a")]
+    index = lexical.build(spark.createDataFrame(rows, "doc long, nome string, tags string"), ["nome", "tags"])
+    words = "a_b b_a a_a b_c c_c a_b_c a_b_a_b b_c_a x_b_c"
+    asked = spark.createDataFrame([(1, words), (2, "a b c")], "qid long, question string")
+    found = lexical.occurrences(index, lexical.question_phrases(asked))
+    want = collections.Counter()
+    for doc, *bodies in rows:
+        for col, body in zip(["nome", "tags"], bodies, strict=True):
+            t = body.split()
+            for raw in [*words.split(), "a", "b", "c"]:
+                p = raw.split("_")
+                want[raw, doc, col] += sum(t[i : i + len(p)] == p for i in range(len(t)))
+    assert {(r.raw, r.doc, r.col): r.n for r in found.collect()} == {k: n for k, n in want.items() if n}
+    many = spark.createDataFrame([(1, " ".join(f"a_{c}" for c in "abcdefgh"))], "qid long, question string")
+    plan = lexical.occurrences(index, lexical.question_phrases(many)).where("raw like '%\\\\_%'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in plan and "Window" in plan
+
+
 def test_no_documents(spark):
     _, index = table(spark, 1)
     empty = postings.postings(index.limit(0), COLUMNS)
