@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 #: Keys under which a listing may hold its records, in order.
 LIST_KEYS = ("dados", "data", "result", "resultado", "conjuntos", "items")
 
+#: Partitions of a batch at most.
+PARTS = 64
+
 
 def records_of(payload: object) -> list[dict]:
     """The records of a listing: itself or the first list under a known key; only objects count."""
@@ -65,8 +68,10 @@ def recorded(url: str) -> object:
 
 
 class Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+    """A page, or ``count`` from it on."""
+
+    def __init__(self, number: int, count: int = 1):
+        self.number, self.count = number, count
 
 
 class PortalReader(DataSourceReader):
@@ -114,6 +119,10 @@ class PortalReader(DataSourceReader):
 class PortalStreamReader(PortalReader, DataSourceStreamReader):
     """Pages as offsets: {"pagina": the last page taken}. A batch is up to ``step`` pages, a partition each.
 
+    With ``most`` greater than ``step`` each batch may be twice as long as the one before, up to ``most`` pages, so that a
+    long listing does not take a batch, with what it costs beside its records, for every few pages. A longer batch is only
+    offered if its last page has records, and is dealt out over ``PARTS`` partitions.
+
     The next batch is offered if the page behind the last one taken, or the one behind that, has records; if neither has,
     these two are offered once, so that the listing's end is on record. ``after`` says what was taken in earlier runs;
     Spark's checkpoint says so too, and a batch that it had begun is taken again first.
@@ -123,6 +132,7 @@ class PortalStreamReader(PortalReader, DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         super().__init__({"pages": "0", **options})
         self.step, self.taken = int(options.get("step", "8")), int(options.get("after", self.first - 1))
+        self.size, self.most = self.step, max(self.step, int(options.get("most", "0")))
         self.end: int | None = None
 
     def initialOffset(self) -> dict:  # noqa: N802
@@ -131,25 +141,32 @@ class PortalStreamReader(PortalReader, DataSourceStreamReader):
     def latestOffset(self) -> dict:  # noqa: N802
         if self.end is None:
             if any(self.listed(n) for n in (self.taken + 1, self.taken + 2)):
-                return {"pagina": self.taken + self.step}
+                size = self.size
+                while size > self.step and not self.listed(self.taken + size):
+                    size //= 2
+                return {"pagina": self.taken + max(size, self.step)}
             self.end = self.taken + 2
         return {"pagina": self.end}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        self.taken = max(self.taken, end["pagina"])
-        return [Page(n) for n in range(start["pagina"] + 1, end["pagina"] + 1)]
+        if end["pagina"] > self.taken:
+            self.taken, self.size = end["pagina"], min(2 * self.size, self.most)
+        pages = end["pagina"] - start["pagina"]
+        each = max(1, -(-pages // PARTS))
+        return [Page(n, min(each, end["pagina"] + 1 - n)) for n in range(start["pagina"] + 1, end["pagina"] + 1, each)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        records = self.listed(partition.number)
-        yield partition.number, len(records), None
-        for record in records:
-            yield partition.number, None, self.whole(record)
+        for number in range(partition.number, partition.number + partition.count):
+            records = self.listed(number)
+            yield number, len(records), None
+            for record in records:
+                yield number, None, self.whole(record)
 
 
 class PortalSource(DataSource):
     """``spark.read.format("portal")`` with options url (holding ``{page}``), detail (holding ``{id}``, optional), pages, first, key, asks, pause.
 
-    ``spark.readStream.format("portal")`` takes step and after instead of pages. ``n`` is null but in a stream's row for a page.
+    ``spark.readStream.format("portal")`` takes step, most and after instead of pages. ``n`` is null but in a stream's row for a page.
     """
 
     @classmethod

@@ -35,6 +35,22 @@ def test_stream_reader_offsets(tmp_path):
     assert portal.PortalStreamReader({**options, "after": "4"}).latestOffset() == {"pagina": 6}
 
 
+def test_batches_grow_where_they_may(spark, tmp_path):
+    """With ``most`` a listing of 150 pages takes few batches and partitions; its pages and end are the same, also past a gap."""
+    pages = {n: [{"id": 3 * n + k} for k in range(3)] for n in range(1, 151) if n != 70}
+    options = write_pages(tmp_path / "p", pages) | {"most": "128"}
+    reader, at, sizes = portal.PortalStreamReader(options), 0, []
+    while (end := reader.latestOffset()["pagina"]) > at:
+        parts = reader.partitions({"pagina": at}, {"pagina": end})
+        assert [n for p in parts for n in range(p.number, p.number + p.count)] == list(range(at + 1, end + 1)) and len(parts) <= portal.PARTS
+        sizes.append(end - at)
+        at = end
+    assert at == 152 and len(sizes) < 15 and max(sizes) <= 128 and sizes[:4] == [2, 4, 8, 16]
+    done = ingestion.collect(spark, options, str(tmp_path / "t"), str(tmp_path / "c"))
+    assert done["concluida"] and done["ultima_pagina"] == 152
+    assert ingestion.taken(spark, f"{tmp_path}/t/pages", ingestion.PAGES).where("n > 0").count() == 149
+
+
 def test_collect_goes_on_after_a_page_that_failed(spark, tmp_path):
     """The pages before the failing one's batch stay; the next run takes its batch, each record stands once, the end is believed."""
     pages = {1: [{"id": 1}, {"id": 2}], 2: [{"id": 2}, {"id": 3}], 3: [{"id": 4}, {"nome": "x"}], 4: "{broken"}
