@@ -183,3 +183,46 @@ def test_several_rankings(spark, tmp_path):
     with pytest.raises(ValueError, match="without a card: b, c"):
         ranking.record(ranking.metrics_by_ranking(hits), asked, cards.where("name = 'a'"), path)
     assert ranking.history(spark, path).agg(F.max("run_no")).first()[0] == 2
+
+
+def test_frequencies_without_postings(spark, monkeypatch):
+    """How frequent tokens are is read from what blocks say; no posting is unpacked for it."""
+    from catalume.plans import queries
+
+    def refuse(blocks):
+        raise AssertionError("postings are unpacked")
+
+    wanted = {q: queries.REGISTRY[q](spark, "/root/testdata/sf0.001").count() for q in ("stop_terms", "term_frequency")}
+    monkeypatch.setattr(postings, "counted", refuse)
+    assert min(wanted.values()) > 0
+    assert wanted == {q: queries.REGISTRY[q](spark, "/root/testdata/sf0.001").count() for q in wanted}
+
+
+def test_packed_blocks(spark):
+    """Lists travel as bytes; a frequent term's rows are dealt out, a rare term's come together, all documents stand apart."""
+    rows = spark.range(0, 6000, 1, 12).select(F.col("id").alias("doc"), F.concat_ws(" ", F.lit("the"), F.expr("if(id % 1500 = 0, 'rare', 'x')")).alias("nome"))
+    blocks = postings.packed(postings.by_slice(rows, ["nome"]), ["nome"], parts=4)
+    assert {d for n, d in blocks.dtypes if n in postings.LISTS} == {"binary"}
+    seen = blocks.select("term", "n", F.spark_partition_id().alias("part")).collect()
+    assert len({r.part for r in seen if r.term == "the"}) > 1
+    assert [r.n for r in seen if r.term == "rare"] == [4]
+    assert sum(r.n for r in seen if r.term is None) == 6000 and sum(r.n for r in seen if r.term == "the") == 6000
+
+
+def test_scores_from_blocks(spark, tmp_path, monkeypatch):
+    """What tasks compute from blocks are the scores that joins give, for words said in two ways, phrases, and questions in several batches."""
+    monkeypatch.setattr(postings, "PASSED", 100)
+    _, index = table(spark)
+    settings = Settings(weights={"nome": 3.0, "tags": 1.5, "resumo": 1.0})
+    asked = spark.createDataFrame([("a", "The the w1 W1 w2 w3"), ("b", "w5"), ("c", "w1_w2 w9"), ("d", "nothing"), ("e", "w5 w6 w7")], "qid string, question string")
+    lexical.write(index, COLUMNS, str(tmp_path / "i"), files=4)
+    made = lexical.read(spark, str(tmp_path / "i"))
+    useful, freq, rare = lexical.judge(made, asked, settings)
+    assert rare.count() > 0
+    found = lexical.occurrences(made, lexical.question_phrases(asked))
+    want = {(r.qid, r.doc): r.score for r in lexical.bm25(useful, found, freq, made.lengths, made.stats, settings).collect()}
+    scores = lexical.scores(made, useful, freq, rare, settings)
+    assert {(r.qid, r.doc): r.score for r in scores.collect()} == pytest.approx(want) and len(want) > 500
+    single = lexical.scores(made, useful.where("size(phrase) = 1"), freq, None, settings)
+    plan = single._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and plan.count("Join") == 1
