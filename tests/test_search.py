@@ -226,3 +226,21 @@ def test_scores_from_blocks(spark, tmp_path, monkeypatch):
     single = lexical.scores(made, useful.where("size(phrase) = 1"), freq, None, settings)
     plan = single._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Repartition") == 1 and plan.count("Join") == 1
+
+
+def test_acceptable_without_shuffled_texts(spark, tmp_path):
+    """The few documents that may hold a question's text are counted before texts are read, so no text is shuffled."""
+    docs = spark.range(2000).select(F.col("id").alias("doc"), F.concat_ws(" ", F.lit("w"), F.expr("repeat(sha2(string(id), 512), 20)"), F.col("id")).alias("text"))
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    lexical.write(docs, ["text"], str(tmp_path / "i"), files=2)
+    asked = spark.createDataFrame([(1, " 77"), (2, "absent")], "qid long, whole string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50k")
+    try:
+        found = ranking.acceptable(asked, docs, lexical.read(spark, str(tmp_path / "i")))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {tuple(r) for r in found.collect()} == {(1, 77)}
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
