@@ -228,6 +228,22 @@ def test_scores_from_blocks(spark, tmp_path, monkeypatch):
     assert plan.count("Repartition") == 1 and plan.count("Join") == 1
 
 
+def test_hashed_vectors_like_md5(spark):
+    """A word's place is the first 16 bits of its MD5, however it was said; texts are cut in the workers, not by column expressions."""
+    import hashlib
+
+    texts = ["Ação ação b_2 the the", "", None, "x\n\nY " * 40]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    model = embedding.hashed(16)
+    made = embedding.embed(rows, "id", "text", model, embedding.PASSAGE)
+    for r in made.collect():
+        want = np.zeros(16)
+        for w in ["passage", *"acao acao b 2 the the".split()] if r.id == 0 else ["passage", *["x", "y"] * (40 if r.id == 3 else 0)]:
+            want[int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 16] += 1
+        assert r.vetor == pytest.approx(list(want / np.linalg.norm(want)))
+    assert made.count() == 4 and "regexp" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_acceptable_without_shuffled_texts(spark, tmp_path):
     """The few documents that may hold a question's text are counted before texts are read, so no text is shuffled."""
     docs = spark.range(2000).select(F.col("id").alias("doc"), F.concat_ws(" ", F.lit("w"), F.expr("repeat(sha2(string(id), 512), 20)"), F.col("id")).alias("text"))
