@@ -260,3 +260,11 @@ def test_acceptable_without_shuffled_texts(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert {tuple(r) for r in found.collect()} == {(1, 77)}
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_explained_documents_alone_are_cut(spark):
+    """Columns of the index are made of documents that are results, not of all."""
+    from catalume.plans import catalog
+
+    some = spark.createDataFrame([(3,), (3,), (5,)], "doc long")
+    assert sorted(r.doc for r in catalog.index(spark, "/root/testdata/sf0.001", some).collect()) == [3, 5]
