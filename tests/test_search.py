@@ -268,3 +268,15 @@ def test_explained_documents_alone_are_cut(spark):
 
     some = spark.createDataFrame([(3,), (3,), (5,)], "doc long")
     assert sorted(r.doc for r in catalog.index(spark, "/root/testdata/sf0.001", some).collect()) == [3, 5]
+
+
+def test_single_ranking_makes_no_vectors(spark, monkeypatch):
+    """One ranking is fused without the other, whose vectors would be made and written for nothing."""
+    from catalume.plans import catalog, queries
+
+    def refuse(*_):
+        raise AssertionError("vectors are made")
+
+    monkeypatch.setattr(catalog, "document_vectors", refuse)
+    rows = queries.REGISTRY["rrf_single_ranking"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.rrf == round(1 / (60 + r.posicao), 9) for r in rows)
