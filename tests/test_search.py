@@ -280,3 +280,45 @@ def test_single_ranking_makes_no_vectors(spark, monkeypatch):
     monkeypatch.setattr(catalog, "document_vectors", refuse)
     rows = queries.REGISTRY["rrf_single_ranking"](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r.rrf == round(1 / (60 + r.posicao), 9) for r in rows)
+
+
+def test_index_of_asked_terms(spark, tmp_path):
+    """An index made for some terms says of them, of lengths and of statistics what the whole one says; it holds few others, and refuses them."""
+    long = ["ação" * 9 + "x", "ação" * 9 + "y", "b" * 8, "日本語", "w1"]
+    docs = spark.createDataFrame([(i, f"w{i} {long[i % 5]} {long[i * 7 % 5]}.", "t") for i in range(3000)], "doc long, nome string, tags string")
+    questions = spark.createDataFrame([(1, f"{long[0]} b_w1 nothing"), (2, "éa " + long[3]), (3, ""), (4, "w77 w1 w78")], "qid long, question string")
+    terms = lexical.asked_terms(questions)
+    assert {r.term for r in terms.collect()} == {("acao" * 9) + "x", "b", "w1", "nothing", "e", "a", "ea", long[3], "w77", "w78"}
+    made = []
+    for name, asked in (("all", None), ("asked", terms)):
+        lexical.write(docs, ["nome", "tags"], str(tmp_path / name), files=3, asked=asked)
+        made.append(lexical.read(spark, str(tmp_path / name)))
+    whole, some = made
+    for part in ("lengths", "stats"):
+        assert sorted(map(tuple, getattr(whole, part).collect())) == sorted(map(tuple, getattr(some, part).collect()))
+    found = [{tuple(r) for r in postings.unpacked(i.posted.join(terms, "term", "left_semi")).collect()} for i in made]
+    assert found[0] == found[1] and len(found[0]) > 2000
+    assert whole.posted.select("term").distinct().count() > 3000 and some.posted.select("term").distinct().count() < 50
+    judged = [lexical.judge(i, questions, Settings()) for i in made]
+    scores = [{tuple(r) for r in lexical.scores(i, *j, Settings()).collect()} for i, j in zip(made, judged, strict=True)]
+    assert scores[0] == scores[1] and scores[0]
+    for other in (spark.createDataFrame([(1, "w2")], "qid long, question string"), spark.createDataFrame([(1, "w1 w1_w2")], "qid long, question string")):
+        with pytest.raises(ValueError, match="w2"):
+            lexical.judge(some, other, Settings())
+        with pytest.raises(ValueError, match="w2"):
+            lexical.occurrences(some, lexical.question_phrases(other))
+    with pytest.raises(ValueError, match="w2"):
+        ranking.acceptable(spark.createDataFrame([(1, "w2")], "qid long, whole string"), docs.withColumnRenamed("nome", "text"), some)
+    nothing = postings.by_slice(docs, ["nome"], spark.createDataFrame([], "term string"))
+    assert nothing.where("term is not null").isEmpty() and postings.lengths(nothing).count() == 3000
+
+
+def test_catalog_index_has_the_questions_terms(spark):
+    """The registered queries' index has each token of the questions that a document has, and hardly any other of the corpus."""
+    from catalume.plans import catalog
+
+    kept = {r.term for r in catalog.lexical_index(spark, "/root/testdata/sf0.001").posted.select("term").distinct().collect()}
+    index = catalog.index(spark, "/root/testdata/sf0.001")
+    there = {r.t for c in index.columns[1:] for r in index.select(F.explode(text.tokens(F.col(c))).alias("t")).distinct().collect()}
+    asked = {r.term for r in lexical.asked_terms(catalog.questions(spark, "/root/testdata/sf0.001")).collect()}
+    assert kept & asked == there & asked and len(kept - asked) < 0.05 * len(there) and len(there) > 3 * len(kept)
