@@ -322,3 +322,21 @@ def test_catalog_index_has_the_questions_terms(spark):
     there = {r.t for c in index.columns[1:] for r in index.select(F.explode(text.tokens(F.col(c))).alias("t")).distinct().collect()}
     asked = {r.term for r in lexical.asked_terms(catalog.questions(spark, "/root/testdata/sf0.001")).collect()}
     assert kept & asked == there & asked and len(kept - asked) < 0.05 * len(there) and len(there) > 3 * len(kept)
+
+
+def test_cutting_is_bounded(spark):
+    """What a worker needs besides a batch of texts is little, however large the batch."""
+    import tracemalloc
+
+    folds = spark.sparkContext.broadcast(text.fold_table(spark))
+    words = " ".join(f"w{i % 5000}" for i in range(20_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([words] * 100)], ["doc", "text"])
+    seen, run = 0, postings._sliced(folds, None)
+    assert folds.value is not None
+    tracemalloc.start()
+    for made in run(iter([batch])):
+        seen += sum(made.column(0).is_null().to_pylist()) and len(made.column(2)[made.num_rows - 1].as_py()) // 8
+        del made
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 100 and peak < 48 << 20
