@@ -340,3 +340,23 @@ def test_cutting_is_bounded(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert seen == 100 and peak < 48 << 20
+
+
+def test_texts_reach_a_model_by_size(spark):
+    """A model gets few long texts at once, many short ones, each text once and whole."""
+    texts = ["x" * n for n in [10] * 150 + [700_000] * 5 + [0] + [3_000_000] + [10] * 3]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+
+    def load():
+        def encode(given):
+            return np.array([[1.0, len(given), sum(map(len, given)), len(t)] for t in given])
+
+        return encode
+
+    model = embedding.Model("sizes", 4, load)
+    made = {r.id: r.vetor for r in embedding.embed(rows, "id", "text", model, "").collect()}
+    assert len(made) == len(texts)
+    for i, (one, count, size, own) in made.items():
+        assert round(own / one) == len(texts[i])
+        assert round(count / one) == 1 or (round(count / one) <= embedding.AT_ONCE and round(size / one) <= embedding.BYTES)
+    assert round(made[0][1] / made[0][0]) == embedding.AT_ONCE
