@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from catalume.operators import limiter
+from catalume.plans import streams
 from catalume.sources import portal
 from catalume.streaming import cache, ingestion
 from catalume.streaming import limiter as stream
@@ -123,6 +125,28 @@ def test_idle_origins_are_given_up(spark, tmp_path):
     assert kept == {"all": {0, 1, 2, 7, 9}, "some": {9}}
 
 
+@pytest.mark.parametrize(("name", "rows"), [("limiter_evicting", 1000)])
+def test_a_stream_is_waited_for(spark, monkeypatch, name, rows):
+    """A stream that takes longer than any time it is waited for is no result yet, nor is one that ended in the middle."""
+    wait, ended = StreamingQuery.awaitTermination, []
+
+    def impatient(query, timeout=None):
+        return wait(query, timeout and 0.01)
+
+    def stopped(query, timeout=None):
+        while not query.lastProgress:
+            wait(query, 0.05)
+        query.stop()
+        ended.append(query.lastProgress["batchId"])
+
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", impatient)
+    assert getattr(streams, name)(spark, "/root/testdata/sf0.001").count() == rows
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", stopped)
+    with pytest.raises(RuntimeError, match="of 1000 rows"):
+        getattr(streams, name)(spark, "/root/testdata/sf0.001")
+    assert ended[0] < 5
+
+
 def test_answer_cache(spark, tmp_path):
     """Hits call no model and store nothing; the oldest entry goes; versions and answers that are never reused stay apart."""
     asked = [
