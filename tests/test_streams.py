@@ -125,7 +125,7 @@ def test_idle_origins_are_given_up(spark, tmp_path):
     assert kept == {"all": {0, 1, 2, 7, 9}, "some": {9}}
 
 
-@pytest.mark.parametrize(("name", "rows"), [("limiter_evicting", 1000)])
+@pytest.mark.parametrize(("name", "rows"), [("limiter_evicting", 1000), ("limiter_state", 14)])
 def test_a_stream_is_waited_for(spark, monkeypatch, name, rows):
     """A stream that takes longer than any time it is waited for is no result yet, nor is one that ended in the middle."""
     wait, ended = StreamingQuery.awaitTermination, []
