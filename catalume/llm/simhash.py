@@ -91,7 +91,9 @@ def links(points: DataFrame, max_bucket: int = 64, radius: int = RADIUS) -> Data
     (rounded up); two fingerprints are within the radius just if one announces
     a point at which the other asks, and all who meet at a point are then
     linked to one that announces it. At 3 bits that is 2,081 rows for each
-    fingerprint concerned, whatever the bucket's size.
+    fingerprint concerned, whatever the bucket's size. Spark judges tables of
+    rows that each become many by the size before that and would gather them
+    on the driver for a broadcast, so their joins are told to shuffle.
     """
     close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= radius
     masks = F.array(*(F.lit(_signed(m)) for m in covering_masks(radius=radius)))
@@ -99,7 +101,7 @@ def links(points: DataFrame, max_bucket: int = 64, radius: int = RADIUS) -> Data
     sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialize(sizes.withColumn("large", F.col("n") > max_bucket), "buckets")
     # the further key has both sides dealt out for the join, so that large partitions can be split
-    met = keyed.withColumn("deal", F.hash("key")).join(sizes.withColumn("deal", F.hash("key")), ["mask", "key", "deal"])
+    met = keyed.withColumn("deal", F.hash("key")).hint("merge").join(sizes.withColumn("deal", F.hash("key")), ["mask", "key", "deal"])
     met = materialize(met.select("fp", "mask", "key", "large"), "bucket-members")
     small = met.where("not large").select("fp", "mask", "key")
     other = small.select(F.col("fp").alias("b"), "mask", "key")
@@ -110,7 +112,8 @@ def links(points: DataFrame, max_bucket: int = 64, radius: int = RADIUS) -> Data
     far = dense.select("fp", F.explode(flips(radius - radius // 2)).alias("flip"), F.lit(False).alias("announced"))
     stands = near.unionByName(far).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "announced")
     hubs = stands.where("announced").groupBy("point").agg(F.min("fp").alias("hub"))
-    spokes = stands.join(hubs, "point").where("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
+    stands, hubs = (df.withColumn("deal", F.hash("point")) for df in (stands, hubs))
+    spokes = stands.hint("merge").join(hubs, ["point", "deal"]).where("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
     return pairs.unionByName(spokes).distinct()
 
 

@@ -101,7 +101,8 @@ def bucket_members(found: DataFrame, max_bucket: int = BUCKET) -> DataFrame:
     keyed = found.select("point", "n", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("rows")).where("rows > 1")
     sizes = materialize(sizes.select("band", "key", (F.col("rows") > max_bucket).alias("large")), "bands")
-    met = materialize(_dealt(keyed, "key").join(_dealt(sizes, "key"), ["band", "key", "deal"]).drop("deal"), "band-members")
+    # a merge: Spark judges ``keyed`` by its size before each row became many, and would broadcast it
+    met = materialize(_dealt(keyed, "key").hint("merge").join(_dealt(sizes, "key"), ["band", "key", "deal"]).drop("deal"), "band-members")
     remove(sizes)
     return met
 

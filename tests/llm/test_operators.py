@@ -143,6 +143,15 @@ def test_simhash_dense_and_sparse_buckets_agree(spark):
         assert groups(full) == groups(want)
 
 
+def test_simhash_points_of_dense_buckets_are_not_broadcast(spark, tmp_path):
+    """150 fingerprints stand at 312,150 points; however small their table looks, the driver does not gather these."""
+    spark.range(150).select(F.col("id").alias("fp")).write.parquet(str(tmp_path / "fp"))
+    found = simhash.links(spark.read.parquet(str(tmp_path / "fp")), 64)
+    assert found.count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [point" in plan and "BroadcastHashJoin [point" not in plan
+
+
 def test_simhash_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 501)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
