@@ -10,7 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from catalume.operators import limiter
 from catalume.plans import streams
 from catalume.sources import portal
-from catalume.streaming import cache, ingestion
+from catalume.streaming import cache, ingestion, whole
 from catalume.streaming import limiter as stream
 
 
@@ -125,6 +125,24 @@ def test_idle_origins_are_given_up(spark, tmp_path):
     assert kept == {"all": {0, 1, 2, 7, 9}, "some": {9}}
 
 
+def test_origins_that_share_a_place(spark, tmp_path):
+    """One place for all: an origin is given up when its own instants no longer count, by a timer that others move."""
+    hour = 3_600_000_000
+    asked = [(1, 1, 0), (2, 2, 0), (3, None, 1), (4, 1, 2), (5, 1, 2), (6, 2, 3), (7, 3, 3), (8, 1, 4), (9, None, 5)]
+    table = spark.createDataFrame([(e, o, 1000 * hour + t * hour // 2) for e, o, t in asked], "event_id long, origem long, quando long")
+    kept = {}
+    for last in (3, 4, 5):
+        folder = tmp_path / str(last)
+        for t in range(last + 1):
+            table.where(F.col("quando") == 1000 * hour + t * hour // 2).coalesce(1).write.mode("append").parquet(str(folder / "g"))
+        came = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "g"))
+        out = whole.written(stream.admit(came, 2, 3600, 60, places=1), str(folder / "g"), str(folder / "o"), str(folder / "c"))
+        given = table.where(F.col("quando") <= 1000 * hour + last * hour // 2)
+        assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == sorted(map(tuple, limiter.sliding_window(given.fillna(-1), 2, 3600).withColumn("origem", F.nullif("origem", F.lit(-1))).collect()), key=lambda r: r[0])
+        kept[last] = {r.origem for r in stream.origins_kept(spark, str(folder / "c")).collect()}
+    assert kept == {3: {1, 2, 3, None}, 4: {1, 2, 3}, 5: {1, 2, 3, None}}
+
+
 @pytest.mark.parametrize(("name", "rows"), [("limiter_evicting", 1000), ("limiter_state", 14)])
 def test_a_stream_is_waited_for(spark, monkeypatch, name, rows):
     """A stream that takes longer than any time it is waited for is no result yet, nor is one that ended in the middle."""
