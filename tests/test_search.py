@@ -360,3 +360,90 @@ def test_texts_reach_a_model_by_size(spark):
         assert round(own / one) == len(texts[i])
         assert round(count / one) == 1 or (round(count / one) <= embedding.AT_ONCE and round(size / one) <= embedding.BYTES)
     assert round(made[0][1] / made[0][0]) == embedding.AT_ONCE
+
+
+def test_words_are_digested_side_by_side(spark, monkeypatch):
+    """Places are those of MD5 for words of any length; only words beyond 55 bytes go to the library, one by one."""
+    import hashlib
+
+    words = ["a", "ß", "日本", "w" * 55, "w" * 56, "ß" * 40, "x" * 63, "x" * 64, "y" * 300, *(f"w{i}" * (1 + i % 27) for i in range(9000))]
+    want = [int(hashlib.md5(w.encode()).hexdigest()[:4], 16) for w in words]
+    asked, whole = [], hashlib.md5
+    monkeypatch.setattr(embedding.hashlib, "md5", lambda word: asked.append(word) or whole(word))
+    made = embedding.hashed(1 << 16).load(text.fold_table(spark))(words[:9])
+    assert [int(row.argmax()) for row in made] == want[:9] and (made.sum(axis=1) == 1).all()
+    assert sorted(asked) == sorted(w.encode() for w in words[:9] if len(w.encode()) > 55)
+    assert embedding._md5_heads(pa.array(words)).tolist() == want and embedding._md5_heads(pa.array(words).slice(3, 8500)).tolist() == want[3:8503]
+    assert embedding._md5_heads(pa.array([], pa.string())).tolist() == []
+
+
+def test_texts_cut_as_bytes(spark):
+    """Texts whose folded letters are all below 256 are cut as bytes, dashes and quotes among them; others as they were. Both give Spark's tokens."""
+    folds = text.fold_table(spark)
+    plain = ["Ação – “naïve” Œ… ŐŁ ß µ ª", "", "x", " ÿÀ¼ ", "€"]
+    wide = ["Σας ΑΣ", "日本 語a", "e\u0301te\u0301", "\U0001d49c b", "İi"]
+    for texts, narrow in ((["Ação – “naïve” ß"], True), (plain[1:], True), (wide, False), ([*plain, *wide], False)):
+        assert (postings._points("\n".join(texts) + "\n", folds).dtype == np.uint8) == narrow
+        terms, sizes = postings.cut(pa.array([*texts, None], pa.string()), folds)
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").select(text.tokens(F.col("t")).alias("w")).collect()
+        assert terms.to_pylist() == [w for r in rows for w in r.w] and sizes.tolist() == [*(len(r.w) for r in rows), 0]
+
+
+def test_index_of_few_terms_is_not_shuffled(spark, tmp_path, monkeypatch):
+    """Blocks of few asked terms are made where texts are cut, and a document's score comes from there as one row; those of many come together by term."""
+    docs = spark.createDataFrame([(i, f"w{i % 50} w{i % 7} the", "t") for i in range(4000)], "doc long, nome string, tags string").repartition(3)
+    asked = spark.createDataFrame([(f"w{i}",) for i in range(50)] + [("the",)], "term string")
+    made = postings.packed_in_place(docs, ["nome", "tags"], asked)
+    assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    lexical.write(docs, ["nome", "tags"], str(tmp_path / "few"), asked=asked)
+    monkeypatch.setattr(lexical, "FEW", 50)
+    lexical.write(docs, ["nome", "tags"], str(tmp_path / "many"), asked=asked, files=2)
+    few, many = (lexical.read(spark, str(tmp_path / n)) for n in ("few", "many"))
+    found = [sorted(map(tuple, postings.unpacked(i.posted.join(asked, "term", "left_semi")).collect())) for i in (few, many)]
+    assert found[0] == found[1] and len(found[0]) == 12000
+    for part in ("lengths", "stats"):
+        assert sorted(map(tuple, getattr(few, part).collect())) == sorted(map(tuple, getattr(many, part).collect()))
+    known = asked.select("term", F.expr("if(term = 'the', array('a', 'b'), array('a'))").alias("qids"), F.lit(1.0).alias("idf"), F.lit(3.0).alias("mean_length"))
+    rows = postings.scored(few.posted.join(F.broadcast(known), "term"), [1.0, 1.0], 1.2, 0.75).collect()
+    assert len(rows) == len({(r.qid, r.doc) for r in rows}) == 8000
+    want = postings.scored(many.posted.join(known, "term"), [1.0, 1.0], 1.2, 0.75).groupBy("qid", "doc").agg(F.sum("part")).collect()
+    assert {(r.qid, r.doc): r.part for r in rows} == pytest.approx({(r.qid, r.doc): r[2] for r in want})
+
+
+def test_far_documents_are_added_up():
+    """Numbers of documents that are too far apart to be told with the question in one number are added up all the same."""
+    docs = np.array([-(2**63), 2**63 - 1, 5, -(2**63), 5, 5])
+    asked, parts = np.array([1, 0, 2, 1, 2, 0]), np.arange(6.0)
+    made = postings._added(asked, docs, parts, 3)
+    assert sorted(zip(*(x.tolist() for x in made), strict=True)) == [(0, 5, 5.0), (0, 2**63 - 1, 1.0), (1, -(2**63), 3.0), (2, 5, 6.0)]
+
+
+def test_tasks_pass_on_their_best_scores(spark):
+    """A task sorts and passes on few rows; ties, nulls and scores that are no number stand where they stood."""
+    from pyspark.sql import Window
+
+    rows = [(q, f"d{i * 37 % 500:03d}", float(i % 9)) for q in ("a", "b", None) for i in range(500)]
+    rows += [("a", "nan", float("nan")), ("b", None, 8.0), ("a", "null", None), ("c", "x", 1.0000004), ("c", "a", 1.0), ("d", None, None)]
+    scores = spark.createDataFrame(rows, "qid string, doc string, score double").repartition(3)
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc"))).cast("long")
+    for limit in (1, 4, 600):
+        want = scores.withColumn("score", F.round("score", 6)).withColumn("posicao", place).where(F.col("posicao") <= limit)
+        found = lexical.top(scores, limit)
+        assert found.columns == want.columns and sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    numbers = spark.range(0, 20000, 1, 2).select((F.col("id") % 2).alias("qid"), F.col("id").alias("doc"), (F.col("id") % 100).cast("double").alias("score"))
+    assert numbers.mapInArrow(lexical._best(5, "doc", "score"), numbers.schema).count() == 2 * 2 * 5
+    assert [(r.qid, r.doc, r.posicao) for r in lexical.top(numbers, 2).orderBy("qid", "posicao").collect()] == [(0, 98, 1), (0, 198, 2), (1, 99, 1), (1, 199, 2)]
+
+
+def test_few_names_do_not_have_cards_shuffled(spark, tmp_path):
+    """Cards are met by the names that questions cite, once for each run recorded; a history that is not there yet is no task in Python."""
+    spark.range(50_000).select(F.concat(F.lit("n"), F.col("id")).alias("name")).write.parquet(str(tmp_path / "c"))
+    cards = spark.read.parquet(str(tmp_path / "c"))
+    asked = spark.createDataFrame([(["n1", "n49999", "lost"],), (["gone", "n1"],), ([],)], "aceitaveis array<string>")
+    asked.write.parquet(str(tmp_path / "q"))
+    broken = ranking.broken_annotations(spark.read.parquet(str(tmp_path / "q")), cards)
+    assert sorted(r.name for r in broken.collect()) == ["gone", "lost"]
+    assert "LeftSemi" in broken._jdf.queryExecution().optimizedPlan().toString()
+    empty = ranking.history(spark, str(tmp_path / "nothing"))
+    assert empty.count() == 0 and empty.dtypes == spark.createDataFrame([], ranking.RUN).dtypes
+    assert "Scan ExistingRDD" not in empty._jdf.queryExecution().executedPlan().toString()
