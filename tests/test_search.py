@@ -447,3 +447,19 @@ def test_few_names_do_not_have_cards_shuffled(spark, tmp_path):
     empty = ranking.history(spark, str(tmp_path / "nothing"))
     assert empty.count() == 0 and empty.dtypes == spark.createDataFrame([], ranking.RUN).dtypes
     assert "Scan ExistingRDD" not in empty._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_stay_where_they_are(spark, tmp_path):
+    """Questions' words are handed to the tasks that read blocks, whatever Spark would broadcast; blocks are not dealt out by term for them."""
+    _, index = table(spark)
+    lexical.write(index, COLUMNS, str(tmp_path / "i"), files=4)
+    made = lexical.read(spark, str(tmp_path / "i"))
+    useful, freq, _ = lexical.judge(made, spark.createDataFrame([(1, "the w1 w2 w3")], "qid long, question string"), Settings())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = lexical.scores(made, useful, freq, None, Settings())
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(term" not in plan
